@@ -199,9 +199,11 @@ def split_stratified(df: DataFrame, label: str, key: str, seed: str, p: float =
 
 
 def not_in_training(df: DataFrame, train: DataFrame, name: str) -> DataFrame:
-    """Rows whose trimmed lower-case name the training set does not have."""
-    seen = train.select(F.lower(strip(F.col(name))).alias("_n")).distinct()
-    return df.join(seen, F.lower(strip(F.col(name))) == F.col("_n"), "left_anti")
+    """Rows whose trimmed lower-case name the training set does not have. Names are compared
+    by digest, so long texts are not shuffled as join keys."""
+    digest = F.sha2(F.lower(strip(F.col(name))), 256)
+    seen = train.select(digest.alias("_n")).distinct()
+    return df.join(seen, digest == F.col("_n"), "left_anti")
 
 
 def proportional_sample(pool: DataFrame, train: DataFrame, n: int, name: str, label: str, ord: str, seed: str) -> DataFrame:

@@ -1,5 +1,5 @@
 """Importing this module registers every query."""
 
-from . import parsing_queries
+from . import compare_queries, parsing_queries
 
-__all__ = ["parsing_queries"]
+__all__ = ["compare_queries", "parsing_queries"]
