@@ -327,9 +327,11 @@ def tag_vocab(texts: DataFrame, vocab: DataFrame, priority: DataFrame, on: str =
     remaining value. Where a sequential pass would let a key fall back to a value that a
     better key gave up, the two can differ."""
     names = (
-        vocab.join(priority, "key")
+        vocab.filter(F.length("value") > 1)
+        .groupBy("key", "value")
+        .agg(F.min("ord").alias("ord"))
+        .join(priority, "key")
         .select("key", "value", "ord", F.col("rank").alias("key_rank"), F.lower(F.trim("value")).alias("name"))
-        .filter(F.length("value") > 1)
         .filter(F.length("name") > 0)
     )
     hits = dictionary_hits(texts, names, F.lower(F.col(text)), on)
