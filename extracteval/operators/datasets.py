@@ -17,6 +17,7 @@ from ..functions import lexicon as L
 from ..functions.hashing import hash_int, hash_rank
 from ..functions.normalize import strip
 from ..functions.parsing import parse_isq_pipe
+from ..functions.tables import small_table
 from .align import keep_first
 
 
@@ -133,7 +134,7 @@ def attr_rank(parts: DataFrame, weights: Mapping[str, int] = L.IMPORTANCE, on: s
     from pyspark.sql import Window as W
 
     spark = parts.sparkSession
-    table = spark.createDataFrame(list(weights.items()), "key string, weight int")
+    table = small_table(spark, weights.items(), "key string, weight int")
     weight = F.coalesce("weight", F.lit(L.DEFAULT_IMPORTANCE)) + F.when(F.col("value").rlike(r"\d"), L.DIGIT_BONUS).otherwise(0)
     return (
         parts.join(table, "key", "left")
@@ -379,4 +380,4 @@ def tiered_benchmark(pools: DataFrame, seed: str, tiers: Mapping[str, tuple[int,
 
 
 def translation_table(spark: SparkSession, terms: Mapping[str, str] = L.TRANSLATIONS) -> DataFrame:
-    return spark.createDataFrame(list(terms.items()), "term string, translation string")
+    return small_table(spark, terms.items(), "term string, translation string")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normalize import norm_key, norm_value, squeeze
+from ..functions.tables import small_table
 from .align import keep_last, tidy
 from .compare import both_sides
 
@@ -66,8 +67,8 @@ def rate_buckets(counts: DataFrame, matched: str = "matched_keys", total: Column
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    classes = counts.sparkSession.createDataFrame(
-        RATE_BUCKETS, "bucket int, label string, low double, high double"
+    classes = small_table(
+        counts.sparkSession, RATE_BUCKETS, "bucket int, label string, low double, high double"
     )
     return classes.join(found, "bucket", "left").select(
         "bucket", "label", "low", "high", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")

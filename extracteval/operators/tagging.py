@@ -13,6 +13,7 @@ Tag relations are ``(qid, facet, value, ord)``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,21 +22,23 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.normalize import clean_query, squeeze
+from ..functions.tables import broadcast_if, small_table
 from ..schemas import PREDICTION
 
 _PREFIX = 4
+_BLOCK = 256
 
 
 def dictionary(spark: SparkSession, entries: Mapping[str, str] | Iterable[tuple], facet: str = "brand") -> DataFrame:
     """A small fixed dictionary as a table ``(facet, name, canonical, rank)``."""
     items = entries.items() if isinstance(entries, Mapping) else entries
     rows = [(facet, n, c, i) for i, (n, c) in enumerate(items)]
-    return spark.createDataFrame(rows, "facet string, name string, canonical string, rank int")
+    return small_table(spark, rows, "facet string, name string, canonical string, rank int")
 
 
 def facet_dictionary(spark: SparkSession, facets: Mapping[str, Mapping[str, str]] = L.KEYWORD_FACETS) -> DataFrame:
     rows = [(f, n, c, i) for f, words in facets.items() for i, (n, c) in enumerate(words.items())]
-    return spark.createDataFrame(rows, "facet string, name string, canonical string, rank int")
+    return small_table(spark, rows, "facet string, name string, canonical string, rank int")
 
 
 def dictionary_hits(texts: DataFrame, names: DataFrame, text: Column, on: str = "qid") -> DataFrame:
@@ -45,42 +48,52 @@ def dictionary_hits(texts: DataFrame, names: DataFrame, text: Column, on: str =
     One aggregation over the dictionary fetches its shortest and longest name length; all
     else is lazy. Names of four characters or more are found through a four-character
     prefix, shorter ones through their own length."""
-    low, high = names.agg(F.min(F.length("name")), F.max(F.length("name"))).first()
+    low, high, rows, chars = names.agg(
+        F.min(F.length("name")), F.max(F.length("name")), F.count(F.lit(1)), F.sum(F.length("name") + F.length("canonical" if "canonical" in names.columns else "name"))
+    ).first()
     if high is None:
-        low, high = 1, 1
-    short = [n for n in range(max(low, 1), _PREFIX)]
-    window = F.col("_w")
-    keys = [F.substring(window["win"], 1, n) for n in [*short, _PREFIX]]
-    length = F.length("_t")
-    windows = (
+        low, high, chars = 1, 1, 0
+    sizes = [*range(max(low, 1), _PREFIX), _PREFIX]
+    start = F.col("_b") * _BLOCK
+    # positions are taken block by block: finding a character inside a block is cheap, and
+    # a block reaches far enough into the next one for the longest name and its neighbours
+    blocks = (
         texts.select(on, text.alias("_t"))
-        .filter(length > 0)
+        .filter(F.length("_t") > 0)
+        .select(on, "_t", F.explode(F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / _BLOCK).cast("int"))).alias("_b"))
+        .select(
+            on,
+            (F.col("_b") == 0).alias("_first"),
+            F.least(F.lit(_BLOCK), F.length("_t") - start).alias("_n"),
+            # one character of context on the left, a blank stand-in at the text start
+            F.when(F.col("_b") == 0, F.concat(F.lit(" "), F.substring("_t", F.lit(1), F.lit(_BLOCK + high + 2))))
+            .otherwise(F.substring("_t", start, F.lit(1 + _BLOCK + high + 2)))
+            .alias("_x"),
+        )
+    )
+    at = F.col("_p")
+    windows = (
+        blocks.select(on, "_first", "_x", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_p"))
         .select(
             on,
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), length),
-                    lambda p: F.struct(
-                        (p == 1).alias("at_start"),
-                        F.when(p > 1, F.substring("_t", p - 1, 1)).otherwise("").alias("before"),
-                        F.substring("_t", p, F.lit(high + 2)).alias("win"),
-                    ),
-                )
-            ).alias("_w"),
+            (F.col("_first") & (at == 1)).alias("at_start"),
+            F.substring("_x", at, F.lit(1)).alias("before"),
+            F.substring("_x", at + 1, F.lit(high + 2)).alias("_w"),
         )
-        .select(on, "_w", F.explode(F.array_distinct(F.array(*keys))).alias("_k"))
+        # a window too short for a prefix length leaves that key null, which joins nothing
+        .select("*", F.explode(F.array(*[F.when(F.length("_w") >= n, F.substring("_w", 1, n)) for n in sizes])).alias("_k"))
     )
-    keyed = names.withColumn("_k", F.substring("name", 1, _PREFIX))
+    keyed = broadcast_if(names.withColumn("_k", F.substring("name", 1, _PREFIX)), rows, chars)
     size = F.length("name")
     return (
         windows.join(keyed, "_k")
-        .filter(window["win"].startswith(F.col("name")))
+        .filter(F.col("_w").startswith(F.col("name")))
         .select(
             on,
             *names.columns,
-            window["at_start"].alias("at_start"),
-            window["before"].alias("before"),
-            F.substring(window["win"], size + 1, F.lit(2)).alias("after"),
+            "at_start",
+            F.when(F.col("at_start"), "").otherwise(F.col("before")).alias("before"),
+            F.substring("_w", size + 1, F.lit(2)).alias("after"),
         )
     )
 
@@ -234,28 +247,27 @@ def tag_first_of(texts: DataFrame, rules: Mapping[str, Sequence[tuple[str, str]]
     return _explode_tags(base, on, [_one(f, first_of(F.col("_q"), r)) for f, r in rules.items()])
 
 
-def keyword_rules(labels: Mapping[str, Sequence[str]]) -> dict[str, str]:
-    """Keyword lists to one literal alternation per label."""
-    import re
+def occurs(q: Column, rule: str | Sequence[str]) -> Column:
+    """Whether a pattern (a string) or one of several keywords (a list) occurs in the text.
+    A keyword that contains another one of its list adds nothing and is not searched for."""
+    if isinstance(rule, str):
+        return q.rlike(rule)
+    needed = [w for w in rule if not any(o != w and o in w for o in rule)]
+    return reduce(lambda a, b: a | b, [q.contains(w) for w in needed])
+
 
-    return {label: "|".join(re.escape(w) for w in words) for label, words in labels.items()}
+def _labels(q: Column, labels: Mapping[str, str | Sequence[str]]) -> Column:
+    return F.array_compact(F.array(*[F.when(occurs(q, rule), F.lit(v)) for v, rule in labels.items()]))
 
 
-MULTI_LABEL = {
-    "application": keyword_rules(L.APPLICATIONS),
-    "material": L.MATERIALS,
-    "product_category": L.CATEGORIES,
-}
+MULTI_LABEL = {"application": L.APPLICATIONS, "material": L.MATERIALS, "product_category": L.CATEGORIES}
 
 
-def tag_multi(texts: DataFrame, facets: Mapping[str, Mapping[str, str]] = MULTI_LABEL, on: str = "qid", text: str = "query") -> DataFrame:
-    """Every label of every facet whose pattern occurs in the text, in table order."""
+def tag_multi(texts: DataFrame, facets: Mapping[str, Mapping[str, str | Sequence[str]]] = MULTI_LABEL, on: str = "qid", text: str = "query") -> DataFrame:
+    """Every label of every facet whose pattern or keyword occurs in the text, in table
+    order."""
     base = texts.select(on, F.lower(F.col(text)).alias("_q"))
-    tags = [
-        _many(f, F.array_compact(F.array(*[F.when(F.col("_q").rlike(p), F.lit(v)) for v, p in labels.items()])))
-        for f, labels in facets.items()
-    ]
-    return _explode_tags(base, on, tags)
+    return _explode_tags(base, on, [_many(f, _labels(F.col("_q"), labels)) for f, labels in facets.items()])
 
 
 def tag_motor_types(texts: DataFrame, on: str = "qid", text: str = "query") -> DataFrame:
@@ -263,8 +275,7 @@ def tag_motor_types(texts: DataFrame, on: str = "qid", text: str = "query") -> D
     # letters of every script stay: the patterns include Devanagari spellings
     q = squeeze(F.regexp_replace(F.lower(F.col(text)), r"(?U)[^\p{L}\p{M}\p{N}\s.&]", " "))
     base = texts.select(on, q.alias("_q"))
-    rules = keyword_rules(L.MOTOR_TYPES)
-    found = F.array_compact(F.array(*[F.when(F.col("_q").rlike(p), F.lit(v)) for v, p in rules.items()]))
+    found = _labels(F.col("_q"), L.MOTOR_TYPES)
     plain = F.when(F.col("_q").rlike(L.ANY_MOTOR), F.array(F.lit("motor")))
     return _explode_tags(base, on, [_many("motor_type", F.when(F.size(found) > 0, found).otherwise(F.coalesce(plain, found)))])
 
@@ -303,7 +314,8 @@ def assemble(tags: DataFrame, facet_keys: Mapping[str, Sequence[str]] = L.FACET_
     priorities, and every value is listed under all keys of its facet. Facets without an
     entry are dropped. The window sees the tags of one text."""
     spark = tags.sparkSession
-    order = spark.createDataFrame(
+    order = small_table(
+        spark,
         [(f, i, list(ks)) for i, (f, ks) in enumerate(facet_keys.items())],
         "facet string, facet_ord int, keys array<string>",
     )

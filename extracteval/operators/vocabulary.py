@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions.tables import small_table
 
 
 def synonym_table(spark: SparkSession, synonyms: Mapping[str, Sequence[str]] = L.KEY_SYNONYMS, folded: Mapping[str, str] | None = None) -> DataFrame:
@@ -18,7 +19,7 @@ def synonym_table(spark: SparkSession, synonyms: Mapping[str, Sequence[str]] = L
     rows = [
         (v, folded.get(c, c), i) for i, (c, vs) in enumerate(synonyms.items()) for v in vs
     ]
-    return spark.createDataFrame(rows, "variant string, canonical string, rank int")
+    return small_table(spark, rows, "variant string, canonical string, rank int")
 
 
 def in_vocab(vocab: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexicon as L
 from ..functions.parsing import parse_nested
+from ..functions.tables import small_table
 from ..operators import compare, datasets, ledger, tagging, vocabulary
 from ..operators.reshape import nest
 from ..session import scratch_path
@@ -240,7 +241,7 @@ _PRIO = [("brand", 1), ("manufacturer", 2), ("product-type", 3), ("size", 4), ("
         SELECT qid, key, key_rank, arg_min(value, ord) AS value FROM o GROUP BY qid, key, key_rank""",
 )
 def _(spark, d):
-    prio = spark.createDataFrame(_PRIO, "key string, rank int")
+    prio = small_table(spark, _PRIO, "key string, rank int")
     return tagging.tag_vocab(fx.queries(spark, d), fx.vocab(spark, d), prio)
 
 
@@ -276,7 +277,7 @@ _CLUSTERS = [("product-type", "item"), ("brand", "brand"), ("manufacturer", "bra
         WHERE lower(trim(v.value)) NOT IN {in_list(L.NOISE_VALUES)} AND length(v.value) BETWEEN 1 AND 40 AND NOT (c.cluster = 'power_source' AND regexp_matches(v.value, '^[0-9]'))""",
 )
 def _(spark, d):
-    return vocabulary.value_pools(fx.vocab(spark, d), spark.createDataFrame(_CLUSTERS, "key string, cluster string"))
+    return vocabulary.value_pools(fx.vocab(spark, d), small_table(spark, _CLUSTERS, "key string, cluster string"))
 
 
 _POOLS6 = "(SELECT key, value FROM fx_pools WHERE key <> 'segment')"
@@ -368,7 +369,7 @@ def _(spark, d):
     ranked = fx.gt(spark, d).filter("key_priority = 1").select(
         F.col("qid").alias("id"), F.col("attribute_key").alias("key"), "value", "attribute_priority"
     )
-    return datasets.fan_out(ranked, spark.createDataFrame(_SYN, "key string, attribute_key string, key_priority int"))
+    return datasets.fan_out(ranked, small_table(spark, _SYN, "key string, attribute_key string, key_priority int"))
 
 
 @query(
@@ -505,9 +506,9 @@ def _typo_sql() -> str:
         out = f"""SELECT p_partkey, CASE WHEN {i} < n AND instr(x, r) > 0 THEN substr(x, 1, instr(x, r) - 1) || w || substr(x, instr(x, r) + length(r)) ELSE x END AS x, text, n
             FROM (SELECT *, {right}[{no}] AS r, {wrong}[{no}] AS w FROM ({out}) s{i}) u{i}"""
     at = f"CAST({h32('t13:join', 'p_partkey')} % greatest(len(ws) - 1, 1) AS INTEGER)"
-    joined = "array_to_string(list_concat(list_concat(ws[1:at], [ws[at + 1] || ws[at + 2]]), list_slice(ws, at + 3, len(ws))), ' ')"
+    joined = "array_to_string(list_concat(list_concat(ws[1:jp], [ws[jp + 1] || ws[jp + 2]]), list_slice(ws, jp + 3, len(ws))), ' ')"
     return f"""SELECT p_partkey, text, CASE WHEN {h32('t13:coin', 'p_partkey')} % 2 = 0 AND len(ws) > 2 THEN {joined} ELSE x END AS noisy FROM
-        (SELECT *, {at} AS at FROM (SELECT *, string_split(x, ' ') AS ws FROM ({out}) z) y) v"""
+        (SELECT *, {at} AS jp FROM (SELECT *, string_split(x, ' ') AS ws FROM ({out}) z) y) v"""
 
 
 @query("t13_inject_typos", _typo_sql())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.normalize import norm_key
 
+from ..functions.tables import small_table
 from ..operators import align, audit, compare, datasets, labels, ledger, metrics, reshape, topk, vocabulary
 from . import fixtures as fx
 from .parsing_queries import CLASSED, ROLLUP, canonical_sql, classed
@@ -206,7 +207,7 @@ def _(spark, d):
          ON o.key = v.key AND o.target IN (SELECT key FROM known) LEFT JOIN known k ON k.key = v.key WHERE coalesce(o.target, k.key) IS NOT NULL""",
 )
 def _(spark, d):
-    overrides = spark.createDataFrame([("finish", "type"), ("manufacturer", "brand"), ("size", "nowhere")], "key string, target string")
+    overrides = small_table(spark, [("finish", "type"), ("manufacturer", "brand"), ("size", "nowhere")], "key string, target string")
     return vocabulary.map_keys(fx.vocab(spark, d), fx.gt(spark, d).select(F.col("attribute_key").alias("key")), overrides)
 
 
@@ -676,7 +677,7 @@ REQUIRED = ["0_train_log.csv", "1_Summary.md", "7_inference.py", "no_such.txt",
     f"SELECT r.file_name, r.file_name IN (SELECT file_name FROM {CLASSED} c) AS found FROM {values([(n,) for n in REQUIRED], 'file_name')} r",
 )
 def _(spark, d):
-    required = spark.createDataFrame([(n,) for n in REQUIRED], "file_name string")
+    required = small_table(spark, [(n,) for n in REQUIRED], "file_name string")
     return audit.anchor_check(required, classed(spark, d))
 
 

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # --------------------------------------------------------------------------- SQL texts
 
 _ATTR = "SELECT p_partkey AS qid, {pos} AS pos, {key} AS attribute_key, {value} AS value, {kp} AS key_priority, {ap} AS attribute_priority FROM part{where}"
@@ -285,7 +287,8 @@ def specs(spark: SparkSession, d: str) -> DataFrame:
     query = cells[-1]
     for i, c in reversed(list(enumerate(cells[:-1]))):
         query = F.when(F.col("o_orderkey") % 8 == i, c).otherwise(query)
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), query.alias("query"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return spread(orders).select(F.col("o_orderkey").alias("qid"), query.alias("query"))
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "extracteval", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,3 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one run below the shared folder; nothing is ever reused or deleted."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with far fewer partitions than there are cores one partition per core.
+
+    Pattern matching costs much more than reading, and a small table in one row group would
+    do it all in one task. Looks at the number of splits only; a scan that already has
+    enough of them is returned as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
