@@ -35,24 +35,22 @@ def hash_rank(
     of rows in earlier slices. ``key`` must be unique within the group.
     """
     by = list(by)
-    sliced = df.withColumn("_hash", hash_hex(seed, F.col(key))).withColumn(
-        "_slice", F.substring("_hash", 1, prefix)
-    )
-    counts = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    # the slice key is one struct: it groups, partitions and joins alike (null labels
+    # included), so the ranked rows meet their shifts without moving again
+    cell = F.struct(*[F.col(b).alias(f"by{i}") for i, b in enumerate(by)], F.substring("_hash", 1, prefix).alias("slice"))
+    sliced = df.withColumn("_hash", hash_hex(seed, F.col(key))).withColumn("_cell", cell)
+    counts = sliced.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     # at most 16**prefix rows per group reach this window
-    earlier = W.partitionBy(*(by or [F.lit(0)])).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    shifts = counts.select(
-        *[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)],
-        F.col("_slice").alias("_shift_slice"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"),
+    earlier = (
+        W.partitionBy(*([F.col(f"_cell.by{i}") for i in range(len(by))] or [F.lit(0)]))
+        .orderBy("_cell.slice")
+        .rowsBetween(W.unboundedPreceding, -1)
     )
-    cond = F.col("_slice") == F.col("_shift_slice")
-    for i, b in enumerate(by):
-        cond = cond & F.col(b).eqNullSafe(F.col(f"_by_{i}"))
-    within = W.partitionBy(*by, "_slice").orderBy("_hash", key)
+    shifts = counts.select("_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    within = W.partitionBy("_cell").orderBy("_hash", key)
     return (
         sliced.withColumn("_local", F.row_number().over(within))
-        .join(shifts, cond)
+        .join(shifts, "_cell")
         .withColumn(out, (F.col("_local") + F.col("_shift")).cast("bigint"))
-        .drop("_hash", "_slice", "_local", "_shift", "_shift_slice", *[f"_by_{i}" for i in range(len(by))])
+        .select(*df.columns, out)
     )

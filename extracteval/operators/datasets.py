@@ -18,6 +18,7 @@ from ..functions.hashing import hash_int, hash_rank
 from ..functions.normalize import strip
 from ..functions.parsing import parse_isq_pipe
 from ..functions.tables import small_table
+from ..session import materialise
 from .align import keep_first
 
 
@@ -40,21 +41,28 @@ def _next_prime(n: int) -> int:
     return n
 
 
-def synthesize(pools: DataFrame, n: int, fewest: int, most: int, seed: str) -> DataFrame:
-    """``n`` records ``(id, pos, key, value)``: a drawn number of distinct keys, each with
-    one drawn value. ``pools`` is ``(key, value)`` without duplicates.
-
-    Keys are drawn without replacement inside the record's row: start and step modulo a
-    prime walk through the key numbers without repeating one, so no record meets all keys.
-    Values are numbered by hash rank within their key and looked up by number: two
-    equi-joins on evenly spread keys, however uneven the pools.
-    """
+def number_pools(pools: DataFrame, seed: str) -> tuple[DataFrame, DataFrame, int]:
+    """Number the keys, and the values of each key, by hash rank: key table, value table and
+    key count (one number, fetched for the modulus of the draws)."""
     keys = pools.groupBy("key").agg(F.count(F.lit(1)).alias("n_values"))
-    n_keys = keys.count()  # one number, needed for the modulus
-    prime = _next_prime(n_keys)
     numbered = hash_rank(keys, "key", f"{seed}:keys").select(
         (F.col("hash_rank") - 1).alias("key_no"), "key", "n_values"
     )
+    values = hash_rank(pools, "value", f"{seed}:pool", by=["key"]).select(
+        "key", F.col("hash_rank").alias("value_no"), "value"
+    )
+    return numbered, values, keys.count()
+
+
+def draw_records(numbered: tuple[DataFrame, DataFrame, int], n: int, fewest: int, most: int, seed: str) -> DataFrame:
+    """``n`` records ``(id, pos, key, value)`` drawn from numbered pools.
+
+    Keys are drawn without replacement inside the record's row: start and step modulo a
+    prime walk through the key numbers without repeating one, so no record meets all keys.
+    Values are looked up by number: two equi-joins on evenly spread keys, however uneven
+    the pools."""
+    keys, values, n_keys = numbered
+    prime = _next_prime(n_keys)
     id_ = F.col("id")
     m = F.least(F.lit(fewest) + F.pmod(hash_int(f"{seed}:m", id_), F.lit(most - fewest + 1)), F.lit(n_keys))
     start = F.pmod(hash_int(f"{seed}:start", id_), F.lit(prime))
@@ -66,17 +74,20 @@ def synthesize(pools: DataFrame, n: int, fewest: int, most: int, seed: str) -> D
         ),
         lambda x: x < n_keys,
     )
-    spark = pools.sparkSession
+    spark = keys.sparkSession
     drawn = spark.range(n).select("id", F.posexplode(F.slice(walk, F.lit(1), m.cast("int"))).alias("pos", "key_no"))
-    keyed = drawn.join(numbered, "key_no").withColumn(
+    keyed = drawn.join(keys, "key_no").withColumn(
         "value_no", F.pmod(hash_int(f"{seed}:value", id_, F.col("key")), F.col("n_values")) + 1
     )
-    values = hash_rank(pools, "value", f"{seed}:pool", by=["key"]).select(
-        "key", F.col("hash_rank").alias("value_no"), "value"
-    )
     return keyed.join(values, ["key", "value_no"]).select("id", (F.col("pos") + 1).alias("pos"), "key", "value")
 
 
+def synthesize(pools: DataFrame, n: int, fewest: int, most: int, seed: str) -> DataFrame:
+    """``n`` records with a drawn number of distinct keys and one drawn value each.
+    ``pools`` is ``(key, value)`` without duplicates."""
+    return draw_records(number_pools(pools, seed), n, fewest, most, seed)
+
+
 def records(parts: DataFrame, seed: str) -> DataFrame:
     """Synthetic parts to one row per record: ``attributes`` in drawn order and ``query``,
     the values in a hash-shuffled order."""
@@ -216,7 +227,7 @@ def proportional_sample(pool: DataFrame, train: DataFrame, n: int, name: str, la
     norm = F.lower(strip(F.col(name)))
     named = pool.withColumn("_norm", norm)
     seen = train.select(norm.alias("_norm")).distinct()
-    unseen = keep_first(named.join(seen, "_norm", "left_anti"), "_norm", ord)
+    unseen = materialise(keep_first(named.join(seen, "_norm", "left_anti"), "_norm", ord), "unseen")
     freq = (
         named.join(seen, "_norm", "left_semi").groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_f"))
     )
@@ -228,13 +239,15 @@ def proportional_sample(pool: DataFrame, train: DataFrame, n: int, name: str, la
         .join(freq, "_label", "left")
         .select("_label", F.greatest(one, F.bround(F.coalesce("_f", one) * n / total).cast("bigint")).alias("_a"))
     )
+    shares = materialise(shares, "shares")  # one row per label
     allocated = shares.agg(F.sum("_a").alias("s")).scalar()
     shares = shares.select("_label", F.greatest(one, F.bround(F.col("_a") * (F.lit(float(n)) / allocated)).cast("bigint")).alias("_a"))
-    tiered = (
+    tiered = materialise(
         hash_rank(unseen, "_norm", f"{seed}:label", by=[label])
         .join(shares, F.col(label) == F.col("_label"))
         .withColumn("tier", F.when(F.col("hash_rank") <= F.col("_a"), 0).otherwise(1))
-        .drop("hash_rank", "_label", "_a")
+        .drop("hash_rank", "_label", "_a"),
+        "tiered",
     )
     chosen = tiered.agg(F.count_if(F.col("tier") == 0).alias("c")).scalar()
     place = F.col("hash_rank") + F.when(F.col("tier") == 1, chosen).otherwise(0)
@@ -358,11 +371,14 @@ def translate_terms(phrases: DataFrame, table: DataFrame, on: str = "id") -> Dat
 def tiered_benchmark(pools: DataFrame, seed: str, tiers: Mapping[str, tuple[int, int, int]] = L.TIERS, products: Sequence[str] = L.PRODUCTS) -> DataFrame:
     """Benchmark records per tier with exact labels: a product plus drawn attributes, and a
     query rendered from them."""
+    keys, values, n_keys = number_pools(pools, seed)
+    # all tiers read the same numbered pools
+    numbered = (materialise(keys, "tier-keys"), materialise(values, "tier-values"), n_keys)
     parts = {}
     for tier, (n, low, high) in tiers.items():
         s = f"{seed}:{tier}"
         # tier sizes count the product; a record with no further attribute is just its product
-        drawn = synthesize(pools, n, max(low - 1, 0), high - 1, s)
+        drawn = draw_records(numbered, n, max(low - 1, 0), high - 1, s)
         base = pools.sparkSession.range(n)
         recs = base.join(records(drawn, s), "id", "left").withColumn(
             "attributes", F.coalesce("attributes", F.array().cast("array<struct<pos:int,key:string,value:string>>"))

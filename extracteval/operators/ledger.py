@@ -16,25 +16,48 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 
 
-def running_before(df: DataFrame, by: str, chunk: Column, order: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
-    """Adds, per measure, its sum over the earlier rows of the same ``by`` group.
+def running_before(
+    df: DataFrame,
+    by: str,
+    chunk: Column,
+    order: Sequence[str],
+    measures: Mapping[str, Column],
+    carry: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Adds, per measure, its sum over the earlier rows of the same ``by`` group, and, per
+    ``carry``, its value in the row just before (null in the first).
 
     ``chunk`` must not decrease along ``order``. One row per (group, chunk) goes through
     the outer window, the rows of one chunk through the inner one."""
-    names = list(measures)
-    cut = df.withColumn("_chunk", chunk).withColumns({f"_m_{n}": c for n, c in measures.items()})
-    totals = cut.groupBy(F.col(by).alias("_by"), F.col("_chunk").alias("_c")).agg(
-        *[F.sum(f"_m_{n}").alias(f"_s_{n}") for n in names]
+    names, carry = list(measures), dict(carry or {})
+    cell = F.struct(F.col(by).alias("by"), chunk.alias("chunk"))
+    cut = df.withColumns({"_cell": cell, **{f"_m_{n}": c for n, c in measures.items()}})
+    last = []
+    if carry:
+        cut = cut.withColumn("_row", F.struct(*[c.alias(n) for n, c in carry.items()]))
+        last = [F.max_by("_row", F.struct(*order)).alias("_s_row")]
+    totals = cut.groupBy("_cell").agg(*[F.sum(f"_m_{n}").alias(f"_s_{n}") for n in names], *last)
+    chunks = W.partitionBy("_cell.by").orderBy("_cell.chunk")
+    earlier = chunks.rowsBetween(W.unboundedPreceding, -1)
+    shifts = totals.select(
+        "_cell",
+        *[F.sum(f"_s_{n}").over(earlier).alias(f"_p_{n}") for n in names],
+        *([F.lag("_s_row").over(chunks).alias("_p_row")] if carry else []),
     )
-    earlier = W.partitionBy("_by").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
-    shifts = totals.select("_by", "_c", *[F.sum(f"_s_{n}").over(earlier).alias(f"_p_{n}") for n in names])
-    within = W.partitionBy(by, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    local = cut.withColumns({f"_l_{n}": F.sum(f"_m_{n}").over(within) for n in names})
-    joined = local.join(shifts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_chunk").eqNullSafe(F.col("_c")))
+    rows = W.partitionBy("_cell").orderBy(*order)
+    within = rows.rowsBetween(W.unboundedPreceding, -1)
+    local = cut.withColumns(
+        {
+            **{f"_l_{n}": F.sum(f"_m_{n}").over(within) for n in names},
+            **({"_l_row": F.lag("_row").over(rows)} if carry else {}),
+        }
+    )
+    joined = local.join(shifts, "_cell")
     zero = F.lit(0)
     return joined.select(
         *df.columns,
         *[(F.coalesce(f"_l_{n}", zero) + F.coalesce(f"_p_{n}", zero)).alias(n) for n in names],
+        *[F.coalesce("_l_row", "_p_row")[n].alias(n) for n in carry],
     )
 
 

@@ -190,20 +190,22 @@ def triage_micro(gt: DataFrame, cands: dict[str, DataFrame], on: str = "qid", mo
     parts = []
     for name, cand in cands.items():
         answered = cand.select(on).distinct()
-        verdicts = (
-            triage(gt.join(answered, on, "left_semi"), cand, on, mode)
-            .agg(
-                F.count(F.lit(1)).alias("t"),
-                F.count_if(F.col("verdict") == "TRUE").alias("y"),
-                F.count_if(F.col("verdict") == "FALSE").alias("f"),
-            )
-            .select(F.lit(name).alias("source"), *_micro(F.col("y"), F.col("f"), F.col("t")))
-        )
-        volume = cand.groupBy(on).agg(F.count(F.lit(1)).alias("n")).agg(
-            F.lit(name).alias("source"), F.try_divide(F.sum("n"), F.count("n")).alias("avg_attributes")
-        )
-        parts.append(verdicts.join(volume, "source"))
-    return reduce(DataFrame.unionByName, parts)
+        parts += [
+            triage(gt.join(answered, on, "left_semi"), cand, on, mode).select(
+                F.lit(name).alias("source"), "verdict", F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("q")
+            ),
+            cand.groupBy(on)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.lit(name).alias("source"), F.lit(None).cast("string").alias("verdict"), "n", F.lit(1).alias("q")),
+        ]
+    # verdicts and volumes stacked, so that one aggregation finishes all sources
+    sums = reduce(DataFrame.unionByName, parts).groupBy("source").agg(
+        F.count("verdict").alias("t"),
+        F.count_if(F.col("verdict") == "TRUE").alias("y"),
+        F.count_if(F.col("verdict") == "FALSE").alias("f"),
+        F.try_divide(F.sum("n"), F.sum("q")).alias("avg_attributes"),
+    )
+    return sums.select("source", *_micro(F.col("y"), F.col("f"), F.col("t")), "avg_attributes")
 
 
 def leaderboard(micro: DataFrame) -> DataFrame:
@@ -257,8 +259,8 @@ def macro_metrics(gt: DataFrame, cand: DataFrame, on: str = "qid") -> DataFrame:
             F.count_if(F.col("ig") & F.col("ic")).alias("corpus_common_keys"),
         )
     )
-    # two one-row tables side by side
-    return means.withColumn("_k", F.lit(1)).join(corpus.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    keys = corpus.select(F.struct(*corpus.columns).alias("_c")).scalar()
+    return means.select("*", *[keys[c].alias(c) for c in corpus.columns])
 
 
 # ---------------------------------------------------------------- pairwise across sources

@@ -283,14 +283,15 @@ def _(spark, d):
 _POOLS6 = "(SELECT key, value FROM fx_pools WHERE key <> 'segment')"
 
 
-def synth_sql(seed: str, n: str, fewest: int, most: int, keys: int = 6, prime: int = 7) -> str:
+def synth_sql(seed: str, n: str, fewest: int, most: int, keys: int = 6, prime: int = 7, pool: str = "") -> str:
     """Drawn parts (id, pos, key, value) over the six-key pool."""
+    pool = pool or seed
     return f"""(SELECT d.id, CAST(d.pos AS INTEGER) AS pos, k.key, v.value FROM
         (SELECT id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS key_no FROM (SELECT id, list_filter(list_transform(range(0, m + {prime - keys}), lambda j: (s + j * p) % {prime}), lambda x: x < {keys})[1:m] AS l FROM
           (SELECT id, least({fewest} + {h32(seed + ':m', 'id')} % {most - fewest + 1}, {keys}) AS m, {h32(seed + ':start', 'id')} % {prime} AS s, {h32(seed + ':step', 'id')} % {prime - 1} + 1 AS p
            FROM (SELECT unnest(range(0, {n})) AS id) i) a) b) d
-        JOIN (SELECT key, n, row_number() OVER (ORDER BY {hx(seed + ':keys', 'key')}, key) - 1 AS key_no FROM (SELECT key, count(*) AS n FROM {_POOLS6} p GROUP BY key) c) k ON k.key_no = d.key_no
-        JOIN (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY {hx(seed + ':pool', 'value')}, value) AS value_no FROM {_POOLS6} p) v
+        JOIN (SELECT key, n, row_number() OVER (ORDER BY {hx(pool + ':keys', 'key')}, key) - 1 AS key_no FROM (SELECT key, count(*) AS n FROM {_POOLS6} p GROUP BY key) c) k ON k.key_no = d.key_no
+        JOIN (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY {hx(pool + ':pool', 'value')}, value) AS value_no FROM {_POOLS6} p) v
           ON v.key = k.key AND v.value_no = {h32(seed + ':value', 'd.id', 'k.key')} % k.n + 1)"""
 
 
@@ -542,7 +543,7 @@ def _tier_sql(tier: str) -> str:
     size = f"CAST({n} * {_N_PART} // 1000 AS BIGINT)"
     return f"""SELECT '{tier}' AS tier, i.id, concat_ws(' ', {product_sql(s).replace('CAST(id', 'CAST(i.id')}, r.query) AS query,
         'product=' || {product_sql(s).replace('CAST(id', 'CAST(i.id')} || coalesce(';' || array_to_string(list_transform(r.attributes, lambda e: e.key || '=' || e.value), ';'), '') AS attributes
-        FROM (SELECT unnest(range(0, {size})) AS id) i LEFT JOIN {records_sql(synth_sql(s, size, max(low - 1, 0), high - 1), s)} r ON r.id = i.id"""
+        FROM (SELECT unnest(range(0, {size})) AS id) i LEFT JOIN {records_sql(synth_sql(s, size, max(low - 1, 0), high - 1, pool='t15'), s)} r ON r.id = i.id"""
 
 
 @query("t15_tiered_benchmark", " UNION ALL ".join(_tier_sql(t) for t in L.TIERS))

@@ -60,3 +60,12 @@ def spread(df: DataFrame) -> DataFrame:
     enough of them is returned as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a relation that several steps need as Parquet in the shared folder and go on
+    from the files: the work behind it is done once, survives the loss of executors, and
+    the planner sees its true size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,6 @@ import hashlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.audit import file_name
@@ -63,8 +62,8 @@ def parse_log_lines(lines: DataFrame, line: str = "value", log: str = "log") ->
     """Progress lines of run logs: per batch the rows done, succeeded and failed since the
     line before, the seconds they took, and rows per second. ``lines`` is ``(log, value)``.
 
-    The line before is found by running counts in time chunks rather than by one window
-    over a whole log: cumulative figures of consecutive lines are matched on their number."""
+    The line before is carried from one day's chunk to the next, so no window ever holds a
+    whole log."""
     def number(i: int):
         return F.regexp_extract(line, LOG_PROGRESS, i).cast("bigint")
 
@@ -76,14 +75,13 @@ def parse_log_lines(lines: DataFrame, line: str = "value", log: str = "log") ->
         number(3).alias("success"),
         number(4).alias("failed"),
     )
-    numbered = running_before(found, log, F.date_trunc("day", "ts"), ["ts", "done"], {"batch": F.lit(1).cast("bigint")})
-    prev = numbered.select(
+    numbered = running_before(
+        found,
         log,
-        (F.col("batch") + 1).alias("batch"),
-        F.col("ts").alias("p_ts"),
-        F.col("done").alias("p_done"),
-        F.col("success").alias("p_success"),
-        F.col("failed").alias("p_failed"),
+        F.date_trunc("day", "ts"),
+        ["ts", "done"],
+        {"batch": F.lit(1).cast("bigint")},
+        {f"p_{c}": F.col(c) for c in ("ts", "done", "success", "failed")},
     )
     start = (
         lines.filter(F.col(line).rlike(LOG_TIME))
@@ -93,8 +91,7 @@ def parse_log_lines(lines: DataFrame, line: str = "value", log: str = "log") ->
     seconds = F.unix_timestamp("ts") - F.unix_timestamp(F.coalesce("p_ts", "started"))
     delta = lambda c: (F.col(c) - F.coalesce(F.col(f"p_{c}"), F.lit(0))).alias(f"batch_{c}")
     return (
-        numbered.join(prev, [log, "batch"], "left")
-        .join(start, log)
+        numbered.join(start, log)
         .select(
             log,
             (F.col("batch") + 1).alias("batch"),
