@@ -14,34 +14,78 @@ from ..operators.ledger import running_before
 IN_MEMORY_LIMIT = 256 * 1024 * 1024
 
 
+_FILE = "path string, size_bytes bigint, modified_time timestamp, sha256 string"
+
+
+def _digest(system, inner: str) -> str:
+    """SHA-256 of one file, block by block."""
+    digest = hashlib.sha256()
+    with system.open_input_stream(inner) as stream:
+        while block := stream.read(1 << 20):
+            digest.update(block)
+    return digest.hexdigest()
+
+
 def _stream_hash(batches):
-    """Digest files too large for one cell, block by block, wherever Arrow can open them."""
+    """Digest files too large for one cell, wherever Arrow can open them."""
     from pyarrow import fs
 
     for pdf in batches:
-        out = []
-        for path in pdf["path"]:
-            system, inner = fs.FileSystem.from_uri(path)
-            digest = hashlib.sha256()
-            with system.open_input_stream(inner) as stream:
-                while block := stream.read(1 << 20):
-                    digest.update(block)
-            out.append(digest.hexdigest())
-        yield pd.DataFrame({"path": pdf["path"], "sha256": out})
+        opened = [fs.FileSystem.from_uri(p) for p in pdf["path"]]
+        yield pd.DataFrame({"path": pdf["path"], "sha256": [_digest(s, i) for s, i in opened]})
+
+
+def _skipped_files(base: str, glob: str):
+    """Lister for what Spark's file index leaves out: empty files, and those with a name or
+    folder that starts with a dot or an underscore."""
+
+    def run(batches):
+        from fnmatch import fnmatchcase
+
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(base)
+        for pdf in batches:
+            rows = []
+            for entry in pdf["entry"]:
+                info = system.get_file_info(entry)
+                found = [info] if info.is_file else system.get_file_info(fs.FileSelector(entry, recursive=True))
+                for f in found:
+                    relative = f.path[len(root) :]
+                    hidden = any(part[:1] in (".", "_") for part in relative.split("/"))
+                    if f.is_file and fnmatchcase(f.base_name, glob) and (hidden or f.size == 0):
+                        when = pd.Timestamp(f.mtime).tz_convert("UTC").tz_localize(None)
+                        rows.append((base + relative, f.size, when, _digest(system, f.path)))
+            yield pd.DataFrame(rows, columns=["path", "size_bytes", "modified_time", "sha256"])
+
+    return run
 
 
 def manifest(spark: SparkSession, path: str, glob: str = "*", limit: int = IN_MEMORY_LIMIT) -> DataFrame:
     """``path, file_name, size_bytes, modified_time, sha256`` of every file below a folder.
 
-    Files up to ``limit`` bytes are hashed by the built-in expression; the few larger ones
-    are streamed through a digest, so no task has to hold them. The size split is on the
-    listing, which does not open files."""
+    Files up to ``limit`` bytes are hashed by the built-in expression; larger ones are
+    streamed through a digest, so no task has to hold them (the split is on the listing,
+    which does not open files). Empty and hidden files, which Spark's readers skip, are
+    listed folder by folder by the tasks themselves."""
+    from pyarrow import fs
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    meta = [F.col("path"), file_name(F.col("path")).alias("file_name"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_time")]
+    meta = [F.col("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_time")]
     small = files.filter(F.col("length") <= limit).select(*meta, F.sha2("content", 256).alias("sha256"))
     large = files.filter(F.col("length") > limit).select(*meta)
-    hashed = large.select("path").mapInPandas(_stream_hash, "path string, sha256 string")
-    return small.unionByName(large.join(hashed, "path"))
+    hashed = large.join(large.select("path").mapInPandas(_stream_hash, "path string, sha256 string"), "path")
+
+    base = path.rstrip("/") if "://" in path else "file:" + path.rstrip("/")
+    uri = base if "://" in base else "file://" + base.removeprefix("file:")
+    system, root = fs.FileSystem.from_uri(uri)
+    top = [(f.path,) for f in system.get_file_info(fs.FileSelector(root))]
+    entries = spark.createDataFrame(top, "entry string").repartition(max(1, min(len(top), 200)))
+    skipped = entries.mapInPandas(_skipped_files(uri, glob), _FILE).withColumn(
+        "path", F.concat(F.lit(base), F.substring("path", len(uri) + 1, 1 << 20))
+    )
+    every = small.unionByName(hashed).unionByName(skipped)
+    return every.select("path", file_name(F.col("path")).alias("file_name"), "size_bytes", "modified_time", "sha256")
 
 
 def write_manifest(manifest_df: DataFrame, path: str) -> None:
