@@ -6,25 +6,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# (?U) makes \s cover no-break and other Unicode spaces.
+# The characters that count as white space.
+WHITE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# the same for patterns: (?U) makes \s cover no-break and other Unicode spaces
 SPACES = r"(?U)\s+"
-EDGE_SPACES = r"(?U)^\s+|\s+$"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, EDGE_SPACES, "")
+    return F.btrim(c, F.lit(WHITE))
 
 
-def squeeze(c: Column) -> Column:
-    """Inner runs of white space become one space, outer ones go."""
-    return F.trim(F.regexp_replace(c, SPACES, " "))
+def squeeze(c: Column, also: str = "") -> Column:
+    """Inner runs of white space (and of the characters in ``also``) become one space, outer
+    ones go. Normalising is the inner loop of every comparison, so the pattern only runs
+    where two spaces really meet."""
+    blank = WHITE + also
+    flat = F.translate(c, blank, " " * len(blank))
+    return F.trim(F.when(flat.contains("  "), F.regexp_replace(flat, " +", " ")).otherwise(flat))
 
 
 def norm_key(c: Column, mode: str = "collapse") -> Column:
     if mode == "strict":
         return F.translate(strip(F.lower(c)), "_-", "  ")
     if mode == "collapse":
-        return F.coalesce(squeeze(F.translate(F.lower(c), "_-", "  ")), F.lit(""))
+        return F.coalesce(squeeze(F.lower(c), "_-"), F.lit(""))
     if mode == "snake":
         # translate() drops the characters that have no counterpart: the parentheses
         return F.translate(strip(F.lower(c)), " /()", "__")
@@ -45,25 +53,26 @@ def unquote_value(c: Column) -> Column:
     """Peel matching quote pairs (white space inside each pair goes with it), then loose
     quotes at either end, trailing commas and spare white space; lower-case."""
     text = strip(F.coalesce(c, F.lit("")))
-    # No more layers can be peeled than there are leading quotes, so the loop is short
-    # and the common unquoted value never enters it.
-    depth = F.length(F.regexp_replace(F.regexp_extract(text, r"""(?U)^["'\s]*""", 0), r"(?U)\s", ""))
+    # No more layers can be peeled than there are leading quotes, so the loop is short.
+    lead = F.regexp_extract(text, r"""(?U)^["'\s]*""", 0)
+    depth = F.length(lead) - F.length(F.translate(lead, "\"'", ""))
     peeled = F.aggregate(
         F.sequence(F.lit(1), depth),
         text,
         lambda acc, _: F.regexp_replace(acc, r"""(?sU)^(["'])\s*(.*?)\s*\1$""", "$2"),
     )
-    text = F.when(depth > 0, peeled).otherwise(text)
-    text = F.regexp_replace(text, r"""^["']+|["']+$""", "")
-    text = strip(F.regexp_replace(strip(text), ",+$", ""))
-    return F.regexp_replace(F.lower(text), SPACES, " ")
+    inner = F.btrim(F.when(depth > 0, peeled).otherwise(text), F.lit("\"'"))
+    inner = F.regexp_replace(F.lower(strip(F.rtrim(strip(inner), F.lit(",")))), SPACES, " ")
+    # values without quotes or commas, nearly all of them, take the short way
+    special = text.contains('"') | text.contains("'") | text.contains(",")
+    return F.when(special, inner).otherwise(squeeze(F.lower(text)))
 
 
 def clean_query(c: Column) -> Column:
     """Percent-decode, plus signs to spaces, squeeze. Percent signs that do not start an
     escape are kept as they are, so a malformed cell is never lost."""
     safe = F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25")
-    return squeeze(F.translate(F.coalesce(F.try_url_decode(safe), c), "+", " "))
+    return squeeze(F.coalesce(F.try_url_decode(safe), c), "+")
 
 
 def fix_backslashes(c: Column) -> Column:

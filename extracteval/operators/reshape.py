@@ -62,18 +62,30 @@ def format_groups(attrs: DataFrame, on: str = "qid") -> DataFrame:
 
 def widen(attrs: DataFrame, n: int = 9, on: str = "qid") -> DataFrame:
     """Long to wide: attributes sorted by key into ``attr_key_i``/``attr_value_i``, padded
-    with '' up to ``n``; ``overflow`` says how many did not fit."""
-    sorted_ = attrs.groupBy(on).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("attribute_key").alias("k"), "pos", F.col("value").alias("v")))).alias("_a")
+    with '' up to ``n``; ``overflow`` says how many did not fit.
+
+    Only the first ``n`` attributes of a query are placed, and Spark applies that limit
+    before the shuffle; the others are counted by a plain aggregation. Nothing is gathered
+    into a list, so a query with any number of attributes is fine."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy(on).orderBy("attribute_key", "pos"))
+    placed = attrs.select(on, "attribute_key", "value", "pos").withColumn("_i", place).filter(F.col("_i") <= n)
+    sizes = attrs.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    none = F.lit(None)
+    both = placed.select(on, "_i", "attribute_key", "value", none.cast("bigint").alias("_n")).unionByName(
+        sizes.select(
+            on, none.cast("int").alias("_i"), none.cast("string").alias("attribute_key"), none.cast("string").alias("value"), "_n"
+        )
     )
     cols = []
-    for i in range(n):
-        e = F.get("_a", F.lit(i))
+    for i in range(1, n + 1):
+        here = F.col("_i") == i
         cols += [
-            F.coalesce(e["k"], F.lit("")).alias(f"attr_key_{i + 1}"),
-            F.coalesce(e["v"], F.lit("")).alias(f"attr_value_{i + 1}"),
+            F.coalesce(F.max(F.when(here, F.col("attribute_key"))), F.lit("")).alias(f"attr_key_{i}"),
+            F.coalesce(F.max(F.when(here, F.col("value"))), F.lit("")).alias(f"attr_value_{i}"),
         ]
-    return sorted_.select(on, *cols, F.greatest(F.size("_a") - n, F.lit(0)).cast("bigint").alias("overflow"))
+    return both.groupBy(on).agg(*cols, F.greatest(F.max("_n") - n, F.lit(0)).cast("bigint").alias("overflow"))
 
 
 def widen_auto(attrs: DataFrame, on: str = "qid") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.tables import small_table
+from ..session import materialise
 
 
 def synonym_table(spark: SparkSession, synonyms: Mapping[str, Sequence[str]] = L.KEY_SYNONYMS, folded: Mapping[str, str] | None = None) -> DataFrame:
@@ -22,14 +23,21 @@ def synonym_table(spark: SparkSession, synonyms: Mapping[str, Sequence[str]] = L
     return small_table(spark, rows, "variant string, canonical string, rank int")
 
 
+def key_table(df: DataFrame, *cols: Column | str) -> DataFrame:
+    """Distinct keys, written once. Joins against them then start from a known size: small
+    key sets are broadcast, so that a key with a third of all rows needs no shuffle, and
+    large ones are shuffled with skew handling."""
+    return materialise(df.select(*cols).distinct(), "keys")
+
+
 def in_vocab(vocab: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
-    return vocab.join(keys.select(key).distinct(), key, "left_semi")
+    return vocab.join(key_table(keys, key), key, "left_semi")
 
 
 def map_keys(vocab: DataFrame, known: DataFrame, overrides: DataFrame, key: str = "key") -> DataFrame:
     """``mapped_key``: the override if its target is known, else the key itself if known;
     rows with neither are dropped. ``known`` is ``(key)``, ``overrides`` ``(key, target)``."""
-    known = known.select(F.col(key).alias("_known")).distinct()
+    known = key_table(known, F.col(key).alias("_known"))
     valid = overrides.join(known, F.col("target") == F.col("_known"), "left_semi").select(
         F.col(key).alias("_from"), "target"
     )
@@ -131,7 +139,7 @@ def vocab_coverage(attrs: DataFrame, known: DataFrame, on: str = "qid", key: str
     known, and both shares."""
     flagged = (
         attrs.select(on, F.col(key).alias("_key"))
-        .join(known.select(F.col("key").alias("_key"), F.lit(True).alias("_ok")).distinct(), "_key", "left")
+        .join(key_table(known, F.col("key").alias("_key"), F.lit(True).alias("_ok")), "_key", "left")
         .select(on, "_key", F.coalesce("_ok", F.lit(False)).alias("ok"))
     )
     by_key = flagged.groupBy("_key").agg(F.bool_and("ok").alias("ok")).agg(
