@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from extracteval.functions.hashing import hash_rank
@@ -16,7 +17,7 @@ def random_attrs(rng, n, hot=0.4):
     rows = []
     for _ in range(n):
         qid = 0 if rng.random() < hot else rng.randrange(1, 30)
-        rows.append((qid, rng.choice(["Key_a", "key-a", "b", "c", ""]), rng.choice(["1", "2 x", "X  y", "x y", ""]), rng.randrange(1, 3), rng.randrange(1, 3)))
+        rows.append((qid, rng.choice(["Key_a", "key-a", "b", "c", ""]), rng.choice(["1", "2 x", "X  y", "x y", "", "12", "z 1 2", "z", "2 1", "yy"]), rng.randrange(1, 3), rng.randrange(1, 3)))
     return rows
 
 
@@ -28,8 +29,9 @@ def nv(s):
     return " ".join(s.lower().strip().split())
 
 
-def test_sets_and_priorities(attrs):
-    rng = random.Random(1)
+@pytest.mark.parametrize("pool_limit", [0, 10, 500])
+def test_sets_and_priorities(attrs, pool_limit):
+    rng = random.Random(pool_limit)
     g, c = random_attrs(rng, 300), random_attrs(rng, 300)
     gt, cand = attrs(g), attrs(c)
     by = lambda rows: {q: [r for r in rows if r[0] == q] for q in {r[0] for r in rows}}
@@ -37,7 +39,7 @@ def test_sets_and_priorities(attrs):
     got = {r["qid"]: r for r in compare.set_counts(compare.term_flags(gt, cand)).collect()}
     pairs = {r["qid"]: r for r in compare.priority_counts(gt, cand).collect()}
     fuzzy = defaultdict(list)
-    for r in compare.fuzzy_flags(gt, cand).orderBy("qid", "pos").collect():
+    for r in compare.fuzzy_flags(gt, cand, pool_limit=pool_limit).orderBy("qid", "pos").collect():
         fuzzy[r["qid"]].append(r["value_matched"])
     for q in set(gq) | set(cq):
         a, b = gq.get(q, []), cq.get(q, [])
