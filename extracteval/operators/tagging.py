@@ -59,8 +59,14 @@ def dictionary_hits(texts: DataFrame, names: DataFrame, text: Column, on: str =
     # a block reaches far enough into the next one for the longest name and its neighbours
     blocks = (
         texts.select(on, text.alias("_t"))
-        .filter(F.length("_t") > 0)
-        .select(on, "_t", F.explode(F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / _BLOCK).cast("int"))).alias("_b"))
+        .select(
+            on,
+            "_t",
+            # an empty text has no block
+            F.explode(
+                F.when(F.length("_t") > 0, F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / _BLOCK).cast("int")))
+            ).alias("_b"),
+        )
         .select(
             on,
             (F.col("_b") == 0).alias("_first"),

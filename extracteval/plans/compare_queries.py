@@ -160,10 +160,10 @@ def _nums(x: str) -> str:
     return rf"list_sort(list_distinct(regexp_extract_all({x}, '\d+\.?\d*')))"
 
 
-def fuzzy_sql(cand: str) -> str:
+def fuzzy_sql(cand: str, gt: str = "fx_gt") -> str:
     g, c = nv("g.value"), nv("c.value")
     return f"""(SELECT g.qid, g.pos, g.attribute_key, EXISTS (SELECT 1 FROM {cand} c WHERE c.qid = g.qid AND {g} <> '' AND {c} <> '' AND
-        (contains({g}, {c}) OR contains({c}, {g}) OR (len({_nums(g)}) > 0 AND {_nums(g)} = {_nums(c)}))) AS value_matched FROM fx_gt g)"""
+        (contains({g}, {c}) OR contains({c}, {g}) OR (len({_nums(g)}) > 0 AND {_nums(g)} = {_nums(c)}))) AS value_matched FROM {gt} g)"""
 
 
 @query("j10_fuzzy_match", f"SELECT qid, pos, value_matched FROM {fuzzy_sql('fx_cand_c')} f")
@@ -171,9 +171,9 @@ def _(spark, d):
     return compare.fuzzy_flags(fx.gt(spark, d), fx.cand_c(spark, d)).select("qid", "pos", "value_matched")
 
 
-def canonical_match_sql(cand: str) -> str:
+def canonical_match_sql(cand: str, gt: str = "fx_gt") -> str:
     return f"""(SELECT g.qid, g.pos, g.canonical_key, EXISTS (SELECT 1 FROM ({canonical_sql(cand)}) c WHERE c.qid = g.qid AND c.canonical_key = g.canonical_key) AS key_matched
-        FROM ({canonical_sql('fx_gt')}) g)"""
+        FROM ({canonical_sql(gt)}) g)"""
 
 
 @query("j11_canonical_match", f"SELECT qid, pos, canonical_key, key_matched FROM {canonical_match_sql('fx_cand_b')} m")
