@@ -12,6 +12,7 @@ Tag relations are ``(qid, facet, value, ord)``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -173,25 +174,44 @@ def tag_multi_dictionary(texts: DataFrame, names: DataFrame, on: str = "qid", te
 
 
 # -------------------------------------------------------------------- row-local pattern tags
+#
+# A family is a function that gives array-valued tag columns over the forms of a text:
+# _raw as it is, _low lower-case, _clean decoded and lower-case, _plain without punctuation.
+# Any number of families is evaluated in one projection over one scan.
 
 
-def _explode_tags(texts: DataFrame, on: str, tags: Sequence[Column]) -> DataFrame:
-    """Array-valued tag columns of one row to tag rows; a projection and a generator."""
+def _forms(texts: DataFrame, on: str, text: str) -> DataFrame:
+    c = F.col(text)
+    # letters of every script stay: the patterns include Devanagari spellings
+    plain = squeeze(F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{M}\p{N}\s.&]", " "))
+    return texts.select(
+        on, c.alias("_raw"), F.lower(c).alias("_low"), F.lower(clean_query(c)).alias("_clean"), plain.alias("_plain")
+    )
+
+
+def tag_rules(texts: DataFrame, families: Sequence[list[Column]], on: str = "qid", text: str = "query") -> DataFrame:
+    """The tags of all families, in one pass: projections and generators, no shuffle.
+
+    The entries are built by expressions without lambdas, so they are compiled; nulls are
+    dropped after the rows are made. (The outer generator keeps the optimiser from testing
+    the array for emptiness first, which would evaluate all patterns twice.)"""
+    entries = F.array(*[c for family in families for c in family])
     return (
-        texts.select(on, F.explode(F.concat(*tags)).alias("_t"))
-        .filter("_t.value is not null and _t.value <> ''")
-        .select(on, "_t.facet", "_t.value", "_t.ord")
+        _forms(texts, on, text)
+        .select(on, entries.alias("_e"))
+        .select(on, F.explode_outer("_e").alias("_e"))
+        .select(on, "_e.facet", "_e.suffix", F.posexplode_outer("_e.values").alias("_i", "_v"))
+        .filter("_v is not null and _v <> ''")
+        .select(on, "facet", F.concat("_v", "suffix").alias("value"), (F.col("_i") + 1).alias("ord"))
     )
 
 
-def _one(facet: str, value: Column, ord: int = 1) -> Column:
-    return F.array(F.struct(F.lit(facet).alias("facet"), value.alias("value"), F.lit(ord).alias("ord")))
+def _many(facet: str, values: Column, suffix: str = "") -> Column:
+    return F.struct(F.lit(facet).alias("facet"), values.alias("values"), F.lit(suffix).alias("suffix"))
 
 
-def _many(facet: str, values: Column) -> Column:
-    return F.transform(
-        values, lambda v, i: F.struct(F.lit(facet).alias("facet"), v.alias("value"), (i + 1).alias("ord"))
-    )
+def _one(facet: str, value: Column) -> Column:
+    return _many(facet, F.array(value))
 
 
 def _hit(q: Column, pattern: str, group: int = 1) -> Column:
@@ -199,10 +219,8 @@ def _hit(q: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(q, pattern, group), F.lit(""))
 
 
-def tag_quantities(texts: DataFrame, rules: Mapping[str, tuple[str, str, str]] = L.QUANTITIES, on: str = "qid", text: str = "query") -> DataFrame:
-    """One value per quantity facet: power in its units, voltage, speed, weight, ..."""
-    base = texts.select(on, F.lower(clean_query(F.col(text))).alias("_q"))
-    q = F.col("_q")
+def quantity_tags(rules: Mapping[str, tuple[str, str, str]] = L.QUANTITIES) -> list[Column]:
+    q = F.col("_clean")
     hp, kw, watt = _hit(q, L.HORSEPOWER), _hit(q, L.KILOWATT), _hit(q, L.WATT)
     # a wattage that also stands before the first "v" is a voltage
     plausible = ~q.contains("v") | ~F.substring_index(q, "v", 1).contains(watt)
@@ -216,103 +234,143 @@ def tag_quantities(texts: DataFrame, rules: Mapping[str, tuple[str, str, str]] =
         _one("ip_rating", F.upper(_hit(q, L.IP_RATING))),
         _one("efficiency", F.upper(_hit(q, L.EFFICIENCY_CLASS))),
     ]
-    tags += [_one(f, F.concat(F.lit(a), _hit(q, p), F.lit(b))) for f, (p, a, b) in rules.items()]
-    return _explode_tags(base, on, tags)
-
+    return tags + [_one(f, F.concat(F.lit(a), _hit(q, p), F.lit(b))) for f, (p, a, b) in rules.items()]
 
-def tag_all_quantities(texts: DataFrame, on: str = "qid", text: str = "query") -> DataFrame:
-    """All distinct voltages and speeds in order of appearance, and the first power in each
-    unit (or the bare unit word)."""
-    base = texts.select(on, F.lower(F.col(text)).alias("_q"))
-    q = F.col("_q")
 
-    def every(pattern: str, suffix: str) -> Column:
-        return F.transform(F.regexp_extract_all(q, F.lit(pattern), 1), lambda v: F.concat(v, F.lit(suffix)))
-
-    volts = F.array_distinct(F.concat(*[every(p, "v") for p in L.ALL_VOLTS]))
+def all_quantity_tags() -> list[Column]:
+    q = F.col("_low")
+    every = lambda p: F.regexp_extract_all(q, F.lit(p), 1)
     word = F.when(q.rlike(L.HORSEPOWER_WORD) & ~q.rlike(L.HORSEPOWER_NUMBER), "horse power")
     watt = F.coalesce(*[_hit(q, p) for p in L.FIRST_WATT])
-    tags = [
+    return [
         _one("power_unit", word),
         _one("power_hp", F.concat(_hit(q, L.FIRST_HP), F.lit(" hp"))),
         _one("power_kw", F.concat(_hit(q, L.FIRST_KW), F.lit(" kw"))),
         _one("power_w", F.concat(watt, F.lit(" w"))),
-        _many("voltage", volts),
-        _many("speed", F.array_distinct(every(L.ALL_SPEEDS, " rpm"))),
+        _many("voltage", F.array_distinct(F.concat(*[every(p) for p in L.ALL_VOLTS])), "v"),
+        _many("speed", F.array_distinct(every(L.ALL_SPEEDS)), " rpm"),
     ]
-    return _explode_tags(base, on, tags)
+
+
+def literals(pattern: str) -> list[str] | None:
+    """One piece of plain text per alternative that any match must contain; None where that
+    is not evident (groups, classes, or an alternative without two plain characters)."""
+    if any(c in pattern for c in "([{"):
+        return None
+    found = []
+    for part in pattern.split("|"):
+        plain = re.match(r"(?:\\b)?([^\\.*+?^$]+)", part)
+        text = plain[1] if plain else ""
+        if plain and part[plain.end() :][:1] in ("*", "?"):
+            text = text[:-1]
+        if len(text) < 2:
+            return None
+        found.append(text)
+    return found
+
+
+def matches(q: Column, pattern: str) -> Column:
+    """``q.rlike(pattern)``, tried only on texts that contain a necessary literal: a plain
+    search costs a fraction of a pattern match, and most patterns miss most texts."""
+    need = literals(pattern)
+    if need is None:
+        return q.rlike(pattern)
+    return reduce(lambda a, b: a | b, [q.contains(t) for t in dict.fromkeys(need)]) & q.rlike(pattern)
 
 
 def first_of(q: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The value of the first rule whose pattern occurs, or null."""
-    return F.coalesce(*[F.when(q.rlike(p), F.lit(v)) for p, v in rules])
+    return F.coalesce(*[F.when(matches(q, p), F.lit(v)) for p, v in rules])
 
 
-def tag_first_of(texts: DataFrame, rules: Mapping[str, Sequence[tuple[str, str]]] = L.FIRST_OF, on: str = "qid", text: str = "query") -> DataFrame:
-    base = texts.select(on, F.lower(F.col(text)).alias("_q"))
-    return _explode_tags(base, on, [_one(f, first_of(F.col("_q"), r)) for f, r in rules.items()])
+def first_of_tags(rules: Mapping[str, Sequence[tuple[str, str]]] = L.FIRST_OF) -> list[Column]:
+    return [_one(f, first_of(F.col("_low"), r)) for f, r in rules.items()]
 
 
 def occurs(q: Column, rule: str | Sequence[str]) -> Column:
     """Whether a pattern (a string) or one of several keywords (a list) occurs in the text.
     A keyword that contains another one of its list adds nothing and is not searched for."""
     if isinstance(rule, str):
-        return q.rlike(rule)
+        return matches(q, rule)
     needed = [w for w in rule if not any(o != w and o in w for o in rule)]
     return reduce(lambda a, b: a | b, [q.contains(w) for w in needed])
 
 
 def _labels(q: Column, labels: Mapping[str, str | Sequence[str]]) -> Column:
-    return F.array_compact(F.array(*[F.when(occurs(q, rule), F.lit(v)) for v, rule in labels.items()]))
+    """The labels that occur, null for the others."""
+    return F.array(*[F.when(occurs(q, rule), F.lit(v)) for v, rule in labels.items()])
 
 
 MULTI_LABEL = {"application": L.APPLICATIONS, "material": L.MATERIALS, "product_category": L.CATEGORIES}
 
 
-def tag_multi(texts: DataFrame, facets: Mapping[str, Mapping[str, str | Sequence[str]]] = MULTI_LABEL, on: str = "qid", text: str = "query") -> DataFrame:
-    """Every label of every facet whose pattern or keyword occurs in the text, in table
-    order."""
-    base = texts.select(on, F.lower(F.col(text)).alias("_q"))
-    return _explode_tags(base, on, [_many(f, _labels(F.col("_q"), labels)) for f, labels in facets.items()])
+def multi_tags(facets: Mapping[str, Mapping[str, str | Sequence[str]]] = MULTI_LABEL) -> list[Column]:
+    return [_many(f, _labels(F.col("_low"), labels)) for f, labels in facets.items()]
 
 
-def tag_motor_types(texts: DataFrame, on: str = "qid", text: str = "query") -> DataFrame:
-    """Every motor type named, or plain ``motor`` when only the word (or a misspelling) is."""
-    # letters of every script stay: the patterns include Devanagari spellings
-    q = squeeze(F.regexp_replace(F.lower(F.col(text)), r"(?U)[^\p{L}\p{M}\p{N}\s.&]", " "))
-    base = texts.select(on, q.alias("_q"))
-    found = _labels(F.col("_q"), L.MOTOR_TYPES)
-    plain = F.when(F.col("_q").rlike(L.ANY_MOTOR), F.array(F.lit("motor")))
-    return _explode_tags(base, on, [_many("motor_type", F.when(F.size(found) > 0, found).otherwise(F.coalesce(plain, found)))])
+def motor_type_tags() -> list[Column]:
+    q = F.col("_plain")
+    named = reduce(lambda a, b: a | b, [occurs(q, words) for words in L.MOTOR_TYPES.values()])
+    plain = F.when(~named & q.rlike(L.ANY_MOTOR), F.lit("motor"))
+    return [_many("motor_type", _labels(q, L.MOTOR_TYPES)), _one("motor_type", plain)]
 
 
-def model_number(q: Column, mode: str = "patterns") -> Column:
+def model_number(mode: str = "patterns") -> Column:
     """A model or part number, or null. ``patterns`` reads the original spelling and takes
-    the first acceptable hit of the first pattern that has one; ``code`` reads lower-case
-    text: one known numbering scheme, then the first letters-digits code if it is long
+    the first acceptable hit of the first pattern that has one; ``code`` reads the clean
+    form: one known numbering scheme, then the first letters-digits code if it is long
     enough."""
     if mode == "patterns":
-        every = F.concat(*[F.regexp_extract_all(q, F.lit(p), 1) for p in L.MODEL_PATTERNS])
+        every = F.concat(*[F.regexp_extract_all("_raw", F.lit(p), 1) for p in L.MODEL_PATTERNS])
         good = F.filter(
             every, lambda m: (F.length(m) >= L.MODEL_MIN_LENGTH) & ~m.rlike(L.NOT_A_MODEL)
         )
         return F.get(good, F.lit(0))
-    low = F.lower(clean_query(q))
-    code = _hit(low, L.MODEL_CODE)
+    code = _hit(F.col("_clean"), L.MODEL_CODE)
     return F.upper(
-        F.coalesce(_hit(low, L.MODEL_SCHEME), F.when(F.length(code) >= L.MODEL_CODE_MIN_LENGTH, code))
+        F.coalesce(_hit(F.col("_clean"), L.MODEL_SCHEME), F.when(F.length(code) >= L.MODEL_CODE_MIN_LENGTH, code))
     )
 
 
+def model_tags(mode: str = "patterns") -> list[Column]:
+    return [_one("model_number", model_number(mode))]
+
+
+def tag_quantities(texts: DataFrame, rules: Mapping[str, tuple[str, str, str]] = L.QUANTITIES, on: str = "qid", text: str = "query") -> DataFrame:
+    """One value per quantity facet: power in its units, voltage, speed, weight, ..."""
+    return tag_rules(texts, [quantity_tags(rules)], on, text)
+
+
+def tag_all_quantities(texts: DataFrame, on: str = "qid", text: str = "query") -> DataFrame:
+    """All distinct voltages and speeds in order of appearance, and the first power in each
+    unit (or the bare unit word)."""
+    return tag_rules(texts, [all_quantity_tags()], on, text)
+
+
+def tag_first_of(texts: DataFrame, rules: Mapping[str, Sequence[tuple[str, str]]] = L.FIRST_OF, on: str = "qid", text: str = "query") -> DataFrame:
+    """Per facet the value of the first of its patterns that occurs."""
+    return tag_rules(texts, [first_of_tags(rules)], on, text)
+
+
+def tag_multi(texts: DataFrame, facets: Mapping[str, Mapping[str, str | Sequence[str]]] = MULTI_LABEL, on: str = "qid", text: str = "query") -> DataFrame:
+    """Every label of every facet whose pattern or keyword occurs in the text, in table
+    order."""
+    return tag_rules(texts, [multi_tags(facets)], on, text)
+
+
+def tag_motor_types(texts: DataFrame, on: str = "qid", text: str = "query") -> DataFrame:
+    """Every motor type named, or plain ``motor`` when only the word (or a misspelling) is."""
+    return tag_rules(texts, [motor_type_tags()], on, text)
+
+
 def tag_model(texts: DataFrame, mode: str = "patterns", on: str = "qid", text: str = "query") -> DataFrame:
-    return _explode_tags(texts, on, [_one("model_number", model_number(F.col(text), mode))])
+    return tag_rules(texts, [model_tags(mode)], on, text)
 
 
 def fallback_category(texts: DataFrame, tags: DataFrame, on: str = "qid", text: str = "query") -> DataFrame:
     """Texts without any tag get the first product word they contain, if any."""
     untagged = texts.join(tags.select(on).distinct(), on, "left_anti")
-    base = untagged.select(on, F.lower(clean_query(F.col(text))).alias("_q"))
-    return _explode_tags(base, on, [_one("product_type", first_of(F.col("_q"), L.LAST_RESORT))])
+    return tag_rules(untagged, [[_one("product_type", first_of(F.col("_clean"), L.LAST_RESORT))]], on, text)
 
 
 def assemble(tags: DataFrame, facet_keys: Mapping[str, Sequence[str]] = L.FACET_KEYS, on: str = "qid") -> DataFrame:

@@ -213,11 +213,8 @@ _FACETS = values([(f, i, n, k) for i, (f, ks) in enumerate(L.FACET_KEYS.items())
         SELECT qid, attribute_key, value, key_priority, attribute_priority FROM r JOIN {_FACETS} k USING (facet)""",
 )
 def _(spark, d):
-    s = fx.specs(spark, d)
-    tags = tagging.tag_all_quantities(s)
-    for more in (tagging.tag_motor_types(s), tagging.tag_first_of(s), tagging.tag_multi(s)):
-        tags = tags.unionByName(more)
-    return tagging.assemble(tags)
+    families = [tagging.all_quantity_tags(), tagging.motor_type_tags(), tagging.first_of_tags(), tagging.multi_tags()]
+    return tagging.assemble(tagging.tag_rules(fx.specs(spark, d), families))
 
 
 @query(

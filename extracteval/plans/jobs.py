@@ -41,8 +41,8 @@ def head_to_head(reference: DataFrame, candidates: Mapping[str, DataFrame], on:
 def tag_reference(texts: DataFrame, on: str = "qid") -> DataFrame:
     """A rule-made reference for short product texts: quantities, ordered alternatives,
     types, labels; assembled under all their keys."""
-    parts = [tagging.tag_all_quantities(texts, on), tagging.tag_motor_types(texts, on), tagging.tag_first_of(texts, on=on), tagging.tag_multi(texts, on=on)]
-    attrs = tagging.assemble(reduce(DataFrame.unionByName, parts), on=on)
+    families = [tagging.all_quantity_tags(), tagging.motor_type_tags(), tagging.first_of_tags(), tagging.multi_tags()]
+    attrs = tagging.assemble(tagging.tag_rules(texts, families, on), on=on)
     return attrs.withColumn("pos", F.col("attribute_priority") * 100 + F.col("key_priority"))
 
 
@@ -52,7 +52,9 @@ def tag_and_compare(texts: DataFrame, candidates: Mapping[str, DataFrame], on: s
     and, for the first two sources, the head-to-head ``outcomes`` by key matches."""
     reference = materialise(tag_reference(texts, on), "reference")
     table = vocabulary.synonym_table(texts.sparkSession)
-    scores = materialise(metrics.fuzzy_scorecard(reference, dict(candidates), table, on), "scores")
+    # candidates are model outputs as a rule, and several steps read them
+    candidates = {n: materialise(c, f"candidate-{n}") for n, c in candidates.items()}
+    scores = materialise(metrics.fuzzy_scorecard(reference, candidates, table, on), "scores")
     totals = scores.groupBy("source").agg(
         F.sum("gt_attributes").alias("gt_attributes"), F.sum("key_matches").alias("key_matches"), F.sum("value_matches").alias("value_matches")
     )

@@ -160,3 +160,22 @@ def test_motor_texts(spark):
     strict = lambda t: tags(tagging.tag_dictionary(texts(t), brands, "boundary"))
     assert strict("xabbx") == set() and strict("abbmotor") == {("brand", "ABB")} and strict("fan-abb/2") == {("brand", "ABB")}
     assert strict("motor (abb)") == {("brand", "ABB")}
+
+
+def test_literals_are_necessary():
+    import re
+
+    from extracteval.functions import lexicon as L
+
+    assert tagging.literals(r"\bsteel\b|\bsoft\s*start") == ["steel", "soft"]
+    assert tagging.literals("colou?r") == ["colo"] and tagging.literals("(a|b)c") is None and tagging.literals("x*y") is None
+    patterns = [*L.CATEGORIES.values(), *L.MATERIALS.values(), *[p for rules in L.FIRST_OF.values() for p, _ in rules]]
+    words = ["soft  start", "slipring", "slip ring", "gearbox", "nema 17", "foot mount", "steel", "drip proof", "b35", "brushes", "dc motor", "tp 3ph"]
+    guarded = 0
+    for p in patterns:
+        need = tagging.literals(p)
+        guarded += need is not None
+        for w in words:
+            if need is not None and re.search(p, w):
+                assert any(t in w for t in need)
+    assert guarded > 50
