@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import inverted_index, minhash
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -26,3 +26,23 @@ _SHINGLES = f"""w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\
 )
 def _(spark, d):
     return minhash.near_duplicates(table(spark, d, "documents"), percent=85)
+
+
+_WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op7_decontamination",
+    f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+      v AS (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: w[i:i + 9])) AS w FROM i WHERE len(w) > 0),
+      win AS (SELECT DISTINCT item_id, len(w) AS n, array_to_string(w, ' ') AS s FROM v),
+      d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+      g AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM d, (SELECT DISTINCT n FROM win)),
+      h AS (SELECT g.doc_id, g.p, g.n, win.item_id FROM g JOIN win ON win.n = g.n AND win.s = array_to_string(g.w[g.p:g.p + g.n - 1], ' ')),
+      c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+      t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS ids FROM h GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+)
+def _(spark, d):
+    return inverted_index.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("text_hash")
