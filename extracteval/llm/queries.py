@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import inverted_index, minhash
+from . import inverted_index, minhash, mixing
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -46,3 +46,30 @@ _WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 )
 def _(spark, d):
     return inverted_index.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("text_hash")
+
+
+def _slot_sql(turn: int) -> str:
+    step = "CASE " + " ".join(f"WHEN n % {p} <> 0 THEN {p}" for p in mixing.PRIMES[:-1]) + f" ELSE {mixing.PRIMES[-1]} END"
+    return f"(block * (({step}) % n) + {(turn + 1) * 7919}) % n + {turn} * n"
+
+
+@query(
+    "op5_mixing",
+    f"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS g FROM d GROUP BY source),
+      r AS (SELECT *, [3, 1, 2][(g - 1) % 3 + 1] AS w, source_size * 2 AS stop, source_size * 2 / [3, 1, 2][(g - 1) % 3 + 1] AS ratio FROM s),
+      l AS (SELECT *, (1.5 * CAST(sum(source_size) OVER () AS DOUBLE) - CAST(sum(stop) OVER o AS DOUBLE) + stop) / CAST(sum(w) OVER () - sum(w) OVER o + w AS DOUBLE) AS level
+            FROM r WINDOW o AS (ORDER BY ratio, g ROWS UNBOUNDED PRECEDING)),
+      t AS (SELECT source, g, source_size, least(CAST(stop AS DOUBLE), (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, g LIMIT 1) * w) AS target FROM l),
+      b AS (SELECT *, greatest(1, least(256, source_size // 64)) AS b FROM t),
+      n AS (SELECT *, CAST(ceil(source_size / b) AS BIGINT) AS n FROM b),
+      k AS (SELECT *, least(2 * n, CAST(floor(target / b + 0.5) AS BIGINT)) AS k FROM n),
+      p AS (SELECT d.doc_id, d.size, k.* EXCLUDE (source), sum(d.size) OVER (PARTITION BY g ORDER BY md5('1|' || d.doc_id), d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS start
+            FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+      e AS (SELECT *, unnest(range(CAST(start // b AS BIGINT), CAST((start + size - 1) // b + 1 AS BIGINT))) AS block FROM p WHERE size > 0),
+      x AS (SELECT doc_id, (least(start + size, (block + 1) * b) - greatest(start, block * b)) * (CAST({_slot_sql(0)} < k AS INT) + CAST({_slot_sql(1)} < k AS INT)) AS words FROM e),
+      y AS (SELECT doc_id, sum(words) AS taken FROM x GROUP BY doc_id)
+    SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM p LEFT JOIN y USING (doc_id)""",
+)
+def _(spark, d):
+    return mixing.mix_report(table(spark, d, "documents"))
