@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import inverted_index, minhash, mixing
+import public_tokenizers
+
+from ..session import scratch_path
+from . import inverted_index, minhash, mixing, token_counts, token_files
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -73,3 +76,15 @@ def _slot_sql(turn: int) -> str:
 )
 def _(spark, d):
     return mixing.mix_report(table(spark, d, "documents"))
+
+
+@query("op6_token_counts")
+def _(spark, d):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.token_counts(table(spark, d, "documents"), path, scratch_path(spark, "token-counts"))
+
+
+@query("op8_token_files")
+def _(spark, d):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.token_files(table(spark, d, "documents"), path, scratch_path(spark, "token-ids")).drop("file")
