@@ -5,11 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..session import scratch_path
-from . import inverted_index, minhash, mixing, token_counts, token_files
+from . import inverted_index, minhash, mixing, token_counts, token_files, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
+@query("op2_warc")
+def _(spark, d):
+    return warc.archive(table(spark, d, "pages"), scratch_path(spark, "warc")).drop("url", "file")
+
+
 # The contract's words: A-Z in lower case, anything but the six white-space bytes
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SHINGLES = f"""w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
