@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..session import scratch_path
-from . import inverted_index, minhash, mixing, token_counts, token_files, warc
+from . import inverted_index, minhash, mixing, token_counts, token_files, toxicity, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -93,3 +93,8 @@ def _(spark, d):
 def _(spark, d):
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_files.token_files(table(spark, d, "documents"), path, scratch_path(spark, "token-ids")).drop("file")
+
+
+@query("op10_toxicity")
+def _(spark, d):
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")).drop("text_hash")

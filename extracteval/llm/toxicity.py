@@ -6,10 +6,10 @@ each other whatever stands in between. A string's Nyström features are its kern
 landmark strings, whitened; the machine is linear on them. Summed up, a string's margin is that of
 its subsequences' weights divided by its norm, so scoring needs a table of weights and no landmark.
 
-Texts are scored sentence by sentence, by whole text: a sentence's margin is that of its worst word,
-a text's that of its worst sentence. Only texts carry labels, so training labels sentences itself:
-all sentences of clean texts are clean; in toxic texts the words that tell toxic from clean texts
-mark the toxic sentences. Margins become scores by a logistic curve fitted on the training texts.
+Texts are scored sentence by sentence, over the whole text: a sentence is as bad as its worst word.
+Only texts carry labels, so training labels sentences itself: all sentences of clean texts are clean;
+in toxic texts the words that tell toxic from clean texts mark the toxic sentences. A text's score is
+a logistic function of the margins of its two worst words, fitted on the training texts.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from .shingles import shingle_set, words
 
 DECAY = 0.6
+START, END = "\x02", "\x03"
 WIDTH = 20  # characters a kernel sees at once; a longer word is read in overlapping pieces
 PIECE = 10  # characters between the starts of such pieces
 ALPHABET = 40  # letters a-z, and numbers that all other characters share
 MEMO = 1 << 19  # words a worker remembers the margin of
 DOCS = 256
 
-_SENTENCE = re.compile(r"[.!?]*[!?\n…。]+\s*|\.+\s+")
 _JUNK = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\S)\w(?:\s+\w(?!\w)){2,}")
 
@@ -41,12 +41,10 @@ _SPACED = re.compile(r"(?<!\S)\w(?:\s+\w(?!\w)){2,}")
 
 
 def normal(word: str) -> str:
-    """A word as the kernel sees it: lower case, letters and digits only."""
-    return _JUNK.sub("", word.lower())
-
-
-def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s]
+    """A word as the kernel sees it: lower case, letters and digits only, between signs for its
+    start and its end; empty if there is nothing but signs."""
+    word = _JUNK.sub("", word.lower())
+    return f"{START}{word}{END}" if word else ""
 
 
 def tokens(text: str) -> list[str]:
@@ -61,11 +59,12 @@ def pieces(word: str) -> list[str]:
 
 
 def codes(words: Sequence[str]) -> np.ndarray:
-    """Characters as numbers below ``ALPHABET``, rows filled up with -1. Letters a-z have numbers of
-    their own, other characters share the rest."""
+    """Characters as numbers below ``ALPHABET``, rows filled up with -1. Letters a-z, start and end
+    have numbers of their own, other characters share the rest."""
     raw = np.frombuffer("".join(w.ljust(WIDTH, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), WIDTH)
-    own = np.where((raw >= 97) & (raw < 123), raw - 97, 26 + raw % (ALPHABET - 26))
-    return np.where(raw == 0, -1, own.astype(np.int32))
+    own = np.where((raw >= 97) & (raw < 123), raw - 97, 28 + raw % (ALPHABET - 28))
+    own = np.where(raw == 2, 26, np.where(raw == 3, 27, own)).astype(np.int32)
+    return np.where(raw == 0, -1, own)
 
 
 # ---- kernel ----
@@ -136,8 +135,7 @@ def feature_rows(x: np.ndarray) -> np.ndarray:
 class Model:
     weights: np.ndarray  # one weight per subsequence
     bias: float
-    slope: float = 1.0
-    offset: float = 0.0
+    curve: tuple[float, float, float] = (1.0, 0.0, 0.0)  # weights of both margins, offset
 
     def margins(self, words: Sequence[str]) -> np.ndarray:
         """Of normalised words. Words of fewer than three characters have no subsequence: the bias."""
@@ -149,8 +147,9 @@ class Model:
         found = subsequence_sums(x, self.weights) / norms(x) + self.bias
         return np.maximum.reduceat(found, np.cumsum([0, *(len(p) for p in each[:-1])]))
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.offset, -50, 50)))
+    def score(self, worst: np.ndarray, next_: np.ndarray) -> np.ndarray:
+        a, b, c = self.curve
+        return 1.0 / (1.0 + np.exp(-np.clip(a * worst + b * next_ + c, -50, 50)))
 
 
 class Scorer:
@@ -160,20 +159,25 @@ class Scorer:
         self.model, self.memo = model, {}
 
     def texts(self, texts: Iterable[str | None]) -> np.ndarray:
-        # the worst word of the worst sentence is the worst word of the text
+        """The two worst margins of each text's words."""
         split = [tokens(t or "") for t in texts]
         new = list({w for words in split for w in words if w not in self.memo})
         for lo in range(0, len(new), 1 << 14):
             part = new[lo : lo + (1 << 14)]
             self.memo.update(zip(part, self.model.margins([normal(w) for w in part]).tolist()))
         get, bias = self.memo.__getitem__, self.model.bias
-        worst = [max(map(get, words), default=bias) for words in split]
+        worst = []
+        for words in split:
+            first = second = max(map(get, words), default=bias)
+            if first > bias / 2:
+                second = max(sorted(map(get, words))[-2:-1], default=bias)
+            worst.append((first, second))
         for w in new:
             if len(w) > 4 * WIDTH:
                 del self.memo[w]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        return np.array(worst, dtype=float)
+        return np.array(worst, dtype=float).reshape(-1, 2)
 
 
 # ---- training ----
@@ -203,7 +207,7 @@ def telling_words(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_
     in clean texts, likeliest first."""
     found = []
     for w, n in toxic.items():
-        if len(w) >= 3 and n >= max(3, 0.01 * n_toxic):
+        if len(w) >= 5 and n >= max(3, 0.01 * n_toxic):
             ratio = (n / max(n_toxic, 1)) / ((clean.get(w, 0) + 0.5) / max(n_clean, 1))
             if ratio >= 10:
                 found.append((n * np.log(ratio), w))
@@ -214,7 +218,7 @@ def fit_words(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clea
     """A machine from how many toxic and clean texts have each word."""
     none = Model(np.zeros(ALPHABET**3, np.float32), -1.0)
     telling = telling_words(toxic, clean, n_toxic, n_clean)
-    ordinary = sorted((w for w in clean.keys() - set(telling) if len(w) >= 3), key=lambda w: (-clean[w], w))
+    ordinary = sorted((w for w in clean.keys() - set(telling) if w), key=lambda w: (-clean[w], w))
     if not telling or not ordinary:  # nothing to tell apart
         return none
     rng = np.random.default_rng(seed)
@@ -230,7 +234,7 @@ def fit_words(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clea
         return subsequence_sums(x, table) / norms(x)[:, None]
 
     # positives also with a character put in, so that the machine learns what gaps look like
-    gapped = [w[:i] + "x" + w[i:] for w in telling[:100] for i in range(1, len(w))]
+    gapped = [w[:i] + "x" + w[i:] for w in telling[:100] for i in range(2, len(w) - 1)]
     good = telling[:1000] + gapped
     weight = np.array([min(toxic.get(w, 1), 50) for w in good], float)
     bad = list(dict.fromkeys(ordinary[:2000] + [ordinary[i] for i in rng.choice(len(ordinary), min(4000, len(ordinary)), replace=False)]))
@@ -252,18 +256,18 @@ def fit_words(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clea
 
 
 def calibrate(model: Model, margins: np.ndarray, labels: np.ndarray) -> Model:
-    """The logistic curve from margins to scores, a little regularised, by Newton steps."""
+    """The logistic curve from both margins to scores, a little regularised, by Newton steps."""
     if len(set(labels.tolist())) < 2:
         return model
-    a, t = np.stack([margins, np.ones(len(margins))], axis=1), np.zeros(2)
-    for _ in range(50):
+    a, t = np.hstack([margins, np.ones((len(margins), 1))]), np.zeros(3)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ t, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, a.T @ (labels - p) - 1e-3 * t)
-        t = t + np.clip(step, -5, 5)
+        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(3)
+        step = np.linalg.solve(h, a.T @ (labels - p) - 1e-2 * t)
+        t = t + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return Model(model.weights, model.bias, float(t[0]), float(t[1])) if t[0] > 0 else model
+    return Model(model.weights, model.bias, tuple(t.tolist())) if t[0] + t[1] > 0 else model
 
 
 def fold(doc_id: Column) -> Column:
@@ -282,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, max_texts: int = 6000) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-                found = sorted({normal(w) for w in tokens(text or "")} - {""})
+                found = sorted({normal(w) for w in tokens(text or "")} - {""})  # the words of all its sentences
                 # near copies mostly share their least shingle, and count once
                 like = int(min(shingle_set(words(text)), default=0)) >> 1
                 size = len(found) + 1
@@ -296,8 +300,8 @@ def train(docs: DataFrame, labels: DataFrame, max_texts: int = 6000) -> Model:
     toxic = {w: int(n) for w, n in zip(rows["word"], rows["toxic"]) if n}
     clean = {w: int(n) for w, n in zip(rows["word"], rows["clean"]) if n}
     model = fit_words({w: n for w, n in toxic.items() if w}, {w: n for w, n in clean.items() if w}, toxic.get("", 0), clean.get("", 0))
-    margins = texts.select("toxic", "text").mapInArrow(_margins(model, ["toxic"]), "toxic int, margin double").toPandas()
-    return calibrate(model, margins["margin"].to_numpy(), margins["toxic"].to_numpy(float))
+    margins = texts.select("toxic", "text").mapInArrow(_margins(model, ["toxic"]), "toxic int, worst double, next double").toPandas()
+    return calibrate(model, margins[["worst", "next"]].to_numpy(), margins["toxic"].to_numpy(float))
 
 
 def _margins(model: Model, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -306,7 +310,8 @@ def _margins(model: Model, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch
         for batch in batches:
             for lo in range(0, batch.num_rows, DOCS):
                 part = batch.slice(lo, DOCS)
-                yield pa.RecordBatch.from_arrays([*(part[k] for k in keep), pa.array(scorer.texts(part["text"].to_pylist()))], [*keep, "margin"])
+                found = scorer.texts(part["text"].to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part[k] for k in keep), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], [*keep, "worst", "next"])
 
     return run
 
@@ -325,7 +330,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_texts: int = 6000) -> DataF
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(batches):
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(model.score(batch["margin"].to_numpy()))], ["doc_id", "text_hash", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(model.score(batch["worst"].to_numpy(), batch["next"].to_numpy()))], ["doc_id", "text_hash", "score"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(scored, "doc_id bigint, text_hash bigint, score double")
     return rows.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_hash")
