@@ -13,7 +13,7 @@ A target above a source's size takes the source once whole, then blocks of a sec
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -63,42 +63,53 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     return found.select("source", "source_size", F.coalesce(target, F.col("stop").cast("double")).alias("target"), "g")
 
 
-def _log_factorial(x: Column) -> Column:
-    x = x.cast("double")
+def _log_factorial(n: Column) -> Column:
     table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
-    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
-    return F.when(x < 16, F.element_at(table, x.cast("int") + 1)).otherwise(series)
+    series = lambda x: x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
+    return _let(n.cast("double"), lambda x: F.when(x < 16, F.element_at(table, x.cast("int") + 1)).otherwise(series(x)))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once and stands once in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
     """The number of good ones among ``draws`` of ``total`` of which ``good`` are good, by inversion
     of the uniform ``u``. Values are tried outwards from the likeliest, twelve deviations far."""
-    low, high = F.greatest(F.lit(0), draws - (total - good)), F.least(draws, good)
-    mode = F.least(high, F.greatest(low, F.floor((draws + 1) * (good + 1).cast("double") / (total + 2)).cast("bigint")))
     lf = _log_factorial
-    choose = lambda n, k: lf(n) - lf(k) - lf(n - k)
-    p0 = F.exp(choose(good, mode) + choose(total - good, draws - mode) - choose(total, draws))
-    share = good / F.greatest(total, F.lit(1))
-    sigma = F.sqrt(draws * share * (1 - share))
-    steps = F.sequence(F.lit(1), (12 * sigma + 20).cast("int"))
-    start = F.struct(
-        (u - p0).alias("u"), mode.alias("a"), mode.alias("b"), p0.alias("pa"), p0.alias("pb"),
-        F.when(u < p0, mode).alias("x"),
-    )
+    choose = lambda n, k: _let(F.struct(n.alias("n"), k.alias("k")), lambda v: lf(v["n"]) - lf(v["k"]) - lf(v["n"] - v["k"]))
 
-    def step(s: Column, _: Column) -> Column:
-        a, b = s["a"], s["b"]
-        up = s["pb"] * (good - b) * (draws - b).cast("double") / ((b + 1) * (total - good - draws + b + 1).cast("double"))
-        pb = F.when(b < high, up).otherwise(0.0)
-        down = s["pa"] * a * (total - good - draws + a).cast("double") / ((good - a + 1) * (draws - a + 1).cast("double"))
-        pa = F.when(a > low, down).otherwise(0.0)
-        x = F.when(s["x"].isNotNull(), s["x"]).when(s["u"] < pb, b + 1).when(s["u"] < pb + pa, a - 1)
-        return F.struct(
-            (s["u"] - pb - pa).alias("u"), F.when(a > low, a - 1).otherwise(a).alias("a"), F.when(b < high, b + 1).otherwise(b).alias("b"),
-            pa.alias("pa"), pb.alias("pb"), x.alias("x"),
-        )
+    def likeliest(v: Column) -> Column:
+        mode = F.floor((v["draws"] + 1) * (v["good"] + 1).cast("double") / (v["total"] + 2)).cast("bigint")
+        return F.least(v["high"], F.greatest(v["low"], mode))
+
+    def steps(v: Column) -> Column:
+        share = v["good"] / F.greatest(v["total"], F.lit(1))
+        return F.sequence(F.lit(1), (12 * F.sqrt(v["draws"] * share * (1 - share)) + 20).cast("int"))
 
-    return F.aggregate(steps, start, step, lambda s: F.coalesce(s["x"], mode))
+    def search(v: Column, mode: Column, p0: Column) -> Column:
+        start = F.struct((v["u"] - p0).alias("u"), mode.alias("a"), mode.alias("b"), p0.alias("pa"), p0.alias("pb"), F.when(v["u"] < p0, mode).alias("x"))
+
+        def step(s: Column, _: Column) -> Column:
+            a, b, rest = s["a"], s["b"], v["total"] - v["good"] - v["draws"]
+            up = s["pb"] * (v["good"] - b) * (v["draws"] - b).cast("double") / ((b + 1) * (rest + b + 1).cast("double"))
+            down = s["pa"] * a * (rest + a).cast("double") / ((v["good"] - a + 1) * (v["draws"] - a + 1).cast("double"))
+            next_ = F.struct(F.when(b < v["high"], up).otherwise(0.0).alias("pb"), F.when(a > v["low"], down).otherwise(0.0).alias("pa"))
+            return _let(next_, lambda p: F.struct(
+                (s["u"] - p["pb"] - p["pa"]).alias("u"), F.greatest(a - 1, v["low"]).alias("a"), F.least(b + 1, v["high"]).alias("b"), p["pa"], p["pb"],
+                F.when(s["x"].isNotNull(), s["x"]).when(s["u"] < p["pb"], b + 1).when(s["u"] < p["pb"] + p["pa"], a - 1).alias("x"),
+            ))
+
+        return F.aggregate(steps(v), start, step, lambda s: F.coalesce(s["x"], mode))
+
+    def of(v: Column) -> Column:
+        p0 = lambda mode: F.exp(choose(v["good"], mode) + choose(v["total"] - v["good"], v["draws"] - mode) - choose(v["total"], v["draws"]))
+        return _let(likeliest(v), lambda mode: _let(p0(mode), lambda p: search(v, mode, p)))
+
+    low, high = F.greatest(F.lit(0).cast("bigint"), draws - (total - good)), F.least(draws, good)
+    values = F.struct(total.alias("total"), good.alias("good"), draws.alias("draws"), u.alias("u"), low.alias("low"), high.alias("high"))
+    return _let(values, of)
 
 
 def _uniform(*keys: Column) -> Column:
@@ -124,14 +135,11 @@ def _halves(total_blocks: int, shards: int, seed: int) -> Column:
 
     left = F.aggregate(F.sequence(F.lit(0), F.size(quotas) - 1), start, draw, lambda s: s["xs"])
     node = lambda a, b, q, s: F.struct(a.alias("lo"), b.alias("hi"), q.alias("quotas"), s.alias("starts"))
-    split = F.transform(
-        F.array(left),
-        lambda x: F.array(
-            node(lo, mid, x, starts),
-            node(mid, hi, F.zip_with(quotas, x, lambda a, b: a - b), F.zip_with(starts, x, lambda a, b: a + b)),
-        ),
-    )
-    return F.when(hi - lo > 1, F.get(split, F.lit(0))).otherwise(F.array(node(lo, hi, quotas, starts)))
+    split = _let(left, lambda x: F.array(
+        node(lo, mid, x, starts),
+        node(mid, hi, F.zip_with(quotas, x, lambda a, b: a - b), F.zip_with(starts, x, lambda a, b: a + b)),
+    ))
+    return F.when(hi - lo > 1, split).otherwise(F.array(node(lo, hi, quotas, starts)))
 
 
 def shard_quotas(quotas: DataFrame, total_blocks: int, shards: int, seed: int = 1) -> DataFrame:
@@ -146,6 +154,7 @@ def shard_quotas(quotas: DataFrame, total_blocks: int, shards: int, seed: int =
         if level and level % 8 == 0:  # enough nodes now to spread them
             nodes = materialise(nodes.repartition("lo"), "mix-nodes")
         nodes = nodes.select("g", F.inline(_halves(total_blocks, shards, seed)))
+    nodes = materialise(nodes, "mix-tree")
     each = nodes.select(F.col("lo").alias("shard"), F.explode(F.arrays_zip("g", "starts", "quotas")).alias("x"))
     return each.select("shard", F.col("x.g").alias("g"), F.col("x.starts").alias("start"), F.col("x.quotas").alias("quota"))
 
