@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..session import scratch_path
-from . import inverted_index, minhash, mixing, token_counts, token_files, toxicity, warc
+from . import inverted_index, minhash, mixing, suffixes, token_counts, token_files, toxicity, vptree, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -98,3 +98,36 @@ def _(spark, d):
 @query("op10_toxicity")
 def _(spark, d):
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")).drop("text_hash")
+
+
+@query(
+    "op9_repeated_substrings",
+    """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+      x AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n FROM d),
+      w AS (SELECT doc_id, unnest(range(1, n - 48)) AS p, h FROM x WHERE n >= 50),
+      s AS (SELECT doc_id, p, md5_number(substr(h, 2 * p - 1, 100)) AS s FROM w),
+      f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s),
+      g AS (SELECT doc_id, p FROM s JOIN f USING (s) WHERE doc_id > first),
+      i AS (SELECT doc_id, p, p > coalesce(lag(p) OVER o + 50, 0) AS new FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+      j AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM i),
+      r AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM j GROUP BY doc_id, k),
+      c AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id),
+      e AS (SELECT doc_id, a, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS was FROM r UNION ALL SELECT doc_id, n + 1, coalesce((SELECT max(z) FROM r WHERE r.doc_id = x.doc_id), 1) FROM x),
+      k AS (SELECT e.doc_id, string_agg(substr(h, CAST(2 * was - 1 AS BIGINT), CAST(2 * (a - was) AS BIGINT)), '' ORDER BY a) AS kept FROM e JOIN x USING (doc_id) GROUP BY e.doc_id)
+    SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(kept)) AS kept_sha256
+    FROM x LEFT JOIN c USING (doc_id) JOIN k USING (doc_id)""",
+)
+def _(spark, d):
+    return suffixes.remove_repeats(table(spark, d, "documents"))
+
+
+@query(
+    "op4_nearest",
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+      r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+)
+def _(spark, d):
+    return vptree.nearest(table(spark, d, "embeddings"))
