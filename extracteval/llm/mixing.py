@@ -66,10 +66,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
 def _log_factorial(n: Column) -> Column:
     table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
     series = lambda x: x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
-    return _let(n.cast("double"), lambda x: F.when(x < 16, F.element_at(table, x.cast("int") + 1)).otherwise(series(x)))
+    return let(n.cast("double"), lambda x: F.when(x < 16, F.element_at(table, x.cast("int") + 1)).otherwise(series(x)))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once and stands once in the plan."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -78,7 +78,7 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
     """The number of good ones among ``draws`` of ``total`` of which ``good`` are good, by inversion
     of the uniform ``u``. Values are tried outwards from the likeliest, twelve deviations far."""
     lf = _log_factorial
-    choose = lambda n, k: _let(F.struct(n.alias("n"), k.alias("k")), lambda v: lf(v["n"]) - lf(v["k"]) - lf(v["n"] - v["k"]))
+    choose = lambda n, k: let(F.struct(n.alias("n"), k.alias("k")), lambda v: lf(v["n"]) - lf(v["k"]) - lf(v["n"] - v["k"]))
 
     def likeliest(v: Column) -> Column:
         mode = F.floor((v["draws"] + 1) * (v["good"] + 1).cast("double") / (v["total"] + 2)).cast("bigint")
@@ -96,7 +96,7 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
             up = s["pb"] * (v["good"] - b) * (v["draws"] - b).cast("double") / ((b + 1) * (rest + b + 1).cast("double"))
             down = s["pa"] * a * (rest + a).cast("double") / ((v["good"] - a + 1) * (v["draws"] - a + 1).cast("double"))
             next_ = F.struct(F.when(b < v["high"], up).otherwise(0.0).alias("pb"), F.when(a > v["low"], down).otherwise(0.0).alias("pa"))
-            return _let(next_, lambda p: F.struct(
+            return let(next_, lambda p: F.struct(
                 (s["u"] - p["pb"] - p["pa"]).alias("u"), F.greatest(a - 1, v["low"]).alias("a"), F.least(b + 1, v["high"]).alias("b"), p["pa"], p["pb"],
                 F.when(s["x"].isNotNull(), s["x"]).when(s["u"] < p["pb"], b + 1).when(s["u"] < p["pb"] + p["pa"], a - 1).alias("x"),
             ))
@@ -105,11 +105,11 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
 
     def of(v: Column) -> Column:
         p0 = lambda mode: F.exp(choose(v["good"], mode) + choose(v["total"] - v["good"], v["draws"] - mode) - choose(v["total"], v["draws"]))
-        return _let(likeliest(v), lambda mode: _let(p0(mode), lambda p: search(v, mode, p)))
+        return let(likeliest(v), lambda mode: let(p0(mode), lambda p: search(v, mode, p)))
 
     low, high = F.greatest(F.lit(0).cast("bigint"), draws - (total - good)), F.least(draws, good)
     values = F.struct(total.alias("total"), good.alias("good"), draws.alias("draws"), u.alias("u"), low.alias("low"), high.alias("high"))
-    return _let(values, of)
+    return let(values, of)
 
 
 def _uniform(*keys: Column) -> Column:
@@ -135,7 +135,7 @@ def _halves(total_blocks: int, shards: int, seed: int) -> Column:
 
     left = F.aggregate(F.sequence(F.lit(0), F.size(quotas) - 1), start, draw, lambda s: s["xs"])
     node = lambda a, b, q, s: F.struct(a.alias("lo"), b.alias("hi"), q.alias("quotas"), s.alias("starts"))
-    split = _let(left, lambda x: F.array(
+    split = let(left, lambda x: F.array(
         node(lo, mid, x, starts),
         node(mid, hi, F.zip_with(quotas, x, lambda a, b: a - b), F.zip_with(starts, x, lambda a, b: a + b)),
     ))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import inverted_index, minhash, mixing, suffixes, token_counts, token_files, toxicity, vptree, warc
+from . import inverted_index, line_templates, minhash, mixing, suffixes, token_counts, token_files, toxicity, vptree, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -131,3 +132,25 @@ def _(spark, d):
 )
 def _(spark, d):
     return vptree.nearest(table(spark, d, "embeddings"))
+
+
+@query(
+    "op1_line_templates",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+      t AS (SELECT doc_id, no, line, list_transform(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM l),
+      f AS (SELECT *, len(w) AS size, array_to_string(w, ' ') AS s, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM t WHERE len(w) > 0),
+      n AS (SELECT s, leaf, any_value(w) AS w, count(DISTINCT doc_id) AS n FROM f GROUP BY s, leaf),
+      p AS (SELECT s, leaf, n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM n),
+      q AS (SELECT leaf, pos, word FROM p WHERE pos > 3 GROUP BY ALL HAVING sum(n) >= 10),
+      m AS (SELECT p.s, p.pos, CASE WHEN p.pos <= 3 OR q.word IS NOT NULL THEN p.word ELSE '<*>' END AS word FROM p LEFT JOIN q ON q.leaf = p.leaf AND q.pos = p.pos AND q.word = p.word),
+      u AS (SELECT s, string_agg(word, ' ' ORDER BY pos) AS template, count(*) AS size, count(*) FILTER (WHERE word <> '<*>') AS fixed FROM m GROUP BY s),
+      d AS (SELECT s, template FROM u WHERE fixed = size OR (fixed >= 4 AND fixed >= 0.7 * size)),
+      r AS (SELECT template FROM f JOIN d USING (s) GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
+      x AS (SELECT s, template FROM d JOIN r USING (template)),
+      g AS (SELECT t.doc_id, t.no, t.line, len(t.w) > 0 AS worded, x.template FROM t LEFT JOIN x ON x.s = array_to_string(t.w, ' ') AND len(t.w) > 0)
+    SELECT doc_id, count(*) FILTER (WHERE worded) AS n_lines, count(template) AS n_dropped, count(DISTINCT template) AS n_templates,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE template IS NULL), '')) AS kept_sha256 FROM g GROUP BY doc_id""",
+)
+def _(spark, d):
+    kept = line_templates.drop_recurring_lines(table(spark, d, "documents"))
+    return kept.withColumn("kept_sha256", F.sha2(F.coalesce("kept", F.lit("")), 256)).drop("kept")
