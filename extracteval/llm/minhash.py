@@ -11,10 +11,12 @@ No bucket is ever expanded into all its pairs:
 1. Documents with equal word sequences are one *class*; only classes go on.
 2. In each bucket the class whose digest is least is the leader and is paired with the others. A
    pair that shares several buckets with the same leader counts once.
-3. Components of the confirmed links are labelled. In a bucket that still holds several components,
-   classes outside its largest component (the *seekers*) meet the bucket's members, which are dealt
-   over as many tasks as the bucket needs; only pairs of different components go on to be confirmed.
-   Together with 2 this covers every candidate pair, so no link between candidates is lost.
+3. Components of the confirmed links are labelled. Buckets that still hold several components are
+   joined to *clusters* where they share classes. In a cluster, the classes outside its largest
+   component (the *seekers*) meet all its classes, both dealt into blocks of bounded size; those that
+   share a bucket and are of different components are confirmed there, on their sets, and one link
+   is returned for each two components that are joined. Together with 2 this covers every candidate
+   pair, so no link between candidates is lost.
 
 With the default 128 minima in 32 bands of 4, a pair at similarity 0.85 shares no bucket with a
 probability below 1e-10, at 0.8 below 1e-7. The estimate's cut lies ``slack`` standard deviations
@@ -34,9 +36,12 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import components
+from .groups import rows_of_bytes, rows_of_lists, sorted_groups
 from .shingles import minima, mix, shingle_set, words
 
-BLOCK = 2048  # members of a bucket that one task compares with the bucket's seekers
+BLOCK = 512  # members, and seekers, of a cluster that meet in one group
+
+DOCS = 256  # documents whose sets are in memory at once
 
 _FEATURES = "doc_id bigint, digest string, n_shingles int, bands array<bigint>, bits binary"
 
@@ -71,27 +76,30 @@ def features(docs: DataFrame, size: int = 5, count: int = 128, rows: int = 4, bi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toks = [words(t) for t in batch["text"].to_pylist()]
-            digests = [xxhash.xxh3_128_hexdigest(b" ".join(t)) if t else None for t in toks]
-            first = {}  # each digest of the batch is worked on once
-            for i, d in enumerate(digests):
-                if d is not None:
-                    first.setdefault(d, i)
-            sets = {d: shingle_set(toks[i], size) for d, i in first.items()}
-            mins = minima(list(sets.values()), count)
-            keys = np.zeros((len(mins), count // rows), np.uint64)
-            for r in range(rows):
-                keys = mix(keys + mins[:, r::rows])
-            keys = mix(keys + np.arange(keys.shape[1], dtype=np.uint64)).view(np.int64)
-            packed = pack_bits(mins, bits)
-            at = {d: j for j, d in enumerate(sets)}
-            yield pa.RecordBatch.from_arrays([
-                batch["doc_id"],
-                pa.array(digests, pa.string()),
-                pa.array([len(sets[d]) if d else 0 for d in digests], pa.int32()),
-                pa.array([keys[at[d]] if d else None for d in digests], pa.list_(pa.int64())),
-                pa.array([packed[at[d]].tobytes() if d else None for d in digests], pa.binary()),
-            ], ["doc_id", "digest", "n_shingles", "bands", "bits"])
+            for lo in range(0, batch.num_rows, DOCS):
+                yield signed(batch.slice(lo, DOCS))
+
+    def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        digests, sets = [], {}  # each digest of the batch is worked on once
+        for text in batch["text"]:
+            toks = words(text.as_py())
+            digests.append(xxhash.xxh3_128_hexdigest(b" ".join(toks)) if toks else None)
+            if toks and digests[-1] not in sets:
+                sets[digests[-1]] = shingle_set(toks, size)
+        mins = minima(list(sets.values()), count)
+        keys = np.zeros((len(mins), count // rows), np.uint64)
+        for r in range(rows):
+            keys = mix(keys + mins[:, r::rows])
+        keys = mix(keys + np.arange(keys.shape[1], dtype=np.uint64)).view(np.int64)
+        packed = pack_bits(mins, bits)
+        at = {d: j for j, d in enumerate(sets)}
+        return pa.RecordBatch.from_arrays([
+            batch["doc_id"],
+            pa.array(digests, pa.string()),
+            pa.array([len(sets[d]) if d else 0 for d in digests], pa.int32()),
+            pa.array([keys[at[d]] if d else None for d in digests], pa.list_(pa.int64())),
+            pa.array([packed[at[d]].tobytes() if d else None for d in digests], pa.binary()),
+        ], ["doc_id", "digest", "n_shingles", "bands", "bits"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(run, _FEATURES)
 
@@ -128,47 +136,64 @@ def _plausible(a: Column, b: Column, na: Column, nb: Column, count: int, bits: i
     return sized & (similarity(a, b) >= least)
 
 
-def _seek(classes: DataFrame, roots: DataFrame, count: int, bits: int, percent: int, least: float) -> DataFrame:
-    """Step 3: plausible pairs of classes of different components that share a bucket."""
-    member = classes.join(roots, classes["digest"] == roots["node"], "left").select(
-        "digest", "n_shingles", "bands", "bits", F.coalesce("root", "digest").alias("root")
+def _seek(docs: DataFrame, feats: DataFrame, places: DataFrame, classes: DataFrame, roots: DataFrame, size: int, count: int, bits: int, percent: int, least: float) -> DataFrame:
+    """Step 3: links between classes of different components that share a bucket."""
+    rows = places.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    mixed = rows.groupBy("bucket").agg(F.min("digest").alias("a"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+    rows = materialise(rows.join(mixed.select("bucket", "a"), "bucket").select("a", "digest", "root"), "minhash-mixed")
+    clusters = materialise(components(rows.select("a", F.col("digest").alias("b"))), "minhash-clusters")
+    known = rows.select("digest", "root").distinct().join(clusters.select(F.col("node").alias("digest"), F.col("root").alias("cluster")), "digest")
+    known = materialise(known, "minhash-clustered")
+    # the size of each component in its cluster; counts only
+    parts = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+    mains = parts.groupBy("cluster").agg(
+        F.sum("n").alias("members"), F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("seekers")
     )
-    rows = member.select("*", F.posexplode("bands").alias("band", "bucket"))
-    # size of each component in each bucket, then of the bucket; counts only
-    parts = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("bucket").agg(
-        F.sum("n").alias("members"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")
-    ).where("roots > 1").drop("roots")
-    rows = materialise(rows.join(mixed, "bucket"), "minhash-mixed")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("digest"), blocks).cast("int")).withColumn("seeks", F.lit(False))
-    seekers = rows.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("seeks", F.lit(True))
-    cols = ["bucket", "block", "seeks", "digest", "root", "n_shingles", "bits", "bands", "band"]
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        s, m = group[group["seeks"]], group[~group["seeks"]].reset_index(drop=True)
-        found_a, found_b = [], []
-        if len(s) and len(m):
-            bits_m = np.frombuffer(b"".join(m["bits"]), np.uint8).reshape(len(m), -1)
-            bands_m, n_m = np.stack(m["bands"].to_list()), m["n_shingles"].to_numpy()
-            band = int(m["band"].iloc[0])
-            main, roots_m, digests_m = s["root"].to_numpy(), m["root"].to_numpy(), m["digest"].to_numpy()
-            seeking = set(s["digest"])
-            also = np.array([d in seeking for d in digests_m])
-            for root, digest, n, packed, bands in zip(main, s["digest"], s["n_shingles"], s["bits"], s["bands"]):
-                ok = (roots_m != root) & (100 * np.minimum(n_m, n) >= percent * np.maximum(n_m, n))
-                ok &= ~also | (digests_m > digest)  # of two seekers the lesser one asks
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                at = at[estimate(np.frombuffer(packed, np.uint8)[None, :], bits_m[at], count, bits) >= least]
-                # a pair that already met in an earlier band is that band's
-                at = at[(bands_m[at][:, :band] != np.asarray(bands)[:band]).all(axis=1)]
-                found_a += [digest] * len(at)
-                found_b += list(digests_m[at])
-        return pd.DataFrame({"a": found_a, "b": found_b}, dtype=object)
-
-    return dealt.select(cols).union(seekers.select(cols)).groupBy("bucket", "block").applyInPandas(run, "a string, b string")
+    sets = _sets(docs, feats, known.select("digest"), size)
+    full = known.join(mains, "cluster").join(classes.select("digest", "bits", "bands"), "digest").join(sets, "digest")
+    full = materialise(full, "minhash-seekers")
+    deal = lambda n: F.pmod(F.xxhash64("digest"), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    blocks, groups = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil(F.col("seekers") / BLOCK).cast("int")
+    keys, cols = ["cluster", "block", "part"], ["cluster", "block", "part", "seeks", "digest", "root", "bits", "bands", "shingles"]
+    member = full.withColumn("block", deal(blocks)).withColumn("part", all_of(groups)).withColumn("seeks", F.lit(False))
+    seeker = full.where("root <> main").withColumn("part", deal(groups)).withColumn("block", all_of(blocks)).withColumn("seeks", F.lit(True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, keys):
+            found = _links(group, count, bits, percent, least)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found)], ["a", "b"])
+
+    dealt = member.select(cols).union(seeker.select(cols)).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "a string, b string")
+
+
+def _links(group: pa.Table, count: int, bits: int, percent: int, least: float) -> list[tuple[str, str]]:
+    """Links of a group's seekers to its members, one for each two components that they join."""
+    seeks = group["seeks"].to_numpy()
+    at_m = np.flatnonzero(~seeks)
+    if not len(at_m):
+        return []
+    packed, bands = rows_of_bytes(group["bits"]), rows_of_lists(group["bands"])
+    digests, (_, roots) = group["digest"].to_numpy(), np.unique(group["root"].to_numpy().astype(str), return_inverse=True)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["shingles"]]
+    n = np.array([len(s) for s in sets])
+    found = []
+    for i in np.flatnonzero(seeks):
+        near = at_m[(roots[at_m] != roots[i]) & (100 * np.minimum(n[at_m], n[i]) >= percent * np.maximum(n[at_m], n[i]))]
+        near = near[(bands[near] == bands[i]).any(axis=1)]
+        near = near[estimate(packed[i][None, :], packed[near], count, bits) >= least] if len(near) else near
+        if not len(near):
+            continue
+        values = np.concatenate([sets[j] for j in near])
+        place = np.minimum(np.searchsorted(sets[i], values), n[i] - 1)
+        common = np.add.reduceat(sets[i][place] == values, np.cumsum([0, *n[near][:-1]]), dtype=np.int64)
+        for j in near[100 * common >= percent * (n[near] + n[i] - common)]:
+            if roots[i] != roots[j]:
+                found.append((digests[i], digests[j]))
+                roots[roots == roots[i]] = roots[j]
+    return found
 
 
 def near_duplicates(
@@ -196,23 +221,22 @@ def near_duplicates(
     )
     classes = materialise(classes, "minhash-classes")
 
-    # bucket leaders: the least digest, with what an estimate needs
-    rows_ = classes.select("digest", "n_shingles", "bits", F.explode("bands").alias("bucket"))
-    leaders = rows_.groupBy("bucket").agg(F.min(F.struct("digest", "n_shingles", "bits")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = (
-        rows_.join(leaders, "bucket").where(F.col("digest") > F.col("l.digest"))
-        .groupBy(F.col("l.digest").alias("a"), F.col("digest").alias("b"))
-        .agg(F.first("l.bits").alias("ba"), F.first("bits").alias("bb"), F.first("l.n_shingles").alias("na"), F.first("n_shingles").alias("nb"))
-    )
-    pairs = materialise(
-        pairs.where(_plausible(F.col("ba"), F.col("bb"), F.col("na"), F.col("nb"), count, bits, percent, least)).select("a", "b"), "minhash-pairs"
-    )
-    sets = _sets(docs, feats, classes, pairs, size)
+    # only buckets that several classes share matter from here on
+    places = classes.select("digest", F.posexplode("bands").alias("band", "bucket"))
+    shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    places = materialise(places.join(shared.select("bucket"), "bucket", "left_semi"), "minhash-places")
+
+    leaders = places.groupBy("bucket").agg(F.min("digest").alias("a"))
+    pairs = places.join(leaders, "bucket").where(F.col("digest") > F.col("a")).select("a", F.col("digest").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("digest").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("n_shingles").alias(f"n_{side}")), side)
+    likely = _plausible(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), count, bits, percent, least)
+    pairs = materialise(pairs.where(likely).select("a", "b"), "minhash-pairs")
+    sets = _sets(docs, feats, pairs.select(F.col("a").alias("digest")).union(pairs.select("b")), size)
     links = materialise(confirm(pairs, sets, percent), "minhash-links")
     roots = materialise(components(links), "minhash-roots")
 
-    more = materialise(_seek(classes, roots, count, bits, percent, least), "minhash-more")
-    links2 = confirm(more, _sets(docs, feats, classes, more, size), percent)
+    links2 = materialise(_seek(docs, feats, places, classes, roots, size, count, bits, percent, least), "minhash-more")
     # components of the first links are single vertices now
     lifted = (
         links2.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
@@ -237,18 +261,19 @@ def near_duplicates(
     )
 
 
-def _sets(docs: DataFrame, feats: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """Full shingle sets of the classes that occur in ``pairs``, from one document of each."""
-    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    wanted = materialise(wanted, "minhash-wanted")
+def _sets(docs: DataFrame, feats: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Full shingle sets of the ``wanted`` digests, from one document of each."""
+    wanted = materialise(wanted.distinct(), "minhash-wanted")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            toks = [words(t) for t in batch["text"]]
-            yield pd.DataFrame({
-                "digest": [xxhash.xxh3_128_hexdigest(b" ".join(t)) for t in toks],
-                "shingles": [shingle_set(t, size).tobytes() for t in toks],
-            })
+            for lo in range(0, len(batch), DOCS):
+                digests, found = [], []
+                for text in batch["text"].iloc[lo : lo + DOCS]:
+                    toks = words(text)
+                    digests.append(xxhash.xxh3_128_hexdigest(b" ".join(toks)))
+                    found.append(shingle_set(toks, size).tobytes())
+                yield pd.DataFrame({"digest": digests, "shingles": found})
 
     # a class is found again by the id of a member; ids are null or repeated at times, so its
     # digest decides, and one row of each digest stays

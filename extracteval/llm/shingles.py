@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import xxhash
 
-WORD_CACHE = 1 << 20  # words a worker remembers the hash of; forgetting changes no result
+WORD_CACHE = 1 << 18  # words a worker remembers the hash of; forgetting changes no result
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
