@@ -8,7 +8,7 @@ import pytest
 
 from extracteval.llm import token_counts, token_files, warc
 
-TEXTS = ["Hello, world. Hello world", None, "", "x\x1cy \x85z \xa0q w", "foo<|endoftext|>bar <|ENDOFTEXT|>", "ΣΑΣ ΟΔΟΣ", "don't WE'LL 'S\n\t12345 ½",
+TEXTS = ["Hello, world. Hello world", None, "", "x\x1cy \x85z \xa0q w", "foo<|endoftext|>bar <|ENDOFTEXT|> Word WORD. Été", "ΣΑΣ ΟΔΟΣ", "don't WE'LL 'S\n\t12345 ½",
          "İstanbul ﬁ ́ ́x", "日本語 テキスト", "\x0b\x0c a\x00b \x00", "e ́", "🙂👍🏽", "word " * 20000, "a" * 5000, "Hello, world. Hello world"]
 
 
