@@ -86,12 +86,21 @@ def parse_isq_pipe(c: Column, strict: bool = True) -> Column:
     return _or_empty(_number(found))
 
 
+def last_wins(entries: Column) -> Column:
+    """Map entries with each key once, in its first place with its last value, as an object that is
+    read key by key has it. Entries without repeats are returned as they are."""
+    keys = F.transform(entries, lambda e: e["key"])
+    last = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(F.transform(F.array_distinct(keys), last))
+
+
 def parse_flat_map(c: Column) -> Column:
-    """A flat JSON object, or a Python dict literal; both sides are unquoted and lower-cased."""
+    """A flat JSON object, or a Python dict literal; both sides are unquoted and lower-cased. Of a
+    repeated key the last value counts."""
     as_map = "map<string,string>"
     single = {"allowSingleQuotes": "true"}
     repaired = F.from_json(F.translate(c, "'", '"'), as_map)
-    entries = F.map_entries(F.coalesce(repaired, F.from_json(c, as_map, single)))
+    entries = last_wins(F.map_entries(F.coalesce(repaired, F.from_json(c, as_map, single))))
     found = F.transform(
         entries, lambda e: F.struct(unquote_value(e["key"]).alias("key"), unquote_value(e["value"]).alias("value"))
     )

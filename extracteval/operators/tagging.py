@@ -13,6 +13,7 @@ Tag relations are ``(qid, facet, value, ord)``.
 from __future__ import annotations
 
 import re
+import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -399,9 +400,8 @@ def tag_vocab(texts: DataFrame, vocab: DataFrame, priority: DataFrame, on: str =
     """Tag with a free vocabulary ``(key, value, ord)``: keys in ``priority (key, rank)``
     order, one value per key, no value twice in a text.
 
-    A value several keys share goes to the best-ranked key; each key then takes its first
-    remaining value. Where a sequential pass would let a key fall back to a value that a
-    better key gave up, the two can differ."""
+    Keys are gone through in order; each takes its first value, by ``ord``, that no key before it
+    took. The hits of one text are folded inside its row: they are values of one text, and few."""
     names = (
         vocab.filter(F.length("value") > 1)
         .groupBy("key", "value")
@@ -411,13 +411,17 @@ def tag_vocab(texts: DataFrame, vocab: DataFrame, priority: DataFrame, on: str =
         .filter(F.length("name") > 0)
     )
     hits = dictionary_hits(texts, names, F.lower(F.col(text)), on)
-    entry = F.struct("key_rank", "ord", "key")
-    owner = hits.groupBy(on, "value").agg(F.min(entry).alias("_o"))
-    return (
-        owner.select(on, "value", "_o.*")
-        .groupBy(on, "key", "key_rank")
-        .agg(F.min_by("value", F.struct("ord", "value")).alias("value"))
+    entry = F.struct("key_rank", "key", "ord", "value")
+    listed = hits.groupBy(on).agg(F.array_sort(F.collect_set(entry)).alias("_hits"))
+    none = F.expr("filter(_hits, x -> false)")
+    fold = F.aggregate(
+        "_hits",
+        none,
+        lambda out, x: F.when(
+            F.exists(out, lambda o: (o["key"] == x["key"]) | (o["value"] == x["value"])), out
+        ).otherwise(F.concat(out, F.array(x))),
     )
+    return listed.select(on, F.inline(fold)).select(on, "key", "key_rank", "value")
 
 
 # ------------------------------------------------------------------------------- predictors
@@ -426,9 +430,9 @@ def tag_vocab(texts: DataFrame, vocab: DataFrame, priority: DataFrame, on: str =
 def rules_predictor(queries: pd.Series) -> pd.Series:
     """Default predictor: numbers with the word after them, as attribute JSON."""
     found = queries.str.extract(r"(?P<word>[a-z]+)\s+(?P<number>\d+)", expand=True)
-    text = '{"attributes": [{"attribute_key": "' + found["word"] + '", "value": "' + found["number"]
-    text = text + '", "key_priority": 1, "attribute_priority": 1}]}'
-    return text
+    one = lambda w, n: {"attribute_key": w, "value": n, "key_priority": 1, "attribute_priority": 1}
+    rows = zip(found["word"], found["number"])
+    return pd.Series([None if pd.isna(w) else json.dumps({"attributes": [one(w, n)]}, ensure_ascii=False) for w, n in rows], index=queries.index, dtype=object)
 
 
 def apply_predictor(
@@ -439,7 +443,7 @@ def apply_predictor(
 ) -> DataFrame:
     """Run any ``Series -> Series`` predictor over the table in Arrow batches. A batch that
     raises is retried row by row, so one bad text becomes one failed row; missing outputs
-    are failures too. The library's only Python boundary."""
+    are failures too."""
 
     def run(batches):
         for pdf in batches:

@@ -232,10 +232,13 @@ _PRIO = [("brand", 1), ("manufacturer", 2), ("product-type", 3), ("size", 4), ("
 
 @query(
     "x11_tag_vocab",
-    f"""WITH n AS (SELECT key, value, min(ord) AS ord FROM fx_vocab WHERE length(value) > 1 GROUP BY key, value),
+    f"""WITH RECURSIVE n AS (SELECT key, value, min(ord) AS ord FROM fx_vocab WHERE length(value) > 1 GROUP BY key, value),
         h AS (SELECT q.qid, n.key, n.value, n.ord, CAST(p.rank AS INTEGER) AS key_rank FROM fx_queries q, n JOIN {values(_PRIO, 'key', 'rank')} p ON p.key = n.key WHERE contains(lower(q.query), lower(trim(n.value)))),
-        o AS (SELECT qid, value, arg_min(key, key_rank * 1000000000::BIGINT + ord) AS key, arg_min(key_rank, key_rank * 1000000000::BIGINT + ord) AS key_rank, arg_min(ord, key_rank * 1000000000::BIGINT + ord) AS ord FROM h GROUP BY qid, value)
-        SELECT qid, key, key_rank, arg_min(value, ord) AS value FROM o GROUP BY qid, key, key_rank""",
+        s AS (SELECT qid, list({{'key_rank': key_rank, 'key': key, 'ord': ord, 'value': value}} ORDER BY key_rank, key, ord, value) AS l FROM h GROUP BY qid),
+        f AS (SELECT qid, l, 1 AS i, [] :: VARCHAR[] AS keys, [] :: VARCHAR[] AS vals, false AS took FROM s UNION ALL
+          SELECT qid, l, i + 1, CASE WHEN t THEN list_append(keys, l[i].key) ELSE keys END, CASE WHEN t THEN list_append(vals, l[i].value) ELSE vals END, t
+          FROM (SELECT *, NOT (list_contains(keys, l[i].key) OR list_contains(vals, l[i].value)) AS t FROM f WHERE i <= len(l)) g)
+        SELECT qid, l[i - 1].key AS key, l[i - 1].key_rank AS key_rank, l[i - 1].value AS value FROM f WHERE took""",
 )
 def _(spark, d):
     prio = small_table(spark, _PRIO, "key string, rank int")

@@ -34,8 +34,12 @@ def _(spark, d):
         F.when(F.col("success"), "True").otherwise("False").alias("success"),
         F.to_json(F.struct("attributes")).alias("attributes_json"),
     )
-    results.write_report(out, path, out.columns)
-    return reshape.unnest(results.read_results(spark, path, "b"), "source", "query", "success")
+    # files of one folder with different headings: another order, one more column, a comma in its name
+    odd = F.length("attributes_json") % 2 == 0
+    results.write_report(out.filter(odd), f"{path}/x=1", out.columns)
+    other = out.filter(~odd).withColumnRenamed("\ufeffquery", "query").withColumn("note, free", F.lit('said "a, b"'))
+    results.write_report(other, f"{path}/x=2", ["success", "note, free", "attributes_json", "query"])
+    return reshape.unnest(results.read_results(spark, f"{path}/*", "b"), "source", "query", "success")
 
 
 @query("s2_read_vocab", "SELECT key, value, count(*) AS n FROM fx_vocab GROUP BY key, value")
@@ -81,14 +85,14 @@ def _(spark, d):
 
 @query(
     "s6_read_queries",
-    "SELECT 'csv' AS kind, query FROM fx_queries UNION ALL SELECT 'lines', query FROM fx_queries WHERE qid % 2 = 0",
+    "SELECT 'csv' AS kind, query FROM fx_queries UNION ALL SELECT 'lines', query FROM fx_queries",
 )
 def _(spark, d):
     csv, lines = scratch_path(spark, "s6"), scratch_path(spark, "s6")
     q = fx.queries(spark, d)
     results.write_report(q.select("qid", F.concat(F.lit(" "), "query").alias("query")), csv, ["qid", "query"])
     heading = q.filter("qid = 0").select(F.lit("query").alias("query"))
-    q.filter("qid % 2 = 0").select("query").unionByName(heading).write.text(lines)
+    q.select("query").unionByName(heading).write.text(lines)
     return (
         results.read_queries(spark, csv)
         .select(F.lit("csv").alias("kind"), "query")
@@ -322,11 +326,15 @@ def _(spark, d):
 
 @query(
     "p11_parse_flat_map",
-    "SELECT event_id, CAST(1 AS INTEGER) AS pos, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events WHERE event_id % 5 <> 0",
+    """SELECT event_id, CAST(1 AS INTEGER) AS pos, 'k' AS key, CASE WHEN event_id % 3 = 0 THEN 'last' ELSE json_extract_string(props, '$.k') END AS value FROM events WHERE event_id % 5 <> 0
+       UNION ALL SELECT event_id, CAST(2 AS INTEGER), 'n', '1' FROM events WHERE event_id % 5 <> 0 AND event_id % 3 = 0""",
 )
 def _(spark, d):
     k = F.col("event_id")
     cell = F.when(k % 5 == 0, F.concat("props", F.lit("}"), F.lit("{"))).when(k % 2 == 0, F.translate("props", '"', "'")).otherwise(F.col("props"))
+    # every third cell has a key twice
+    again = F.lit(', "n": "1", "k": "last"}')
+    cell = F.when(k % 3 == 0, F.concat(F.expr("substring(props, 1, length(props) - 1)"), again)).otherwise(cell)
     cell = F.when(k % 5 == 0, F.substring("props", 2, 100)).otherwise(cell)
     return entries(fx.table(spark, d, "events"), ["event_id"], P.parse_flat_map(cell))
 

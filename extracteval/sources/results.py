@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,47 +13,66 @@ from pyspark.sql import types as T
 
 from ..functions.lexicon import PLACEHOLDERS
 from ..functions.normalize import strip
-from ..functions.parsing import parse_nested
+from ..functions.parsing import last_wins, parse_nested
 from ..schemas import ATTRIBUTE, MAP_RESULT, PAIR, RESULT_CSV, VOCAB
 
 _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 _BOM = "﻿"
 
 
-def csv_columns(spark: SparkSession, path: str) -> list[str]:
-    """The header names, read from the first line alone; a byte-order mark is dropped."""
-    line = spark.read.text(path).first()
-    if line is None:
-        return []
-    return [c.strip().strip('"') for c in line[0].lstrip(_BOM).split(",")]
+def csv_headings(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a folder by their heading. Every file's first line is parsed as CSV, so names
+    may hold commas; a byte-order mark is dropped. One row per file comes to the driver, like the
+    listing that reading them takes anyway."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("heading"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file").collect():
+        names = tuple(c.strip() for c in next(csv.reader([row["heading"].lstrip(_BOM)]), []))
+        found.setdefault(names, []).append(unquote(row["file"]))
+    return found
+
+
+def _read_csv(spark: SparkSession, names: Sequence[str], files: list[str]) -> DataFrame:
+    known = {f.name: f.dataType for f in RESULT_CSV}
+    schema = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
+    return spark.read.schema(schema).options(**_CSV, enforceSchema="true").csv(files)
 
 
 def read_results(spark: SparkSession, path: str, source: str) -> DataFrame:
     """CSV with attribute JSON in a cell -> ``source, query, success, attributes``.
 
-    Columns are matched by header name, so their order and number may vary; a missing
-    ``success`` means true. Cells may span lines, which is why one file is one task: write
-    the input as many files of moderate size."""
-    names = csv_columns(spark, path)
-    known = {f.name: f.dataType for f in RESULT_CSV}
-    schema = T.StructType([T.StructField(n, known.get(n, T.StringType())) for n in names])
-    raw = spark.read.schema(schema).options(**_CSV, enforceSchema="true").csv(path)
-    success = (F.col("success") == "True") if "success" in names else F.lit(True)
-    nested = F.col("attributes_json") if "attributes_json" in names else F.lit(None).cast("string")
-    return raw.select(
-        F.lit(source).alias("source"),
-        F.regexp_replace("query", f"^{_BOM}", "").alias("query"),
-        F.coalesce(success, F.lit(False)).alias("success"),
-        parse_nested(nested).alias("attributes"),
-    )
+    Columns are matched by each file's own heading, so their order and number may vary between
+    files; a missing ``success`` means true, a missing ``query`` is an error. Cells may span lines,
+    which is why one file is one task: write the input as many files of moderate size."""
+    parts = []
+    for names, files in csv_headings(spark, path).items():
+        if "query" not in names:
+            raise ValueError(f"no column named query in {files[0]}")
+        success = (F.col("success") == "True") if "success" in names else F.lit(True)
+        nested = F.col("attributes_json") if "attributes_json" in names else F.lit(None).cast("string")
+        parts.append(_read_csv(spark, names, files).select(
+            F.lit(source).alias("source"),
+            F.regexp_replace("query", f"^{_BOM}", "").alias("query"),
+            F.coalesce(success, F.lit(False)).alias("success"),
+            parse_nested(nested).alias("attributes"),
+        ))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([
+            T.StructField("source", T.StringType()), T.StructField("query", T.StringType()),
+            T.StructField("success", T.BooleanType()), T.StructField("attributes", T.ArrayType(ATTRIBUTE)),
+        ]))
+    return reduce(DataFrame.union, parts)
 
 
 def read_map_results(spark: SparkSession, path: str, source: str, multi_line: bool = True) -> DataFrame:
     """JSON results with a flat attribute map -> the same relation; the order of the map
-    becomes the attribute priority."""
+    becomes the attribute priority. A repeated key keeps its first place and last value."""
     raw = spark.read.schema(MAP_RESULT).option("multiLine", str(multi_line).lower()).json(path)
     entries = F.transform(
-        F.map_entries("attributes"),
+        last_wins(F.map_entries("attributes")),
         lambda e, i: F.struct(
             e["key"].alias("attribute_key"),
             e["value"].alias("value"),
@@ -85,14 +107,16 @@ def read_vocab_text(spark: SparkSession, path: str, placeholders: Sequence[str]
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """The ``query`` column of a CSV if it has one, else every non-blank line except a
-    ``query`` heading."""
-    names = csv_columns(spark, path)
-    if "query" in names:
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        rows = spark.read.schema(schema).options(**_CSV).csv(path).select("query")
-    else:
-        rows = spark.read.text(path).select(F.col("value").alias("query")).filter(F.lower(strip(F.col("value"))) != "query")
+    """Of each file the ``query`` column of a CSV if its heading has one, else every non-blank line
+    except a ``query`` heading."""
+    parts = []
+    for names, files in csv_headings(spark, path).items():
+        if "query" in names and len(names) > 1:
+            parts.append(_read_csv(spark, names, files).select("query"))
+        else:
+            lines = spark.read.text(files).select(F.regexp_replace("value", f"^{_BOM}", "").alias("query"))
+            parts.append(lines.filter(F.lower(strip(F.col("query"))) != "query"))
+    rows = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "query string")
     return rows.select(strip(F.col("query")).alias("query")).filter("query <> ''")
 
 

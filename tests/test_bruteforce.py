@@ -178,3 +178,30 @@ def test_vocabulary_tagging_matches_the_greedy_pass(spark):
     ).collect():
         got[r["qid"]][r["key"]] = r["value"]
     assert dict(got) == {1: {"brand": "acme", "size": "5 kg", "type": "round"}, 2: {"brand": "acme", "size": "10 mm"}, 4: {"type": "round"}}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_vocabulary_tagging_with_shared_values(spark, seed):
+    rng = random.Random(seed)
+    names = ["acme", "zeta", "ome", "round one", "5 kg", "red"]
+    vocab = [(rng.choice("abcd"), rng.choice(names), i) for i in range(16)]
+    texts = [(i, " ".join(rng.choice(names) for _ in range(rng.randint(0, 5)))) for i in range(60)]
+    ranks = [("b", 1), ("d", 2), ("a", 3), ("c", 4)]
+    want = set()
+    for qid, text in texts:
+        used = set()
+        for key, _ in ranks:
+            first = {}
+            for k, v, o in vocab:
+                if k == key:
+                    first.setdefault(v, o)
+            for v in sorted(first, key=lambda v: first[v]):
+                if v in text and v not in used:
+                    used.add(v)
+                    want.add((qid, key, v))
+                    break
+    got = tagging.tag_vocab(
+        spark.createDataFrame(texts, "qid bigint, query string"), spark.createDataFrame(vocab, "key string, value string, ord bigint"),
+        spark.createDataFrame(ranks, "key string, rank int"),
+    ).collect()
+    assert {(r["qid"], r["key"], r["value"]) for r in got} == want and len(got) == len(want)

@@ -138,3 +138,26 @@ def test_report_sink_keeps_column_order(spark, tmp_path, attrs):
     results.write_report(wide, str(tmp_path / "out"), ["attr_value_1", "qid"])
     back = spark.read.options(header="true", quote='"', escape='"').csv(str(tmp_path / "out"))
     assert back.columns == ["attr_value_1", "qid"] and back.first()[0] == 'say "hi", ok'
+
+
+def test_each_file_has_its_own_heading(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('query,success,attributes_json\n"x, y",True,\n', encoding="utf-8")
+    (tmp_path / "b 1.csv").write_text('\ufeffsuccess,"a,b",query\nFalse,1,z\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text("query\nonly\n", encoding="utf-8")
+    got = sorted((r["query"], r["success"]) for r in results.read_results(spark, str(tmp_path), "s").collect())
+    assert got == [("only", True), ("x, y", True), ("z", False)]
+    assert sorted(r["query"] for r in results.read_queries(spark, str(tmp_path)).collect()) == ["only", "x, y", "z"]
+    (tmp_path / "d.csv").write_text("name\nx\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="query"):
+        results.read_results(spark, str(tmp_path), "s")
+
+
+def test_a_repeated_key_keeps_its_last_value(spark, tmp_path):
+    from extracteval.functions.parsing import parse_flat_map
+
+    cell = '{"a": "1", "b": "2", "a": "3"}'
+    row = spark.createDataFrame([(cell,)], "c string").select(parse_flat_map(F.col("c")).alias("e")).first()
+    assert [(e["key"], e["value"]) for e in row["e"]] == [("a", "3"), ("b", "2")]
+    (tmp_path / "r.json").write_text('{"query": "q", "success": true, "attributes": %s}' % cell, encoding="utf-8")
+    row = results.read_map_results(spark, str(tmp_path), "s", multi_line=False).first()
+    assert [(a["attribute_key"], a["value"], a["attribute_priority"]) for a in row["attributes"]] == [("a", "3", 1), ("b", "2", 2)]
