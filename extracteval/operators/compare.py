@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import norm_key, norm_value
-from ..session import materialise
 
 
 def with_norms(attrs: DataFrame, mode: str = "collapse") -> DataFrame:
@@ -220,91 +219,63 @@ def value_pairs(gt: DataFrame, cand: DataFrame, on: str = "qid", mode: str = "st
 
 
 NUMBERS = r"\d+\.?\d*"
-# Up to this many candidate attributes a query is matched inside its row.
-POOL_LIMIT = 500
 
 
 def _numbers(v: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(v, F.lit(f"({NUMBERS})"), 1)))
 
 
-def fuzzy_flags(gt: DataFrame, cand: DataFrame, on: str = "qid", pool_limit: int = POOL_LIMIT) -> DataFrame:
+def fuzzy_flags(gt: DataFrame, cand: DataFrame, on: str = "qid") -> DataFrame:
     """Reference attributes with ``value_matched``: some candidate value of the same query
     is equal, contains it, is contained in it, or has the same non-empty set of numbers.
     Blank values match nothing.
 
-    The candidate values of a query are made distinct and folded into one array, so the join
-    adds one row to each attribute and the test runs inside the row. Queries with more
-    candidate attributes than ``pool_limit`` are found by one count over the key column and
-    take :func:`_matched_values` instead, which is exact too and gathers nothing."""
+    Distinct values meet in equi-joins only, whatever the size of a query, see
+    :func:`_within`; nothing is gathered per query."""
     mine = gt.withColumn("norm_value", norm_value(F.col("value")))
-    theirs = cand.select(on, norm_value(F.col("value")).alias("v")).filter("v <> ''")
-    big = materialise(cand.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > pool_limit).select(on), "big")
-    split = not big.isEmpty()
-    pool = (
-        (theirs.join(big, on, "left_anti") if split else theirs)
-        .distinct()
-        .select(on, F.struct("v", _numbers(F.col("v")).alias("nums")).alias("e"))
-        .groupBy(on)
-        .agg(F.collect_list("e").alias("_pool"))
-    )
-    hit = F.exists(
-        "_pool",
-        lambda e: e["v"].contains(F.col("norm_value"))
-        | F.col("norm_value").contains(e["v"])
-        | ((F.size("_nums") > 0) & (e["nums"] == F.col("_nums"))),
-    )
-    inside = (
-        (mine.join(big, on, "left_anti") if split else mine)
-        .withColumn("_nums", _numbers(F.col("norm_value")))
-        .join(pool, on, "left")
-        .withColumn("value_matched", F.coalesce((F.col("norm_value") != "") & hit, F.lit(False)))
-        .drop("_pool", "_nums", "norm_value")
-    )
-    if not split:
-        return inside
-    large = mine.join(big, on, "left_semi")
-    found = _matched_values(
-        large.select(on, F.col("norm_value").alias("v")).filter("v <> ''").distinct(), theirs.join(big, on, "left_semi").distinct(), on
-    ).select(on, F.col("v").alias("norm_value"), F.lit(True).alias("_hit"))
-    outside = (
-        large.join(found, [on, "norm_value"], "left")
+    left = mine.select(on, F.col("norm_value").alias("v")).filter("v <> ''").distinct()
+    right = cand.select(on, norm_value(F.col("value")).alias("v")).filter("v <> ''").distinct()
+    nums = lambda df: df.withColumn("_k", F.array_join(_numbers(F.col("v")), " ")).filter("_k <> ''")
+    numbered = nums(left).join(nums(right).select(on, "_k").distinct(), [on, "_k"], "left_semi").select(on, "v")
+    inside = _within(left, right, on).select(on, F.col("short").alias("v"))
+    around = _within(right, left, on).select(on, F.col("long").alias("v"))
+    hits = inside.union(around).union(numbered).distinct().select(on, F.col("v").alias("norm_value"), F.lit(True).alias("_hit"))
+    return (
+        mine.join(hits, [on, "norm_value"], "left")
         .withColumn("value_matched", F.coalesce("_hit", F.lit(False)))
-        .select(*inside.columns)
+        .drop("_hit", "norm_value")
     )
-    return inside.unionByName(outside)
 
 
-def _substrings(values: DataFrame, on: str, lengths: list[int]) -> DataFrame:
-    """``(on, v, sub)``: every substring of each value with one of the given lengths."""
-    n = F.col("_l")
-    return (
-        values.select(on, "v", F.explode(F.array(*[F.lit(i) for i in lengths])).alias("_l"))
-        .filter(n <= F.length("v"))
-        .select(on, "v", "_l", F.explode(F.sequence(F.lit(1), F.length("v") - n + 1)).alias("_p"))
-        .select(on, "v", F.substring("v", F.col("_p"), n).alias("sub"))
-    )
-
+def _step(n: Column) -> Column:
+    """The key length of a value of ``n`` characters: 1, 2, 3, 4, 8, 16, ..., the largest that fits."""
+    return F.when(n < 4, n).otherwise(F.pow(F.lit(2), F.length(F.bin(n)) - 1).cast("int"))
 
-def _lengths(values: DataFrame) -> list[int]:
-    """The distinct value lengths: a handful of numbers."""
-    return sorted(r[0] for r in values.select(F.length("v")).distinct().collect())
 
+def _within(short: DataFrame, long: DataFrame, on: str) -> DataFrame:
+    """``(on, short, long)`` of values ``v`` found inside values of the other table.
 
-def _matched_values(mine: DataFrame, theirs: DataFrame, on: str) -> DataFrame:
-    """The distinct ``(on, v)`` of ``mine`` with a fuzzy partner in ``theirs``, by equi-joins
-    alone: containment is equality with one of the other side's substrings. No values are
-    paired, so the work grows with the text and not with the square of the group."""
-    if mine.isEmpty() or theirs.isEmpty():
-        return mine.limit(0)
-    other = theirs.withColumnRenamed("v", "sub")
-    contained = mine.withColumnRenamed("v", "sub").join(
-        _substrings(theirs, on, _lengths(mine)).select(on, "sub").distinct(), [on, "sub"], "left_semi"
-    ).withColumnRenamed("sub", "v")
-    containing = _substrings(mine, on, _lengths(theirs)).join(other, [on, "sub"], "left_semi").select(on, "v")
-    nums = lambda df: df.withColumn("_k", F.array_join(_numbers(F.col("v")), " ")).filter("_k <> ''")
-    numbered = nums(mine).join(nums(theirs).select(on, "_k").distinct(), [on, "_k"], "left_semi").select(on, "v")
-    return contained.unionByName(containing).unionByName(numbered).distinct()
+    A short value has two keys of one length, its start and its end, which cover it. A long value
+    has a key at every position, for the key lengths its query asks for. The short value lies
+    inside where its start's key is, and its end's key the right way on; positions travel with
+    64-bit keys, not with text, and what is found is confirmed on the texts."""
+    n = F.length("v")
+    s = short.select(on, F.col("v").alias("short"), n.alias("n"), _step(n).alias("k")).withColumn("a", F.xxhash64(F.expr("substring(short, 1, k)"))).withColumn(
+        "b", F.xxhash64(F.expr("substring(short, n - k + 1, k)"))
+    )
+    asked = s.groupBy(on).agg(F.collect_set("k").alias("ks"))  # thirty lengths at most
+    grams = (
+        long.join(asked, on).select(on, F.col("v").alias("long"), F.explode("ks").alias("k")).filter(F.col("k") <= F.length("long"))
+        .select(on, "long", "k", F.explode(F.sequence(F.lit(1), F.length("long") - F.col("k") + 1)).alias("p"))
+        .select(on, F.xxhash64("long").alias("id"), "k", "p", F.xxhash64(F.expr("substring(long, p, k)")).alias("g"))
+    )
+    starts = grams.join(s.select(on, "k", F.col("a").alias("g"), "b", "n", "short"), [on, "k", "g"])
+    exact = starts.filter("n = k").select(on, "id", "short")
+    wider = starts.filter("n > k").select(on, "id", "k", (F.col("p") + F.col("n") - F.col("k")).alias("p"), F.col("b").alias("g"), "short")
+    wider = wider.join(grams, [on, "id", "k", "p", "g"], "left_semi").select(on, "id", "short")
+    found = exact.union(wider).distinct()
+    texts = long.select(on, F.xxhash64("v").alias("id"), F.col("v").alias("long"))
+    return found.join(texts, [on, "id"]).filter(F.col("long").contains(F.col("short"))).select(on, "short", "long")
 
 
 def canonical_flags(gt: DataFrame, cand: DataFrame, synonyms: DataFrame, on: str = "qid") -> DataFrame:

@@ -166,11 +166,11 @@ def fan_out(ranked: DataFrame, synonyms: DataFrame, on: str = "id") -> DataFrame
     )
 
 
-def dedupe_records(recs: DataFrame, min_entries: int = 4, cap: int = 2000, ord: str = "id") -> DataFrame:
-    """First record per query, at least ``min_entries`` attributes, at most ``cap`` records
-    in order: the size of the set is part of its definition."""
-    big = recs.filter(F.size("attributes") >= min_entries)
-    return keep_first(big, "query", ord).orderBy(ord).limit(cap)
+def dedupe_records(recs: DataFrame, min_entries: int = 4, cap: int | None = None, ord: str = "id") -> DataFrame:
+    """First record per query, at least ``min_entries`` attributes; the first ``cap`` records in
+    order, where a set of fixed size is wanted."""
+    found = keep_first(recs.filter(F.size("attributes") >= min_entries), "query", ord)
+    return found if cap is None else found.orderBy(ord).limit(cap)
 
 
 # -------------------------------------------------------------------- splits and samples

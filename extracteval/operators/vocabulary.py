@@ -108,8 +108,7 @@ def vocab_digest(vocab: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-# The frame of a prompt.
-PROMPT_HEAD = "ATTRIBUTE EXTRACTION TRAINING DATA:\n\n"
+PROMPT_HEAD = "Known attributes and values\n\n"
 PROMPT_BULLET = "• "
 PROMPT_QUERY = 'Query: "{}"\nOutput: '
 

@@ -376,11 +376,11 @@ def _(spark, d):
 @query(
     "t5_dedupe_records",
     """SELECT min(qid) AS id, query FROM (SELECT q.qid, q.query FROM fx_queries q JOIN (SELECT qid FROM fx_gt GROUP BY qid HAVING count(*) >= 7) g ON g.qid = q.qid) t
-       GROUP BY query ORDER BY id LIMIT 1000""",
+       GROUP BY query""",
 )
 def _(spark, d):
     recs = fx.queries(spark, d).join(nest(fx.gt(spark, d)), "qid").select(F.col("qid").alias("id"), "query", "attributes")
-    return datasets.dedupe_records(recs, 7, 1000).select("id", "query")
+    return datasets.dedupe_records(recs, 7).select("id", "query")
 
 
 @query(

@@ -886,9 +886,9 @@ def _wide(n: int, view: str) -> str:
     return f"SELECT qid, {cols}, CAST(greatest(count(*) - {n}, 0) AS BIGINT) AS overflow FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY attribute_key, pos) AS r FROM {view}) t GROUP BY qid"
 
 
-@query("r2_widen", _wide(6, "fx_gt"))
+@query("r2_widen", _wide(8, "fx_gt"))
 def _(spark, d):
-    return reshape.widen(fx.gt(spark, d), 6)
+    return reshape.widen(fx.gt(spark, d), 8)
 
 
 @query("r3_widen_auto", f"SELECT * EXCLUDE (overflow) FROM ({_wide(7, 'fx_gt')}) w")

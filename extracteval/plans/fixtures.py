@@ -12,7 +12,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
 
 # --------------------------------------------------------------------------- SQL texts
 
@@ -288,7 +287,7 @@ def specs(spark: SparkSession, d: str) -> DataFrame:
     for i, c in reversed(list(enumerate(cells[:-1]))):
         query = F.when(F.col("o_orderkey") % 8 == i, c).otherwise(query)
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return spread(orders).select(F.col("o_orderkey").alias("qid"), query.alias("query"))
+    return orders.select(F.col("o_orderkey").alias("qid"), query.alias("query"))
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:

@@ -69,7 +69,7 @@ def label_training(items: DataFrame, n: int, p: float, seed: str) -> DataFrame:
     valid = materialise(labels.valid_labelled(items, n), "labelled")
     rendered = datasets.render_instruction(datasets.split_stratified(valid, "label_id", "ord", seed, p), "ord", f"{seed}:templates", "name")
     name = F.regexp_extract(F.to_json(F.array("label")), r"(?s)^\[(.*)\]$", 1)
-    output = F.concat(F.lit('{"mcat_name": '), name, F.lit(', "mcat_id": '), F.col("label_id").cast("string"), F.lit("}"))
+    output = F.concat(F.lit('{"label_name": '), name, F.lit(', "label_id": '), F.col("label_id").cast("string"), F.lit("}"))
     return rendered.select("ord", "split", "instruction", output.alias("output"))
 
 

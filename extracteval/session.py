@@ -52,16 +52,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with far fewer partitions than there are cores one partition per core.
-
-    Pattern matching costs much more than reading, and a small table in one row group would
-    do it all in one task. Looks at the number of splits only; a scan that already has
-    enough of them is returned as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a relation that several steps need as Parquet in the shared folder and go on
     from the files: the work behind it is done once, survives the loss of executors, and

@@ -99,7 +99,6 @@ def write_manifest(manifest_df: DataFrame, path: str) -> None:
 # The shape of a progress line.
 LOG_TIME = r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\]"
 LOG_PROGRESS = r"Progress: (\d+)/(\d+) .*Success: (\d+) \| Failed: (\d+)"
-LOG_FAILED = r"Failed query #(\d+)"
 
 
 def parse_log_lines(lines: DataFrame, line: str = "value", log: str = "log") -> DataFrame:

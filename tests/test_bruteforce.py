@@ -29,9 +29,9 @@ def nv(s):
     return " ".join(s.lower().strip().split())
 
 
-@pytest.mark.parametrize("pool_limit", [0, 10, 500])
-def test_sets_and_priorities(attrs, pool_limit):
-    rng = random.Random(pool_limit)
+@pytest.mark.parametrize("seed", [0, 10, 500])
+def test_sets_and_priorities(attrs, seed):
+    rng = random.Random(seed)
     g, c = random_attrs(rng, 300), random_attrs(rng, 300)
     gt, cand = attrs(g), attrs(c)
     by = lambda rows: {q: [r for r in rows if r[0] == q] for q in {r[0] for r in rows}}
@@ -39,7 +39,7 @@ def test_sets_and_priorities(attrs, pool_limit):
     got = {r["qid"]: r for r in compare.set_counts(compare.term_flags(gt, cand)).collect()}
     pairs = {r["qid"]: r for r in compare.priority_counts(gt, cand).collect()}
     fuzzy = defaultdict(list)
-    for r in compare.fuzzy_flags(gt, cand, pool_limit=pool_limit).orderBy("qid", "pos").collect():
+    for r in compare.fuzzy_flags(gt, cand).orderBy("qid", "pos").collect():
         fuzzy[r["qid"]].append(r["value_matched"])
     for q in set(gq) | set(cq):
         a, b = gq.get(q, []), cq.get(q, [])
@@ -205,3 +205,21 @@ def test_vocabulary_tagging_with_shared_values(spark, seed):
         spark.createDataFrame(ranks, "key string, rank int"),
     ).collect()
     assert {(r["qid"], r["key"], r["value"]) for r in got} == want and len(got) == len(want)
+
+
+def test_fuzzy_values_long_and_hot(attrs):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(n)) or "a"
+    hot = [word(rng.choice([1, 2, 3, 5, 7, 8, 9, 15, 16, 17, 33, 200])) for _ in range(120)]
+    longs = [word(30) + rng.choice(hot) + word(700) for _ in range(5)] + ["", "12 x 5", "5 by 12.0"]
+    gt = attrs([(1, f"k{i}", v) for i, v in enumerate(hot + longs)] + [(2, "k", "abc")])
+    cand_values = [word(rng.choice([1, 4, 6, 12, 64])) for _ in range(60)] + longs[:2] + ["5/12"]
+    got = {r["pos"]: r["value_matched"] for r in compare.fuzzy_flags(gt, attrs([(1, f"c{i}", v) for i, v in enumerate(cand_values)])).filter("qid = 1").collect()}
+    norm = lambda v: " ".join(v.lower().split())
+    import re
+
+    nums = lambda v: set(re.findall(r"\d+\.?\d*", v))
+    theirs = [norm(v) for v in cand_values if norm(v)]
+    for pos, v in enumerate(map(norm, hot + longs), 1):
+        want = bool(v) and any(v in t or t in v or (nums(v) and nums(v) == nums(t)) for t in theirs)
+        assert got[pos] == want, v
