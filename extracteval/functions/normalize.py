@@ -68,6 +68,13 @@ def unquote_value(c: Column) -> Column:
     return F.when(special, inner).otherwise(squeeze(F.lower(text)))
 
 
+def percent_decode(c: Column) -> Column:
+    """Percent escapes decoded and nothing else: plus signs, and percent signs that do not start
+    an escape, are kept."""
+    safe = F.replace(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(safe), c)
+
+
 def clean_query(c: Column) -> Column:
     """Percent-decode, plus signs to spaces, squeeze. Percent signs that do not start an
     escape are kept as they are, so a malformed cell is never lost."""

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.normalize import clean_query, squeeze
+from ..functions.normalize import clean_query, percent_decode, squeeze
 from ..functions.tables import broadcast_if, small_table
 from ..schemas import PREDICTION
 
@@ -374,6 +374,16 @@ def fallback_category(texts: DataFrame, tags: DataFrame, on: str = "qid", text:
     return tag_rules(untagged, [[_one("product_type", first_of(F.col("_clean"), L.LAST_RESORT))]], on, text)
 
 
+def reference_tags(texts: DataFrame, on: str = "qid", text: str = "query") -> DataFrame:
+    """The tags of a rule-made reference, from the decoded texts: quantities, model number, motor
+    types, ordered alternatives, labels; a product category only where no motor type was found."""
+    decoded = texts.select(on, percent_decode(F.col(text)).alias(text))
+    families = [all_quantity_tags(), motor_type_tags(), first_of_tags(), multi_tags(), model_tags("patterns")]
+    tags = tag_rules(decoded, families, on, text)
+    motor = F.max(F.col("facet") == "motor_type").over(W.partitionBy(on))  # the tags of one text
+    return tags.withColumn("_motor", motor).filter(~F.col("_motor") | (F.col("facet") != "product_category")).drop("_motor")
+
+
 def assemble(tags: DataFrame, facet_keys: Mapping[str, Sequence[str]] = L.FACET_KEYS, on: str = "qid") -> DataFrame:
     """Tags to the attribute relation: facet order (then tag order) numbers the attribute
     priorities, and every value is listed under all keys of its facet. Facets without an

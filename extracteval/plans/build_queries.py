@@ -203,6 +203,9 @@ def _(spark, d):
 _TAGS = f"""(WITH t AS ({_LOW}) SELECT qid, facet, value, 1 AS ord FROM ({_all_sql()}) u WHERE value IS NOT NULL UNION ALL SELECT qid, facet, value, ord FROM {_MOTOR} m
     UNION ALL {' UNION ALL '.join(f"SELECT qid, '{f}', {_case(r)}, 1 FROM t WHERE {_case(r)} IS NOT NULL" for f, r in L.FIRST_OF.items())}
     UNION ALL {' UNION ALL '.join(f"SELECT qid, '{f}', {lit(v)}, {i} FROM t WHERE {c}" for f, v, i, c in _MULTI)})"""
+# the reference reads decoded texts, has a model number, and a category only without a motor type
+_TAGS = f"""(SELECT * FROM ({_TAGS} UNION ALL SELECT qid, 'model_number', v, 1 FROM (SELECT qid, {_MODEL_SQL} AS v FROM fx_specs) m WHERE v IS NOT NULL) a
+    WHERE NOT (facet = 'product_category' AND qid IN (SELECT qid FROM {_MOTOR} n)))""".replace("fx_specs", "(SELECT qid, url_decode(query) AS query FROM fx_specs)")
 _FACETS = values([(f, i, n, k) for i, (f, ks) in enumerate(L.FACET_KEYS.items()) for n, k in enumerate(ks, 1)], "facet", "facet_ord", "key_priority", "attribute_key")
 
 
@@ -213,8 +216,7 @@ _FACETS = values([(f, i, n, k) for i, (f, ks) in enumerate(L.FACET_KEYS.items())
         SELECT qid, attribute_key, value, key_priority, attribute_priority FROM r JOIN {_FACETS} k USING (facet)""",
 )
 def _(spark, d):
-    families = [tagging.all_quantity_tags(), tagging.motor_type_tags(), tagging.first_of_tags(), tagging.multi_tags()]
-    return tagging.assemble(tagging.tag_rules(fx.specs(spark, d), families))
+    return tagging.assemble(tagging.reference_tags(fx.specs(spark, d)))
 
 
 @query(

@@ -39,10 +39,8 @@ def head_to_head(reference: DataFrame, candidates: Mapping[str, DataFrame], on:
 
 
 def tag_reference(texts: DataFrame, on: str = "qid") -> DataFrame:
-    """A rule-made reference for short product texts: quantities, ordered alternatives,
-    types, labels; assembled under all their keys."""
-    families = [tagging.all_quantity_tags(), tagging.motor_type_tags(), tagging.first_of_tags(), tagging.multi_tags()]
-    attrs = tagging.assemble(tagging.tag_rules(texts, families, on), on=on)
+    """A rule-made reference for short product texts, assembled under all its keys."""
+    attrs = tagging.assemble(tagging.reference_tags(texts, on), on=on)
     return attrs.withColumn("pos", F.col("attribute_priority") * 100 + F.col("key_priority"))
 
 

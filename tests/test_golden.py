@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from extracteval.functions.normalize import percent_decode
 from extracteval.functions import normalize as N
 from extracteval.functions import parsing as P
 from extracteval.operators import compare, metrics, reshape, tagging, vocabulary
@@ -179,3 +180,15 @@ def test_literals_are_necessary():
             if need is not None and re.search(p, w):
                 assert any(t in w for t in need)
     assert guarded > 50
+
+
+def test_reference_reads_decoded_texts(spark):
+    texts = spark.createDataFrame([(1, "dol%20starter%20415v"), (2, "siemens induction motor with encoder"), (3, "rotary encoder"), (4, "motor 1FK2104-5AF"), (5, "100%25 c+d 5%")], "qid bigint, query string")
+    got = {}
+    for r in tagging.reference_tags(texts).collect():
+        got.setdefault(r["qid"], {}).setdefault(r["facet"], []).append(r["value"])
+    assert got[1]["voltage"] == ["415v"]
+    assert "motor_type" in got[2] and "product_category" not in got[2]
+    assert got[3]["product_category"] == ["encoder"]
+    assert got[4]["model_number"] == ["1FK2104-5AF"]
+    assert texts.filter("qid = 5").select(percent_decode(F.col("query"))).first()[0] == "100% c+d 5%"
