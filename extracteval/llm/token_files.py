@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .files import put
 MAGIC, BLOCK = b"PFORIDS1", 128
 FILE_IDS = 1 << 21  # ids after which a file ends with the document
 DOCS = 256  # documents whose words are in memory at once
-MEMO, MEMO_BYTES = 1 << 19, 64  # words a worker remembers the ids of, and their length at most
+MEMO, MEMO_BYTES = 1 << 20, 64  # words a worker remembers the ids of, and their length at most
 
 _HEAD = np.dtype([("min", "<u4"), ("width", "u1"), ("n", "u1")])
 _EXCEPTION = np.dtype([("at", "u1"), ("value", "<u4")])
@@ -54,9 +55,11 @@ def encode_blocks(ids: np.ndarray, percentile: float = 0.9) -> tuple[np.ndarray,
     grid = grid.reshape(n, BLOCK)
     low = grid.min(axis=1)
     rest = grid - low[:, None]
+    if not rest.max() >> 16:  # less to move about
+        rest = rest.astype(np.uint16)
     at = np.partition(rest, int(percentile * (BLOCK - 1)), axis=1)[:, int(percentile * (BLOCK - 1))]
     width = np.ceil(np.log2(at.astype(np.float64) + 1)).astype(np.uint8)
-    patched = rest >> width[:, None].astype(np.uint32) > 0
+    patched = rest > ((1 << width.astype(np.int64)) - 1)[:, None].astype(rest.dtype)
     packed: list[bytes] = [b""] * n
     for w in np.unique(width):
         if w:
@@ -134,6 +137,10 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 # ---- encoding ----
 
 
+def _small_letters(s: str) -> bool:
+    return s.isalpha() and s == s.lower() and is_normalized("NFC", s)
+
+
 class WordIds(dict):
     """Ids of the words of a text, as bytes of little-endian 32-bit numbers.
 
@@ -143,29 +150,50 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
 
-        self.parts = self._ids("\0")
-        self.part = self.parts[0] if len(self.parts) == 1 else None
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode many words at once, with a sign between them that is one token of its own."""
-        plain = [w for w in words if b"\0" not in w and b"<|" not in w] if self.part is not None else []
-        for lo in range(0, len(plain), 512):
-            some = plain[lo : lo + 512]
-            ids = self._ids(" \0 ".join(w.decode("utf-8", "replace") for w in some))
-            cuts = np.flatnonzero(ids == self.part)
+        # for words of small letters the tokenizer's rewriting and splitting change nothing
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        sign = self._ids("\0", self.plain)
+        self.sign = sign[0] if len(sign) == 1 else None
+
+    @staticmethod
+    def _ids(text: str, tokenizer) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _letters(self, words: list[bytes]) -> None:
+        """Words of small letters: many at once, with a sign between them that is one token."""
+        for lo in range(0, len(words), 512):
+            some = words[lo : lo + 512]
+            ids = self._ids(b" \0 ".join(some).decode(), self.plain)
+            cuts = np.flatnonzero(ids == self.sign)
             raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
             if len(ends) == len(some):
                 self.update(zip(some, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends))))
+
+    def _learn(self, words: list[bytes]) -> None:
+        letters, ended = set(), []
+        for w in words:
+            core = w if w.isalpha() else w.rstrip(b".,;:!?")
+            if (core.isalpha() and core.islower()) or (not core.isascii() and _small_letters(core.decode("utf-8", "replace"))):
+                letters.add(core)
+                if len(core) < len(w):  # the signs after a word are parted from it
+                    ended.append((w, core, w[len(core) :]))
+        if self.sign is not None:
+            self._letters([w for w in letters if w not in self])
+        known, tails = self.get, {}
+        for w, core, tail in ended:
+            if (found := known(core)) is not None:
+                if tail not in tails:
+                    tails[tail] = self._ids(tail.decode(), self.tokenizer).tobytes()
+                self[w] = found + tails[tail]
         for w in words:
             if w not in self:
-                self[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
+                self[w] = self._ids(w.decode("utf-8", "replace"), self.tokenizer).tobytes()
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         split = []
@@ -175,12 +203,12 @@ class WordIds(dict):
             split.append((raw if b"<|" in raw else raw.lower()).split())
         if len(self) > MEMO:
             self.clear()
-        new = list({w for words in split for w in words if w not in self})
+        new = [w for w in set().union(*split) if w not in self]
         self._learn(new)
         out = [b"".join(map(self.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > MEMO_BYTES:
-                del self[w]
+                self.pop(w, None)
         return out
 
 
