@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import small_table
 from ..session import materialise
 from .groups import sorted_groups
+from .storing import stored
 
 LENGTH, ANCHOR = 50, 26
 SIDE = LENGTH - ANCHOR  # bytes of context on either side of an anchor
@@ -108,7 +109,7 @@ def text_anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         places.append(at + lo)
         ranks.append(r[at])
         contexts.append(pair(side[at], side[at + SIDE + ANCHOR]))
-    return tuple(np.concatenate(x) for x in (places, ranks, contexts)) if places else (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in (places, ranks, contexts)) if places else tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64))
 
 
 # ---- tables ----
@@ -117,16 +118,22 @@ def text_anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _keyed(docs: DataFrame) -> DataFrame:
     """``doc, tag, text``: a null id as the latest; ``tag`` parts texts of the same id."""
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE))
-    return docs.select(doc.alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 22)).alias("tag"), "text")
+    return docs.select(doc.alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 22)).cast("int").alias("tag"), "text")
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
+    """``a, c, doc, tag``, a row per anchor, as small as it can be: ``a`` holds 48 bits of the rank and
+    16 of the context's, ``c`` 32 more of the context's and the place. Two different strings of one
+    group settle each other wrongly with a probability of 2^-48."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, rows = [], 0
             for doc, tag, text in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), batch["text"]):
                 place, rank, context = text_anchors(_raw(text.as_py()))
-                out.append((rank.view(np.int64), context.view(np.int64), np.full(len(place), doc), place + (tag << 40)))
+                a = (rank >> np.uint64(16) << np.uint64(16)) | (context >> np.uint64(48))
+                c = (context << np.uint64(32)) | place.astype(np.uint64)
+                out.append((a.view(np.int64), c.view(np.int64), np.full(len(place), doc), np.full(len(place), tag, np.int32)))
                 rows += len(place)
                 if rows >= ROWS:
                     yield _batch(out)
@@ -135,15 +142,19 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 yield _batch(out)
 
     def _batch(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["rank", "context", "doc", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "c", "doc", "tag"])
+
+    return docs.mapInArrow(run, "a bigint, c bigint, doc bigint, tag int")
+
 
-    return docs.mapInArrow(run, "rank bigint, context bigint, doc bigint, place bigint")
+def _rank() -> Column:
+    return F.shiftrightunsigned("a", 16)
 
 
 def frequent(docs: DataFrame) -> DataFrame:
     """``often``: ranks that a sample shows to be frequent, ``OFTEN`` at most. It only decides which
     ranks are sorted in parts."""
-    seen = _anchors(docs.where(F.pmod(F.xxhash64("doc", "tag", F.lit(7)), F.lit(SAMPLE)) == 0)).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    seen = _anchors(docs.where(F.pmod(F.xxhash64("doc", "tag", F.lit(7)), F.lit(SAMPLE)) == 0)).groupBy(_rank().alias("rank")).agg(F.count(F.lit(1)).alias("n"))
     seen = materialise(seen.where("n > 3"), "frequent")
     total = seen.agg(F.sum("n")).first()[0] or 0
     rows = seen.where(F.col("n") * OFTEN > total).orderBy(F.desc("n"), "rank").limit(OFTEN).collect()
@@ -155,8 +166,8 @@ def _part(of: Column) -> Column:
 
 
 def _open_or_settled(anchors: DataFrame) -> DataFrame:
-    """Step 1 on sorted anchors: ``settled, part, rank, doc, place``."""
-    keys = ["rank", "part", "context", "doc", "place"]
+    """Step 1 on sorted anchors: ``settled, part, doc, place``."""
+    keys = ["part", "a", "c", "doc", "tag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = context = first = None  # what the last row was in
@@ -165,13 +176,14 @@ def _open_or_settled(anchors: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rank, part, ctx, doc, place = (batch[k].to_numpy() for k in keys)
+            part, a, c, doc, tag = (batch[k].to_numpy() for k in keys)
+            rank, low, place = a >> 16, c >> 32, (tag.astype(np.int64) << 40) | (c & 0xFFFFFFFF)
             new_group = np.ones(len(rank), bool)
             new_group[1:] = (rank[1:] != rank[:-1]) | (part[1:] != part[:-1])
             new_group[0] = (rank[0], part[0]) != group
             new_ctx = new_group.copy()
-            new_ctx[1:] |= ctx[1:] != ctx[:-1]
-            new_ctx[0] |= ctx[0] != context
+            new_ctx[1:] |= (a[1:] != a[:-1]) | (low[1:] != low[:-1])
+            new_ctx[0] |= (a[0], low[0]) != context
             # the first document of each context; that of the first rows may be from before
             starts = np.flatnonzero(new_ctx)
             firsts = np.concatenate([[doc[0] if new_ctx[0] else first], doc[starts[starts > 0]]])
@@ -189,25 +201,25 @@ def _open_or_settled(anchors: DataFrame) -> DataFrame:
             if new_group[0]:
                 held = []
             if settled.any():
-                yield _rows([[x[settled]] for x in (part, rank, doc, place)], True)
+                yield _rows([[x[settled]] for x in (part, doc, place)], True)
             is_open = ~settled & many[number]
             if is_open.any():
-                yield _rows([[x[is_open]] for x in (part, rank, doc, place)], False)
+                yield _rows([[x[is_open]] for x in (part, doc, place)], False)
             last = number == number[-1]
             several = bool(many[-1])
             if number[-1] > 0:
                 held = []
             if not several:
                 keep = last & ~settled
-                held.append(tuple(x[keep] for x in (part, rank, doc, place)))
-            group, context, first = (rank[-1], part[-1]), ctx[-1], firsts[-1]
+                held.append(tuple(x[keep] for x in (part, doc, place)))
+            group, context, first = (rank[-1], part[-1]), (a[-1], low[-1]), firsts[-1]
 
     def _rows(columns: list, settled: bool) -> pa.RecordBatch:
         cols = [np.concatenate(c) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), settled)), *map(pa.array, cols)], ["settled", "part", "rank", "doc", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), settled)), *map(pa.array, cols)], ["settled", "part", "doc", "place"])
 
-    dealt = anchors.select(*keys).repartition("rank", "part").sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "settled boolean, part int, rank bigint, doc bigint, place bigint")
+    dealt = anchors.select(*keys).repartition(_rank(), "part").sortWithinPartitions("part", "a", F.shiftright("c", 32), "doc", "tag", "c")
+    return dealt.mapInArrow(run, "settled boolean, part int, doc bigint, place bigint")
 
 
 def _by_document(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -215,7 +227,7 @@ def _by_document(docs: DataFrame, marks: DataFrame) -> DataFrame:
     part, text``; the text's row comes first."""
     no = F.lit(None)
     rows = docs.select("doc", "tag", F.lit(-1).cast("bigint").alias("place"), F.lit(-1).alias("kind"), F.lit(0).alias("part"), "text")
-    said = marks.select("doc", F.shiftright("place", 40).alias("tag"), F.col("place").bitwiseAND(F.lit(PLACE)).alias("place"), "kind", "part", no.cast("string").alias("text"))
+    said = marks.select("doc", F.shiftright("place", 40).cast("int").alias("tag"), F.col("place").bitwiseAND(F.lit(PLACE)).alias("place"), "kind", "part", no.cast("string").alias("text"))
     return rows.union(said).repartition("doc", "tag").sortWithinPartitions("doc", "tag", "place", "kind")
 
 
@@ -294,10 +306,10 @@ def _later(strings: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc, place, kind, part``: settled anchors (kind 1) and repeated strings (kind 2)."""
     often = frequent(docs)
-    anchors = _anchors(docs).join(F.broadcast(often), F.col("rank") == F.col("often"), "left").withColumn("part", _part(F.col("often")))
-    step1 = materialise(_open_or_settled(anchors), "suffix-26")
+    anchors = _anchors(docs).join(F.broadcast(often), _rank() == F.col("often"), "left").withColumn("part", _part(F.col("often")))
+    step1 = stored(_open_or_settled(anchors), "suffix-26")
     strings = _strings(docs, step1.where("not settled").select("doc", "place", F.lit(0).alias("kind"), "part"))
-    step2 = materialise(_later(strings), "suffix-50")
+    step2 = stored(_later(strings), "suffix-50")
     # at most PARTS documents of a rank here, and several places of each
     firsts = step2.where("first")
     earliest = firsts.groupBy("rank").agg(F.min("doc").alias("least"))
