@@ -282,31 +282,27 @@ def _(spark, d):
     return vocabulary.value_pools(fx.vocab(spark, d), small_table(spark, _CLUSTERS, "key string, cluster string"))
 
 
-_POOLS6 = "(SELECT key, value FROM fx_pools WHERE key <> 'segment')"
+_POOLS = "(SELECT key, value FROM fx_pools)"
 
 
-def synth_sql(seed: str, n: str, fewest: int, most: int, keys: int = 6, prime: int = 7, pool: str = "") -> str:
-    """Drawn parts (id, pos, key, value) over the six-key pool."""
+def synth_sql(seed: str, n: str, fewest: int, most: int, keys: int = 7, prime: int = 7, pool: str = "") -> str:
+    """Drawn parts (id, pos, key, value) over the pools: seven keys, one per table column they come from."""
     pool = pool or seed
     return f"""(SELECT d.id, CAST(d.pos AS INTEGER) AS pos, k.key, v.value FROM
         (SELECT id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS key_no FROM (SELECT id, list_filter(list_transform(range(0, m + {prime - keys}), lambda j: (s + j * p) % {prime}), lambda x: x < {keys})[1:m] AS l FROM
           (SELECT id, least({fewest} + {h32(seed + ':m', 'id')} % {most - fewest + 1}, {keys}) AS m, {h32(seed + ':start', 'id')} % {prime} AS s, {h32(seed + ':step', 'id')} % {prime - 1} + 1 AS p
            FROM (SELECT unnest(range(0, {n})) AS id) i) a) b) d
-        JOIN (SELECT key, n, row_number() OVER (ORDER BY {hx(pool + ':keys', 'key')}, key) - 1 AS key_no FROM (SELECT key, count(*) AS n FROM {_POOLS6} p GROUP BY key) c) k ON k.key_no = d.key_no
-        JOIN (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY {hx(pool + ':pool', 'value')}, value) AS value_no FROM {_POOLS6} p) v
+        JOIN (SELECT key, n, row_number() OVER (ORDER BY {hx(pool + ':keys', 'key')}, key) - 1 AS key_no FROM (SELECT key, count(*) AS n FROM {_POOLS} p GROUP BY key) c) k ON k.key_no = d.key_no
+        JOIN (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY {hx(pool + ':pool', 'value')}, value) AS value_no FROM {_POOLS} p) v
           ON v.key = k.key AND v.value_no = {h32(seed + ':value', 'd.id', 'k.key')} % k.n + 1)"""
 
 
 _N_PART = "(SELECT count(*) FROM part)"
 
 
-def pools6(spark, d):
-    return fx.pools(spark, d).filter("key <> 'segment'")
-
-
 def synthetic(spark, d, seed, low, high):
     # the number of records follows the size of the input
-    return datasets.synthesize(pools6(spark, d), fx.table(spark, d, "part").count(), low, high, seed)
+    return datasets.synthesize(fx.pools(spark, d), fx.table(spark, d, "part").count(), low, high, seed)
 
 
 @query("t2_synthesize", f"SELECT * FROM {synth_sql('t2', _N_PART, 1, 5)} s")
@@ -552,7 +548,7 @@ def _tier_sql(tier: str) -> str:
 def _(spark, d):
     n = fx.table(spark, d, "part").count()
     tiers = {t: (size * n // 1000, low, high) for t, (size, low, high) in L.TIERS.items()}
-    out = datasets.tiered_benchmark(pools6(spark, d), "t15", tiers)
+    out = datasets.tiered_benchmark(fx.pools(spark, d), "t15", tiers)
     text = F.array_join(F.transform("attributes", lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return out.select("tier", "id", "query", text.alias("attributes"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,6 @@ from pyspark.sql import functions as F
 from ..operators.audit import file_name
 from ..operators.ledger import running_before
 
-IN_MEMORY_LIMIT = 256 * 1024 * 1024
-
-
 _FILE = "path string, size_bytes bigint, modified_time timestamp, sha256 string"
 
 
@@ -27,12 +25,12 @@ def _digest(system, inner: str) -> str:
 
 
 def _stream_hash(batches):
-    """Digest files too large for one cell, wherever Arrow can open them."""
+    """Digest listed files block by block, so no task has to hold one."""
     from pyarrow import fs
 
     for pdf in batches:
-        opened = [fs.FileSystem.from_uri(p) for p in pdf["path"]]
-        yield pd.DataFrame({"path": pdf["path"], "sha256": [_digest(s, i) for s, i in opened]})
+        opened = [fs.FileSystem.from_uri(quote(p, safe=":/")) for p in pdf["path"]]
+        yield pdf.assign(sha256=[_digest(s, i) for s, i in opened])
 
 
 def _skipped_files(base: str, glob: str):
@@ -61,20 +59,17 @@ def _skipped_files(base: str, glob: str):
     return run
 
 
-def manifest(spark: SparkSession, path: str, glob: str = "*", limit: int = IN_MEMORY_LIMIT) -> DataFrame:
+def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``path, file_name, size_bytes, modified_time, sha256`` of every file below a folder.
 
-    Files up to ``limit`` bytes are hashed by the built-in expression; larger ones are
-    streamed through a digest, so no task has to hold them (the split is on the listing,
-    which does not open files). Empty and hidden files, which Spark's readers skip, are
-    listed folder by folder by the tasks themselves."""
+    Spark lists the files; tasks stream each through a digest, whatever its size. Empty and
+    hidden files, which Spark's readers skip, are listed folder by folder by the tasks
+    themselves."""
     from pyarrow import fs
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    meta = [F.col("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_time")]
-    small = files.filter(F.col("length") <= limit).select(*meta, F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > limit).select(*meta)
-    hashed = large.join(large.select("path").mapInPandas(_stream_hash, "path string, sha256 string"), "path")
+    listed = files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_time"))
+    hashed = listed.mapInPandas(_stream_hash, _FILE)
 
     base = path.rstrip("/") if "://" in path else "file:" + path.rstrip("/")
     uri = base if "://" in base else "file://" + base.removeprefix("file:")
@@ -84,7 +79,7 @@ def manifest(spark: SparkSession, path: str, glob: str = "*", limit: int = IN_ME
     skipped = entries.mapInPandas(_skipped_files(uri, glob), _FILE).withColumn(
         "path", F.concat(F.lit(base), F.substring("path", len(uri) + 1, 1 << 20))
     )
-    every = small.unionByName(hashed).unionByName(skipped)
+    every = hashed.unionByName(skipped)
     return every.select("path", file_name(F.col("path")).alias("file_name"), "size_bytes", "modified_time", "sha256")
 
 

@@ -32,8 +32,8 @@ def append_batch(batch: DataFrame, batch_id: int, ledger: str, key: str, schema:
     spark = batch.sparkSession
     seen = read_ledger(spark, ledger, schema).filter(F.col("batch_id") != batch_id).select(key).distinct()
     fresh = batch.join(seen, key, "left_anti")
-    # a key repeated inside the batch is processed once
-    once = fresh.dropDuplicates([key])
+    # a key repeated inside the batch is processed once, by its least row, so a replay takes the same
+    once = fresh.groupBy(key).agg(F.min(F.struct(*fresh.columns)).alias("_row")).select("_row.*")
     process(once).write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
 
 

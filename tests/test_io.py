@@ -48,14 +48,13 @@ def test_vocab_files(spark, tmp_path):
     assert {tuple(r) for r in results.read_vocab_text(spark, str(tmp_path / "v.txt")).collect()} == {("color", "red, dark")}
 
 
-@pytest.mark.parametrize("limit", [files.IN_MEMORY_LIMIT, 4])
-def test_manifest_hashes(spark, tmp_path, limit):
+def test_manifest_hashes(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "_tmp").mkdir()
-    content = {"a.txt": b"hello", "sub/b.bin": b"x" * 3_000_000, "sub/c.txt": b"", ".env": b"k=1", "_tmp/d.txt": b"d"}
+    content = {"a.txt": b"hello", "sub/b.bin": b"x" * 3_000_000, "sub/c.txt": b"", ".env": b"k=1", "_tmp/d.txt": b"d", "sub/e f%20é.txt": b"odd name"}
     for name, data in content.items():
         (tmp_path / name).write_bytes(data)
-    rows = files.manifest(spark, str(tmp_path), limit=limit).collect()
+    rows = files.manifest(spark, str(tmp_path)).collect()
     assert all(r["path"] == f"file:{tmp_path}/{r['path'][len(str(tmp_path)) + 6:]}" for r in rows)
     got = {r["file_name"]: (r["size_bytes"], r["sha256"]) for r in rows}
     assert got == {n.split("/")[-1]: (len(b), hashlib.sha256(b).hexdigest()) for n, b in content.items()}
