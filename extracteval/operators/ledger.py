@@ -1,7 +1,7 @@
 """Run ledgers: what is done, what is pending, what it cost, how far it got.
 
-Running sums are computed in two levels, per chunk of time and then within the chunk, so a
-run with a third of all rows is still summed by many tasks. Money is summed as DECIMAL to
+Running sums are computed in two levels, per chunk of rows and then within the chunk, so a
+run with a third of all rows, or all rows in one hour, is still summed by many tasks. Money is summed as DECIMAL to
 make the result independent of the order of addition.
 """
 
@@ -14,12 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..session import materialise
+
+
+CHUNKS = 256
 
 
 def running_before(
     df: DataFrame,
     by: str,
-    chunk: Column,
     order: Sequence[str],
     measures: Mapping[str, Column],
     carry: Mapping[str, Column] | None = None,
@@ -27,11 +30,18 @@ def running_before(
     """Adds, per measure, its sum over the earlier rows of the same ``by`` group, and, per
     ``carry``, its value in the row just before (null in the first).
 
-    ``chunk`` must not decrease along ``order``. One row per (group, chunk) goes through
-    the outer window, the rows of one chunk through the inner one."""
+    Every group is cut into up to ``CHUNKS`` chunks of about as many rows, at quantiles of
+    its first order column; equal values stay together. One row per (group, chunk) goes
+    through the outer window, the rows of one chunk through the inner one. The cut rows are
+    stored, since both windows must see the same chunks."""
     names, carry = list(measures), dict(carry or {})
-    cell = F.struct(F.col(by).alias("by"), chunk.alias("chunk"))
-    cut = df.withColumns({"_cell": cell, **{f"_m_{n}": c for n, c in measures.items()}})
+    place = F.col(order[0])  # a number or a time
+    shares = F.array(*[F.lit(i / CHUNKS) for i in range(1, CHUNKS)])
+    cuts = df.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(place, shares, 8 * CHUNKS).alias("_cuts"))
+    chunk = F.coalesce(F.size(F.filter("_cuts", lambda q: q < place)), F.lit(-1))
+    cell = F.struct(F.col(by).alias("by"), F.when(place.isNull(), -1).otherwise(chunk).alias("chunk"))
+    cut = df.join(cuts, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_cell", cell).drop("_by", "_cuts")
+    cut = materialise(cut.withColumns({f"_m_{n}": c for n, c in measures.items()}), "chunks")
     last = []
     if carry:
         cut = cut.withColumn("_row", F.struct(*[c.alias(n) for n, c in carry.items()]))
@@ -71,21 +81,17 @@ def usage_cost(df: DataFrame, tokens_in: str = "input_tokens", tokens_out: str =
     return df.withColumn("cost", cost).withColumn("near_limit", F.col(tokens_out) >= F.lit(limit * L.NEAR_LIMIT))
 
 
-def budget_cutoff(df: DataFrame, budget: float, by: str = "run_id", cost: str = "cost", ts: str = "ts", tie: str = "event_id", chunk: str = "hour") -> DataFrame:
+def budget_cutoff(df: DataFrame, budget: float, by: str = "run_id", cost: str = "cost", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Rows of each run that were still started within the budget: those whose earlier
     rows cost less than it in total."""
-    spent = running_before(
-        df, by, F.date_trunc(chunk, ts), [ts, tie], {"spent_before": money(F.col(cost))}
-    )
+    spent = running_before(df, by, [ts, tie], {"spent_before": money(F.col(cost))})
     return spent.filter(F.col("spent_before") < money(F.lit(budget)))
 
 
-def progress(df: DataFrame, by: str = "run_id", elapsed: str = "elapsed", ts: str = "ts", tie: str = "event_id", chunk: str = "hour") -> DataFrame:
+def progress(df: DataFrame, by: str = "run_id", elapsed: str = "elapsed", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """After each row of a run: rows done, mean time per row so far and the time left at
     that pace."""
-    before = running_before(
-        df, by, F.date_trunc(chunk, ts), [ts, tie], {"_done": F.lit(1).cast("bigint"), "_time": money(F.col(elapsed))}
-    )
+    before = running_before(df, by, [ts, tie], {"_done": F.lit(1).cast("bigint"), "_time": money(F.col(elapsed))})
     sizes = df.groupBy(F.col(by).alias("_run")).agg(F.count(F.lit(1)).alias("_total"))
     done = F.col("_done") + 1
     mean = (F.col("_time") + money(F.col(elapsed))).cast("double") / done

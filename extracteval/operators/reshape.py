@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import norm_key, norm_value
 
 
 def nest(attrs: DataFrame, on: str = "qid") -> DataFrame:

@@ -120,7 +120,6 @@ def _(spark, d):
     counted = ledger.running_before(
         u,
         "run_id",
-        F.date_trunc("hour", "ts"),
         ["ts", "event_id"],
         {"n": one, "ok": F.when(F.col("success"), one).otherwise(0)},
     ).join(u.groupBy(F.col("run_id").alias("r")).agg(F.count(F.lit(1)).alias("total")), F.col("run_id") == F.col("r"))

@@ -100,8 +100,8 @@ def parse_log_lines(lines: DataFrame, line: str = "value", log: str = "log") ->
     """Progress lines of run logs: per batch the rows done, succeeded and failed since the
     line before, the seconds they took, and rows per second. ``lines`` is ``(log, value)``.
 
-    The line before is carried from one day's chunk to the next, so no window ever holds a
-    whole log."""
+    The line before is carried from one chunk to the next, so no window ever holds a whole
+    log."""
     def number(i: int):
         return F.regexp_extract(line, LOG_PROGRESS, i).cast("bigint")
 
@@ -116,7 +116,6 @@ def parse_log_lines(lines: DataFrame, line: str = "value", log: str = "log") ->
     numbered = running_before(
         found,
         log,
-        F.date_trunc("day", "ts"),
         ["ts", "done"],
         {"batch": F.lit(1).cast("bigint")},
         {f"p_{c}": F.col(c) for c in ("ts", "done", "success", "failed")},
