@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import broadcast_if
 from ..session import materialise
-from .mixing import let, split_words
+from .mixing import SPACE, let
 
 OPEN = "<*>"
 
@@ -29,30 +29,47 @@ def _small(digests: DataFrame) -> DataFrame:
     return broadcast_if(digests, rows, 32 * len(digests.columns) * rows)
 
 
+BLANKS = " \t\n\x0b\x0c\r"
+
+
 def _tokens(line: Column) -> Column:
-    return F.transform(split_words(line), lambda w: F.when(w.rlike("[0-9]"), OPEN).otherwise(w))
+    """The words of a trimmed line, those with a digit open."""
+    words = F.split(line, SPACE)
+    return F.when(line.rlike("[0-9]"), F.transform(words, lambda w: F.when(w.rlike("[0-9]"), OPEN).otherwise(w))).otherwise(words)
 
 
-def lines(docs: DataFrame, depth: int = 3) -> DataFrame:
-    """``id, h, line_no, tokens, line_id, leaf`` of every line with a word."""
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    """``id, h, line_no, line, raw``: trimmed lines that are not blank, and their 64-bit hash."""
     each = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.select("id", "h", "line_no", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    return each.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''").withColumn("raw", F.xxhash64("line"))
+
+
+def _with_ids(raw: DataFrame, depth: int) -> DataFrame:
+    each = raw.withColumn("tokens", _tokens(F.col("line"))).drop("line")
     leaf = F.md5(F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth)))
     return each.withColumn("line_id", F.md5(F.array_join("tokens", " "))).withColumn("leaf", leaf)
 
 
+def lines(docs: DataFrame, depth: int = 3) -> DataFrame:
+    """``id, h, line_no, raw, tokens, line_id, leaf`` of every line with a word."""
+    return _with_ids(_raw_lines(docs), depth)
+
+
 def recurring_lines(docs: DataFrame, found: DataFrame, depth: int, min_docs: int, words: int, share: float) -> DataFrame:
     """``line_id, template`` of the lines to drop. ``found`` are the stored lines without tokens."""
-    counted = found.select("id", "h", "line_id", "leaf").distinct().groupBy("line_id", "leaf").agg(F.count(F.lit(1)).alias("n"))
+    once = found.groupBy("id", "h", "line_id", "leaf").agg(F.min("raw").alias("raw"))
+    counted = once.groupBy("line_id", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min("raw").alias("raw"))
     counted = materialise(counted, "lines-counted")
     leaves = counted.groupBy("leaf").agg(F.sum("n").alias("all")).where(F.col("all") >= min_docs).select("leaf")
     leaves = materialise(leaves, "lines-leaves")
     some = materialise(counted.join(_small(leaves), "leaf", "left_semi"), "lines-candidates")
 
-    # the words of each candidate line, from any document that has it
+    # the words of each candidate line, from any document that has it: found again by the hash of
+    # one of its spellings, before words are made
     ids = some.select("line_id")
-    texts = lines(docs, depth).select("line_id", "tokens").join(_small(ids), "line_id", "left_semi")
-    tokens = texts.groupBy("line_id").agg(F.first("tokens").alias("tokens")).join(some, "line_id")
+    raw = _raw_lines(docs).select("line", "raw").join(_small(some.select("raw")), "raw", "left_semi")
+    texts = _with_ids(raw, depth).select("line_id", "tokens").join(_small(ids), "line_id", "left_semi")
+    tokens = texts.groupBy("line_id").agg(F.first("tokens").alias("tokens")).join(some.drop("raw"), "line_id")
     placed = materialise(tokens.select("line_id", "leaf", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "word")), "lines-words")
     frequent = placed.where(F.col("pos") >= depth).groupBy("leaf", "pos", "word").agg(F.sum("n").alias("m")).where(F.col("m") >= min_docs).drop("m")
     marked = placed.join(frequent.withColumn("fixed", F.lit(True)), ["leaf", "pos", "word"], "left")
