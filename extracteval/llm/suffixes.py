@@ -218,7 +218,7 @@ def _open_or_settled(anchors: DataFrame) -> DataFrame:
         cols = [np.concatenate(c) for c in columns]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), settled)), *map(pa.array, cols)], ["settled", "part", "doc", "place"])
 
-    dealt = anchors.select(*keys).repartition(_rank(), "part").sortWithinPartitions("part", "a", F.shiftright("c", 32), "doc", "tag", "c")
+    dealt = anchors.select(*keys).repartition(_rank(), "part").sortWithinPartitions(_rank(), "part", "a", F.shiftright("c", 32), "doc", "tag", "c")
     return dealt.mapInArrow(run, "settled boolean, part int, doc bigint, place bigint")
 
 
