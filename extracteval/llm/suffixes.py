@@ -43,7 +43,6 @@ PARTS = 64  # parts of a frequent rank
 SAMPLE, OFTEN = 64, 2000  # one document in SAMPLE is looked at; frequent is one anchor in OFTEN
 ROWS = 1 << 16
 NONE = (1 << 63) - 1  # stands for a null doc_id: later than all others
-PLACE = (1 << 40) - 1
 
 _BYTES = np.random.default_rng(5).integers(0, 2**64, 257, np.uint64)  # 256: beyond the text
 _C1, _C2, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(32)
@@ -116,9 +115,10 @@ def text_anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc, tag, text``: a null id as the latest; ``tag`` parts texts of the same id."""
+    """``doc, tag, text``: a null id as the latest; ``tag``, all 64 bits of the text's hash, parts texts
+    of the same id. Two different texts of one id share a tag with a probability of 2^-64."""
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NONE))
-    return docs.select(doc.alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 22)).cast("int").alias("tag"), "text")
+    return docs.select(doc.alias("doc"), F.xxhash64("text").alias("tag"), "text")
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 place, rank, context = text_anchors(_raw(text.as_py()))
                 a = (rank >> np.uint64(16) << np.uint64(16)) | (context >> np.uint64(48))
                 c = (context << np.uint64(32)) | place.astype(np.uint64)
-                out.append((a.view(np.int64), c.view(np.int64), np.full(len(place), doc), np.full(len(place), tag, np.int32)))
+                out.append((a.view(np.int64), c.view(np.int64), np.full(len(place), doc), np.full(len(place), tag)))
                 rows += len(place)
                 if rows >= ROWS:
                     yield _batch(out)
@@ -144,7 +144,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
     def _batch(out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "c", "doc", "tag"])
 
-    return docs.mapInArrow(run, "a bigint, c bigint, doc bigint, tag int")
+    return docs.mapInArrow(run, "a bigint, c bigint, doc bigint, tag bigint")
 
 
 def _rank() -> Column:
@@ -166,7 +166,7 @@ def _part(of: Column) -> Column:
 
 
 def _open_or_settled(anchors: DataFrame) -> DataFrame:
-    """Step 1 on sorted anchors: ``settled, part, doc, place``."""
+    """Step 1 on sorted anchors: ``settled, part, doc, tag, place``."""
     keys = ["part", "a", "c", "doc", "tag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def _open_or_settled(anchors: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             part, a, c, doc, tag = (batch[k].to_numpy() for k in keys)
-            rank, low, place = a >> 16, c >> 32, (tag.astype(np.int64) << 40) | (c & 0xFFFFFFFF)
+            rank, low, place = a >> 16, c >> 32, c & 0xFFFFFFFF
             new_group = np.ones(len(rank), bool)
             new_group[1:] = (rank[1:] != rank[:-1]) | (part[1:] != part[:-1])
             new_group[0] = (rank[0], part[0]) != group
@@ -201,25 +201,25 @@ def _open_or_settled(anchors: DataFrame) -> DataFrame:
             if new_group[0]:
                 held = []
             if settled.any():
-                yield _rows([[x[settled]] for x in (part, doc, place)], True)
+                yield _rows([[x[settled]] for x in (part, doc, tag, place)], True)
             is_open = ~settled & many[number]
             if is_open.any():
-                yield _rows([[x[is_open]] for x in (part, doc, place)], False)
+                yield _rows([[x[is_open]] for x in (part, doc, tag, place)], False)
             last = number == number[-1]
             several = bool(many[-1])
             if number[-1] > 0:
                 held = []
             if not several:
                 keep = last & ~settled
-                held.append(tuple(x[keep] for x in (part, doc, place)))
+                held.append(tuple(x[keep] for x in (part, doc, tag, place)))
             group, context, first = (rank[-1], part[-1]), (a[-1], low[-1]), firsts[-1]
 
     def _rows(columns: list, settled: bool) -> pa.RecordBatch:
         cols = [np.concatenate(c) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), settled)), *map(pa.array, cols)], ["settled", "part", "doc", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), settled)), *map(pa.array, cols)], ["settled", "part", "doc", "tag", "place"])
 
     dealt = anchors.select(*keys).repartition(_rank(), "part").sortWithinPartitions(_rank(), "part", "a", F.shiftright("c", 32), "doc", "tag", "c")
-    return dealt.mapInArrow(run, "settled boolean, part int, doc bigint, place bigint")
+    return dealt.mapInArrow(run, "settled boolean, part int, doc bigint, tag bigint, place bigint")
 
 
 def _by_document(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def _by_document(docs: DataFrame, marks: DataFrame) -> DataFrame:
     part, text``; the text's row comes first."""
     no = F.lit(None)
     rows = docs.select("doc", "tag", F.lit(-1).cast("bigint").alias("place"), F.lit(-1).alias("kind"), F.lit(0).alias("part"), "text")
-    said = marks.select("doc", F.shiftright("place", 40).cast("int").alias("tag"), F.col("place").bitwiseAND(F.lit(PLACE)).alias("place"), "kind", "part", no.cast("string").alias("text"))
+    said = marks.select("doc", "tag", "place", "kind", "part", no.cast("string").alias("text"))
     return rows.union(said).repartition("doc", "tag").sortWithinPartitions("doc", "tag", "place", "kind")
 
 
@@ -241,7 +241,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[n
 
 
 def _strings(docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """Step 2's rows: ``rank, part, doc, place`` of the 50-byte strings around open anchors."""
+    """Step 2's rows: ``rank, part, doc, tag, place`` of the 50-byte strings around open anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, rows = [], 0
@@ -264,7 +264,7 @@ def _strings(docs: DataFrame, open_: DataFrame) -> DataFrame:
                 hit = known[found] == least[starts]
                 starts, found = starts[hit], found[hit]
                 rank = pair(r[starts], r[starts + SIDE])
-                out.append((rank.view(np.int64), of[found].astype(np.int32), np.full(len(rank), doc), starts + lo + (tag << 40)))
+                out.append((rank.view(np.int64), of[found].astype(np.int32), np.full(len(rank), doc), np.full(len(rank), tag), starts + lo))
                 rows += len(rank)
                 if rows >= ROWS:
                     yield _batch(out)
@@ -273,22 +273,22 @@ def _strings(docs: DataFrame, open_: DataFrame) -> DataFrame:
             yield _batch(out)
 
     def _batch(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["rank", "part", "doc", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["rank", "part", "doc", "tag", "place"])
 
-    return _by_document(docs, open_).mapInArrow(run, "rank bigint, part int, doc bigint, place bigint")
+    return _by_document(docs, open_).mapInArrow(run, "rank bigint, part int, doc bigint, tag bigint, place bigint")
 
 
 def _later(strings: DataFrame) -> DataFrame:
-    """``first, rank, part, doc, place``: strings that an earlier document has, and, of ranks sorted
+    """``first, rank, part, doc, tag, place``: strings that an earlier document has, and, of ranks sorted
     in parts, the first ones of each part."""
-    keys = ["rank", "part", "doc", "place"]
+    keys = ["rank", "part", "doc", "tag", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, first = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rank, part, doc, place = (batch[k].to_numpy() for k in keys)
+            rank, part, doc, tag, place = (batch[k].to_numpy() for k in keys)
             new = np.ones(len(rank), bool)
             new[1:] = (rank[1:] != rank[:-1]) | (part[1:] != part[:-1])
             new[0] = (rank[0], part[0]) != group
@@ -296,26 +296,26 @@ def _later(strings: DataFrame) -> DataFrame:
             firsts = np.concatenate([[doc[0] if new[0] else first], doc[starts[starts > 0]]])
             of_first = doc == firsts[np.cumsum(new) - int(new[0])]
             keep = ~of_first | (part > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (of_first, rank, part, doc, place)], ["first", *keys])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (of_first, rank, part, doc, tag, place)], ["first", *keys])
             group, first = (rank[-1], part[-1]), firsts[-1]
 
     dealt = strings.repartition("rank", "part").sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "first boolean, rank bigint, part int, doc bigint, place bigint")
+    return dealt.mapInArrow(run, "first boolean, rank bigint, part int, doc bigint, tag bigint, place bigint")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc, place, kind, part``: settled anchors (kind 1) and repeated strings (kind 2)."""
+    """``doc, tag, place, kind, part``: settled anchors (kind 1) and repeated strings (kind 2)."""
     often = frequent(docs)
     anchors = _anchors(docs).join(F.broadcast(often), _rank() == F.col("often"), "left").withColumn("part", _part(F.col("often")))
     step1 = stored(_open_or_settled(anchors), "suffix-26")
-    strings = _strings(docs, step1.where("not settled").select("doc", "place", F.lit(0).alias("kind"), "part"))
+    strings = _strings(docs, step1.where("not settled").select("doc", "tag", "place", F.lit(0).alias("kind"), "part"))
     step2 = stored(_later(strings), "suffix-50")
     # at most PARTS documents of a rank here, and several places of each
     firsts = step2.where("first")
     earliest = firsts.groupBy("rank").agg(F.min("doc").alias("least"))
     more = firsts.join(earliest, "rank").where("doc > least")
-    found = step2.where("not first").select("doc", "place").union(more.select("doc", "place"))
-    return step1.where("settled").select("doc", "place", F.lit(1).alias("kind"), F.lit(0).alias("part")).union(found.select("doc", "place", F.lit(2).alias("kind"), F.lit(0).alias("part")))
+    found = step2.where("not first").select("doc", "tag", "place").union(more.select("doc", "tag", "place"))
+    return step1.where("settled").select("doc", "tag", "place", F.lit(1).alias("kind"), F.lit(0).alias("part")).union(found.select("doc", "tag", "place", F.lit(2).alias("kind"), F.lit(0).alias("part")))
 
 
 def covered(size: int, places: np.ndarray, kinds: np.ndarray) -> np.ndarray:

@@ -56,6 +56,21 @@ def test_matches_brute_force(spark, documents, monkeypatch, often):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def test_texts_without_id_are_told_apart(spark, documents):
+    # two texts whose hashes agree in their low 22 bits, and many others without an id
+    rng = random.Random(7)
+    line = " ".join(rng.choice(["amber", "birch", "cedar", "delta"]) + str(i) for i in range(12))
+    texts = [f"{i} {line}" if i % 2 else f"{i} " + "".join(rng.choice("klmnopqrst") for _ in range(90)) for i in range(9000)]
+    low = {}
+    for t, h in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) & 4194303 AS h").collect():
+        low.setdefault(h, set()).add(t)
+    pairs = [sorted(g) for g in low.values() if len({t[-5:] == line[-5:] for t in g}) == 2]
+    assert pairs  # of one text that repeats a line and one that repeats nothing
+    rows = [(1, line)] + [(None, t) for pair in pairs for t in pair] + [(None, t) for t in texts[:400]]
+    got = suffixes.remove_repeats(documents(rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
 def test_empty_table(documents):
     assert suffixes.remove_repeats(documents([])).collect() == []
 
