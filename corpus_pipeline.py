@@ -20,10 +20,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays. Rows that are equal in
-    id and text are one document; a document without an id stays."""
-    gone = minhash.near_duplicates(docs, percent=80).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicates the document of the least id stays, one without an id only if
+    none has one. Rows that are equal in id and text are one document."""
+    return minhash.drop_near_copies(docs, percent=80)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,9 +70,10 @@ def cut(threshold: float, count: int, bits: int, slack: float = 5.0) -> float:
     return threshold - slack * float(np.sqrt(equal * (1 - equal) / count)) / (1 - chance)
 
 
-def features(docs: DataFrame, size: int = 5, count: int = 128, rows: int = 4, bits: int = 2) -> DataFrame:
-    """``doc_id, digest, n_shingles, bands, bits`` of every document. The digest is that of the word
-    sequence; documents without words have none, nor bands."""
+def features(docs: DataFrame, size: int = 5, count: int = 128, rows: int = 4, bits: int = 2, hashed: bool = False) -> DataFrame:
+    """``doc_id, digest, n_shingles, bands, bits`` of every document, and ``text_hash`` if ``hashed``.
+    The digest is that of the word sequence; documents without words have none, nor bands."""
+    also = ["text_hash"] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,9 +100,11 @@ def features(docs: DataFrame, size: int = 5, count: int = 128, rows: int = 4, bi
             pa.array([len(sets[d]) if d else 0 for d in digests], pa.int32()),
             pa.array([keys[at[d]] if d else None for d in digests], pa.list_(pa.int64())),
             pa.array([packed[at[d]].tobytes() if d else None for d in digests], pa.binary()),
-        ], ["doc_id", "digest", "n_shingles", "bands", "bits"])
+            *(batch[k] for k in also),
+        ], ["doc_id", "digest", "n_shingles", "bands", "bits", *also])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(run, _FEATURES)
+    hashes = [F.xxhash64("text").alias(k) for k in also]
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text"), *hashes).mapInArrow(run, ", ".join([_FEATURES, *(f"{k} bigint" for k in also)]))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,10 +214,48 @@ def near_duplicates(
     * repeated rows: equal texts, so one class; every row with the least id is kept;
     * empty table: no rows. Other columns are ignored, whatever their names.
     """
+    feats = materialise(features(docs, size, count, rows, bits), "minhash-features")
+    worded = feats.where("digest is not null")
+    member = _members(docs, feats, percent, size, count, rows, bits, slack)
+    ids = member.groupBy("top").agg(F.min("least_id").alias("component_id"))
+    named = member.join(ids, "top").select("digest", "component_id")
+    out = worded.join(named, "digest").union(
+        feats.where("digest is null").select("digest", "doc_id", "n_shingles", "bands", "bits", F.col("doc_id").alias("component_id"))
+    )
+    return out.select(
+        "doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+def drop_near_copies(
+    docs: DataFrame, percent: int = 80, size: int = 5, count: int = 128, rows: int = 4, bits: int = 2, slack: float = 5.0
+) -> DataFrame:
+    """``docs`` with one row of each component, all columns kept: that of the least ``doc_id``, and of
+    the least text hash among rows of that id. A null ``doc_id`` is later than all others.
+
+    * repeated rows (equal in id and text): one document; an id with several texts: several
+      documents, each in its own component;
+    * null, empty or blank text: its own component, stays.
+    """
+    feats = materialise(features(docs, size, count, rows, bits, hashed=True), "minhash-features")
+    worded = feats.where("digest is not null")
+    member = _members(docs, feats, percent, size, count, rows, bits, slack).select("digest", "top")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    firsts = member.join(worded.groupBy("digest").agg(F.min(row).alias("keeper")), "digest")
+    keepers = firsts.groupBy("top").agg(F.min("keeper").alias("keeper"))
+    named = member.join(keepers, "top").select("digest", "keeper")
+    stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_hash") == F.col("keeper.text_hash"))
+    gone = worded.join(named, "digest").where(~stays).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    once = docs.dropDuplicates(["doc_id", "text"])
+    return once.join(gone, once["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(once["text"]) == gone["gone_hash"]), "left_anti")
+
+
+def _members(docs: DataFrame, feats: DataFrame, percent: int, size: int, count: int, rows: int, bits: int, slack: float) -> DataFrame:
+    """``digest, least_id, top`` of each class: its component is that of the same ``top``."""
     if count % rows or count % 8:
         raise ValueError("count must be a multiple of rows and of 8")
     least = cut(percent / 100, count, bits, slack)
-    feats = materialise(features(docs, size, count, rows, bits), "minhash-features")
     worded = feats.where("digest is not null")
     classes = worded.groupBy("digest").agg(
         F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
@@ -249,16 +290,7 @@ def near_duplicates(
         .withColumn("root", F.coalesce("root", "digest")).join(lifted, "root", "left")
         .select("digest", "least_id", F.coalesce("top", "root").alias("top"))
     )
-    member = materialise(member, "minhash-members")
-    ids = member.groupBy("top").agg(F.min("least_id").alias("component_id"))
-    named = member.join(ids, "top").select("digest", "component_id")
-    out = worded.join(named, "digest").union(
-        feats.where("digest is null").select("digest", "doc_id", "n_shingles", "bands", "bits", F.col("doc_id").alias("component_id"))
-    )
-    return out.select(
-        "doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-    )
+    return materialise(member, "minhash-members")
 
 
 def _sets(docs: DataFrame, feats: DataFrame, wanted: DataFrame, size: int) -> DataFrame:

@@ -58,8 +58,30 @@ def test_matches_brute_force(spark, documents, monkeypatch, block):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, 85)
 
 
+def test_one_row_of_each_component_stays(spark, documents):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)) for _ in range(5)]
+    near = lambda k, *ends: [base[k] + f" {e}" for e in ends]
+    rows = [(1, base[0]), *((7, t) for t in near(0, "x"))]  # id 7: a copy of 1, and the first of its own group
+    rows += [(7, base[1]), *zip((8, 9), near(1, "x", "y"))]
+    rows += [(20, t) for t in near(2, "x", "y")] + [(21, base[2])]  # two copies of the least id
+    rows += [(None, t) for t in near(3, "x", "y", "z")]  # no ids
+    rows += [(30, base[4]), *((None, t) for t in near(4, "x", "y"))]  # one id
+    rows += [(None, ""), (None, None), (31, ""), (30, base[4])]
+    got = corpus_pipeline.keep_one_of_near_copies(spark, documents(rows), "")
+    assert got.columns == documents(rows).columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == len(set(kept)) == 8
+    assert {(1, base[0]), (7, base[1]), (30, base[4]), (None, ""), (None, None), (31, "")} <= set(kept)
+    assert sorted(d for d, t in kept if t and t.startswith(base[2])) == [20]
+    assert sum(bool(t) and t.startswith(base[3]) for _, t in kept) == 1
+
+
 def test_empty_table(documents):
     assert minhash.near_duplicates(documents([])).collect() == []
+    assert minhash.drop_near_copies(documents([])).collect() == []
 
 
 def test_estimate_follows_similarity():
