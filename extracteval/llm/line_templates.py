@@ -7,6 +7,12 @@ A line with its variable words left open is a *template*. A template recurs if i
 documents and is definite enough: no word is open, or ``words`` words are fixed and so is a ``share``
 of all. Lines of recurring templates are dropped.
 
+A value of a variable field that ``min_docs`` lines have would pass for fixed text, and more data has
+more of those. So of lines that stay, coarser templates are looked at as well: those with the words
+open that fewer than 2, 4, 8, ... times ``min_docs`` lines have. The first that recurs, in whatever
+lines, is taken. Among the values of a field and the words around it there is such a bound, since two
+values or more share what the fixed words have.
+
 Lines of the tree are counted once for each document. All steps are counts and equi-joins; a frequent
 line or leaf is summed up before it is shuffled.
 """
@@ -71,20 +77,34 @@ def recurring_lines(docs: DataFrame, found: DataFrame, depth: int, min_docs: int
     texts = _with_ids(raw, depth).select("line_id", "tokens").join(_small(ids), "line_id", "left_semi")
     tokens = texts.groupBy("line_id").agg(F.first("tokens").alias("tokens")).join(some.drop("raw"), "line_id")
     placed = materialise(tokens.select("line_id", "leaf", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "word")), "lines-words")
-    frequent = placed.where(F.col("pos") >= depth).groupBy("leaf", "pos", "word").agg(F.sum("n").alias("m")).where(F.col("m") >= min_docs).drop("m")
-    marked = placed.join(frequent.withColumn("fixed", F.lit(True)), ["leaf", "pos", "word"], "left")
-    word = F.when(F.col("fixed") | (F.col("pos") < depth), F.col("word")).otherwise(OPEN)
+    frequent = placed.where(F.col("pos") >= depth).groupBy("leaf", "pos", "word").agg(F.sum("n").alias("m")).where(F.col("m") >= min_docs)
+    marked = placed.join(frequent, ["leaf", "pos", "word"], "left")
     # as many words as the line has
-    whole = marked.groupBy("line_id", "size").agg(F.sort_array(F.collect_list(F.struct("pos", word.alias("word")))).alias("w")).select(
-        "line_id", "size", F.transform("w", lambda x: x["word"]).alias("w")
-    )
+    whole = marked.groupBy("line_id", "size").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "m"))).alias("w"))
+    # k-th: words that fewer than min_docs * 2^k lines have are open; only where that opens another word
+    top = F.array_max(F.transform("w", lambda x: F.when((x["pos"] >= depth) & (x["word"] != OPEN), x["m"]).otherwise(0)))
+    steps = whole.withColumn("k", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.floor(F.coalesce(top, F.lit(0)) / min_docs))) - 1)))
+    least = F.lit(min_docs) * F.pow(F.lit(2.0), F.col("k"))
+    opens = F.exists("w", lambda x: (x["pos"] >= depth) & (x["word"] != OPEN) & F.coalesce((x["m"] >= least / 2) & (x["m"] < least), F.lit(False)))
+    word = lambda x: F.when((x["pos"] < depth) | (x["m"] >= least), x["word"]).otherwise(OPEN)
+    whole = steps.where((F.col("k") == 0) | opens).select("line_id", "size", "k", F.transform("w", word).alias("w"))
     fixed = F.size(F.filter("w", lambda x: x != OPEN))
     definite = (fixed == F.col("size")) | ((fixed >= words) & (fixed >= share * F.col("size")))
-    template = whole.where(definite).select("line_id", F.md5(F.array_join("w", " ")).alias("template"))
+    template = whole.where(definite).select("line_id", "k", F.md5(F.array_join("w", " ")).alias("template"))
     template = materialise(template, "lines-templates")
-    seen = found.select("id", "h", "line_id").join(_small(template), "line_id").select("id", "h", "template").distinct()
-    often = seen.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
-    return template.join(often, "template").select("line_id", "template")
+
+    def often(of: DataFrame) -> DataFrame:
+        seen = found.select("id", "h", "line_id").join(_small(of), "line_id").select("id", "h", "template").distinct()
+        return seen.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
+
+    first = template.where("k = 0").select("line_id", "template")
+    first = materialise(first.join(often(first), "template").select("line_id", "template"), "lines-first")
+    # coarser templates of the other lines, counted in all lines that have them
+    others = materialise(template.where("k > 0").join(_small(first.select("line_id")), "line_id", "left_anti"), "lines-others")
+    wanted = materialise(others.select("template").distinct(), "lines-wanted")
+    alike = materialise(template.join(_small(wanted), "template", "left_semi").select("line_id", "template").distinct(), "lines-alike")
+    coarse = others.join(often(alike), "template").groupBy("line_id").agg(F.min_by("template", "k").alias("template"))
+    return first.union(coarse)
 
 
 def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, words: int = 4, share: float = 0.7) -> DataFrame:

@@ -158,6 +158,15 @@ def test_templates_by_hand(documents):
     assert got[203].n_dropped == 1 and got[203].kept.startswith("other long") and got[None].n_dropped == got[300].n_dropped == 1
 
 
+@pytest.mark.parametrize("values", [3, 20])
+def test_common_values_of_a_field_are_not_fixed_text(documents, values):
+    name = lambda i: "ab"[i % 2] + "cdefghijklmn"[i // 2]
+    pairs = [(i, j) for i in range(values) for j in range(values)]
+    rows = [(k, f"Today the account {name(i)} opened page {name(j)} ok") for k, (i, j) in enumerate(pairs * (9 if values == 3 else 1))]
+    got = line_templates.drop_recurring_lines(documents(rows)).collect()
+    assert {(r.n_dropped, r.n_templates, r.kept) for r in got} == {(1, 1, "")}
+
+
 def test_rare_lines_stay(documents):
     rows = [(i, "a line that nine have") for i in range(9)]
     assert {r.n_dropped for r in line_templates.drop_recurring_lines(documents(rows)).collect()} == {0}
