@@ -6,10 +6,10 @@ each other whatever stands in between. A string's Nyström features are its kern
 landmark strings, whitened; the machine is linear on them. Summed up, a string's margin is that of
 its subsequences' weights divided by its norm, so scoring needs a table of weights and no landmark.
 
-Texts are scored sentence by sentence, over the whole text: a sentence is as bad as its worst word.
-Only texts carry labels, so training labels sentences itself: all sentences of clean texts are clean;
-in toxic texts the words that tell toxic from clean texts mark the toxic sentences. A text's score is
-a logistic function of the margins of its two worst words, fitted on the training texts.
+Training and scoring take single words in place of sentences, over the whole text. Only texts carry
+labels, so training labels words itself: words that tell toxic from clean texts are toxic, words of
+clean texts are clean. Insults made of several ordinary words are not seen. A text's score is a
+logistic function of the margins of its two worst words, fitted on the training texts.
 """
 
 from __future__ import annotations
