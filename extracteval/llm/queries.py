@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import inverted_index, line_templates, minhash, mixing, suffixes, token_counts, token_files, toxicity, vptree, warc
+from . import conversation_trie, fm_index, inverted_index, line_templates, minhash, mixing, spelling, suffixes, token_counts, token_files, toxicity, vptree, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -154,3 +154,65 @@ def _(spark, d):
 def _(spark, d):
     kept = line_templates.drop_recurring_lines(table(spark, d, "documents"))
     return kept.withColumn("kept_sha256", F.sha2(F.coalesce("kept", F.lit("")), 256)).drop("kept")
+
+
+@query(
+    "op11_fm_index",
+    """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+      s AS (SELECT doc_id, p, md5_number(array_to_string(w[p:p + 49], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+      f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s),
+      g AS (SELECT doc_id, p FROM s JOIN f USING (s) WHERE doc_id > first),
+      c AS (SELECT doc_id, list(DISTINCT q) AS gone, any_value(n) AS n_windows FROM (SELECT doc_id, unnest(range(p, p + 50)) AS q, count(*) OVER (PARTITION BY doc_id) AS n FROM g) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, CAST(coalesce(n_windows, 0) AS BIGINT) AS n_windows,
+      sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)""",
+)
+def _(spark, d):
+    return fm_index.remove_repeats(table(spark, d, "documents"))
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII or UTF-8 string in SQL, a byte at a time over its hexadecimal form."""
+    byte = "CAST('0x' || b AS BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: {byte})), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])))"
+
+
+# the table of CRC-32, by its rule: eight times shift right, with the polynomial where a one falls out
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda a, b: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)))"
+
+
+@query(
+    "op12_conversation_trie",
+    f"""WITH RECURSIVE k AS (SELECT {_CRC_TABLE} AS crc),
+      t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+      h AS (SELECT c, c - c % 100 AS base, {_crc32("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM t), k),
+      r AS (SELECT h.c, 0 AS part, pos, role, text FROM h JOIN t ON t.c = h.base AND t.pos <= h UNION ALL SELECT h.c, 1, pos, role, text FROM h JOIN t ON t.c = h.c AND t.pos > h),
+      o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, md5(len(role) || ':' || role || text) AS id FROM r),
+      p AS (SELECT c, d, len(text) AS n, md5(string_agg(id, ' ') OVER (PARTITION BY c ORDER BY d)) AS x FROM o UNION ALL SELECT c, 0, 0, 'root' FROM h),
+      q AS (SELECT *, lag(x) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS last FROM p),
+      v AS (SELECT x, any_value(up) AS up, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(n) AS n, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256 FROM q GROUP BY x),
+      b AS (SELECT up AS x, count(*) AS n_children FROM v WHERE up IS NOT NULL GROUP BY up),
+      u AS (SELECT a.x, sum((v.n_convs - 1) * v.n) AS saved, count(*) FILTER (WHERE b.x IS NULL) AS leaves FROM v LEFT JOIN b USING (x) JOIN q a ON a.c = v.conv_id AND a.d <= v.depth GROUP BY a.x)
+    SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, w.conv_id AS parent_conv_id, v.n_convs, CAST(coalesce(b.n_children, 0) AS BIGINT) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+    FROM v LEFT JOIN v w ON w.x = v.up LEFT JOIN b ON b.x = v.x JOIN u ON u.x = v.x""",
+)
+def _(spark, d):
+    return conversation_trie.conversation_trie(table(spark, d, "conversations"))
+
+
+@query(
+    "op13_spelling_variants",
+    f"""WITH RECURSIVE k AS (SELECT {_CRC_TABLE} AS crc),
+      r AS (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+      g AS (SELECT run, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM r, k WHERE len(run) >= 5),
+      w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word FROM g),
+      v AS (SELECT word, count(*) AS n FROM w WHERE len(word) >= 5 GROUP BY word HAVING count(*) >= 3),
+      x AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(len(word))) AS i FROM v)),
+      e AS (SELECT a.word, b.word AS near, b.n FROM x a JOIN x b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+            UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.s = v.word UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.s = v.word),
+      m AS (SELECT word, count(*) AS n_near, max(n) AS most FROM e GROUP BY word),
+      f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN (SELECT min(near) FROM e WHERE e.word = v.word AND e.n = most) END AS form FROM v LEFT JOIN m USING (word)),
+      c AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.next)
+    SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, v.n AS form_n FROM f JOIN c ON c.word = f.word AND c.next IS NULL LEFT JOIN v ON v.word = f.form""",
+)
+def _(spark, d):
+    return spelling.spelling_variants(table(spark, d, "documents"))

@@ -29,7 +29,7 @@ def test_queries_match_their_sql(spark, sf_dir, name):
 
 def test_registered_once_for_each_operator():
     names = sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
