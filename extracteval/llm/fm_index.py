@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from .storing import stored
 WINDOW, SEED = 50, 8
 RUN = 64  # windows of a segment at most
 PART = 4096  # segments of a part of a seed, by hash
-SHARD = 1 << 21  # words of a shard, about
+SHARD = 1 << 19  # words of a shard, about
 PIECE = 1 << 20  # bytes of a text that are hashed at once
 BATCH = 1 << 21  # bytes of segments that are streamed at once
 ROWS = 1 << 14
@@ -257,22 +258,27 @@ class FMIndex:
         return statistics, least
 
 
+class _Names(dict):
+    """Words by their bytes, as symbols from 1."""
+
+    def __missing__(self, word: bytes) -> int:
+        symbol = self[word] = len(self) + 1
+        return symbol
+
+
 class Shard:
     """An index over segments as bytes. Words are told apart by their bytes."""
 
     def __init__(self, texts: list[bytes], docs: list[int]) -> None:
-        words = [t.split() for t in texts]
-        self.names: dict[bytes, int] = {}
-        names = self.names
-        symbols = np.fromiter((names.setdefault(w, len(names) + 1) for t in words for w in t), np.int64)
-        self.index = FMIndex(symbols, np.array([len(t) for t in words], np.int64), np.array(docs, np.int64), len(names) + 1)
+        words, lengths = _words(texts)
+        self.names = _Names()
+        symbols = np.fromiter(map(self.names.__getitem__, words), np.int64, len(words))
+        self.index = FMIndex(symbols, lengths, np.array(docs, np.int64), len(self.names) + 1)
 
     def search(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The least document of each window of each segment, and how many windows each has."""
-        words = [t.split() for t in texts]
-        get = self.names.get
-        lengths = np.array([len(t) for t in words], np.int64)
-        statistics, least = self.index.match(np.fromiter((get(w, 0) for t in words for w in t), np.int64), lengths)
+        words, lengths = _words(texts)
+        statistics, least = self.index.match(np.fromiter(map(self.names.get, words, repeat(0)), np.int64, len(words)), lengths)
         ends = np.cumsum(lengths)
         window = np.ones(len(statistics), bool)
         for i in range(1, WINDOW):
@@ -281,6 +287,11 @@ class Shard:
         return least[window], lengths - WINDOW + 1
 
 
+def _words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of texts in which one space stands between words, and how many each has."""
+    return b" ".join(texts).split(), np.array([t.count(b" ") + 1 for t in texts], np.int64)
+
+
 # ---- tables ----
 
 
