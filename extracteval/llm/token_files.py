@@ -141,6 +141,17 @@ def _small_letters(s: str) -> bool:
     return s.isalpha() and s == s.lower() and is_normalized("NFC", s)
 
 
+def _lower(raw: bytes) -> list[bytes]:
+    """The words of a text, in small letters where that changes no id. The tokenizer lower-cases too,
+    but for its special strings, and after it has put letters and marks together: a capital with a
+    mark of U+0300 to U+036F (bytes CC and CD) may be put together otherwise than the small letter."""
+    if b"<|" in raw:
+        return raw.split()
+    if b"\xcc" in raw or b"\xcd" in raw:
+        return [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in raw.split()]
+    return raw.lower().split()
+
+
 class WordIds(dict):
     """Ids of the words of a text, as bytes of little-endian 32-bit numbers.
 
@@ -198,9 +209,7 @@ class WordIds(dict):
     def texts(self, texts: list[str | None]) -> list[bytes]:
         split = []
         for t in texts:
-            raw = b"" if t is None else t.encode("utf-8", "surrogatepass")
-            # the tokenizer lower-cases too, but for its special strings
-            split.append((raw if b"<|" in raw else raw.lower()).split())
+            split.append(_lower(b"" if t is None else t.encode("utf-8", "surrogatepass")))
         if len(self) > MEMO:
             self.clear()
         new = [w for w in set().union(*split) if w not in self]
@@ -243,9 +252,11 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 2, per
         if parts:
             yield flush()
 
-    # equal ids are ordered by their text, so a task that is run again writes the same files
-    ordered = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(F.col("doc_id").asc_nulls_last())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+    # equal ids are ordered by their text, so a task that is run again writes the same files; ranges
+    # end inside them as well, and inside equal rows, so many rows of one id, or none, are several tasks
+    ordered = docs.select(F.col("doc_id").cast("bigint"), "text").select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_last(), "hash", "row"]
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialise(ordered.mapInArrow(run, "file string, n_docs bigint, n_ids bigint"), "token-files")
 
 

@@ -1,10 +1,12 @@
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from extracteval.llm import token_counts, token_files, warc
 
@@ -109,3 +111,26 @@ def test_files_hold_every_document(documents, folder, monkeypatch):
     assert order == sorted(order, key=lambda d: (d is None, d or 0))
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
     assert token_files.token_files(documents([]), path, folder()).collect() == []
+
+
+def test_word_ids_with_combining_marks():
+    rng = random.Random(8)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    letters = [*"JHTWYAEaejhtwy xé", *(chr(c) for c in (0x300, 0x301, 0x308, 0x30A, 0x30C, 0x327, 0x331, 0x591, 0x1EA1, 0x212B))]
+    texts = ["J̌abc", "H̱", "T̈ x", "W̊", "Y̊"] + ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(20_000)]
+    whole = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert token_files.WordIds(path).texts(texts) == [np.array(e.ids, "<u4").tobytes() for e in whole]
+
+
+def test_many_rows_without_an_id_are_several_tasks(spark, documents, folder):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, f"w{i}") for i in range(300)] + [(None, f"n{i}") for i in range(100)] + [(None, "same")] * 200
+    # as much text as makes more than one range
+    docs = documents(rows).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = token_files.token_files(docs, path, folder()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 600 and len({r.file for r in got if r.doc_id is None}) > 1
+    assert sum(r.n_tokens for r in got) == max(r.start + r.n_tokens for r in got)
