@@ -37,8 +37,13 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_OVERHEAD = 64
 
 
+def fits_broadcast(rows: int, chars: int, limit: int | None = None) -> bool:
+    """Whether a side measured to hold ``rows`` rows and ``chars`` characters is surely small."""
+    return rows * ROW_OVERHEAD + 4 * chars <= (BROADCAST_BYTES if limit is None else limit)
+
+
 def broadcast_if(df: DataFrame, rows: int, chars: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast for a side measured to hold ``rows`` rows and ``chars`` characters,
     if that is surely small; beyond the limit the join is left to the planner, which
     shuffles both sides and splits skewed partitions."""
-    return F.broadcast(df) if rows * ROW_OVERHEAD + 4 * chars <= limit else df
+    return F.broadcast(df) if fits_broadcast(rows, chars, limit) else df

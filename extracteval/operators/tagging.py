@@ -2,10 +2,10 @@
 
 Rules that are fixed patterns are column expressions: the tags of a text are built inside
 its row and nothing is shuffled. Dictionaries are tables. To find which names occur in
-which texts without comparing every text with every name, each text position emits a short
-window that is equi-joined with the names on their first characters; the join is a hash
-join whatever the sizes, the candidate is then checked in full, and only a window, never
-the text, travels. Nothing is cut: every position of the whole text takes part.
+which texts without comparing every text with every name, each text position emits digests
+of short chunks that are equi-joined with one key of each name, the rarest of its chunks;
+the candidate is then checked in full. Nothing is cut: every position of the whole text
+takes part.
 
 Tag relations are ``(qid, facet, value, ord)``.
 """
@@ -16,6 +16,7 @@ import re
 import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.normalize import clean_query, percent_decode, squeeze
-from ..functions.tables import broadcast_if, small_table
+from ..functions.tables import fits_broadcast, small_table
 from ..schemas import PREDICTION
+from ..session import materialise
 
-_PREFIX = 4
-_BLOCK = 256
+LADDER = (1, 2, 4)  # bytes of the chunks that names are keyed by
+_STRETCH = 1 << 16
+_SAMPLE = 16
 
 
 def dictionary(spark: SparkSession, entries: Mapping[str, str] | Iterable[tuple], facet: str = "brand") -> DataFrame:
@@ -43,65 +46,91 @@ def facet_dictionary(spark: SparkSession, facets: Mapping[str, Mapping[str, str]
     return small_table(spark, rows, "facet string, name string, canonical string, rank int")
 
 
+def _chunk_size(n: Column) -> Column:
+    """The length of a name's key: the longest of the ladder that fits into it."""
+    size = F.lit(LADDER[0])
+    for k in LADDER[1:]:
+        size = F.when(n >= k, k).otherwise(size)
+    return size
+
+
+def _bytes(texts: DataFrame, text: Column, on: str) -> DataFrame:
+    """Texts as UTF-8 in ``_x``. A place in bytes is found at once, and a name's bytes stand nowhere
+    but at the start of a character."""
+    return texts.select(on, text.cast("binary").alias("_x"))
+
+
+def _chunks(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """Every chunk of the given sizes in ``_x``: its place ``_at`` and its digest ``_key``. Places are
+    numbered in stretches, so that a very long text makes no very long list."""
+    # sizes are never null, and the generators are outer ones: the optimiser would otherwise test
+    # the texts for null on their own, and work them out twice
+    total = F.coalesce(F.octet_length("_x"), F.lit(0))
+    number, most = len(sizes), total - 1
+    size = F.lit(sizes[0])
+    for i, k in list(enumerate(sizes))[1:]:
+        size = F.when(F.col("_i") % number == i, k).otherwise(size)
+    rows = rows.select("*", F.explode_outer(F.when(most >= 0, F.sequence(F.lit(0), most, F.lit(_STRETCH)))).alias("_s"))
+    rows = rows.select("*", F.explode_outer(F.sequence(F.lit(0), F.least(F.lit(_STRETCH - 1), most - F.col("_s")) * number + number - 1)).alias("_i"))
+    rows = rows.select("*", (F.col("_s") + F.expr(f"_i div {number}")).cast("int").alias("_at"), size.alias("_k"))
+    # a chunk that does not fit is none
+    return rows.where(F.col("_at") + F.col("_k") <= total).withColumn("_key", F.xxhash64(F.expr("substring(_x, _at + 1, _k)")))
+
+
+def _keyed(rows: DataFrame, names: DataFrame, sizes: list[int], on: str, small: bool) -> DataFrame:
+    """The names with one key each, ``_off`` bytes into the name: the one of its chunks that the texts
+    have least often and, of those, the one that the fewest names have. One text in ``_SAMPLE`` is
+    counted; that chooses keys and nothing else."""
+    near = F.broadcast if small else lambda df: df
+    size = _chunk_size(F.octet_length("_x"))
+    each = names.select("name", F.col("name").cast("binary").alias("_x")).distinct().select("name", "_x", F.explode(F.sequence(F.lit(0), F.octet_length("_x") - size)).alias("_off"), size.alias("_k"))
+    each = each.select("name", "_off", F.xxhash64(F.expr("substring(_x, _off + 1, _k)")).alias("_key"))
+    shared = each.groupBy("_key").agg(F.count(F.lit(1)).alias("_names"))
+    sample = rows.where(F.pmod(F.xxhash64(F.col(on), F.lit("sample")), F.lit(_SAMPLE)) == 0)
+    counts = _chunks(sample, sizes).select("_key").join(near(shared), "_key", "left_semi").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    known = shared.join(near(counts), "_key", "left")
+    rarest = F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_names").alias("names"), F.col("_off").alias("off"), F.col("_key").alias("key"))
+    chosen = each.join(near(known), "_key").groupBy("name").agg(F.min(rarest).alias("_c"))
+    return names.join(near(chosen.select("name", F.col("_c.off").alias("_off"), F.col("_c.key").alias("_key"))), "name")
+
+
+def dictionary_candidates(texts: DataFrame, names: DataFrame, text: Column, on: str = "qid") -> DataFrame:
+    """Places where a name's key stands in a text: the name's columns, ``_off``, ``_at`` and the text's
+    bytes ``_x``. A dictionary that is measured to be small is looked up beside the texts; for another
+    one a text's digest, place and key are shuffled, and the text is fetched for what is found."""
+    sized = _chunk_size(F.octet_length("name"))
+    names = names.where(F.octet_length("name") > 0)
+    rows, chars, sizes = names.agg(F.count(F.lit(1)), F.sum(F.length("name") + F.length("canonical" if "canonical" in names.columns else "name")), F.collect_set(sized)).first()
+    sizes = sorted(sizes) or [1]
+    read = _bytes(texts, text, on)
+    small = fits_broadcast(rows, chars or 0)
+    keyed = materialise(_keyed(read, names, sizes, on, small), "dictionary")
+    if small:
+        return _chunks(read, sizes).join(F.broadcast(keyed), "_key")
+    read = read.withColumn("_text", F.xxhash64("_x"))
+    found = _chunks(read, sizes).select(on, "_text", "_at", "_key").join(keyed, "_key").drop("_key")
+    return found.join(read.distinct(), [on, "_text"])
+
+
 def dictionary_hits(texts: DataFrame, names: DataFrame, text: Column, on: str = "qid") -> DataFrame:
     """Every occurrence of every dictionary name in every text, as the name's columns plus
     ``before``/``after`` (the two characters around it, '' at the edges) and ``at_start``.
 
-    One aggregation over the dictionary fetches its shortest and longest name length; all
-    else is lazy. Names of four characters or more are found through a four-character
-    prefix, shorter ones through their own length."""
-    low, high, rows, chars = names.agg(
-        F.min(F.length("name")), F.max(F.length("name")), F.count(F.lit(1)), F.sum(F.length("name") + F.length("canonical" if "canonical" in names.columns else "name"))
-    ).first()
-    if high is None:
-        low, high, chars = 1, 1, 0
-    sizes = [*range(max(low, 1), _PREFIX), _PREFIX]
-    start = F.col("_b") * _BLOCK
-    # positions are taken block by block: finding a character inside a block is cheap, and
-    # a block reaches far enough into the next one for the longest name and its neighbours
-    blocks = (
-        texts.select(on, text.alias("_t"))
-        .select(
-            on,
-            "_t",
-            # an empty text has no block
-            F.explode(
-                F.when(F.length("_t") > 0, F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / _BLOCK).cast("int")))
-            ).alias("_b"),
-        )
-        .select(
-            on,
-            (F.col("_b") == 0).alias("_first"),
-            F.least(F.lit(_BLOCK), F.length("_t") - start).alias("_n"),
-            # one character of context on the left, a blank stand-in at the text start
-            F.when(F.col("_b") == 0, F.concat(F.lit(" "), F.substring("_t", F.lit(1), F.lit(_BLOCK + high + 2))))
-            .otherwise(F.substring("_t", start, F.lit(1 + _BLOCK + high + 2)))
-            .alias("_x"),
-        )
-    )
-    at = F.col("_p")
-    windows = (
-        blocks.select(on, "_first", "_x", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_p"))
-        .select(
-            on,
-            (F.col("_first") & (at == 1)).alias("at_start"),
-            F.substring("_x", at, F.lit(1)).alias("before"),
-            F.substring("_x", at + 1, F.lit(high + 2)).alias("_w"),
-        )
-        # a window too short for a prefix length leaves that key null, which joins nothing
-        .select("*", F.explode(F.array(*[F.when(F.length("_w") >= n, F.substring("_w", 1, n)) for n in sizes])).alias("_k"))
-    )
-    keyed = broadcast_if(names.withColumn("_k", F.substring("name", 1, _PREFIX)), rows, chars)
-    size = F.length("name")
+    Names are keyed by their rarest chunk, see :func:`dictionary_candidates`, so names that share a
+    frequent start do not meet each other's texts; what is found is compared in full."""
+    begin, size = F.col("_at") - F.col("_off"), F.octet_length("name")
+    cut = lambda start, n: F.substring("_x", start + 1, n).cast("string")
+    # four bytes before hold the whole character before, eight bytes after two whole ones
+    before = F.right(cut(F.greatest(begin - 4, F.lit(0)), F.least(F.lit(4), begin)), F.lit(1))
     return (
-        windows.join(keyed, "_k")
-        .filter(F.col("_w").startswith(F.col("name")))
+        dictionary_candidates(texts, names, text, on)
+        .where((begin >= 0) & (F.substring("_x", begin + 1, size) == F.col("name").cast("binary")))
         .select(
             on,
             *names.columns,
-            "at_start",
-            F.when(F.col("at_start"), "").otherwise(F.col("before")).alias("before"),
-            F.substring("_w", size + 1, F.lit(2)).alias("after"),
+            (begin == 0).alias("at_start"),
+            F.when(begin == 0, "").otherwise(before).alias("before"),
+            F.substring(cut(begin + size, F.lit(8)), 1, 2).alias("after"),
         )
     )
 
@@ -176,8 +205,8 @@ def tag_multi_dictionary(texts: DataFrame, names: DataFrame, on: str = "qid", te
 
 # -------------------------------------------------------------------- row-local pattern tags
 #
-# A family is a function that gives array-valued tag columns over the forms of a text:
-# _raw as it is, _low lower-case, _clean decoded and lower-case, _plain without punctuation.
+# A family is a function that gives entries, array-valued tag columns over the forms of a text:
+# _raw as it is, _low lower-case, _trim the same without blanks around, _clean decoded and lower-case, _plain without punctuation.
 # Any number of families is evaluated in one projection over one scan.
 
 
@@ -186,17 +215,17 @@ def _forms(texts: DataFrame, on: str, text: str) -> DataFrame:
     # letters of every script stay: the patterns include Devanagari spellings
     plain = squeeze(F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{M}\p{N}\s.&]", " "))
     return texts.select(
-        on, c.alias("_raw"), F.lower(c).alias("_low"), F.lower(clean_query(c)).alias("_clean"), plain.alias("_plain")
+        on, c.alias("_raw"), F.lower(F.trim(c)).alias("_trim"), F.lower(c).alias("_low"), F.lower(clean_query(c)).alias("_clean"), plain.alias("_plain")
     )
 
 
-def tag_rules(texts: DataFrame, families: Sequence[list[Column]], on: str = "qid", text: str = "query") -> DataFrame:
+def tag_rules(texts: DataFrame, families: Sequence[list[Entry]], on: str = "qid", text: str = "query") -> DataFrame:
     """The tags of all families, in one pass: projections and generators, no shuffle.
 
     The entries are built by expressions without lambdas, so they are compiled; nulls are
     dropped after the rows are made. (The outer generator keeps the optimiser from testing
     the array for emptiness first, which would evaluate all patterns twice.)"""
-    entries = F.array(*[c for family in families for c in family])
+    entries = F.array(*[e.cell() for family in families for e in family])
     return (
         _forms(texts, on, text)
         .select(on, entries.alias("_e"))
@@ -207,11 +236,22 @@ def tag_rules(texts: DataFrame, families: Sequence[list[Column]], on: str = "qid
     )
 
 
-def _many(facet: str, values: Column, suffix: str = "") -> Column:
-    return F.struct(F.lit(facet).alias("facet"), values.alias("values"), F.lit(suffix).alias("suffix"))
+class Entry(NamedTuple):
+    """The values that a rule finds for a facet, null where there is none, and what follows each."""
 
+    facet: str
+    values: Column
+    suffix: str
 
-def _one(facet: str, value: Column) -> Column:
+    def cell(self, *more: Column) -> Column:
+        return F.struct(F.lit(self.facet).alias("facet"), *more, self.values.alias("values"), F.lit(self.suffix).alias("suffix"))
+
+
+def _many(facet: str, values: Column, suffix: str = "") -> Entry:
+    return Entry(facet, values, suffix)
+
+
+def _one(facet: str, value: Column) -> Entry:
     return _many(facet, F.array(value))
 
 
@@ -220,7 +260,7 @@ def _hit(q: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(q, pattern, group), F.lit(""))
 
 
-def quantity_tags(rules: Mapping[str, tuple[str, str, str]] = L.QUANTITIES) -> list[Column]:
+def quantity_tags(rules: Mapping[str, tuple[str, str, str]] = L.QUANTITIES) -> list[Entry]:
     q = F.col("_clean")
     hp, kw, watt = _hit(q, L.HORSEPOWER), _hit(q, L.KILOWATT), _hit(q, L.WATT)
     # a wattage that also stands before the first "v" is a voltage
@@ -238,7 +278,7 @@ def quantity_tags(rules: Mapping[str, tuple[str, str, str]] = L.QUANTITIES) -> l
     return tags + [_one(f, F.concat(F.lit(a), _hit(q, p), F.lit(b))) for f, (p, a, b) in rules.items()]
 
 
-def all_quantity_tags() -> list[Column]:
+def all_quantity_tags() -> list[Entry]:
     q = F.col("_low")
     every = lambda p: F.regexp_extract_all(q, F.lit(p), 1)
     word = F.when(q.rlike(L.HORSEPOWER_WORD) & ~q.rlike(L.HORSEPOWER_NUMBER), "horse power")
@@ -284,7 +324,7 @@ def first_of(q: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(matches(q, p), F.lit(v)) for p, v in rules])
 
 
-def first_of_tags(rules: Mapping[str, Sequence[tuple[str, str]]] = L.FIRST_OF) -> list[Column]:
+def first_of_tags(rules: Mapping[str, Sequence[tuple[str, str]]] = L.FIRST_OF) -> list[Entry]:
     return [_one(f, first_of(F.col("_low"), r)) for f, r in rules.items()]
 
 
@@ -305,11 +345,11 @@ def _labels(q: Column, labels: Mapping[str, str | Sequence[str]]) -> Column:
 MULTI_LABEL = {"application": L.APPLICATIONS, "material": L.MATERIALS, "product_category": L.CATEGORIES}
 
 
-def multi_tags(facets: Mapping[str, Mapping[str, str | Sequence[str]]] = MULTI_LABEL) -> list[Column]:
+def multi_tags(facets: Mapping[str, Mapping[str, str | Sequence[str]]] = MULTI_LABEL) -> list[Entry]:
     return [_many(f, _labels(F.col("_low"), labels)) for f, labels in facets.items()]
 
 
-def motor_type_tags() -> list[Column]:
+def motor_type_tags() -> list[Entry]:
     q = F.col("_plain")
     named = reduce(lambda a, b: a | b, [occurs(q, words) for words in L.MOTOR_TYPES.values()])
     plain = F.when(~named & q.rlike(L.ANY_MOTOR), F.lit("motor"))
@@ -333,7 +373,7 @@ def model_number(mode: str = "patterns") -> Column:
     )
 
 
-def model_tags(mode: str = "patterns") -> list[Column]:
+def model_tags(mode: str = "patterns") -> list[Entry]:
     return [_one("model_number", model_number(mode))]
 
 
@@ -374,14 +414,62 @@ def fallback_category(texts: DataFrame, tags: DataFrame, on: str = "qid", text:
     return tag_rules(untagged, [[_one("product_type", first_of(F.col("_clean"), L.LAST_RESORT))]], on, text)
 
 
+def boundary_brand(names: Mapping[str, str] = L.REFERENCE_BRANDS) -> Column:
+    """The brand of the longest name that stands between spaces, hyphens, slashes or text edges, in
+    the text or its punctuation-free form; failing that, the longest one the text starts with. For a
+    fixed table of names: one pattern per form, that is tried at the starts of words and takes the
+    longest name there."""
+    order = sorted(names, key=len, reverse=True)
+    body = "|".join(re.escape(n) for n in order)
+    place = {n: i for i, n in enumerate(order)}
+    ranks = F.create_map(*[F.lit(x) for n, i in place.items() for x in (n, i)])
+    brands = F.create_map(*[F.lit(x) for n, i in place.items() for x in (i, names[n])])
+    at_word = F.lit(rf"(?<![^\s/\-])(?=({body})(?![^\s/\-]))")
+    found = F.concat(*[F.regexp_extract_all(F.col(c), at_word, 1) for c in ("_trim", "_plain")])
+    start = lambda c: F.regexp_extract(c, f"^({body})", 1)
+    begun = F.filter(F.array(start("_trim"), start("_plain")), lambda n: n != "")
+    best = lambda found: F.array_min(F.transform(found, lambda n: F.element_at(ranks, n)))
+    return F.element_at(brands, F.coalesce(best(found), best(begun)))
+
+
+def frame_size() -> Column:
+    return F.coalesce(*[_hit(F.col(c), p) for c, p in (("_raw", L.FRAME_SIZE), ("_low", L.FRAME_NUMBER))])
+
+
+def reference_families() -> list[list[Entry]]:
+    """The rules of the reference: brand, quantities, model number, motor types, ordered
+    alternatives, labels, frame size and KV rating; a product category only without a motor type."""
+    motor = [_many("motor_type", _labels(F.col("_plain"), L.MOTOR_TYPES)), _one("motor_type", F.when(F.col("_plain").rlike(L.ANY_MOTOR) & ~_any_motor_named(), F.lit("motor")))]
+    no_motor = ~_any_motor_named() & ~F.col("_plain").rlike(L.ANY_MOTOR)
+    labels = [_many(f, F.when(no_motor, v) if f == "product_category" else v) for f, v in ((f, _labels(F.col("_low"), t)) for f, t in MULTI_LABEL.items())]
+    kv = F.concat(_hit(F.col("_low"), L.KV_RATING), F.lit(" kv"))
+    own = [_one("brand", F.lower(boundary_brand())), _one("frame_size", frame_size()), _one("kv_rating", kv)]
+    return [own, all_quantity_tags(), motor, first_of_tags(), labels, model_tags("patterns")]
+
+
+def _any_motor_named() -> Column:
+    return reduce(lambda a, b: a | b, [occurs(F.col("_plain"), words) for words in L.MOTOR_TYPES.values()])
+
+
 def reference_tags(texts: DataFrame, on: str = "qid", text: str = "query") -> DataFrame:
-    """The tags of a rule-made reference, from the decoded texts: quantities, model number, motor
-    types, ordered alternatives, labels; a product category only where no motor type was found."""
-    decoded = texts.select(on, percent_decode(F.col(text)).alias(text))
-    families = [all_quantity_tags(), motor_type_tags(), first_of_tags(), multi_tags(), model_tags("patterns")]
-    tags = tag_rules(decoded, families, on, text)
-    motor = F.max(F.col("facet") == "motor_type").over(W.partitionBy(on))  # the tags of one text
-    return tags.withColumn("_motor", motor).filter(~F.col("_motor") | (F.col("facet") != "product_category")).drop("_motor")
+    """The tags of a rule-made reference, from the decoded texts, see :func:`reference_families`."""
+    return tag_rules(texts.select(on, percent_decode(F.col(text)).alias(text)), reference_families(), on, text)
+
+
+def assemble_reference(texts: DataFrame, facet_keys: Mapping[str, Sequence[str]] = L.FACET_KEYS, on: str = "qid", text: str = "query") -> DataFrame:
+    """The tags of :func:`reference_tags` as attribute relation, inside the row: entries are listed in
+    the order of their facets, so a value's place in the list of those that are there is its priority.
+    Neither a join nor a window, and nothing is shuffled."""
+    decoded = _forms(texts.select(on, percent_decode(F.col(text)).alias(text)), on, text)
+    order = {f: i for i, f in enumerate(facet_keys)}
+    entries = sorted((e for family in reference_families() for e in family if e.facet in order), key=lambda e: order[e.facet])
+    lists = [e.cell(F.lit(order[e.facet]).alias("f")) for e in entries]
+    keys = F.array(*[F.array(*map(F.lit, facet_keys[f])) for f in order])
+    given = lambda e: F.transform(F.filter(F.coalesce(e["values"], F.array().cast("array<string>")), lambda v: v != ""), lambda v: F.struct(e["f"].alias("f"), F.concat(v, e["suffix"]).alias("value")))
+    rows = decoded.select(on, F.array(*lists).alias("_e")).select(on, F.explode_outer(F.array("_e")).alias("_e"))
+    rows = rows.select(on, F.posexplode_outer(F.flatten(F.transform("_e", given))).alias("_p", "_v")).where("_v is not null")
+    rows = rows.select(on, F.col("_v.value").alias("value"), (F.col("_p") + 1).alias("attribute_priority"), F.posexplode(F.get(keys, F.col("_v.f"))).alias("_i", "attribute_key"))
+    return rows.select(on, "attribute_key", "value", (F.col("_i") + 1).alias("key_priority"), "attribute_priority")
 
 
 def assemble(tags: DataFrame, facet_keys: Mapping[str, Sequence[str]] = L.FACET_KEYS, on: str = "qid") -> DataFrame:

@@ -206,6 +206,15 @@ _TAGS = f"""(WITH t AS ({_LOW}) SELECT qid, facet, value, 1 AS ord FROM ({_all_s
 # the reference reads decoded texts, has a model number, and a category only without a motor type
 _TAGS = f"""(SELECT * FROM ({_TAGS} UNION ALL SELECT qid, 'model_number', v, 1 FROM (SELECT qid, {_MODEL_SQL} AS v FROM fx_specs) m WHERE v IS NOT NULL) a
     WHERE NOT (facet = 'product_category' AND qid IN (SELECT qid FROM {_MOTOR} n)))""".replace("fx_specs", "(SELECT qid, url_decode(query) AS query FROM fx_specs)")
+# brand between blanks, hyphens, slashes or edges, or else at the start; frame size and KV rating
+_EDGED = r"regexp_matches({x}, '(^|[\s/-])' || regexp_escape(name) || '($|[\s/-])')"
+_BRAND = f"""(SELECT qid, arg_max(lower(canonical), tier * 1000000 + length(name) * 1000 - rank) AS value FROM (
+    SELECT *, CASE WHEN {_EDGED.format(x="raw")} OR {_EDGED.format(x="plain")} THEN 2 WHEN starts_with(raw, name) OR starts_with(plain, name) THEN 1 END AS tier FROM
+    (SELECT qid, lower(trim(query)) AS raw, trim(regexp_replace(regexp_replace(lower(query), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s.&]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM fx_specs) q, {dict_sql({'brand': L.REFERENCE_BRANDS})} v
+    WHERE contains(raw, name) OR contains(plain, name)) h WHERE tier IS NOT NULL GROUP BY qid)"""
+_TAGS = f"""(SELECT * FROM {_TAGS} r0 UNION ALL SELECT qid, 'brand', value, 1 FROM {_BRAND} r1
+    UNION ALL SELECT qid, 'frame_size', v, 1 FROM (SELECT qid, coalesce({_ex(L.FRAME_SIZE).replace('(q,', '(query,')}, {_ex(L.FRAME_NUMBER)}) AS v FROM (SELECT qid, query, lower(query) AS q FROM fx_specs) s0) r2 WHERE v IS NOT NULL
+    UNION ALL SELECT qid, 'kv_rating', {_ex(L.KV_RATING)} || ' kv', 1 FROM (SELECT qid, lower(query) AS q FROM fx_specs) r3 WHERE {_ex(L.KV_RATING)} IS NOT NULL)""".replace("FROM fx_specs", "FROM (SELECT qid, url_decode(query) AS query FROM fx_specs) d")
 _FACETS = values([(f, i, n, k) for i, (f, ks) in enumerate(L.FACET_KEYS.items()) for n, k in enumerate(ks, 1)], "facet", "facet_ord", "key_priority", "attribute_key")
 
 
@@ -216,7 +225,7 @@ _FACETS = values([(f, i, n, k) for i, (f, ks) in enumerate(L.FACET_KEYS.items())
         SELECT qid, attribute_key, value, key_priority, attribute_priority FROM r JOIN {_FACETS} k USING (facet)""",
 )
 def _(spark, d):
-    return tagging.assemble(tagging.reference_tags(fx.specs(spark, d)))
+    return tagging.assemble_reference(fx.specs(spark, d))
 
 
 @query(

@@ -40,7 +40,7 @@ def head_to_head(reference: DataFrame, candidates: Mapping[str, DataFrame], on:
 
 def tag_reference(texts: DataFrame, on: str = "qid") -> DataFrame:
     """A rule-made reference for short product texts, assembled under all its keys."""
-    attrs = tagging.assemble(tagging.reference_tags(texts, on), on=on)
+    attrs = tagging.assemble_reference(texts, on=on)
     return attrs.withColumn("pos", F.col("attribute_priority") * 100 + F.col("key_priority"))
 
 

@@ -223,3 +223,36 @@ def test_fuzzy_values_long_and_hot(attrs):
     for pos, v in enumerate(map(norm, hot + longs), 1):
         want = bool(v) and any(v in t or t in v or (nums(v) and nums(v) == nums(t)) for t in theirs)
         assert got[pos] == want, v
+
+
+def _names(spark, names):
+    return spark.createDataFrame([("f", n, n.upper(), i) for i, n in enumerate(names)], "facet string, name string, canonical string, rank int")
+
+
+@pytest.mark.parametrize("limit", [1 << 25, 0])
+def test_dictionary_hits_are_those_of_brute_force(spark, monkeypatch, limit):
+    from extracteval.functions import tables
+
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", limit)  # 0: the dictionary is shuffled
+    rng = random.Random(11)
+    names = {"".join(rng.choice("abé ") for _ in range(rng.randint(1, 14))) for _ in range(150)} | {"a", "b" * 30, "é" * 130}
+    texts = ["".join(rng.choice("abé ") for _ in range(rng.choice([0, 1, 3, 40, 127, 128, 129, 600]))) for _ in range(40)] + [None, "", "é" * 400, "b" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "qid bigint, query string")
+    want = sorted(
+        (q, n, i == 0, t[i - 1] if i else "", t[i + len(n) : i + len(n) + 2])
+        for q, t in [*enumerate(texts), (3, texts[3])] for n in names for i in range(len(t or "")) if t.startswith(n, i)
+    )
+    got = tagging.dictionary_hits(df, _names(spark, names), F.col("query")).select("qid", "name", "at_start", "before", "after").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_names_with_one_start_have_few_candidates(spark):
+    names = [f"industrial motor {i:04d}" for i in range(2000)]
+    rng = random.Random(5)
+    texts = [(i, f"industrial motor {rng.randrange(9999):04d} industrial pump {i}, industrial motor and {rng.choice(names)}") for i in range(1500)]
+    df = spark.createDataFrame(texts, "qid bigint, query string")
+    table = _names(spark, names)
+    hits = tagging.dictionary_hits(df, table, F.col("query")).count()
+    candidates = tagging.dictionary_candidates(df, table, F.col("query")).count()
+    assert hits == sum(t.count(n) for _, t in texts for n in {t[:21], t[-21:]} if n in set(names))
+    assert hits <= candidates <= 2 * hits

@@ -192,3 +192,32 @@ def test_reference_reads_decoded_texts(spark):
     assert got[3]["product_category"] == ["encoder"]
     assert got[4]["model_number"] == ["1FK2104-5AF"]
     assert texts.filter("qid = 5").select(percent_decode(F.col("query"))).first()[0] == "100% c+d 5%"
+
+
+def test_assembled_reference_has_brand_frame_and_kv(spark):
+    rows = [(1, "abb motor frame size 132 920kv"), (2, "CG power master pump 5 hp"), (3, "havellsx 2200 KV 90 frame"), (4, "shelf%20l%26t/v-guard stabiliser"), (5, "grey bulb"), (6, None), (7, "")]
+    texts = spark.createDataFrame(rows, "qid bigint, query string")
+    got = {}
+    for r in sorted(tagging.assemble_reference(texts).collect(), key=lambda r: (r["qid"], r["attribute_priority"], r["key_priority"])):
+        got.setdefault(r["qid"], []).append((r["attribute_key"], r["value"], r["key_priority"], r["attribute_priority"]))
+    assert [x for x in got[1] if x[2] == 1] == [("brand", "abb", 1, 1), ("motor_type", "motor", 1, 2), ("frame_size", "132", 1, 3), ("kv_rating", "920 kv", 1, 4)]
+    assert got[1][:3] == [("brand", "abb", 1, 1), ("manufacturer", "abb", 2, 1), ("company", "abb", 3, 1)]
+    assert got[2][0][1] == "power master"  # the longest of names that overlap
+    values = lambda q, key: [v for k, v, *_ in got.get(q, []) if k == key]
+    assert values(3, "brand") == ["havells"] and values(3, "frame") == ["90"] and values(3, "kv") == ["2200 kv"]
+    assert values(4, "brand") == ["v-guard"] and not values(5, "brand") and 6 not in got and 7 not in got
+
+
+def test_assembling_the_reference_shuffles_nothing(spark):
+    texts = spark.createDataFrame([(1, "abb motor")], "qid bigint, query string")
+    plan = tagging.assemble_reference(texts)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
+
+
+def test_assembled_in_row_as_from_tags(spark, sf_dir):
+    from extracteval.plans import fixtures as fx
+
+    texts = fx.specs(spark, sf_dir).limit(400)
+    columns = ["qid", "attribute_key", "value", "key_priority", "attribute_priority"]
+    a = tagging.assemble(tagging.reference_tags(texts)).select(*columns).collect()
+    assert sorted(map(tuple, tagging.assemble_reference(texts).select(*columns).collect())) == sorted(map(tuple, a))
