@@ -1,8 +1,8 @@
 """Run ledgers: what is done, what is pending, what it cost, how far it got.
 
-Running sums are computed in two levels, per chunk of rows and then within the chunk, so a
-run with a third of all rows, or all rows in one hour, is still summed by many tasks. Money is summed as DECIMAL to
-make the result independent of the order of addition.
+Running sums are prefix scans over ranges of the sort key, so a run with a third of all rows, or with
+all rows at one time, is still summed by many tasks. Money is summed as DECIMAL to make the result
+independent of the order of addition.
 """
 
 from __future__ import annotations
@@ -17,7 +17,14 @@ from ..functions import lexicon as L
 from ..session import materialise
 
 
-CHUNKS = 256
+def scan_parts(df: DataFrame, by: str, order: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
+    """``df`` sorted over all tasks by group and order and stored, with the measures as ``_m_*``, the
+    number of the range each row fell into as ``_part`` and what tells equal rows apart as ``_tie``.
+    Ranges are cut by the planner's sample of whole sort keys, so a group with a third of all rows, or
+    rows of one time only, lie in as many ranges as their size asks for."""
+    tied = df.withColumns({f"_m_{n}": c for n, c in measures.items()}).withColumn("_tie", F.monotonically_increasing_id())
+    ranges = tied.repartitionByRange(*[F.col(c).asc_nulls_first() for c in (by, *order)], F.col("_tie").asc())
+    return materialise(ranges.withColumn("_part", F.spark_partition_id()), "scan")
 
 
 def running_before(
@@ -30,31 +37,25 @@ def running_before(
     """Adds, per measure, its sum over the earlier rows of the same ``by`` group, and, per
     ``carry``, its value in the row just before (null in the first).
 
-    Every group is cut into up to ``CHUNKS`` chunks of about as many rows, at quantiles of
-    its first order column; equal values stay together. One row per (group, chunk) goes
-    through the outer window, the rows of one chunk through the inner one. The cut rows are
-    stored, since both windows must see the same chunks."""
+    A prefix scan: rows are dealt out by ranges of (group, order), each range is summed by itself, and
+    the totals of the ranges, a row for each group in each, are summed up before it. Rows that are equal
+    in all order columns follow each other in an order that is fixed for the call."""
     names, carry = list(measures), dict(carry or {})
-    place = F.col(order[0])  # a number or a time
-    shares = F.array(*[F.lit(i / CHUNKS) for i in range(1, CHUNKS)])
-    cuts = df.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(place, shares, 8 * CHUNKS).alias("_cuts"))
-    chunk = F.coalesce(F.size(F.filter("_cuts", lambda q: q < place)), F.lit(-1))
-    cell = F.struct(F.col(by).alias("by"), F.when(place.isNull(), -1).otherwise(chunk).alias("chunk"))
-    cut = df.join(cuts, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_cell", cell).drop("_by", "_cuts")
-    cut = materialise(cut.withColumns({f"_m_{n}": c for n, c in measures.items()}), "chunks")
+    cut = scan_parts(df, by, order, measures)
     last = []
     if carry:
         cut = cut.withColumn("_row", F.struct(*[c.alias(n) for n, c in carry.items()]))
-        last = [F.max_by("_row", F.struct(*order)).alias("_s_row")]
-    totals = cut.groupBy("_cell").agg(*[F.sum(f"_m_{n}").alias(f"_s_{n}") for n in names], *last)
-    chunks = W.partitionBy("_cell.by").orderBy("_cell.chunk")
-    earlier = chunks.rowsBetween(W.unboundedPreceding, -1)
+        last = [F.max_by("_row", F.struct(*order, "_tie")).alias("_s_row")]
+    totals = cut.groupBy("_part", F.col(by).alias("_by")).agg(*[F.sum(f"_m_{n}").alias(f"_s_{n}") for n in names], *last)
+    parts = W.partitionBy("_by").orderBy("_part")
+    earlier = parts.rowsBetween(W.unboundedPreceding, -1)
     shifts = totals.select(
-        "_cell",
+        F.col("_part").alias("_p"),
+        "_by",
         *[F.sum(f"_s_{n}").over(earlier).alias(f"_p_{n}") for n in names],
-        *([F.lag("_s_row").over(chunks).alias("_p_row")] if carry else []),
+        *([F.lag("_s_row").over(parts).alias("_p_row")] if carry else []),
     )
-    rows = W.partitionBy("_cell").orderBy(*order)
+    rows = W.partitionBy("_part", by).orderBy(*[F.col(c).asc_nulls_first() for c in order], "_tie")
     within = rows.rowsBetween(W.unboundedPreceding, -1)
     local = cut.withColumns(
         {
@@ -62,7 +63,7 @@ def running_before(
             **({"_l_row": F.lag("_row").over(rows)} if carry else {}),
         }
     )
-    joined = local.join(shifts, "_cell")
+    joined = local.join(shifts, (F.col("_part") == F.col("_p")) & F.col(by).eqNullSafe(F.col("_by")))
     zero = F.lit(0)
     return joined.select(
         *df.columns,

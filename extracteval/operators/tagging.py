@@ -494,12 +494,21 @@ def assemble(tags: DataFrame, facet_keys: Mapping[str, Sequence[str]] = L.FACET_
     )
 
 
-def tag_vocab(texts: DataFrame, vocab: DataFrame, priority: DataFrame, on: str = "qid", text: str = "query") -> DataFrame:
+def vocab_supplements(rules: Sequence[tuple[str, Sequence[str], Sequence[tuple[str, str | None]]]] = L.VOCAB_SUPPLEMENTS) -> list[tuple[str, Sequence[str], Column]]:
+    """Pattern rules ``(key, keys that rule it out, value in _low or null)`` after a vocabulary."""
+    q = F.col("_low")
+    value = lambda alternatives: F.coalesce(*[_hit(q, p, 0) if v is None else F.when(q.rlike(p), F.lit(v)) for p, v in alternatives])
+    return [(key, unless, value(alternatives)) for key, unless, alternatives in rules]
+
+
+def tag_vocab(texts: DataFrame, vocab: DataFrame, priority: DataFrame, on: str = "qid", text: str = "query", supplements: Sequence[tuple] | None = None) -> DataFrame:
     """Tag with a free vocabulary ``(key, value, ord)``: keys in ``priority (key, rank)``
     order, one value per key, no value twice in a text.
 
     Keys are gone through in order; each takes its first value, by ``ord``, that no key before it
-    took. The hits of one text are folded inside its row: they are values of one text, and few."""
+    took. The hits of one text are folded inside its row: they are values of one text, and few.
+    ``supplements`` (:func:`vocab_supplements`) follow in their order, with null ``key_rank``: each
+    counts where it finds something and none of the keys that rule it out is there."""
     names = (
         vocab.filter(F.length("value") > 1)
         .groupBy("key", "value")
@@ -519,7 +528,17 @@ def tag_vocab(texts: DataFrame, vocab: DataFrame, priority: DataFrame, on: str =
             F.exists(out, lambda o: (o["key"] == x["key"]) | (o["value"] == x["value"])), out
         ).otherwise(F.concat(out, F.array(x))),
     )
-    return listed.select(on, F.inline(fold)).select(on, "key", "key_rank", "value")
+    folded = listed.select(on, fold.alias("_found"))
+    if not supplements:
+        return folded.select(on, F.inline("_found")).select(on, "key", "key_rank", "value")
+    rows = texts.select(on, F.lower(F.col(text)).alias("_low")).join(folded.withColumnRenamed(on, "_on"), F.col(on) == F.col("_on"), "left")
+    found = F.coalesce(F.transform("_found", lambda x: F.struct(x["key"].alias("key"), x["key_rank"].alias("key_rank"), x["value"].alias("value"))), F.array().cast("array<struct<key:string,key_rank:int,value:string>>"))
+    rows = rows.select(on, "_low", found.alias("_found"))
+    for key, unless, value in supplements:
+        new = F.struct(F.lit(key).alias("key"), F.lit(None).cast("int").alias("key_rank"), value.alias("value"))
+        free = value.isNotNull() & ~F.exists("_found", lambda o: o["key"].isin(*unless))
+        rows = rows.select(on, "_low", F.when(free, F.concat("_found", F.array(new))).otherwise(F.col("_found")).alias("_found"))
+    return rows.select(on, F.inline("_found"))
 
 
 # ------------------------------------------------------------------------------- predictors

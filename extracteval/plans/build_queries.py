@@ -256,6 +256,32 @@ def _(spark, d):
     return tagging.tag_vocab(fx.queries(spark, d), fx.vocab(spark, d), prio)
 
 
+def _supplement_sql(alternatives) -> str:
+    cases = [f"nullif(regexp_extract(q, {lit(p)}, 0), '')" if v is None else f"CASE WHEN regexp_matches(q, {lit(p)}) THEN {lit(v)} END" for p, v in alternatives]
+    return f"coalesce({', '.join(cases)})"
+
+
+_VOCAB = [("motor power", 1), ("type", 2), ("phase", 3)]
+_VOCAB_VALUES = [("motor power", "5 hp", 1), ("motor power", "3 hp", 2), ("type", "gear motor", 3), ("type", "stepper", 4), ("phase", "1 phase", 5)]
+
+
+@query(
+    "x11_tag_vocab_supplements",
+    f"""WITH t AS (SELECT qid, lower(query) AS q FROM fx_specs),
+        h AS (SELECT qid, v.key, v.value, p.rank, row_number() OVER (PARTITION BY qid, v.key ORDER BY v.ord) AS r FROM t JOIN {values(_VOCAB_VALUES, 'key', 'value', 'ord')} v ON contains(q, v.value) JOIN {values(_VOCAB, 'key', 'rank')} p ON p.key = v.key)
+        SELECT qid, key, CAST(rank AS INTEGER) AS key_rank, value FROM h WHERE r = 1
+        """
+    + "".join(
+        f" UNION ALL SELECT qid, {lit(k)}, NULL, {_supplement_sql(a)} FROM t WHERE {_supplement_sql(a)} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h WHERE h.qid = t.qid AND h.key IN ({', '.join(map(lit, u))}))"
+        for k, u, a in L.VOCAB_SUPPLEMENTS
+    ),
+)
+def _(spark, d):
+    vocab = small_table(spark, _VOCAB_VALUES, "key string, value string, ord int")
+    prio = small_table(spark, _VOCAB, "key string, rank int")
+    return tagging.tag_vocab(fx.specs(spark, d), vocab, prio, supplements=tagging.vocab_supplements())
+
+
 @query(
     "x12_apply_predictor",
     r"""SELECT qid, regexp_matches(query, '[a-z]+\s+[0-9]+') AS success, nullif(regexp_extract(query, '([a-z]+)\s+([0-9]+)', 1), '') AS attribute_key,

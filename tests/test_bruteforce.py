@@ -256,3 +256,36 @@ def test_names_with_one_start_have_few_candidates(spark):
     candidates = tagging.dictionary_candidates(df, table, F.col("query")).count()
     assert hits == sum(t.count(n) for _, t in texts for n in {t[:21], t[-21:]} if n in set(names))
     assert hits <= candidates <= 2 * hits
+
+
+def test_running_sums_of_one_run_and_time_in_many_ranges(spark):
+    n = 4000
+    df = spark.range(n).selectExpr("1 AS run", "7 AS ts", "id AS event", "CAST(id % 5 AS BIGINT) AS x").union(spark.sql("SELECT null, 7, CAST(1 AS BIGINT), CAST(3 AS BIGINT)"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = ledger.scan_parts(df, "run", ["ts", "event"], {"s": F.col("x")})
+        sizes = [r["count"] for r in parts.where("run = 1").groupBy("_part").count().collect()]
+        got = ledger.running_before(df, "run", ["ts", "event"], {"s": F.col("x")}, {"was": F.col("event")}).where("run = 1").orderBy("event").collect()
+        ties = ledger.running_before(df.withColumn("event", F.lit(0)), "run", ["ts", "event"], {"n": F.lit(1).cast("bigint")}).where("run = 1").select("n").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sizes) > 2 and max(sizes) < n / 2
+    assert [r["s"] for r in got] == [sum(i % 5 for i in range(k)) for k in range(n)][:n]
+    assert [r["was"] for r in got] == [None, *range(n - 1)]
+    assert sorted(r["n"] for r in ties) == list(range(n))
+
+
+def test_vocabulary_supplements(spark):
+    texts = [(1, "Extruder 50 KG/hr 440 V 5 hp semi-automatic 3 phase"), (2, "motor power 3 hp manual"), (3, "plain"), (4, None), (5, "fully automatic 2.5 ton 1 phase")]
+    df = spark.createDataFrame(texts, "qid bigint, query string")
+    vocab = small_table(spark, [("motor power", "3 hp", 1), ("capacity", "50 kg", 2)], "key string, value string, ord int")
+    prio = small_table(spark, [("motor power", 1), ("capacity", 2)], "key string, rank int")
+    got = {}
+    for r in tagging.tag_vocab(df, vocab, prio, supplements=tagging.vocab_supplements()).collect():
+        got.setdefault(r["qid"], {})[r["key"]] = r["value"]
+    assert got == {
+        1: {"capacity": "50 kg", "voltage": "440 v", "power": "5 hp", "automation grade": "semi-automatic", "phase": "three phase"},
+        2: {"motor power": "3 hp", "automation grade": "manual"},
+        5: {"capacity": "2.5 ton", "automation grade": "fully automatic", "phase": "single phase"},
+    }
