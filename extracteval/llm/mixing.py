@@ -200,16 +200,22 @@ def draw(placed: DataFrame, shard_words: int = 1 << 22, seed: int = 1) -> DataFr
     row = sources.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k") * F.col("b")), F.lit(0))).first()
     shards = max(1, math.ceil(row[1] / shard_words))
     quotas = shard_quotas(sources.select("g", "k"), row[0], shards, seed)
-    slots = quotas.where("quota > 0").select("shard", "g", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("quota") - 1)).alias("slot"))
+    # shards are looked up by ranges of slots, cut where a multiple of the mean quota lies: two rows a
+    # shard and source at most, not one a block
+    width = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("k") / shards))
+    ranges = quotas.where("quota > 0").join(sources.select("g", width.alias("width")), "g")
+    ranges = ranges.select("shard", "g", F.col("start").alias("first_slot"), (F.col("start") + F.col("quota")).alias("end_slot"), F.explode(F.expr("sequence(start div width, (start + quota - 1) div width)")).alias("bucket"))
+    ranges = materialise(ranges, "mix-ranges")
     worded = placed.where("size > 0")
     blocks = worded.withColumn("block", F.explode(F.expr("sequence(start div b, (start + size - 1) div b)")))
     turns = F.array(*[F.struct(F.lit(t).alias("turn"), _slot(F.col("block"), F.col("n"), t).alias("slot")) for t in (0, 1)])
     runs = blocks.withColumn("x", F.explode(turns)).where("x.slot < k").select(
         "doc_id", "h", "source", "g", "start", "x.turn", "x.slot",
         F.expr("greatest(start, block * b) - start").alias("first"),
-        F.expr("least(start + size, (block + 1) * b) - greatest(start, block * b)").alias("words"),
+        F.expr("least(start + size, (block + 1) * b) - greatest(start, block * b)").alias("words"), F.floor(F.col("x.slot") / width).alias("bucket"),
     )
-    return runs.join(slots, ["g", "slot"]).withColumn("place", F.xxhash64(F.lit(seed), "shard", "g", "slot")).drop("slot")
+    found = runs.join(ranges, ["g", "bucket"]).where("slot >= first_slot and slot < end_slot")
+    return found.withColumn("place", F.xxhash64(F.lit(seed), "shard", "g", "slot")).drop("slot", "bucket", "first_slot", "end_slot")
 
 
 def write_shards(mix: DataFrame, path: str) -> None:
@@ -236,18 +242,22 @@ def mix_report(docs: DataFrame, block_words: int = 256, shard_words: int = 1 <<
 def mixed_documents(docs: DataFrame, block_words: int = 256, shard_words: int = 1 << 22, seed: int = 1, length: str | None = None) -> DataFrame:
     """The mix as documents: a row for each pass that takes words of a document, with the columns of
     ``docs``. Its text is the document's, if the pass takes all of it, or else the words taken,
-    joined by blanks. ``length`` names a column to set to the text's length."""
+    joined by blanks. ``length`` names a column to set to the text's length.
+
+    * null or wordless text: no row; null source: a source of its own; null ``doc_id``: as any other;
+    * repeated rows (equal in id, source and text): laid out one by one, each pass over each a row;
+    * empty table: no rows; extra columns keep their values, whatever their names."""
     placed = lay_out(docs.select("doc_id", "source", "text"), block_words, seed)
     runs = draw(placed, shard_words, seed).groupBy("g", "start", "turn").agg(
-        F.first(F.struct("doc_id", "source", "h")).alias("m"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("m_runs"), F.sum("words").alias("m_taken")
-    ).select("m", "m_runs", "m_taken")
+        F.first(F.struct("doc_id", "source", "h")).alias("key"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("runs"), F.sum("words").alias("taken")
+    ).select("key", "runs", "taken")
+    # the columns of the input stay inside one, so that no name of theirs meets one made here
     key = F.struct(F.col("doc_id"), F.col("source"), F.xxhash64("text").alias("h"))
-    once = docs.where(F.length("text") > 0).withColumn("m_key", key).dropDuplicates(["m_key"])
-    joined = once.join(runs, F.col("m_key") == F.col("m"))
-    words = split_words(F.col("text"))
-    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("m_runs", lambda r: F.slice(w, (r["first"] + 1).cast("int"), r["words"].cast("int")))), " "))
-    text = F.when(F.col("m_taken") == word_count(F.col("text")), F.col("text")).otherwise(F.get(cut, F.lit(0)))
-    out = joined.withColumn("text", text)
-    if length:
-        out = out.withColumn(length, F.length("text").cast("bigint"))
-    return out.select(docs.columns)
+    once = docs.where(F.length("text") > 0).select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).dropDuplicates(["key"])
+    joined = once.join(runs, "key")
+    words = split_words(F.col("row.text"))
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, (r["first"] + 1).cast("int"), r["words"].cast("int")))), " "))
+    text = F.when(F.col("taken") == word_count(F.col("row.text")), F.col("row.text")).otherwise(F.get(cut, F.lit(0)))
+    out = joined.select("row", text.alias("text"))
+    made = {"text": F.col("text")} | ({length: F.length("text").cast("bigint")} if length else {})
+    return out.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -171,3 +171,23 @@ def test_rare_lines_stay(documents):
     rows = [(i, "a line that nine have") for i in range(9)]
     assert {r.n_dropped for r in line_templates.drop_recurring_lines(documents(rows)).collect()} == {0}
     assert line_templates.drop_recurring_lines(documents([])).collect() == []
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, f"s{i % 3}", " ".join(f"w{i}" for _ in range(i % 40)), i, i, i, i, "k") for i in range(90)] + [(None, None, "a b c", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, m bigint, m_runs bigint, m_taken bigint, row bigint, key string")
+    got = mixing.mixed_documents(docs, block_words=8, shard_words=60)
+    assert got.columns == docs.columns
+    found = got.collect()
+    assert found and all(r.m == r.doc_id == r.m_runs == r.m_taken == r.row for r in found)
+    assert mixing.mixed_documents(docs.limit(0)).collect() == []
+
+
+def test_slots_are_looked_up_by_range(documents):
+    placed = mixing.lay_out(documents(mix_rows()), block_words=4)
+    runs = mixing.draw(placed, shard_words=40)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(start_slot" not in plan
+    frame = runs.toPandas()
+    slots = frame.groupby(["g", "place"]).shard.nunique()
+    assert (slots == 1).all() and frame.shard.nunique() > 10
