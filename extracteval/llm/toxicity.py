@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .shingles import shingle_set, words
 
 DECAY = 0.6
@@ -32,6 +33,7 @@ PIECE = 10  # characters between the starts of such pieces
 ALPHABET = 40  # letters a-z, and numbers that all other characters share
 MEMO = 1 << 19  # words a worker remembers the margin of
 DOCS = 256
+FREQUENT, SOME, HARD = 2000, 4000, 4000  # clean words to train on: frequent, chosen by hash, nearest in each round
 
 _JUNK = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\S)\w(?:\s+\w(?!\w)){2,}")
@@ -214,31 +216,33 @@ def telling_words(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_
     return [w for _, w in sorted(found, reverse=True)]
 
 
-def fit_words(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, landmarks: int = 96, seed: int = 1) -> Model:
-    """A machine from how many toxic and clean texts have each word."""
+def fit_words(telling: list[str], toxic: dict[str, int], frequent: list[str], some: list[str], hardest: Callable[[Model, int], list[str]], landmarks: int = 96) -> Model:
+    """A machine from telling words, how many toxic texts have each, and clean words: the most frequent
+    ones and a random choice, to which ``hardest`` adds those that a model finds nearest."""
     none = Model(np.zeros(ALPHABET**3, np.float32), -1.0)
-    telling = telling_words(toxic, clean, n_toxic, n_clean)
-    ordinary = sorted((w for w in clean.keys() - set(telling) if w), key=lambda w: (-clean[w], w))
+    ordinary = list(dict.fromkeys(w for w in frequent + some if w not in set(telling)))
     if not telling or not ordinary:  # nothing to tell apart
         return none
-    rng = np.random.default_rng(seed)
     marks = telling[: landmarks // 2]
-    marks += [ordinary[i] for i in sorted(rng.choice(len(ordinary), min(landmarks - len(marks), len(ordinary)), replace=False))]
+    marks += some[: landmarks - len(marks)]
     rows = feature_rows(codes([m[:WIDTH] for m in marks]))
     values, vectors = np.linalg.eigh((rows @ rows.T).astype(float))
     keep = values > 1e-5
     table = (rows.T @ (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)).copy()  # Nyström features of each subsequence
 
     def phi(words: Sequence[str]) -> np.ndarray:
-        x = codes([w[:WIDTH] for w in words])
-        return subsequence_sums(x, table) / norms(x)[:, None]
+        out = []
+        for lo in range(0, len(words), 1 << 11):  # norms hold a square of each word
+            x = codes([w[:WIDTH] for w in words[lo : lo + (1 << 11)]])
+            out.append(subsequence_sums(x, table) / norms(x)[:, None])
+        return np.vstack(out)
 
     # positives also with a character put in, so that the machine learns what gaps look like
     gapped = [w[:i] + "x" + w[i:] for w in telling[:100] for i in range(2, len(w) - 1)]
     good = telling[:1000] + gapped
     weight = np.array([min(toxic.get(w, 1), 50) for w in good], float)
-    bad = list(dict.fromkeys(ordinary[:2000] + [ordinary[i] for i in rng.choice(len(ordinary), min(4000, len(ordinary)), replace=False)]))
-    good_phi, bad_phi, seen = phi(good), phi(bad), set(bad)
+    bad = ordinary
+    good_phi, bad_phi, seen = phi(good), phi(bad), {*bad, *telling}
     model = none
     for _ in range(4):
         w, b = _svm(
@@ -247,8 +251,7 @@ def fit_words(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clea
         )
         model = Model((table @ w).astype(np.float32), b)
         # clean words that still come near join the negatives
-        margins = model.margins(ordinary)
-        hard = [ordinary[i] for i in np.argsort(-margins)[:4000] if margins[i] > -0.7 and ordinary[i] not in seen]
+        hard = [x for x in hardest(model, HARD) if x not in seen]
         if not hard:
             break
         bad, seen, bad_phi = bad + hard, seen | set(hard), np.vstack([bad_phi, phi(hard)])
@@ -294,16 +297,38 @@ def train(docs: DataFrame, labels: DataFrame, max_texts: int = 6000) -> Model:
 
     counted = texts.mapInArrow(count, "word string, toxic int, like bigint")
     words_of = counted.groupBy("word").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("like"))).alias("toxic"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("like"))).alias("clean"))
-    rows = words_of.toPandas()  # the words of the sample
-    if rows.empty:
+    words_of = materialise(words_of, "toxic-words")
+    total = words_of.where("word = ''").first()
+    if total is None:
         return Model(np.zeros(ALPHABET**3, np.float32), -1.0)
-    toxic = {w: int(n) for w, n in zip(rows["word"], rows["toxic"]) if n}
-    clean = {w: int(n) for w, n in zip(rows["word"], rows["clean"]) if n}
-    model = fit_words({w: n for w, n in toxic.items() if w}, {w: n for w, n in clean.items() if w}, toxic.get("", 0), clean.get("", 0))
+    ordinary = words_of.where("clean > 0 and word <> ''")
+
+    def hardest(model: Model, most: int) -> list[str]:
+        near = ordinary.select("word").mapInArrow(_word_margins(model), "word string, margin double")
+        return [r["word"] for r in near.where("margin > -0.7").orderBy(F.desc("margin"), "word").limit(most).collect()]
+
+    # of the sample's words only these come to the driver
+    often = words_of.where(F.col("toxic") >= F.greatest(F.lit(3.0), F.lit(0.01 * total["toxic"]))).where("word <> ''").collect()
+    toxic, clean = {r["word"]: r["toxic"] for r in often}, {r["word"]: r["clean"] for r in often}
+    telling = telling_words(toxic, clean, total["toxic"], total["clean"])
+    frequent = [r["word"] for r in ordinary.orderBy(F.desc("clean"), "word").limit(FREQUENT + len(telling)).collect()]
+    some = [r["word"] for r in ordinary.orderBy(F.xxhash64("word"), "word").limit(SOME + len(telling)).collect()]
+    told = set(telling)
+    model = fit_words(telling, toxic, [w for w in frequent if w not in told][:FREQUENT], [w for w in some if w not in told][:SOME], hardest)
     margins = texts.select("toxic", "text").mapInArrow(_margins(model, ["toxic"]), "toxic int, worst double, next double").toPandas()
     return calibrate(model, margins[["worst", "next"]].to_numpy(), margins["toxic"].to_numpy(float))
 
 
+def _word_margins(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1 << 12):
+                part = batch["word"].slice(lo, 1 << 12)
+                yield pa.RecordBatch.from_arrays([part, pa.array(np.asarray(model.margins(part.to_pylist()), float))], ["word", "margin"])
+
+    return run
+
+
 def _margins(model: Model, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
