@@ -197,19 +197,25 @@ def priority_alignment(counts: DataFrame) -> DataFrame:
 
 
 def value_pairs(gt: DataFrame, cand: DataFrame, on: str = "qid", mode: str = "strict") -> DataFrame:
-    """One row per shared value of a query: the keys it has on either side, whether a key
-    is shared too, and the first original spellings."""
+    """One row per shared value of a query: the keys it has on either side, the same with their
+    priorities (``gt_entries``, ``cand_entries``, distinct and in order), whether a key is shared
+    too, and the first original spellings."""
     sides = both_sides(gt, cand, mode)
 
     def keys(side: Column) -> Column:
         return F.array_sort(F.collect_set(F.when(side, F.col("norm_key"))))
 
+    def entries(side: Column) -> Column:
+        return F.array_sort(F.collect_set(F.when(side, F.struct(F.col("norm_key").alias("key"), "key_priority", "attribute_priority"))))
+
     g, c = F.col("is_gt"), ~F.col("is_gt")
     return (
         sides.groupBy(on, "norm_value")
         .agg(
             keys(g).alias("gt_keys"),
             keys(c).alias("cand_keys"),
+            entries(g).alias("gt_entries"),
+            entries(c).alias("cand_entries"),
             F.min_by(F.when(g, F.col("value")), F.when(g, F.col("pos"))).alias("gt_original"),
             F.min_by(F.when(c, F.col("value")), F.when(c, F.col("pos"))).alias("cand_original"),
         )

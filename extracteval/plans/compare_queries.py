@@ -143,17 +143,22 @@ def _(spark, d):
 
 
 def _by_value(view):
-    return f"(SELECT qid, {nvs('value')} AS v, list_sort(list(DISTINCT {nks('attribute_key')})) AS ks, arg_min(value, pos) AS o FROM {view} GROUP BY qid, v)"
+    return f"(SELECT qid, {nvs('value')} AS v, list_sort(list(DISTINCT {nks('attribute_key')})) AS ks, list_sort(list(DISTINCT {{'k': {nks('attribute_key')}, 'a': key_priority, 'b': attribute_priority}})) AS es, arg_min(value, pos) AS o FROM {view} GROUP BY qid, v)"
+
+
+def _entries_sql(es: str) -> str:
+    return f"array_to_string(list_transform({es}, lambda e: e.k || ':' || e.a || ':' || e.b), '|')"
 
 
 @query(
     "j9_value_pairs",
     f"""SELECT g.qid, g.v AS norm_value, array_to_string(g.ks, '|') AS gt_keys, array_to_string(c.ks, '|') AS cand_keys, g.o AS gt_original, c.o AS cand_original,
-        list_has_any(g.ks, c.ks) AS under_same_key FROM {_by_value('fx_gt')} g JOIN {_by_value('fx_cand_b')} c ON c.qid = g.qid AND c.v = g.v""",
+        {_entries_sql('g.es')} AS gt_entries, {_entries_sql('c.es')} AS cand_entries, list_has_any(g.ks, c.ks) AS under_same_key FROM {_by_value('fx_gt')} g JOIN {_by_value('fx_cand_b')} c ON c.qid = g.qid AND c.v = g.v""",
 )
 def _(spark, d):
     out = compare.value_pairs(fx.gt(spark, d), fx.cand_b(spark, d))
-    return out.withColumns({c: F.array_join(c, "|") for c in ("gt_keys", "cand_keys")})
+    shown = lambda c: F.array_join(F.transform(c, lambda e: F.concat_ws(":", e["key"], e["key_priority"].cast("string"), e["attribute_priority"].cast("string"))), "|")
+    return out.withColumns({c: F.array_join(c, "|") for c in ("gt_keys", "cand_keys")} | {c: shown(c) for c in ("gt_entries", "cand_entries")})
 
 
 def _nums(x: str) -> str:
