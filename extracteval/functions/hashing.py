@@ -54,3 +54,22 @@ def hash_rank(
         .withColumn(out, (F.col("_local") + F.col("_shift")).cast("bigint"))
         .select(*df.columns, out)
     )
+
+
+def hash_cut(df: DataFrame, hashed: str, n: int, fits: int = 4096) -> tuple[str, int] | None:
+    """Where the ``n``-th row in the order of the hex column ``hashed`` lies: the leading digits of its
+    slice, and how many rows of that slice are among the first ``n``. None if there are no more than
+    ``n`` rows. Slices are cut finer until one holds at most ``fits`` rows (or equal hashes only):
+    each round counts 4,096 slices of the one before and fetches one row."""
+    edge, rest = "", n
+    while True:
+        digits = min(len(edge) + 3, 32)
+        inside = df.filter(F.substring(hashed, 1, len(edge)) == edge) if edge else df
+        counts = inside.groupBy(F.substring(hashed, 1, digits).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("slice"))
+        found = counts.withColumn("upto", upto).filter(F.col("upto") > rest).orderBy("slice").limit(1).first()
+        if found is None:
+            return None
+        edge, rest = found["slice"], rest - (found["upto"] - found["n"])
+        if found["n"] <= fits or digits == 32:
+            return edge, int(rest)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.hashing import hash_int, hash_rank
+from ..functions.hashing import hash_cut, hash_hex, hash_int, hash_rank
 from ..functions.normalize import strip
 from ..functions.parsing import parse_isq_pipe
 from ..functions.tables import small_table
@@ -173,14 +173,63 @@ def dedupe_records(recs: DataFrame, min_entries: int = 4, cap: int | None = None
     return found if cap is None else found.orderBy(ord).limit(cap)
 
 
+# ----------------------------------------------------------------------- records of tasks
+
+
+def _draw_some(values: Sequence[str], few: int, many: int, seed: str, key: Column) -> Column:
+    """``few`` to ``many`` of a short fixed list, in hash order, inside the row."""
+    tagged = F.array(*[F.concat(hash_hex(seed, key, F.lit(v)), F.lit(v)) for v in values])
+    count = F.lit(few) + F.pmod(hash_int(f"{seed}:n", key), F.lit(many - few + 1))
+    return F.transform(F.slice(F.array_sort(tagged), F.lit(1), count.cast("int")), lambda s: F.substr(s, F.lit(33)))
+
+
+def extraction_records(numbered: tuple[DataFrame, DataFrame, int], n: int, seed: str, fewest: int = 2, most: int = 8) -> DataFrame:
+    """``(id, instruction, output)``: a product with drawn attributes, seven in ten of them named in
+    the text, all of them in the JSON output."""
+    id_ = F.col("id")
+    recs = with_product(records(draw_records(numbered, n, fewest, most, seed), seed), L.PRODUCTS, seed)
+    named = F.filter("attributes", lambda e: F.pmod(hash_int(f"{seed}:named", id_, e["key"]), F.lit(10)) >= 3)
+    text = F.concat_ws(" ", "product", F.transform(named, lambda e: e["value"]))
+    keys = F.concat(F.array(F.lit("product")), F.transform("attributes", lambda e: e["key"]))
+    values = F.concat(F.array("product"), F.transform("attributes", lambda e: e["value"]))
+    return recs.select("id", F.concat(F.lit(L.EXTRACTION_TASK), text).alias("instruction"), json_text(keys, values).alias("output"))
+
+
+def correction_records(spark: SparkSession, n: int, seed: str) -> DataFrame:
+    """``(id, instruction, output)``: a query with typos, and the query. Row-local."""
+    id_ = F.col("id")
+    right = F.concat_ws(" ", _draw(L.PRODUCTS, f"{seed}:product", id_), _draw_some(L.CORRECTION_PHRASES, 2, 4, f"{seed}:phrase", id_))
+    wrong = inject_typos(spark.range(n).withColumn("output", right), "output", "id", seed)
+    return wrong.select("id", F.concat(F.lit(L.CORRECTION_TASK), F.col("noisy")).alias("instruction"), "output")
+
+
+def translation_records(spark: SparkSession, n: int, seed: str, terms: Mapping[str, str] = L.TRANSLATIONS) -> DataFrame:
+    """``(id, instruction, output)``: two to four terms and their translation, in a drawn direction.
+    Row-local: the table is fixed and short."""
+    id_ = F.col("id")
+    table = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
+    drawn = spark.range(n).withColumn("_t", _draw_some(list(terms), 2, 4, f"{seed}:term", id_))
+    here, there = F.array_join("_t", " "), F.array_join(F.transform("_t", lambda t: F.element_at(table, t)), " ")
+    forward = F.pmod(hash_int(f"{seed}:direction", id_), F.lit(2)) == 0
+    task = lambda d, text: F.concat(F.lit(L.TRANSLATION_TASKS[d]), text)
+    return drawn.select("id", F.when(forward, task("forward", here)).otherwise(task("backward", there)).alias("instruction"), F.when(forward, there).otherwise(here).alias("output"))
+
+
 # -------------------------------------------------------------------- splits and samples
 
 
 def sample_n(df: DataFrame, n: int, seed: str, key: str) -> DataFrame:
-    """``n`` rows in hash order of their key; each task keeps its own best n first."""
-    from ..functions.hashing import hash_hex
-
-    return df.withColumn("_h", hash_hex(seed, F.col(key))).orderBy("_h", key).limit(n).drop("_h")
+    """``n`` rows in hash order of their key (all, if fewer), for any ``n``: rows below the slice of
+    the hash space in which the n-th lies are kept by a filter, and only that small slice is ordered.
+    Rows with one key count as equal."""
+    hashed = df.withColumn("_h", hash_hex(seed, F.col(key)))
+    cut = hash_cut(hashed, "_h", n)
+    if cut is None:
+        return df
+    edge, rest = cut
+    here = F.substring("_h", 1, len(edge))
+    last = hashed.filter(here == edge).orderBy("_h", key).limit(rest)
+    return hashed.filter(here < edge).unionByName(last).drop("_h")
 
 
 def split_random(df: DataFrame, key: str, seed: str, train: float = 0.8, val: float = 0.1) -> DataFrame:

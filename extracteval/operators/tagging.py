@@ -436,6 +436,53 @@ def frame_size() -> Column:
     return F.coalesce(*[_hit(F.col(c), p) for c, p in (("_raw", L.FRAME_SIZE), ("_low", L.FRAME_NUMBER))])
 
 
+def longest_contained(q: Column, names: Mapping[str, str], found: Callable[[str], Column] | None = None) -> Column:
+    """The canonical form of the longest name of a fixed table that the text contains (ties: the first
+    of the table), where ``found`` holds as well; a plain search per name, inside the row."""
+    order = sorted(names, key=len, reverse=True)
+    return F.coalesce(*[F.when(q.contains(n) & found(n) if found else q.contains(n), F.lit(names[n])) for n in order])
+
+
+def lenient_brand(names: Mapping[str, str] = L.BRANDS) -> Column:
+    """:func:`tag_dictionary` in lenient mode for a fixed table of names."""
+    q = F.col("_clean")
+
+    def found(name: str) -> Column:
+        edged = q.rlike(rf"(^|[\s,]){re.escape(name)}([\s,]|$|'s)")
+        if len(name) < L.SUBSTRING_MIN_LENGTH:
+            return edged
+        return edged | q.rlike(rf"(?U)\b{re.escape(name)}\b") if name in L.GUARDED_NAMES else F.lit(True)
+
+    return longest_contained(q, names, found)
+
+
+def keyword_tags(facets: Mapping[str, Mapping[str, str]] = L.KEYWORD_FACETS, exclusive: Mapping[str, str] = L.EXCLUSIVE_FACETS) -> list[Entry]:
+    """:func:`tag_keyword_facets` for fixed tables."""
+    values = {f: longest_contained(F.col("_clean"), words) for f, words in facets.items()}
+    return [_one(f, F.when(values[exclusive[f]].isNull(), v) if f in exclusive else v) for f, v in values.items()]
+
+
+def single_value_families() -> list[list[Entry]]:
+    """The rules that give one value per facet: brand, quantities, keywords, ordered alternatives, code."""
+    alternatives = [_one(f, first_of(F.col("_clean"), r)) for f, r in L.FIRST_OF_SINGLE.items()]
+    return [[_one("brand", lenient_brand())], quantity_tags(), keyword_tags(), alternatives, model_tags("code")]
+
+
+def query_attributes(texts: DataFrame, on: str = "qid", text: str = "query") -> DataFrame:
+    """``(on, attributes MAP)``: one map of facet to value per text, from the rules of
+    :func:`single_value_families`; a text without any gets the product word of last resort, and an
+    empty map where it has none either (null texts too). Inside the row, nothing is shuffled."""
+    entries = [e for family in single_value_families() for e in family]
+    rows = _forms(texts, on, text).select(on, "_clean", F.array(*[e.cell() for e in entries]).alias("_e"))
+    rows = rows.select(on, "_clean", F.explode_outer(F.array("_e")).alias("_e"))
+    pair = lambda e: F.struct(e["facet"].alias("key"), F.concat(F.get(e["values"], F.lit(0)), e["suffix"]).alias("value"))
+    given = F.transform(F.filter("_e", lambda e: F.get(e["values"], F.lit(0)) != ""), pair)
+    rows = rows.select(on, "_clean", F.map_from_entries(given).alias("attributes"))
+    last = first_of(F.col("_clean"), L.LAST_RESORT)
+    fallback = (F.cardinality("attributes") == 0) & last.isNotNull()
+    return rows.select(on, F.when(fallback, F.create_map(F.lit("product_type"), last)).otherwise(F.col("attributes")).alias("attributes"))
+
+
 def reference_families() -> list[list[Entry]]:
     """The rules of the reference: brand, quantities, model number, motor types, ordered
     alternatives, labels, frame size and KV rating; a product category only without a motor type."""

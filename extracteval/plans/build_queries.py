@@ -63,13 +63,13 @@ def _(spark, d):
     return tagging.tag_dictionary(fx.queries(spark, d), part_names(spark, d), "boundary")
 
 
-@query(
-    "x2_tag_dictionary_lenient",
-    rf"""WITH h AS (SELECT t.qid, v.name, v.canonical, v.rank, t.q FROM (SELECT qid, {_CLEAN} AS q FROM fx_specs) t, {dict_sql({'brand': L.BRANDS})} v WHERE contains(t.q, v.name)),
+_LENIENT_BRAND = rf"""WITH h AS (SELECT t.qid, v.name, v.canonical, v.rank, t.q FROM (SELECT qid, {_CLEAN} AS q FROM fx_specs) t, {dict_sql({'brand': L.BRANDS})} v WHERE contains(t.q, v.name)),
         k AS (SELECT *, CASE WHEN regexp_matches(q, '(^|[\s,])' || regexp_escape(name) || '([\s,]|$|''s)') THEN true WHEN length(name) < 3 THEN false
               WHEN name = 'spg' THEN regexp_matches(q, '\b' || regexp_escape(name) || '\b') ELSE true END AS ok FROM h)
-        SELECT qid, 'brand' AS facet, arg_max(canonical, length(name) * 1000 - rank) AS value, CAST(1 AS INTEGER) AS ord FROM k WHERE ok GROUP BY qid""",
-)
+        SELECT qid, 'brand' AS facet, arg_max(canonical, length(name) * 1000 - rank) AS value, CAST(1 AS INTEGER) AS ord FROM k WHERE ok GROUP BY qid"""
+
+
+@query("x2_tag_dictionary_lenient", _LENIENT_BRAND)
 def _(spark, d):
     return tagging.tag_dictionary(fx.specs(spark, d), tagging.dictionary(spark, L.BRANDS), "lenient")
 
@@ -228,6 +228,25 @@ def _(spark, d):
     return tagging.assemble_reference(fx.specs(spark, d))
 
 
+_CODE_SQL = f"""SELECT qid, upper(v) AS value FROM (SELECT qid, coalesce({_ex(L.MODEL_SCHEME)}, CASE WHEN length({_ex(L.MODEL_CODE)}) >= {L.MODEL_CODE_MIN_LENGTH} THEN {_ex(L.MODEL_CODE)} END) AS v
+    FROM (SELECT qid, {_CLEAN} AS q FROM fx_specs) a) b WHERE v IS NOT NULL"""
+_SINGLE = f"""(SELECT qid, facet, value FROM ({_LENIENT_BRAND}) s0 UNION ALL SELECT qid, facet, value FROM ({_union(_QUANT, f"SELECT qid, {_CLEAN} AS q FROM fx_specs")}) s1
+    UNION ALL SELECT qid, facet, value FROM {_KEYWORDS} s2 WHERE NOT (facet = 'product_type' AND qid IN (SELECT qid FROM {_KEYWORDS} m WHERE facet = 'motor_type'))
+    UNION ALL SELECT qid, facet, value FROM ({_union({f: _case(r) for f, r in L.FIRST_OF_SINGLE.items()}, f"SELECT qid, {_CLEAN} AS q FROM fx_specs")}) s3
+    UNION ALL SELECT qid, 'model_number', value FROM ({_CODE_SQL}) s4)"""
+_SINGLE = f"""(SELECT * FROM {_SINGLE} r0 UNION ALL SELECT qid, 'product_type', {_case(L.LAST_RESORT)} FROM (SELECT qid, {_CLEAN} AS q FROM fx_specs) f
+    WHERE {_case(L.LAST_RESORT)} IS NOT NULL AND qid NOT IN (SELECT qid FROM {_SINGLE} r1))"""
+
+
+@query(
+    "x9_query_attributes",
+    f"""SELECT s.qid, coalesce(string_agg(facet || '=' || value, '; ' ORDER BY facet), '') AS attributes FROM fx_specs s LEFT JOIN {_SINGLE} r ON r.qid = s.qid GROUP BY s.qid""",
+)
+def _(spark, d):
+    text = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return tagging.query_attributes(fx.specs(spark, d)).select("qid", F.array_join(text, "; ").alias("attributes"))
+
+
 @query(
     "x10_fallback_category",
     f"""WITH t AS ({_LOW}), f AS (SELECT qid, {_CLEAN} AS q FROM fx_specs WHERE qid NOT IN (SELECT qid FROM ({_union({f: _case(r) for f, r in L.FIRST_OF.items()}, _LOW)}) u))
@@ -434,7 +453,7 @@ def _(spark, d):
     return datasets.split_stratified(fx.labels(spark, d).select("ord", "label_ref"), "label_ref", "ord", "t7")
 
 
-def proportional_sql(seed: str, n: int) -> str:
+def proportional_sql(seed: str, n: str) -> str:
     return f"""WITH p AS (SELECT *, lower(trim(name)) AS nm FROM fx_items), tr AS (SELECT DISTINCT nm FROM p WHERE in_train),
         un AS (SELECT nm, arg_min(name, ord) AS name, arg_min(label, ord) AS label, min(ord) AS ord FROM p WHERE nm NOT IN (SELECT nm FROM tr) GROUP BY nm),
         fr AS (SELECT label, count(*) AS f FROM p WHERE nm IN (SELECT nm FROM tr) GROUP BY label),
@@ -450,14 +469,14 @@ def proportional(spark, d, n, seed):
     return out.select("name", "label", "ord")
 
 
-@query("t8_proportional_sample", proportional_sql("t8", 100))
+@query("t8_proportional_sample", proportional_sql("t8", f"({_N_PART} // 20)"))
 def _(spark, d):
-    return proportional(spark, d, 100, "t8")
+    return proportional(spark, d, fx.table(spark, d, "part").count() // 20, "t8")
 
 
-@query("t8_proportional_sample_topped_up", proportional_sql("t8b", 150))
+@query("t8_proportional_sample_topped_up", proportional_sql("t8b", f"({_N_PART} * 3 // 40)"))
 def _(spark, d):
-    return proportional(spark, d, 150, "t8b")
+    return proportional(spark, d, fx.table(spark, d, "part").count() * 3 // 40, "t8b")
 
 
 _ROT = " ".join(f"WHEN {i} THEN replace({lit(t)}, '{{product_name}}', name)" for i, t in enumerate(L.INSTRUCTION_TEMPLATES))
@@ -514,14 +533,14 @@ _TASKS = list(L.TASK_RATIOS)
 @query(
     "t12_mix_tasks",
     " UNION ALL ".join(
-        f"SELECT '{t}' AS task, qid FROM (SELECT qid, row_number() OVER (ORDER BY {hx('t12:' + t, 'qid')}, qid) AS r FROM fx_queries WHERE qid % 3 = {i}) t{i} WHERE r <= {int(900 * L.TASK_RATIOS[t])}"
+        f"SELECT '{t}' AS task, qid FROM (SELECT qid, row_number() OVER (ORDER BY {hx('t12:' + t, 'qid')}, qid) AS r FROM fx_queries WHERE qid % 3 = {i}) t{i} WHERE r <= floor(({_N_PART} * 9 // 20) * {L.TASK_RATIOS[t]})"
         for i, t in enumerate(_TASKS)
     ),
 )
 def _(spark, d):
     q = fx.queries(spark, d)
     tasks = {t: q.filter(F.col("qid") % 3 == i).select("qid") for i, t in enumerate(_TASKS)}
-    return datasets.mix_tasks(tasks, L.TASK_RATIOS, 900, "qid", "t12")
+    return datasets.mix_tasks(tasks, L.TASK_RATIOS, q.count() * 9 // 20, "qid", "t12")
 
 
 _SUFFIXES = [
@@ -531,21 +550,22 @@ _SUFFIXES = [
 _TYPO_TEXT = f"p_name || ' ' || {in_list(_SUFFIXES).replace('(', '[', 1)[:-1]}][p_partkey % 4 + 1]"
 
 
-def _typo_sql() -> str:
+def typo_sql(seed: str, key: str, source: str) -> str:
+    """``(key, text, noisy)`` of a source with a key and a text."""
     right = in_list([r for _, r in L.TYPO_PAIRS]).replace("(", "[", 1)[:-1] + "]"
     wrong = in_list([w for w, _ in L.TYPO_PAIRS]).replace("(", "[", 1)[:-1] + "]"
-    out = f"SELECT p_partkey, {_TYPO_TEXT} AS x, {_TYPO_TEXT} AS text, 1 + {h32('t13:n', 'p_partkey')} % 3 AS n FROM part"
+    out = f"SELECT {key}, text AS x, text, 1 + {h32(seed + ':n', key)} % 3 AS n FROM {source}"
     for i in range(3):
-        no = f"({h32(f't13:pair{i}', 'p_partkey')} % {len(L.TYPO_PAIRS)} + 1)"
-        out = f"""SELECT p_partkey, CASE WHEN {i} < n AND instr(x, r) > 0 THEN substr(x, 1, instr(x, r) - 1) || w || substr(x, instr(x, r) + length(r)) ELSE x END AS x, text, n
+        no = f"({h32(f'{seed}:pair{i}', key)} % {len(L.TYPO_PAIRS)} + 1)"
+        out = f"""SELECT {key}, CASE WHEN {i} < n AND instr(x, r) > 0 THEN substr(x, 1, instr(x, r) - 1) || w || substr(x, instr(x, r) + length(r)) ELSE x END AS x, text, n
             FROM (SELECT *, {right}[{no}] AS r, {wrong}[{no}] AS w FROM ({out}) s{i}) u{i}"""
-    at = f"CAST({h32('t13:join', 'p_partkey')} % greatest(len(ws) - 1, 1) AS INTEGER)"
+    at = f"CAST({h32(seed + ':join', key)} % greatest(len(ws) - 1, 1) AS INTEGER)"
     joined = "array_to_string(list_concat(list_concat(ws[1:jp], [ws[jp + 1] || ws[jp + 2]]), list_slice(ws, jp + 3, len(ws))), ' ')"
-    return f"""SELECT p_partkey, text, CASE WHEN {h32('t13:coin', 'p_partkey')} % 2 = 0 AND len(ws) > 2 THEN {joined} ELSE x END AS noisy FROM
+    return f"""SELECT {key}, text, CASE WHEN {h32(seed + ':coin', key)} % 2 = 0 AND len(ws) > 2 THEN {joined} ELSE x END AS noisy FROM
         (SELECT *, {at} AS jp FROM (SELECT *, string_split(x, ' ') AS ws FROM ({out}) z) y) v"""
 
 
-@query("t13_inject_typos", _typo_sql())
+@query("t13_inject_typos", typo_sql("t13", "p_partkey", f"(SELECT p_partkey, {_TYPO_TEXT} AS text FROM part) p"))
 def _(spark, d):
     suffix = F.get(F.array(*[F.lit(s) for s in _SUFFIXES]), (F.col("p_partkey") % 4).cast("int"))
     texts = fx.table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", suffix).alias("text"))

@@ -867,9 +867,10 @@ def _(spark, d):
     return vocabulary.vocab_digest(fx.vocab(spark, d), 5)
 
 
-@query("k5_sample_n", f"SELECT doc_id FROM documents ORDER BY {hx('s1', 'doc_id')}, doc_id LIMIT 100")
+@query("k5_sample_n", f"SELECT doc_id FROM documents ORDER BY {hx('s1', 'doc_id')}, doc_id LIMIT (SELECT count(*) // 10 FROM documents)")
 def _(spark, d):
-    return datasets.sample_n(fx.table(spark, d, "documents").select("doc_id"), 100, "s1", "doc_id")
+    docs = fx.table(spark, d, "documents").select("doc_id")
+    return datasets.sample_n(docs, docs.count() // 10, "s1", "doc_id")
 
 
 # ----------------------------------------------------------------------------- reshape

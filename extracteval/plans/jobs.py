@@ -1,4 +1,4 @@
-"""The three whole jobs, put together from the operators.
+"""The whole jobs, put together from the operators.
 
 Each takes and returns DataFrames. Where one result feeds several reports it is written once
 to the shared folder, so the work behind it is not repeated and survives lost executors.
@@ -6,12 +6,14 @@ to the shared folder, so the work behind it is not repeated and survives lost ex
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
+from ..functions.hashing import hash_rank
 from ..operators import compare, datasets, labels, metrics, tagging, vocabulary
 from ..session import materialise
 
@@ -44,11 +46,21 @@ def tag_reference(texts: DataFrame, on: str = "qid") -> DataFrame:
     return attrs.withColumn("pos", F.col("attribute_priority") * 100 + F.col("key_priority"))
 
 
-def tag_and_compare(texts: DataFrame, candidates: Mapping[str, DataFrame], on: str = "qid") -> dict[str, DataFrame]:
-    """Tag the texts for a reference, then match the candidates by canonical key and fuzzy
-    value. Returns the ``reference``, ``scores`` per query and source, ``totals`` per source
+def single_value_reference(texts: DataFrame, on: str = "qid") -> DataFrame:
+    """A rule-made reference with one value per facet, as attribute relation; keys in name order."""
+    maps = tagging.query_attributes(texts, on)
+    rows = maps.select(on, F.posexplode(F.array_sort(F.map_entries("attributes"))).alias("_p", "_e"))
+    place = (F.col("_p") + 1).alias
+    return rows.select(on, place("pos"), F.col("_e.key").alias("attribute_key"), F.col("_e.value").alias("value"), F.lit(1).alias("key_priority"), place("attribute_priority"))
+
+
+def tag_and_compare(
+    texts: DataFrame, candidates: Mapping[str, DataFrame], on: str = "qid", tagger: Callable[[DataFrame, str], DataFrame] = tag_reference
+) -> dict[str, DataFrame]:
+    """Tag the texts for a reference (:func:`tag_reference` or :func:`single_value_reference`), then
+    match the candidates by canonical key and fuzzy value. Returns the ``reference``, ``scores`` per query and source, ``totals`` per source
     and, for the first two sources, the head-to-head ``outcomes`` by key matches."""
-    reference = materialise(tag_reference(texts, on), "reference")
+    reference = materialise(tagger(texts, on), "reference")
     table = vocabulary.synonym_table(texts.sparkSession)
     # candidates are model outputs as a rule, and several steps read them
     candidates = {n: materialise(c, f"candidate-{n}") for n, c in candidates.items()}
@@ -61,6 +73,24 @@ def tag_and_compare(texts: DataFrame, candidates: Mapping[str, DataFrame], on: s
     return {"reference": reference, "scores": scores, "totals": totals, "outcomes": metrics.head_to_head(side(a).join(side(b), on), a, b)}
 
 
+def multitask_records(pools: DataFrame, n: int, seed: str, ratios: Mapping[str, float] = L.TASK_RATIOS, train: float = 0.9) -> DataFrame:
+    """Training records of three tasks, ``int(n * ratio)`` of each, in one drawn order and split:
+    ``task, id, instruction, output, place, split``. ``pools`` is ``(key, value)`` as in
+    :func:`~extracteval.operators.datasets.number_pools`."""
+    sizes = {t: int(n * r) for t, r in ratios.items()}
+    spark = pools.sparkSession
+    made = {
+        "isq_extraction": lambda m, s: datasets.extraction_records(datasets.number_pools(pools, s), m, s),
+        "query_correction": lambda m, s: datasets.correction_records(spark, m, s),
+        "translation": lambda m, s: datasets.translation_records(spark, m, s),
+    }
+    parts = [made[t](m, f"{seed}:{t}").select(F.lit(t).alias("task"), "id", "instruction", "output") for t, m in sizes.items()]
+    stacked = materialise(reduce(DataFrame.unionByName, parts).withColumn("_key", F.concat_ws("|", "task", "id")), "tasks")
+    last = int(sum(sizes.values()) * train)
+    placed = hash_rank(stacked, "_key", f"{seed}:order", out="place")
+    return placed.withColumn("split", F.when(F.col("place") <= last, "train").otherwise("val")).drop("_key")
+
+
 def label_training(items: DataFrame, n: int, p: float, seed: str) -> DataFrame:
     """Instruction pairs from labelled items (``name, label_id, label, ord``): the first
     ``n`` valid rows, split by label, templates in rotation, the label as JSON output."""
@@ -77,4 +107,4 @@ def label_evaluation(base: DataFrame, predictions: Mapping[str, DataFrame]) -> D
     return labels.agreement_summary(labels.label_agreement(labels.align_labels(base, dict(predictions)), a, b))
 
 
-__all__ = ["head_to_head", "label_evaluation", "label_training", "tag_and_compare", "tag_reference"]
+__all__ = ["head_to_head", "label_evaluation", "label_training", "multitask_records", "single_value_reference", "tag_and_compare", "tag_reference"]
