@@ -9,10 +9,14 @@ outputs that are one row per query by definition.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import norm_key, norm_value
+from .reshape import segments
 
 
 def with_norms(attrs: DataFrame, mode: str = "collapse") -> DataFrame:
@@ -28,22 +32,75 @@ def both_sides(gt: DataFrame, cand: DataFrame, mode: str = "collapse") -> DataFr
     )
 
 
+def _terms(rows: DataFrame, on: str, tag: str, keep_blank: bool = False) -> DataFrame:
+    """``(on, tag, facet, term)``: a key term and a value term per attribute."""
+    both = F.array(
+        F.struct(F.lit("key").alias("facet"), F.col("norm_key").alias("term")),
+        F.struct(F.lit("value").alias("facet"), F.col("norm_value").alias("term")),
+    )
+    terms = rows.select(on, tag, F.explode(both).alias("_t")).select(on, tag, "_t.facet", "_t.term")
+    return terms if keep_blank else terms.filter(F.col("term") != "")
+
+
+MOST_SOURCES = 63
+
+
+def source_masks(sources: Mapping[str, DataFrame], on: str = "qid", mode: str = "collapse", keep_blank: bool = False) -> DataFrame:
+    """``(on, facet, term, mask)``: which sources have each distinct key and value, a bit per source in
+    the order given. One aggregation over one scan of each source, however many are compared: what any
+    two share is read off the masks (:func:`mask_counts`, :func:`shared`)."""
+    if len(sources) > MOST_SOURCES:
+        raise ValueError(f"{len(sources)} sources, more than {MOST_SOURCES} bits")
+    tagged = [with_norms(df, mode).select(on, "norm_key", "norm_value", F.lit(1 << i).cast("bigint").alias("_bit")) for i, df in enumerate(sources.values())]
+    terms = _terms(reduce(DataFrame.unionByName, tagged), on, "_bit", keep_blank)
+    return terms.groupBy(on, "facet", "term").agg(F.bit_or("_bit").alias("mask"))
+
+
+def mask_counts(masks: DataFrame, on: str | None = "qid") -> DataFrame:
+    """How many terms have each mask, per query and facet, or (``on=None``) per facet overall: the
+    histogram from which all counts between sources are sums."""
+    return masks.groupBy(*([on] if on else []), "facet", "mask").agg(F.count(F.lit(1)).alias("n"))
+
+
+def shared(*sources: int, facet: str | None = None) -> Column:
+    """An aggregate over :func:`mask_counts`: the terms (of a facet) that all these sources have, given
+    by their numbers."""
+    bits = sum(1 << i for i in sources)
+    has = F.col("mask").bitwiseAND(F.lit(bits).cast("bigint")) == bits
+    has = has if facet is None else has & (F.col("facet") == facet)
+    return F.coalesce(F.sum(F.when(has, F.col("n"))), F.lit(0)).cast("bigint")
+
+
+def source_overlaps(counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``src, dst, facet, both, src_only, dst_only`` for every two sources (``src`` first in order), from
+    the overall :func:`mask_counts`: a row per distinct mask and facet is summed, so neither pairs of
+    terms nor a scan for each pair of sources are needed."""
+    totals = counts.groupBy("facet").agg(*[
+        F.struct(shared(a, b).alias("both"), shared(a).alias("a"), shared(b).alias("b")).alias(f"p{a}_{b}")
+        for a in range(len(names)) for b in range(a + 1, len(names))
+    ])
+    rows = [
+        F.struct(F.lit(names[a]).alias("src"), F.lit(names[b]).alias("dst"), F.col(f"p{a}_{b}.both").alias("both"), (F.col(f"p{a}_{b}.a") - F.col(f"p{a}_{b}.both")).alias("src_only"), (F.col(f"p{a}_{b}.b") - F.col(f"p{a}_{b}.both")).alias("dst_only"))
+        for a in range(len(names)) for b in range(a + 1, len(names))
+    ]
+    return totals.select("facet", F.inline(F.array(*rows)))
+
+
+def set_segments(flags: DataFrame, size: int, on: str = "qid") -> DataFrame:
+    """The sets of :func:`set_compare` in arrays of at most ``size`` terms: ``on, facet, side, segment,
+    terms``, ``side`` being matched, gt_only or cand_only. A query with any number of terms is spread
+    over its segments."""
+    side = F.when(F.col("in_gt") & F.col("in_cand"), "matched").when(F.col("in_gt"), "gt_only").otherwise("cand_only")
+    rows = flags.select(F.struct(on, "facet", side.alias("side")).alias("_set"), "term")
+    cut = segments(rows, "_set", ["term"], size, ["term"])
+    return cut.select("_set.*", "segment", F.transform("items", lambda e: e["term"]).alias("terms"))
+
+
 def term_flags(
     gt: DataFrame, cand: DataFrame, on: str = "qid", mode: str = "collapse", keep_blank: bool = False
 ) -> DataFrame:
     """``(on, facet, term, in_gt, in_cand)``: which side has each distinct key and value."""
-    terms = both_sides(gt, cand, mode).select(
-        on,
-        "is_gt",
-        F.explode(
-            F.array(
-                F.struct(F.lit("key").alias("facet"), F.col("norm_key").alias("term")),
-                F.struct(F.lit("value").alias("facet"), F.col("norm_value").alias("term")),
-            )
-        ).alias("_t"),
-    ).select(on, "is_gt", "_t.facet", "_t.term")
-    if not keep_blank:
-        terms = terms.filter(F.col("term") != "")
+    terms = _terms(both_sides(gt, cand, mode), on, "is_gt", keep_blank)
     return terms.groupBy(on, "facet", "term").agg(
         F.bool_or("is_gt").alias("in_gt"), F.bool_or(~F.col("is_gt")).alias("in_cand")
     )
@@ -253,32 +310,43 @@ def fuzzy_flags(gt: DataFrame, cand: DataFrame, on: str = "qid") -> DataFrame:
     )
 
 
-def _step(n: Column) -> Column:
-    """The key length of a value of ``n`` characters: 1, 2, 3, 4, 8, 16, ..., the largest that fits."""
-    return F.when(n < 4, n).otherwise(F.pow(F.lit(2), F.length(F.bin(n)) - 1).cast("int"))
+def _grams(text: Column) -> Column:
+    """Hashes of all pieces of a text by doubling: element ``j`` lists, for every position, that of the
+    ``2 ** j`` characters from there, made of two of the level before. A step a position and level,
+    whatever the length of the pieces."""
+    chars = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
+    levels = F.length(F.bin(F.length(text))) - 1
+
+    def double(done: Column, j: Column) -> Column:
+        last = F.element_at(done, -1)
+        half = F.call_function("shiftleft", F.lit(1), j - 1)
+        return F.concat(done, F.array(F.transform(F.slice(last, F.lit(1), F.size(last) - half), lambda x, i: F.xxhash64(x, F.get(last, i + half)))))
+
+    return F.when(levels > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), F.array(chars), double)).otherwise(F.array(chars))
 
 
 def _within(short: DataFrame, long: DataFrame, on: str) -> DataFrame:
     """``(on, short, long)`` of values ``v`` found inside values of the other table.
 
-    A short value has two keys of one length, its start and its end, which cover it. A long value
-    has a key at every position, for the key lengths its query asks for. The short value lies
-    inside where its start's key is, and its end's key the right way on; positions travel with
-    64-bit keys, not with text, and what is found is confirmed on the texts."""
-    n = F.length("v")
-    s = short.select(on, F.col("v").alias("short"), n.alias("n"), _step(n).alias("k")).withColumn("a", F.xxhash64(F.expr("substring(short, 1, k)"))).withColumn(
-        "b", F.xxhash64(F.expr("substring(short, n - k + 1, k)"))
-    )
-    asked = s.groupBy(on).agg(F.collect_set("k").alias("ks"))  # thirty lengths at most
+    A short value has two keys of one length, the largest power of two that fits: its start and its
+    end, which cover it. A long value has a key at every position (:func:`_grams`), for the key lengths
+    its query asks for. The short value lies inside where its start's key is, and its end's key the
+    right way on; positions travel with 64-bit keys, not with text, and what is found is confirmed on
+    the texts."""
+    n, j = F.length("v"), F.length(F.bin(F.length("v"))) - 1
+    s = short.select(on, F.col("v").alias("short"), n.alias("n"), j.alias("j"), F.get(_grams(F.col("v")), j).alias("_g"))
+    s = s.select(on, "short", "n", "j", F.call_function("shiftleft", F.lit(1), F.col("j")).alias("k"), F.get("_g", F.lit(0)).alias("a"), F.element_at("_g", -1).alias("b"))
+    asked = s.groupBy(on).agg(F.collect_set("j").alias("js"))  # thirty lengths at most
+    level = F.transform(F.filter("js", lambda j: j < F.size("_g")), lambda j: F.struct(j.alias("j"), F.get("_g", j).alias("g")))
     grams = (
-        long.join(asked, on).select(on, F.col("v").alias("long"), F.explode("ks").alias("k")).filter(F.col("k") <= F.length("long"))
-        .select(on, "long", "k", F.explode(F.sequence(F.lit(1), F.length("long") - F.col("k") + 1)).alias("p"))
-        .select(on, F.xxhash64("long").alias("id"), "k", "p", F.xxhash64(F.expr("substring(long, p, k)")).alias("g"))
+        long.join(asked, on).select(on, "js", F.xxhash64("v").alias("id"), _grams(F.col("v")).alias("_g"))
+        .select(on, "id", F.explode(level).alias("_l"))
+        .select(on, "id", F.col("_l.j").alias("j"), F.posexplode("_l.g").alias("p", "g"))
     )
-    starts = grams.join(s.select(on, "k", F.col("a").alias("g"), "b", "n", "short"), [on, "k", "g"])
+    starts = grams.join(s.select(on, "j", "k", F.col("a").alias("g"), "b", "n", "short"), [on, "j", "g"])
     exact = starts.filter("n = k").select(on, "id", "short")
-    wider = starts.filter("n > k").select(on, "id", "k", (F.col("p") + F.col("n") - F.col("k")).alias("p"), F.col("b").alias("g"), "short")
-    wider = wider.join(grams, [on, "id", "k", "p", "g"], "left_semi").select(on, "id", "short")
+    wider = starts.filter("n > k").select(on, "id", "j", (F.col("p") + F.col("n") - F.col("k")).alias("p"), F.col("b").alias("g"), "short")
+    wider = wider.join(grams, [on, "id", "j", "p", "g"], "left_semi").select(on, "id", "short")
     found = exact.union(wider).distinct()
     texts = long.select(on, F.xxhash64("v").alias("id"), F.col("v").alias("long"))
     return found.join(texts, [on, "id"]).filter(F.col("long").contains(F.col("short"))).select(on, "short", "long")

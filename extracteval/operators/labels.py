@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .align import keep_last
+from .ledger import running_before
 
 
 def _norm(c: Column) -> Column:
@@ -14,15 +15,13 @@ def _norm(c: Column) -> Column:
 
 def valid_labelled(df: DataFrame, n: int, name: str = "name", label_id: str = "label_id", label: str = "label", ord: str = "ord") -> DataFrame:
     """The first ``n`` rows (by ``ord``) whose three fields are filled and whose id is a
-    number. Top-n, so each task sends at most n rows."""
+    number, for any ``n``: a row's place is a prefix scan over ranges of ``ord``, so the rows taken are
+    never brought together. Among rows of one ``ord`` any may be taken."""
     fields = {c: F.trim(c) for c in (name, label_id, label)}
     filled = df.withColumns(fields).filter(" and ".join(f"{c} <> ''" for c in fields))
-    return (
-        filled.withColumn(label_id, F.expr(f"try_cast({label_id} as bigint)"))
-        .filter(F.col(label_id).isNotNull())
-        .orderBy(ord)
-        .limit(n)
-    )
+    valid = filled.withColumn(label_id, F.expr(f"try_cast({label_id} as bigint)")).filter(F.col(label_id).isNotNull())
+    placed = running_before(valid.withColumn("_all", F.lit(0)), "_all", [ord], {"_place": F.lit(1).cast("bigint")})
+    return placed.filter(F.col("_place") < n).drop("_all", "_place")
 
 
 def align_labels(base: DataFrame, others: dict[str, DataFrame], key: str = "keyword", ord: str = "ord") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ledger import running_before
+
 
 
 def nest(attrs: DataFrame, on: str = "qid") -> DataFrame:
@@ -87,11 +89,35 @@ def widen(attrs: DataFrame, n: int = 9, on: str = "qid") -> DataFrame:
     return both.groupBy(on).agg(*cols, F.greatest(F.max("_n") - n, F.lit(0)).cast("bigint").alias("overflow"))
 
 
-def widen_auto(attrs: DataFrame, on: str = "qid") -> DataFrame:
+def overflow_rows(attrs: DataFrame, n: int, on: str = "qid") -> DataFrame:
+    """The attributes that :func:`widen` to ``n`` pairs has no place for, one row each with their
+    ``place`` (from ``n + 1``), so that both together hold every attribute. Places are a prefix scan:
+    a query with very many attributes is numbered by many tasks."""
+    placed = running_before(attrs, on, ["attribute_key", "pos"], {"_before": F.lit(1).cast("bigint")})
+    return placed.filter(F.col("_before") >= n).select(on, (F.col("_before") + 1).alias("place"), "attribute_key", "value")
+
+
+def segments(rows: DataFrame, by: str, order: list[str], size: int, columns: list[str]) -> DataFrame:
+    """Arrays of bounded length in place of one array per group: the rows of a group in ``order``, cut
+    into runs of ``size``; ``by, segment`` (from 0) and ``items``, structs of ``columns``. No row and no
+    task holds more than its runs, however large a group is. A null group is a group of its own."""
+    placed = running_before(rows, by, order, {"_before": F.lit(1).cast("bigint")})
+    runs = placed.groupBy(by, F.floor(F.col("_before") / size).alias("segment"))
+    listed = runs.agg(F.array_sort(F.collect_list(F.struct("_before", F.struct(*columns).alias("item")))).alias("_i"))
+    return listed.select(by, "segment", F.transform("_i", lambda e: e["item"]).alias("items"))
+
+
+WIDEST = 2000
+
+
+def widen_auto(attrs: DataFrame, on: str = "qid", widest: int = WIDEST) -> DataFrame:
     """:func:`widen` to the largest attribute count in the data. Column names must be known
-    to plan the result, so this runs one aggregation and fetches a single number."""
+    to plan the result, so this runs one aggregation and fetches a single number. A query with more
+    than ``widest`` attributes is an error: widen to a fixed width and add :func:`overflow_rows`."""
     sizes = attrs.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
     width = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+    if width > widest:
+        raise ValueError(f"a query has {width} attributes, more than {widest} pairs of columns")
     return widen(attrs, int(width), on).drop("overflow")
 
 

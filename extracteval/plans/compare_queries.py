@@ -853,7 +853,7 @@ _SHOW = f"""WITH c1 AS (SELECT qid, attribute_key, value FROM fx_cand_c WHERE po
 @query("k3_showcase", _SHOW)
 def _(spark, d):
     weak = [fx.cand_c, lambda s, p: fx.cand_c(s, p).filter("pos = 1")]
-    scores = topk.showcase_scores(counts(spark, d), [counts(spark, d, w) for w in weak])
+    scores = topk.showcase_scores_once(fx.gt(spark, d), fx.cand_b(spark, d), [w(spark, d) for w in weak])
     out = topk.showcase(scores, fx.res_counts(spark, d, "gt"))
     return out.select("kind", "tier", "qid", "total_score", "contrast")
 
@@ -876,6 +876,42 @@ def _(spark, d):
 # ----------------------------------------------------------------------------- reshape
 
 
+@query(
+    "r1_segments",
+    """SELECT qid, CAST(r // 3 AS BIGINT) AS segment, string_agg(attribute_key || '=' || value, '; ' ORDER BY r) AS items
+       FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY attribute_priority, key_priority, pos) - 1 AS r FROM fx_gt) t GROUP BY qid, r // 3""",
+)
+def _(spark, d):
+    out = reshape.segments(fx.gt(spark, d), "qid", ["attribute_priority", "key_priority", "pos"], 3, ["attribute_key", "value"])
+    text = F.transform("items", lambda e: F.concat(e["attribute_key"], F.lit("="), e["value"]))
+    return out.select("qid", "segment", F.array_join(text, "; ").alias("items"))
+
+
+@query(
+    "u1_set_segments",
+    f"""SELECT qid, facet, side, CAST(r // 2 AS BIGINT) AS segment, string_agg(term, '; ' ORDER BY term) AS terms FROM
+        (SELECT *, row_number() OVER (PARTITION BY qid, facet, side ORDER BY term) - 1 AS r FROM
+          (SELECT qid, facet, term, CASE WHEN in_gt AND in_cand THEN 'matched' WHEN in_gt THEN 'gt_only' ELSE 'cand_only' END AS side FROM {terms_sql('fx_cand_b')} f) a) b GROUP BY qid, facet, side, r // 2""",
+)
+def _(spark, d):
+    return compare.set_segments(flags(spark, d), 2).withColumn("terms", F.array_join("terms", "; "))
+
+
+_HAVE = " UNION ALL ".join(f"SELECT '{s}' AS s, qid, facet, term FROM {terms_sql(v, v)} f{i}" for i, (s, v) in enumerate((("gt", "fx_gt"), ("b", "fx_cand_b"), ("c", "fx_cand_c"))))
+
+
+@query(
+    "u2_source_overlaps",
+    f"""WITH h AS ({_HAVE}), p AS (SELECT * FROM {values([("gt", "b"), ("gt", "c"), ("b", "c")], "src", "dst")} v, (SELECT DISTINCT facet FROM h) f),
+        x AS (SELECT src, dst, facet, (SELECT count(*) FROM h WHERE s = src AND h.facet = p.facet) AS a, (SELECT count(*) FROM h WHERE s = dst AND h.facet = p.facet) AS b,
+          (SELECT count(*) FROM h g JOIN h k ON k.qid = g.qid AND k.facet = g.facet AND k.term = g.term WHERE g.s = src AND k.s = dst AND g.facet = p.facet) AS n FROM p)
+        SELECT src, dst, facet, n AS both, a - n AS src_only, b - n AS dst_only FROM x""",
+)
+def _(spark, d):
+    sources = {"gt": fx.gt(spark, d), "b": fx.cand_b(spark, d), "c": fx.cand_c(spark, d)}
+    return compare.source_overlaps(compare.mask_counts(compare.source_masks(sources), None), list(sources))
+
+
 @query(
     "r1_format_groups",
     """SELECT qid, string_agg(t, ' |||| ' ORDER BY attribute_priority) AS formatted FROM (SELECT qid, attribute_priority,
@@ -897,6 +933,14 @@ def _(spark, d):
     return reshape.widen(fx.gt(spark, d), 8)
 
 
+@query(
+    "r2_overflow_rows",
+    "SELECT qid, r AS place, attribute_key, value FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY attribute_key, pos) AS r FROM fx_gt) t WHERE r > 4",
+)
+def _(spark, d):
+    return reshape.overflow_rows(fx.gt(spark, d), 4)
+
+
 @query("r3_widen_auto", f"SELECT * EXCLUDE (overflow) FROM ({_wide(7, 'fx_gt')}) w")
 def _(spark, d):
     return reshape.widen_auto(fx.gt(spark, d))

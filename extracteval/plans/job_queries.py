@@ -99,11 +99,12 @@ def _(spark, d):
 
 @query(
     "e3_label_training",
-    f"""WITH v AS (SELECT ord, trim(name) AS name, CAST(label_id AS BIGINT) AS label_id, label FROM fx_items ORDER BY ord LIMIT 1500),
+    f"""WITH v AS (SELECT ord, trim(name) AS name, CAST(label_id AS BIGINT) AS label_id, label FROM fx_items ORDER BY ord LIMIT (SELECT count(*) * 3 // 4 FROM fx_items)),
         s AS (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY {hx('e3', 'ord')}, ord) AS r, count(*) OVER (PARTITION BY label_id) AS n,
                 (row_number() OVER (ORDER BY {hx('e3:templates', 'ord')}, ord) - 1) % {len(L.INSTRUCTION_TEMPLATES)} AS no FROM v)
         SELECT ord, CASE WHEN r <= CASE WHEN n > 1 THEN greatest(1, round_even(n * 0.1, 0)) ELSE 0 END THEN 'val' ELSE 'train' END AS split, md5(CASE no {_ROT} END) AS instruction,
           '{{"label_name": "' || label || '", "label_id": ' || CAST(label_id AS VARCHAR) || '}}' AS output FROM s""",
 )
 def _(spark, d):
-    return jobs.label_training(fx.items(spark, d), 1500, 0.1, "e3").withColumn("instruction", F.md5("instruction"))
+    items = fx.items(spark, d)
+    return jobs.label_training(items, items.count() * 3 // 4, 0.1, "e3").withColumn("instruction", F.md5("instruction"))

@@ -519,7 +519,7 @@ def _(spark, d):
 @query(
     "f4_valid_labelled",
     """SELECT ord, trim(name) AS name, CAST(label_id AS BIGINT) AS label_id, label FROM fx_items
-       WHERE ord % 10 <> 0 AND ord % 9 <> 0 ORDER BY ord LIMIT 500""",
+       WHERE ord % 10 <> 0 AND ord % 9 <> 0 ORDER BY ord LIMIT (SELECT count(*) // 4 FROM fx_items)""",
 )
 def _(spark, d):
     messy = fx.items(spark, d).select(
@@ -528,7 +528,7 @@ def _(spark, d):
         F.when(F.col("ord") % 9 == 0, "x1").otherwise(F.col("label_id")).alias("label_id"),
         F.when(F.col("ord") % 10 == 0, " ").otherwise(F.col("label")).alias("label"),
     )
-    return labels.valid_labelled(messy, 500)
+    return labels.valid_labelled(messy, messy.count() // 4)
 
 
 @query(
