@@ -1,5 +1,6 @@
 """Distributed shapes against plain Python on small random input, hot groups included."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -7,8 +8,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from extracteval.functions import hashing
 from extracteval.functions.hashing import hash_rank
-from extracteval.operators import align, compare, datasets, ledger, metrics, tagging, vocabulary
+from extracteval.operators import align, compare, datasets, ledger, metrics, reshape, tagging, topk, vocabulary
 from extracteval.functions.tables import small_table
 
 
@@ -289,3 +291,69 @@ def test_vocabulary_supplements(spark):
         2: {"motor power": "3 hp", "automation grade": "manual"},
         5: {"capacity": "2.5 ton", "automation grade": "fully automatic", "phase": "single phase"},
     }
+
+
+@pytest.mark.parametrize("fits", [1, 20, 4096])
+def test_samples_of_any_size_are_the_first_in_hash_order(spark, monkeypatch, fits):
+    df = spark.range(3000).select((F.col("id") % 2500).alias("k"))  # some keys twice
+    order = sorted((hashlib.md5(f"s|{k}".encode()).hexdigest(), k) for k in [i % 2500 for i in range(3000)])
+    real = hashing.hash_cut
+    monkeypatch.setattr(datasets, "hash_cut", lambda *a: real(*a, fits=fits))
+    for n in (0, 1, 1234, 2999, 3000, 5000):
+        got = sorted((hashlib.md5(f"s|{r['k']}".encode()).hexdigest(), r["k"]) for r in datasets.sample_n(df, n, "s", "k").collect())
+        assert got == order[:n]
+
+
+def test_fuzzy_keys_by_doubling(attrs):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("ab\U0001f600é") for _ in range(n))
+    gt_values = [word(rnd.randint(1, 40)) for _ in range(60)]
+    cand_values = [word(rnd.randint(1, 40)) for _ in range(60)] + [gt_values[0] + word(700), word(300) + gt_values[1][1:]]
+    gt = attrs([(1, f"k{i}", v) for i, v in enumerate(gt_values)])
+    cand = attrs([(1, f"c{i}", v) for i, v in enumerate(cand_values)])
+    got = {r["pos"]: r["value_matched"] for r in compare.fuzzy_flags(gt, cand).collect()}
+    assert got == {i: any(v in c or c in v for c in cand_values) for i, v in enumerate(gt_values, 1)}
+
+
+def test_segments_hold_all_rows_of_a_hot_group(spark):
+    rows = [("hot" if i % 3 else None if i % 2 else "cold", i // 5, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, o int, v int").repartition(7)
+    out = reshape.segments(df, "g", ["o", "v"], 64, ["v"]).collect()
+    for g in ("hot", "cold", None):
+        parts = sorted((r["segment"], [e["v"] for e in r["items"]]) for r in out if r["g"] == g)
+        assert [s for s, _ in parts] == list(range(len(parts))) and all(len(v) == 64 for _, v in parts[:-1])
+        assert [v for _, part in parts for v in part] == [v for h, _, v in rows if h == g]
+    assert reshape.segments(df.limit(0), "g", ["o"], 64, ["v"]).count() == 0
+
+
+def test_overflow_and_wide_rows_hold_every_attribute(attrs):
+    df = attrs([(q, f"k{i % 7}", f"v{i}") for q, n in ((1, 3), (2, 150)) for i in range(n)])
+    wide = {r["qid"]: r for r in reshape.widen(df, 5).collect()}
+    over = reshape.overflow_rows(df, 5).collect()
+    assert {q: r["overflow"] for q, r in wide.items()} == {1: 0, 2: 145}
+    assert sorted(r["place"] for r in over) == list(range(6, 151)) and {r["qid"] for r in over} == {2}
+    values = [wide[2][f"attr_value_{i}"] for i in range(1, 6)] + [r["value"] for r in over]
+    assert sorted(values) == sorted(f"v{i}" for i in range(150))
+    with pytest.raises(ValueError):
+        reshape.widen_auto(df, widest=100)
+
+
+def test_masks_give_the_counts_of_every_two_sources(attrs):
+    rnd = random.Random(3)
+    sources = {s: [(rnd.randint(1, 5), rnd.choice("abcd"), rnd.choice("xyz ")) for _ in range(15)] for s in ("r", "s", "t", "u")}
+    frames = {s: attrs(rows) for s, rows in sources.items()}
+    terms = {s: {(q, "key", k) for q, k, _ in rows} | {(q, "value", v) for q, _, v in rows if v.strip()} for s, rows in sources.items()}
+    counts = compare.mask_counts(compare.source_masks(frames), None)
+    got = {(r["src"], r["dst"], r["facet"]): (r["both"], r["src_only"], r["dst_only"]) for r in compare.source_overlaps(counts, list(frames)).collect()}
+    pick = lambda s, f: {t for t in terms[s] if t[1] == f}
+    names = list(sources)
+    expected = {
+        (a, b, f): (len(pick(a, f) & pick(b, f)), len(pick(a, f) - pick(b, f)), len(pick(b, f) - pick(a, f)))
+        for i, a in enumerate(names) for b in names[i + 1 :] for f in ("key", "value")
+    }
+    assert got == expected
+    # the showcase scores from masks are those of the comparisons one by one
+    pairs = [compare.set_counts(compare.term_flags(frames["r"], frames[s])) for s in ("s", "t", "u")]
+    slow = topk.showcase_scores(pairs[0], pairs[1:])
+    fast = topk.showcase_scores_once(frames["r"], frames["s"], [frames["t"], frames["u"]])
+    assert {tuple(r) for r in slow.select(*sorted(slow.columns)).collect()} == {tuple(r) for r in fast.select(*sorted(slow.columns)).collect()}

@@ -1,12 +1,16 @@
 """Worked examples computed by hand."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from extracteval.functions.normalize import percent_decode
+from extracteval.functions import lexicon as L
 from extracteval.functions import normalize as N
 from extracteval.functions import parsing as P
 from extracteval.operators import compare, metrics, reshape, tagging, vocabulary
+from extracteval.plans import jobs
 
 
 def one(spark, expr, **cols):
@@ -221,3 +225,48 @@ def test_assembled_in_row_as_from_tags(spark, sf_dir):
     columns = ["qid", "attribute_key", "value", "key_priority", "attribute_priority"]
     a = tagging.assemble(tagging.reference_tags(texts)).select(*columns).collect()
     assert sorted(map(tuple, tagging.assemble_reference(texts).select(*columns).collect())) == sorted(map(tuple, a))
+
+
+def test_one_map_per_query(spark):
+    texts = [
+        "Crompton+Greaves 5 HP three phase 415v 1440 rpm flange mounted motor",
+        "abb%20servo motor 2.5 kw 1 phase foot mount aluminium",
+        "xspg winding",
+        "spg motor",
+        "moter",
+        "banana",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "qid int, query string")
+    got = {r["qid"]: r["attributes"] for r in tagging.query_attributes(df).collect()}
+    assert {k: got[0][k] for k in ("brand", "power", "phase", "voltage", "speed", "mounting")} == {
+        "brand": "Crompton Greaves", "power": "5 HP", "phase": "three phase", "voltage": "415V", "speed": "1440 RPM", "mounting": "flange mounted",
+    }
+    assert {k: got[1][k] for k in ("brand", "power", "phase", "motor_type", "mounting", "material")} == {
+        "brand": "ABB", "power": "2.5 KW", "phase": "single phase", "motor_type": "servo motor", "mounting": "foot mounted", "material": "aluminium",
+    }
+    assert "brand" not in got[2] and got[3]["brand"] == "SPG"
+    assert got[4] == {"product_type": "motor"} and got[5] == {} and not got[6]
+    assert "Exchange" not in tagging.query_attributes(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_of_three_tasks(spark):
+    pools = spark.createDataFrame([(k, f"{k} {i}") for k in ("color", "size", "brand") for i in range(9)], "key string, value string")
+    rows = jobs.multitask_records(pools, 200, "m").collect()
+    assert {t: sum(r["task"] == t for r in rows) for t in L.TASK_RATIOS} == {"isq_extraction": 120, "query_correction": 40, "translation": 40}
+    assert sorted(r["place"] for r in rows) == list(range(1, 201)) and sum(r["split"] == "train" for r in rows) == 180
+    for r in rows:
+        text = r["instruction"].split("\n\n", 1)[1].split(": ", 1)[1]
+        if r["task"] == "isq_extraction":
+            made = json.loads(r["output"])
+            assert text.startswith(made["product"]) and len(made) in (3, 4)
+            left = text[len(made["product"]) :].strip()
+            for v in [v for k, v in made.items() if k != "product"]:
+                left = left.replace(v, "", 1)
+            assert not left.strip()
+        elif r["task"] == "query_correction":
+            assert any(r["output"].startswith(p) for p in L.PRODUCTS)
+        else:
+            back = {v: k for k, v in L.TRANSLATIONS.items()}
+            assert r["output"] != text and set("".join(back)) & set(r["output"] + text)
+    assert [tuple(r) for r in jobs.multitask_records(pools, 200, "m").orderBy("place").collect()] == sorted((tuple(r) for r in rows), key=lambda t: t[4])

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import pandas as pd
 import pytest
@@ -120,6 +121,26 @@ def test_replayed_batch_overwrites_itself(spark, tmp_path):
     assert sorted(r["id"] for r in stream.read_ledger(spark, out, LEDGER).collect()) == [1, 2]
 
 
+def test_a_batch_reads_the_buckets_of_its_keys_only(spark, tmp_path):
+    out = str(tmp_path / "ledger")
+    count = lambda b: b.select("id", F.length("text").alias("n"))
+    for i in range(3):
+        stream.append_batch(spark.range(i * 2000, (i + 1) * 2000).select("id", F.lit("ab").alias("text")), i, out, "id", LEDGER, count)
+    few = spark.createDataFrame([(5, "abc"), (2001, "abc"), (7000, "abc")], "id bigint, text string")
+    seen = stream.seen_keys(few, 3, out, "id", LEDGER)
+    assert {5, 2001} <= {r["id"] for r in seen.collect()} and 7000 not in {r["id"] for r in seen.collect()}
+    # the filter on buckets reaches the listing of folders, so other buckets' files are not opened
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+", plan)
+    assert len(seen.collect()) < 6000 * 3 / stream.BUCKETS * 2
+    for _ in range(2):
+        stream.append_batch(few, 3, out, "id", LEDGER, count)
+        rows = stream.read_ledger(spark, out, LEDGER).collect()
+        assert len(rows) == 6001 and {r["id"]: r["n"] for r in rows}[7000] == 3
+    stream.append_batch(few.limit(0), 4, out, "id", LEDGER, count)
+    assert stream.read_ledger(spark, out, LEDGER).count() == 6001
+
+
 def test_stage_is_built_once(spark, tmp_path):
     calls = []
 
