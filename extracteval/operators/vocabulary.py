@@ -113,10 +113,18 @@ PROMPT_BULLET = "• "
 PROMPT_QUERY = 'Query: "{}"\nOutput: '
 
 
-def build_prompts(texts: DataFrame, digest: DataFrame, guide: str = "", text: str = "query") -> DataFrame:
+LONGEST_BLOCK = 1 << 20
+
+
+def build_prompts(texts: DataFrame, digest: DataFrame, guide: str = "", text: str = "query", longest: int = LONGEST_BLOCK) -> DataFrame:
     """One prompt per text: the vocabulary digest, a guide, the query. The digest is a
     report of bounded size (first values of each key), folded to a single cell and read
-    as a scalar subquery; no join."""
+    as a scalar subquery; no join. A digest of more than ``longest`` characters, which would be copied
+    into every prompt, is an error: compress the vocabulary first."""
+    digest = materialise(digest.select("key", "digest", "first_ord"), "digest")
+    chars = digest.agg(F.sum(F.length("key") + F.length("digest")).alias("n")).first()["n"] or 0
+    if chars > longest:
+        raise ValueError(f"the vocabulary digest has {chars} characters, more than {longest}")
     line = F.concat(F.lit(PROMPT_BULLET), F.col("key"), F.lit(": "), F.col("digest"), F.lit("\n"))
     block = digest.agg(
         F.array_join(

@@ -357,3 +357,12 @@ def test_masks_give_the_counts_of_every_two_sources(attrs):
     slow = topk.showcase_scores(pairs[0], pairs[1:])
     fast = topk.showcase_scores_once(frames["r"], frames["s"], [frames["t"], frames["u"]])
     assert {tuple(r) for r in slow.select(*sorted(slow.columns)).collect()} == {tuple(r) for r in fast.select(*sorted(slow.columns)).collect()}
+
+
+def test_prompts_refuse_a_digest_without_bound(spark):
+    texts = spark.createDataFrame([("a pump",)], "query string")
+    digest = spark.createDataFrame([(f"key {i}", "x | y", i) for i in range(100)], "key string, digest string, first_ord int")
+    assert texts.count() == vocabulary.build_prompts(texts, digest).filter(F.col("prompt").contains("key 99: x | y")).count()
+    with pytest.raises(ValueError):
+        vocabulary.build_prompts(texts, digest, longest=500)
+    assert vocabulary.build_prompts(texts, digest.limit(0)).first()["prompt"] is not None
