@@ -138,6 +138,21 @@ def _(spark, d):
     return files.manifest(spark, d, "*.parquet").select("file_name", "size_bytes", "sha256")
 
 
+@query(
+    "s8_manifest_of_texts",
+    """WITH f AS (SELECT coalesce(CAST(doc_id // 20 AS VARCHAR), '__HIVE_DEFAULT_PARTITION__') AS part,
+                         string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY part)
+       SELECT 'part=' || part AS folder, CAST(strlen(content) AS BIGINT) AS size_bytes, sha256(content) AS sha256 FROM f""",
+)
+def _(spark, d):
+    # a file for every twenty documents, in a folder of its own
+    path = scratch_path(spark, "s8")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.expr("doc_id div 20").alias("part"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(path)
+    found = files.manifest(spark, path, "*.txt")
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "size_bytes", "sha256")
+
+
 @query(
     "s9_write_report",
     """SELECT qid, count(DISTINCT norm) AS gt_keys FROM (SELECT qid, """ + nk("attribute_key") + """ AS norm FROM fx_gt) t GROUP BY qid""",

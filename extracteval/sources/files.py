@@ -3,84 +3,97 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from urllib.parse import quote
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.audit import file_name
 from ..operators.ledger import running_before
+from ..session import materialise
 
-_FILE = "path string, size_bytes bigint, modified_time timestamp, sha256 string"
+_LISTED = "inner string, is_file boolean, size_bytes bigint, micros bigint"
+_HASHED = "inner string, size_bytes bigint, micros bigint, sha256 string"
+TASK_BYTES, TASK_FILES = 128 << 20, 1_000  # what one task digests, about
+MOST_TASKS = 10_000
 
 
-def _digest(system, inner: str) -> str:
-    """SHA-256 of one file, block by block."""
-    digest = hashlib.sha256()
-    with system.open_input_stream(inner) as stream:
-        while block := stream.read(1 << 20):
-            digest.update(block)
-    return digest.hexdigest()
-
-
-def _stream_hash(batches):
-    """Digest listed files block by block, so no task has to hold one."""
+def _open(uri: str):
     from pyarrow import fs
 
-    for pdf in batches:
-        opened = [fs.FileSystem.from_uri(quote(p, safe=":/")) for p in pdf["path"]]
-        yield pdf.assign(sha256=[_digest(s, i) for s, i in opened])
+    return fs.FileSystem.from_uri(quote(uri, safe=":/"))
 
 
-def _skipped_files(base: str, glob: str):
-    """Lister for what Spark's file index leaves out: empty files, and those with a name or
-    folder that starts with a dot or an underscore."""
+def _list_folders(uri: str, glob: str):
+    """What stands directly in each folder: subfolders, and files with a name like ``glob``."""
 
     def run(batches):
         from fnmatch import fnmatchcase
 
+        import pyarrow as pa
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(base)
-        for pdf in batches:
-            rows = []
-            for entry in pdf["entry"]:
-                info = system.get_file_info(entry)
-                found = [info] if info.is_file else system.get_file_info(fs.FileSelector(entry, recursive=True))
-                for f in found:
-                    relative = f.path[len(root) :]
-                    hidden = any(part[:1] in (".", "_") for part in relative.split("/"))
-                    if f.is_file and fnmatchcase(f.base_name, glob) and (hidden or f.size == 0):
-                        when = pd.Timestamp(f.mtime).tz_convert("UTC").tz_localize(None)
-                        rows.append((base + relative, f.size, when, _digest(system, f.path)))
-            yield pd.DataFrame(rows, columns=["path", "size_bytes", "modified_time", "sha256"])
+        system, _ = _open(uri)
+        types = [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+        for batch in batches:
+            for folder in batch["inner"].to_pylist():
+                found = system.get_file_info(fs.FileSelector(folder))
+                kept = [(f.path, f.is_file, f.size, f.mtime_ns and f.mtime_ns // 1000) for f in found if not f.is_file or fnmatchcase(f.base_name, glob)]
+                columns = zip(*kept) if kept else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["inner", "is_file", "size_bytes", "micros"])
 
     return run
 
 
-def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``path, file_name, size_bytes, modified_time, sha256`` of every file below a folder.
+def _digest_files(uri: str):
+    """SHA-256 of each file, read block by block, so that no task has to hold one."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        system, _ = _open(uri)
+        for batch in batches:
+            hashes = []
+            for inner in batch["inner"].to_pylist():
+                digest = hashlib.sha256()
+                with system.open_input_stream(inner, compression=None) as stream:
+                    while block := stream.read(1 << 20):
+                        digest.update(block)
+                hashes.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch["inner"], batch["size_bytes"], batch["micros"], pa.array(hashes, pa.string())], ["inner", "size_bytes", "micros", "sha256"])
+
+    return run
 
-    Spark lists the files; tasks stream each through a digest, whatever its size. Empty and
-    hidden files, which Spark's readers skip, are listed folder by folder by the tasks
-    themselves."""
-    from pyarrow import fs
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    listed = files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_time"))
-    hashed = listed.mapInPandas(_stream_hash, _FILE)
+def list_files(spark: SparkSession, uri: str, glob: str = "*") -> DataFrame:
+    """``inner, size_bytes, micros`` of every file below a folder, empty and hidden ones as well, which
+    Spark's own listing leaves out. Tasks list one level of folders after the other, each level
+    stored, so neither the driver nor any task holds the tree; the rounds are its depth."""
+    _, root = _open(uri)
+    folders, levels = spark.createDataFrame([(root,)], "inner string"), []
+    while n := folders.count():
+        level = folders.repartition(min(n, MOST_TASKS)).mapInArrow(_list_folders(uri, glob), _LISTED)
+        level = materialise(level, "listed")
+        levels.append(level.where("is_file").drop("is_file"))
+        folders = level.where("not is_file").select("inner")
+    return reduce(DataFrame.union, levels)
 
+
+def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``path, file_name, size_bytes, modified_time, sha256`` of every file below a folder.
+
+    The listed files are dealt out by hash of their path, to as many tasks as their bytes and number
+    ask for: a folder with most of the files is digested by many tasks. One file is one task, as
+    SHA-256 has no parallel form."""
     base = path.rstrip("/") if "://" in path else "file:" + path.rstrip("/")
     uri = base if "://" in base else "file://" + base.removeprefix("file:")
-    system, root = fs.FileSystem.from_uri(uri)
-    top = [(f.path,) for f in system.get_file_info(fs.FileSelector(root))]
-    entries = spark.createDataFrame(top, "entry string").repartition(max(1, min(len(top), 200)))
-    skipped = entries.mapInPandas(_skipped_files(uri, glob), _FILE).withColumn(
-        "path", F.concat(F.lit(base), F.substring("path", len(uri) + 1, 1 << 20))
-    )
-    every = hashed.unionByName(skipped)
-    return every.select("path", file_name(F.col("path")).alias("file_name"), "size_bytes", "modified_time", "sha256")
+    listed, (_, root) = list_files(spark, uri, glob), _open(uri)
+    n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
+    tasks = max(size // TASK_BYTES + n // TASK_FILES + 1, min(n, spark.sparkContext.defaultParallelism))
+    hashed = listed.repartition(min(tasks, MOST_TASKS), "inner").mapInArrow(_digest_files(uri), _HASHED)
+    full = F.concat(F.lit(base), F.substring("inner", len(root.rstrip("/")) + 1, 1 << 20))
+    return hashed.select(full.alias("path"), file_name(F.col("inner")).alias("file_name"), "size_bytes", F.timestamp_micros("micros").alias("modified_time"), "sha256")
 
 
 def write_manifest(manifest_df: DataFrame, path: str) -> None:

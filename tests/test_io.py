@@ -61,6 +61,28 @@ def test_manifest_hashes(spark, tmp_path):
     assert got == {n.split("/")[-1]: (len(b), hashlib.sha256(b).hexdigest()) for n, b in content.items()}
 
 
+def test_manifest_of_names_that_listings_treat_apart(spark, tmp_path):
+    names = ["_metadata", "_common_metadata", "_x=1/a", "x._COPYING_", "deep/er/_still/.so/f", "zipped.gz", "a b/c", ".crc/.y.crc"]
+    for i, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"not really zipped" * i)
+    (tmp_path / "empty folder").mkdir()
+    rows = files.manifest(spark, str(tmp_path) + "/").collect()
+    want = {f"file:{tmp_path}/{n}": hashlib.sha256(b"not really zipped" * i).hexdigest() for i, n in enumerate(names)}
+    assert len(rows) == len(names) and {r["path"]: r["sha256"] for r in rows} == want
+    assert all(abs(r["modified_time"].timestamp() - (tmp_path / r["path"][len(f"file:{tmp_path}/"):]).stat().st_mtime) < 1e-3 for r in rows)
+    assert files.manifest(spark, str(tmp_path / "empty folder")).collect() == []
+
+
+def test_manifest_deals_one_large_folder_to_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "TASK_FILES", 10)
+    for i in range(60):
+        (tmp_path / f"f{i}").write_bytes(b"%d" % i)
+    got = files.manifest(spark, str(tmp_path))
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(t["count"] for t in tasks) == 60 and len(tasks) >= 5 and max(t["count"] for t in tasks) < 30
+
+
 def test_run_log(spark, tmp_path):
     (tmp_path / "a.log").write_text(
         "=== header ===\n[2026-02-06 03:18:30] Reading\n[2026-02-06 03:18:40] Progress: 100/300 (33.3%) | Success: 90 | Failed: 10\n"

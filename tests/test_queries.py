@@ -37,7 +37,7 @@ def test_every_surveyed_operator_is_registered():
     )
     have = {n.split("_")[0] for n in QUERIES}
     assert [e for e in expected if e not in have] == []
-    # only the manifest of the input files themselves has no SQL form
+    # only the manifest of the input files themselves has no SQL form; that of files made from texts has
     assert sorted(set(QUERIES) - set(ORACLES)) == ["s8_manifest"]
 
 
