@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import small_table
+from ..functions.tables import broadcast_if, small_table
 from ..session import materialise
 from .groups import sorted_groups
 from .storing import stored
@@ -231,13 +231,30 @@ def _by_document(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.union(said).repartition("doc", "tag").sortWithinPartitions("doc", "tag", "place", "kind")
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
-    """``doc, tag``, the texts (several for repeated rows), places, kinds and parts."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str | None, np.ndarray, np.ndarray, np.ndarray]]:
+    """``doc, tag, text``, places, kinds and parts. What is held at once is bounded by one text."""
     for group in sorted_groups(batches, ["doc", "tag"]):
-        kind = group["kind"].to_numpy()
-        n = int(np.searchsorted(group["place"].to_numpy(), 0))
-        texts = [t.as_py() for t in group["text"].slice(0, n)]
-        yield group["doc"][0].as_py(), group["tag"][0].as_py(), texts, group["place"].to_numpy()[n:], kind[n:], group["part"].to_numpy()[n:]
+        place = group["place"].to_numpy()
+        n = int(np.searchsorted(place, 0))  # 1, or 0 if the text went elsewhere
+        if n:
+            yield group["doc"][0].as_py(), group["tag"][0].as_py(), group["text"][0].as_py(), place[n:], group["kind"].to_numpy()[n:], group["part"].to_numpy()[n:]
+
+
+def one_of_each(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``doc, tag, text`` with one row of those that are equal in ``doc`` and ``tag``, and
+    ``doc, tag, counts`` of those that were repeated (nothing if none was): how many of them each
+    split of the input has. Only keys are counted; of the texts, only repeated ones are shuffled, and
+    of those one a split."""
+    each = keyed.groupBy("doc", "tag", F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    keys = each.groupBy("doc", "tag").agg(F.collect_list("n").alias("counts"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    keys = materialise(keys, "suffix-repeated")
+    n = keys.count()
+    if not n:
+        return keyed, None
+    known = broadcast_if(keys.select("doc", "tag"), n, 0)
+    some = keyed.join(known, ["doc", "tag"], "left_semi").groupBy("doc", "tag").agg(F.first("text").alias("text"))
+    rest = keyed.join(known, ["doc", "tag"], "left_anti")
+    return rest.unionByName(materialise(some, "suffix-repeated-texts")), keys
 
 
 def _strings(docs: DataFrame, open_: DataFrame) -> DataFrame:
@@ -245,10 +262,10 @@ def _strings(docs: DataFrame, open_: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, rows = [], 0
-        for doc, tag, texts, places, _, parts in _texts(batches):
-            if not texts or not len(places):
+        for doc, tag, text, places, _, parts in _texts(batches):
+            if not len(places):
                 continue
-            raw = _raw(texts[0])
+            raw = _raw(text)
             for lo, piece in _pieces(raw):
                 r, least, _ = string_ranks(piece)
                 here = (places >= lo) & (places < lo + len(r))
@@ -334,20 +351,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     * null or empty text: no bytes; texts of fewer than 50 bytes: kept;
     * very long texts: worked on in pieces, as a whole in effect;
-    * repeated rows and other rows of the same id: not earlier than each other, a result each;
+    * repeated rows and other rows of the same id: not earlier than each other, a result each; rows
+      equal in id and text are worked on once, however many they are;
     * null ``doc_id``: later than all others, not earlier than each other;
     * empty table: no rows. Other columns are ignored, whatever their names.
     """
-    keyed = _keyed(docs)
+    keyed, repeated = one_of_each(_keyed(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for doc, _, texts, places, kinds, _ in _texts(batches):
-            for text in texts:
-                raw = _raw(text)
-                gone = covered(len(raw), places, kinds)
-                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((None if doc == NONE else doc, len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
+        for doc, tag, text, places, kinds, _ in _texts(batches):
+            raw = _raw(text)
+            gone = covered(len(raw), places, kinds)
+            spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+            out.append((doc, tag, len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
             if len(out) >= 4096:
                 yield _batch(out)
                 out = []
@@ -357,5 +374,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def _batch(out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    names, types = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()]
-    return _by_document(keyed, repeated_spans(keyed)).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    names, types = ["doc", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 5 + [pa.string()]
+    found = _by_document(keyed, repeated_spans(keyed)).mapInArrow(run, "doc bigint, tag bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    if repeated is not None:  # a row for each of them again
+        n = repeated.agg(F.count(F.lit(1)), F.sum(8 * F.size("counts"))).first()
+        found = found.join(broadcast_if(repeated, *n), ["doc", "tag"], "left")
+        found = found.withColumn("copies", F.explode(F.coalesce("counts", F.array(F.lit(1).cast("bigint"))))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    doc_id = F.when(F.col("doc") != NONE, F.col("doc")).alias("doc_id")
+    return found.select(doc_id, *names[2:])

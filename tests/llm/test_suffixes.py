@@ -71,6 +71,19 @@ def test_texts_without_id_are_told_apart(spark, documents):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def test_repeated_rows_are_worked_on_once(spark, documents, monkeypatch):
+    line = "a passage of more than fifty bytes that stands in several documents"
+    rows = [(None, line)] * 3000 + [(7, line + " x")] * 500 + [(1, line)] * 2 + [(1, "other"), (8, None), (8, None), (None, None), (None, "")]
+    rng = random.Random(3)
+    rng.shuffle(rows)
+    docs = documents(rows).repartition(6)
+    once, counts = suffixes.one_of_each(suffixes._keyed(docs))
+    assert once.count() == len({r for r in rows}) and sum(map(sum, (r.counts for r in counts.collect()))) == 3504
+    got = suffixes.remove_repeats(docs)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+    assert suffixes.one_of_each(suffixes._keyed(documents([(1, "a"), (1, "b"), (None, "a")])))[1] is None
+
+
 def test_empty_table(documents):
     assert suffixes.remove_repeats(documents([])).collect() == []
 
