@@ -51,7 +51,7 @@ def pack_bits(mins: np.ndarray, bits: int) -> np.ndarray:
     their low bits are not random as they come."""
     low = (mix(mins) & np.uint64((1 << bits) - 1)).astype(np.uint8)
     planes = (low[:, :, None] >> np.arange(bits, dtype=np.uint8)) & 1
-    return np.packbits(planes.transpose(0, 2, 1).reshape(len(mins), -1), axis=1)
+    return np.packbits(planes.transpose(0, 2, 1).reshape(len(mins), planes.shape[1] * planes.shape[2]), axis=1)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, count: int, bits: int) -> np.ndarray:

@@ -78,3 +78,48 @@ def test_stages(spark, sf_dir):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = [np.array([*e.ids, 2], "<u4").tobytes() for e in tokenizer.encode_batch(before.text.tolist(), add_special_tokens=False)]
     assert sorted(zip(after.doc_id, after.n_tokens, after.ids_crc32)) == sorted(zip(before.doc_id, (len(x) // 4 for x in ids), map(zlib.crc32, ids)))
+
+
+def odd_documents(spark, sf_dir):
+    """The given columns and others whose names the stages use inside, with nulls anywhere."""
+    plain = " ".join(f"word{i} of a plain text" for i in range(40))
+    rows = [(1, plain, "en", "a", 5), (1, plain, "en", "a", 5), (2, plain, None, "b", None), (None, "no id here " * 12, "en", None, 1)]
+    rows += [(3, None, None, None, None), (4, "", "en", "a", 0), (5, " \n ", "en", "a", 3), (None, None, None, None, None), (6, "long " * 60_000 + "end", "en", "a", 9)]
+    rows += [(6, "another text of the same id", "en", "c", 1)]
+    extra = ["bad_id", "bad_hash", "h", "term", "window", "digest", "keeper", "gone_id", "row", "key", "m", "file", "text_hash", "score"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in extra)
+    return spark.createDataFrame([(*r, *[f"{i}"] * len(extra)) for i, r in enumerate(rows)], schema)
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    docs = odd_documents(spark, sf_dir)
+    stages, was = dict(corpus_pipeline.STAGES), docs.collect()
+
+    # nothing toxic and no benchmark text: every row stays, repeated ones too, with its other columns
+    for name in ("toxicity", "decontamination"):
+        out = stages[name](spark, docs, sf_dir)
+        assert out.columns == docs.columns and sorted(out.collect(), key=str) == sorted(was, key=str)
+
+    # one of equal texts; texts without five words in common with others stay
+    out = stages["near_duplicates"](spark, docs, sf_dir)
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and sorted(kept, key=str) == sorted({(r.doc_id, r.text) for r in was if r.doc_id != 2}, key=str)
+
+    # nothing of wordless texts; whole texts or their words, once or twice
+    out = stages["mixing"](spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        assert r.text.split() and r.n_chars == len(r.text) and r.doc_id not in (3, 4, 5)
+        assert any(r.bad_id == x.bad_id and set(r.text.split()) <= set(x.text.split()) for x in was if x.text)
+
+    # a row for each, null ids last, the end id alone where there is no text
+    out = sorted(stages["token_ids"](spark, docs, sf_dir).collect(), key=lambda r: r.start)
+    assert len(out) == len(was) and [r.doc_id for r in out][-2:] == [None, None]
+    assert {r.n_tokens for r in out if r.doc_id in (3, 4)} == {1}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_empty_tables(spark, sf_dir, name):
+    docs = odd_documents(spark, sf_dir)
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), sf_dir)
+    assert out.collect() == [] and (name == "token_ids" or out.columns == docs.columns)
