@@ -294,17 +294,19 @@ def fuzzy_flags(gt: DataFrame, cand: DataFrame, on: str = "qid") -> DataFrame:
     Blank values match nothing.
 
     Distinct values meet in equi-joins only, whatever the size of a query, see
-    :func:`_within`; nothing is gathered per query."""
+    :func:`_within`; nothing is gathered per query. All sides grow with the attributes, so the joins
+    are merges: a dozen sides that are each small enough to be broadcast are not, together, small
+    enough for the driver that would build their tables."""
     mine = gt.withColumn("norm_value", norm_value(F.col("value")))
     left = mine.select(on, F.col("norm_value").alias("v")).filter("v <> ''").distinct()
     right = cand.select(on, norm_value(F.col("value")).alias("v")).filter("v <> ''").distinct()
     nums = lambda df: df.withColumn("_k", F.array_join(_numbers(F.col("v")), " ")).filter("_k <> ''")
-    numbered = nums(left).join(nums(right).select(on, "_k").distinct(), [on, "_k"], "left_semi").select(on, "v")
+    numbered = nums(left).join(nums(right).select(on, "_k").distinct().hint("merge"), [on, "_k"], "left_semi").select(on, "v")
     inside = _within(left, right, on).select(on, F.col("short").alias("v"))
     around = _within(right, left, on).select(on, F.col("long").alias("v"))
     hits = inside.union(around).union(numbered).distinct().select(on, F.col("v").alias("norm_value"), F.lit(True).alias("_hit"))
     return (
-        mine.join(hits, [on, "norm_value"], "left")
+        mine.join(hits.hint("merge"), [on, "norm_value"], "left")
         .withColumn("value_matched", F.coalesce("_hit", F.lit(False)))
         .drop("_hit", "norm_value")
     )
@@ -339,17 +341,17 @@ def _within(short: DataFrame, long: DataFrame, on: str) -> DataFrame:
     asked = s.groupBy(on).agg(F.collect_set("j").alias("js"))  # thirty lengths at most
     level = F.transform(F.filter("js", lambda j: j < F.size("_g")), lambda j: F.struct(j.alias("j"), F.get("_g", j).alias("g")))
     grams = (
-        long.join(asked, on).select(on, "js", F.xxhash64("v").alias("id"), _grams(F.col("v")).alias("_g"))
+        long.join(asked.hint("merge"), on).select(on, "js", F.xxhash64("v").alias("id"), _grams(F.col("v")).alias("_g"))
         .select(on, "id", F.explode(level).alias("_l"))
         .select(on, "id", F.col("_l.j").alias("j"), F.posexplode("_l.g").alias("p", "g"))
     )
-    starts = grams.join(s.select(on, "j", "k", F.col("a").alias("g"), "b", "n", "short"), [on, "j", "g"])
+    starts = grams.join(s.select(on, "j", "k", F.col("a").alias("g"), "b", "n", "short").hint("merge"), [on, "j", "g"])
     exact = starts.filter("n = k").select(on, "id", "short")
     wider = starts.filter("n > k").select(on, "id", "j", (F.col("p") + F.col("n") - F.col("k")).alias("p"), F.col("b").alias("g"), "short")
-    wider = wider.join(grams, [on, "id", "j", "p", "g"], "left_semi").select(on, "id", "short")
+    wider = wider.join(grams.hint("merge"), [on, "id", "j", "p", "g"], "left_semi").select(on, "id", "short")
     found = exact.union(wider).distinct()
     texts = long.select(on, F.xxhash64("v").alias("id"), F.col("v").alias("long"))
-    return found.join(texts, [on, "id"]).filter(F.col("long").contains(F.col("short"))).select(on, "short", "long")
+    return found.join(texts.hint("merge"), [on, "id"]).filter(F.col("long").contains(F.col("short"))).select(on, "short", "long")
 
 
 def canonical_flags(gt: DataFrame, cand: DataFrame, synonyms: DataFrame, on: str = "qid") -> DataFrame:
@@ -364,7 +366,7 @@ def canonical_flags(gt: DataFrame, cand: DataFrame, synonyms: DataFrame, on: str
     )
     return (
         canonical_key(gt, "attribute_key", synonyms)
-        .join(have, [on, "canonical_key"], "left")
+        .join(have.hint("merge"), [on, "canonical_key"], "left")
         .withColumn("key_matched", F.coalesce("_hit", F.lit(False)))
         .drop("_hit")
     )
