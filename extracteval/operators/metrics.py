@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normalize import norm_key, norm_value, squeeze
+from ..functions.spreading import deal
 from ..functions.tables import small_table
 from .align import keep_last, tidy
 from .compare import both_sides
@@ -110,9 +111,9 @@ def peer_buckets(counts: DataFrame) -> DataFrame:
 def key_frequency(gt: DataFrame, cand: DataFrame, on: str = "qid", mode: str = "collapse") -> DataFrame:
     """Per key: entries on either side and queries where both sides have it. Counted per
     (query, key) first, so one very common key never lands in a single task unreduced."""
+    sides = both_sides(gt, cand, mode)
     per_query = (
-        both_sides(gt, cand, mode)
-        .filter(F.col("norm_key") != "")
+        deal(sides.filter(F.col("norm_key") != "").select(on, "norm_key", "is_gt"), sides.count(), on, "norm_key")
         .groupBy(on, "norm_key")
         .agg(F.count_if(F.col("is_gt")).alias("g"), F.count_if(~F.col("is_gt")).alias("c"))
     )
