@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.normalize import clean_query, percent_decode, squeeze
+from ..functions.spreading import deal
 from ..functions.tables import fits_broadcast, small_table
 from ..schemas import PREDICTION
 from ..session import materialise
@@ -105,6 +106,8 @@ def dictionary_candidates(texts: DataFrame, names: DataFrame, text: Column, on:
     read = _bytes(texts, text, on)
     small = fits_broadcast(rows, chars or 0)
     keyed = materialise(_keyed(read, names, sizes, on, small), "dictionary")
+    # what is found is grouped before its shuffle: by the texts of one task, not of a whole row group
+    read = deal(read, texts.count(), on, "_x")
     if small:
         return _chunks(read, sizes).join(F.broadcast(keyed), "_key")
     read = read.withColumn("_text", F.xxhash64("_x"))
