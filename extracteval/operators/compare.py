@@ -2,8 +2,8 @@
 
 The long form does the work: every attribute becomes a key term and a value term tagged
 with its side, and one aggregation on (query, facet, term) says who has it. That replaces
-the reference/candidate join: partial sums happen before the shuffle, and a query with
-very many rows is spread over its terms. Arrays are only built from distinct terms, for
+the reference/candidate join: terms are dealt to as many tasks as their number asks for, and
+a query with very many rows is spread over its terms. Arrays are only built from distinct terms, for
 outputs that are one row per query by definition.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import norm_key, norm_value
+from ..functions.spreading import deal
 from .reshape import segments
 
 
@@ -52,7 +53,8 @@ def source_masks(sources: Mapping[str, DataFrame], on: str = "qid", mode: str =
     if len(sources) > MOST_SOURCES:
         raise ValueError(f"{len(sources)} sources, more than {MOST_SOURCES} bits")
     tagged = [with_norms(df, mode).select(on, "norm_key", "norm_value", F.lit(1 << i).cast("bigint").alias("_bit")) for i, df in enumerate(sources.values())]
-    terms = _terms(reduce(DataFrame.unionByName, tagged), on, "_bit", keep_blank)
+    rows = reduce(DataFrame.unionByName, tagged)
+    terms = deal(_terms(rows, on, "_bit", keep_blank), 2 * rows.count(), on, "facet", "term")
     return terms.groupBy(on, "facet", "term").agg(F.bit_or("_bit").alias("mask"))
 
 
@@ -100,7 +102,8 @@ def term_flags(
     gt: DataFrame, cand: DataFrame, on: str = "qid", mode: str = "collapse", keep_blank: bool = False
 ) -> DataFrame:
     """``(on, facet, term, in_gt, in_cand)``: which side has each distinct key and value."""
-    terms = _terms(both_sides(gt, cand, mode), on, "is_gt", keep_blank)
+    sides = both_sides(gt, cand, mode)
+    terms = deal(_terms(sides, on, "is_gt", keep_blank), 2 * sides.count(), on, "facet", "term")
     return terms.groupBy(on, "facet", "term").agg(
         F.bool_or("is_gt").alias("in_gt"), F.bool_or(~F.col("is_gt")).alias("in_cand")
     )
@@ -192,8 +195,9 @@ def entry_pairs(gt: DataFrame, cand: DataFrame, on: str = "qid", mode: str = "st
     (query, key) with the distinct entries of each side and their multiplicities, plus how
     many pairs they stand for. The pairs are never written out one by one; every metric
     over them is a sum of products (:func:`priority_alignment`)."""
+    sides = both_sides(gt, cand, mode)
     entries = (
-        both_sides(gt, cand, mode)
+        deal(sides, sides.count(), on, "norm_key")
         .groupBy(on, "norm_key", "is_gt", "attribute_key", "value", "key_priority", "attribute_priority")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -216,24 +220,19 @@ def priority_counts(gt: DataFrame, cand: DataFrame, on: str = "qid", mode: str =
     how many pairs there are, how many also agree on key priority, on attribute priority,
     and on both. Counted from group sizes, so a key repeated k times on each side costs
     k rows and not k*k."""
+    sides, base = both_sides(gt, cand, mode), [on, "norm_key", "norm_value"]
     cells = (
-        both_sides(gt, cand, mode)
-        .groupBy(on, "norm_key", "norm_value", "key_priority", "attribute_priority")
+        deal(sides, 4 * sides.count(), *base)
+        .groupBy(*base, "key_priority", "attribute_priority")
         .agg(F.count_if(F.col("is_gt")).alias("g"), F.count_if(~F.col("is_gt")).alias("c"))
     )
-    base = [on, "norm_key", "norm_value"]
-    # one pass per priority combination over the already aggregated cells
-    sets = cells.groupingSets(
-        [base, base + ["key_priority"], base + ["attribute_priority"], base + ["key_priority", "attribute_priority"]],
-        *base,
-        "key_priority",
-        "attribute_priority",
-    ).agg(
-        F.grouping("key_priority").alias("no_kp"),
-        F.grouping("attribute_priority").alias("no_ap"),
-        (F.sum("g") * F.sum("c")).alias("pairs"),
-    )
-    kind = F.col("no_kp") * 2 + F.col("no_ap")
+    # every cell under its four priority combinations, written out as rows: grouping sets would be
+    # shuffled again, since they group by copies of the columns the rows were dealt by
+    kp, ap, no = F.col("key_priority"), F.col("attribute_priority"), F.lit(None)
+    combination = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("kp"), b.alias("ap"))
+    combinations = F.array(combination(3, no, no), combination(1, kp, no), combination(2, no, ap), combination(0, kp, ap))
+    sets = cells.select(*base, "g", "c", F.explode(combinations).alias("_p")).groupBy(*base, "_p.kind", "_p.kp", "_p.ap").agg((F.sum("g") * F.sum("c")).alias("pairs"))
+    kind = F.col("kind")
     total = lambda k: F.coalesce(F.sum(F.when(kind == k, F.col("pairs"))), F.lit(0)).cast("bigint")
     return sets.groupBy(on).agg(
         total(3).alias("pairs"),

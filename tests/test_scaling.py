@@ -1,6 +1,9 @@
 """What the steps of a comparison ask of the driver and of one task."""
 
-from extracteval.operators import compare, metrics, vocabulary
+import pytest
+
+from extracteval.functions.spreading import MOST_TASKS, tasks_for
+from extracteval.operators import compare, metrics, tagging, vocabulary
 
 
 def _plan(df) -> str:
@@ -17,3 +20,44 @@ def test_fuzzy_sides_are_not_built_by_the_driver(spark, attrs):
     # the synonyms alone, a fixed inline table
     assert _plan(scored).count("BroadcastExchange") <= 2
     assert {r.qid: r.value_matches for r in scored.collect()} == {1: 2, 2: 1}
+
+
+def test_tasks_follow_the_rows():
+    assert [tasks_for(n, 8) for n in (0, 9_999, 25_000, 1_000_000)] == [1, 1, 3, 8]
+    assert tasks_for(100_000_000, 8) == 401
+    assert tasks_for(10**12, 8) == MOST_TASKS
+
+
+ROWS = [(1, "A", "x", 1, 1), (1, "a ", "X", 2, 1), (1, None, "y", 1, 2), (None, "b", "x", 1, 1), (2, "b", None, 1, 1)]
+OTHER = [(1, "a", "x", 1, 1), (1, "a", "x", 1, 1), (1, None, "y", 2, 2), (None, "b", "x", 1, 1), (3, "c", "z", 1, 1)]
+GROUPED = {
+    "term_flags": compare.term_flags,
+    "source_masks": lambda a, b: compare.source_masks({"a": a, "b": b}),
+    "entry_pairs": compare.entry_pairs,
+    "priority_counts": compare.priority_counts,
+    "key_frequency": metrics.key_frequency,
+}
+
+
+@pytest.mark.parametrize("name", list(GROUPED))
+def test_terms_are_dealt_before_they_are_grouped(attrs, name):
+    above, dealt, below = _plan(GROUPED[name](attrs(ROWS), attrs(OTHER))).partition("REPARTITION_BY_NUM")
+    # a task that reads a row group keeps no hash table of its terms
+    assert dealt and "HashAggregate" in above and "Aggregate" not in below
+
+
+def test_dealt_groups_are_whole(attrs):
+    out = compare.priority_counts(attrs(ROWS), attrs(OTHER)).collect()
+    # query 1: two entries A/x against two a/x; keys that are null group together
+    assert {r.qid: (r.pairs, r.key_priority_matches, r.attr_priority_matches, r.perfect) for r in out} == {
+        1: (5, 2, 5, 2), None: (1, 1, 1, 1), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0)
+    }
+    freq = {r.key: (r.gt_freq, r.cand_freq, r.match_freq) for r in metrics.key_frequency(attrs(ROWS), attrs(OTHER)).collect()}
+    assert freq == {"a": (2, 2, 1), "b": (2, 1, 1), "c": (0, 1, 0)}
+
+
+def test_texts_are_dealt_before_names_are_found(spark):
+    texts = spark.createDataFrame([(1, "an acme motor"), (2, "motor"), (None, "acme")], "qid bigint, query string")
+    tags = tagging.tag_dictionary(texts, tagging.dictionary(spark, {"acme": "Acme"}))
+    assert "REPARTITION_BY_NUM" in _plan(tags)
+    assert sorted((str(r.qid), r.value) for r in tags.collect()) == [("1", "Acme"), ("None", "Acme")]
