@@ -16,6 +16,7 @@ from ..session import materialise
 _LISTED = "inner string, is_file boolean, size_bytes bigint, micros bigint"
 _HASHED = "inner string, size_bytes bigint, micros bigint, sha256 string"
 TASK_BYTES, TASK_FILES = 128 << 20, 1_000  # what one task digests, about
+TASK_FOLDERS = 100  # what one task lists, about
 MOST_TASKS = 10_000
 
 
@@ -72,8 +73,11 @@ def list_files(spark: SparkSession, uri: str, glob: str = "*") -> DataFrame:
     stored, so neither the driver nor any task holds the tree; the rounds are its depth."""
     _, root = _open(uri)
     folders, levels = spark.createDataFrame([(root,)], "inner string"), []
+    cores = spark.sparkContext.defaultParallelism
     while n := folders.count():
-        level = folders.repartition(min(n, MOST_TASKS)).mapInArrow(_list_folders(uri, glob), _LISTED)
+        # a task for every folder would start a worker, and leave a file of the level, for each
+        tasks = max(n // TASK_FOLDERS + 1, min(n, cores))
+        level = folders.repartition(min(tasks, MOST_TASKS)).mapInArrow(_list_folders(uri, glob), _LISTED)
         level = materialise(level, "listed")
         levels.append(level.where("is_file").drop("is_file"))
         folders = level.where("not is_file").select("inner")

@@ -4,6 +4,7 @@ import pytest
 
 from extracteval.functions.spreading import MOST_TASKS, tasks_for
 from extracteval.operators import compare, metrics, tagging, vocabulary
+from extracteval.sources import files
 
 
 def _plan(df) -> str:
@@ -61,3 +62,15 @@ def test_texts_are_dealt_before_names_are_found(spark):
     tags = tagging.tag_dictionary(texts, tagging.dictionary(spark, {"acme": "Acme"}))
     assert "REPARTITION_BY_NUM" in _plan(tags)
     assert sorted((str(r.qid), r.value) for r in tags.collect()) == [("1", "Acme"), ("None", "Acme")]
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"f{i}").mkdir()
+        (tmp_path / f"f{i}" / "a.txt").write_text(str(i))
+    tasks, store = [], files.materialise
+    monkeypatch.setattr(files, "materialise", lambda df, name: tasks.append(df.rdd.getNumPartitions()) or store(df, name))
+    monkeypatch.setattr(files, "TASK_FOLDERS", 10)
+    found = files.list_files(spark, f"file://{tmp_path}", "*.txt").collect()
+    assert len({r.inner for r in found}) == len(found) == 30
+    assert max(tasks) <= max(4, spark.sparkContext.defaultParallelism)
