@@ -1,8 +1,10 @@
 """What the steps of a comparison ask of the driver and of one task."""
 
+import re
+
 import pytest
 
-from extracteval.functions.spreading import MOST_TASKS, tasks_for
+from extracteval.functions.spreading import DIRECT_TASKS, MOST_TASK_ROWS, MOST_TASKS, deal, tasks_for
 from extracteval.operators import compare, metrics, tagging, vocabulary
 from extracteval.sources import files
 
@@ -29,6 +31,13 @@ def test_tasks_follow_the_rows():
     assert tasks_for(10**12, 8) == MOST_TASKS
 
 
+def test_tasks_grow_before_rows_are_sorted_for_many(spark):
+    tasks = lambda n: int(re.search(r"hashpartitioning\(id#\d+L, (\d+)\), REPARTITION_BY_NUM", _plan(deal(spark.range(3), n, "id")))[1])
+    # 100,000,000 rows were dealt to 401 tasks: the tasks that deal them out kept them in memory
+    assert [tasks(n) for n in (1_000_000, 40_000_000, 100_000_000)] == [5, 161, DIRECT_TASKS]
+    assert tasks(400 * MOST_TASK_ROWS) == 401
+
+
 ROWS = [(1, "A", "x", 1, 1), (1, "a ", "X", 2, 1), (1, None, "y", 1, 2), (None, "b", "x", 1, 1), (2, "b", None, 1, 1)]
 OTHER = [(1, "a", "x", 1, 1), (1, "a", "x", 1, 1), (1, None, "y", 2, 2), (None, "b", "x", 1, 1), (3, "c", "z", 1, 1)]
 GROUPED = {
