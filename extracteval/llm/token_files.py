@@ -21,10 +21,12 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -35,8 +37,9 @@ from .files import put
 
 MAGIC, BLOCK = b"PFORIDS1", 128
 FILE_IDS = 1 << 21  # ids after which a file ends with the document
-DOCS = 256  # documents whose words are in memory at once
+TEXT_BYTES = 1 << 20  # of the documents whose words are in memory at once; a longer one is alone
 MEMO, MEMO_BYTES = 1 << 20, 64  # words a worker remembers the ids of, and their length at most
+SIGNS = punctuation.encode()
 
 _HEAD = np.dtype([("min", "<u4"), ("width", "u1"), ("n", "u1")])
 _EXCEPTION = np.dtype([("at", "u1"), ("value", "<u4")])
@@ -141,15 +144,15 @@ def _small_letters(s: str) -> bool:
     return s.isalpha() and s == s.lower() and is_normalized("NFC", s)
 
 
-def _lower(raw: bytes) -> list[bytes]:
-    """The words of a text, in small letters where that changes no id. The tokenizer lower-cases too,
-    but for its special strings, and after it has put letters and marks together: a capital with a
-    mark of U+0300 to U+036F (bytes CC and CD) may be put together otherwise than the small letter."""
+def _lower(raw: bytes) -> bytes:
+    """A text in small letters where that changes no id. The tokenizer lower-cases too, but for its
+    special strings, and after it has put letters and marks together: a capital with a mark of U+0300
+    to U+036F (bytes CC and CD) may be put together otherwise than the small letter."""
     if b"<|" in raw:
-        return raw.split()
+        return raw
     if b"\xcc" in raw or b"\xcd" in raw:
-        return [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in raw.split()]
-    return raw.lower().split()
+        return b" ".join([w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in raw.split()])
+    return raw.lower()
 
 
 class WordIds(dict):
@@ -189,7 +192,7 @@ class WordIds(dict):
     def _learn(self, words: list[bytes]) -> None:
         letters, ended = set(), []
         for w in words:
-            core = w if w.isalpha() else w.rstrip(b".,;:!?")
+            core = w if w.isalpha() else w.rstrip(SIGNS)
             if (core.isalpha() and core.islower()) or (not core.isascii() and _small_letters(core.decode("utf-8", "replace"))):
                 letters.add(core)
                 if len(core) < len(w):  # the signs after a word are parted from it
@@ -202,23 +205,46 @@ class WordIds(dict):
                 if tail not in tails:
                     tails[tail] = self._ids(tail.decode(), self.tokenizer).tobytes()
                 self[w] = found + tails[tail]
-        for w in words:
-            if w not in self:
-                self[w] = self._ids(w.decode("utf-8", "replace"), self.tokenizer).tobytes()
+        rest = [w for w in words if w not in self]
+        for lo in range(0, len(rest), 512):
+            some = rest[lo : lo + 512]
+            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            self.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for t in texts:
-            split.append(_lower(b"" if t is None else t.encode("utf-8", "surrogatepass")))
+        raw = pa.array([_lower(b"" if t is None else t.encode("utf-8", "surrogatepass")) for t in texts], pa.large_binary())
+        words = pc.ascii_split_whitespace(raw.view(pa.large_string()))
+        numbered = words.flatten().dictionary_encode()
+        distinct = numbered.dictionary.view(pa.large_binary()).to_pylist()
         if len(self) > MEMO:
             self.clear()
-        new = [w for w in set().union(*split) if w not in self]
+        found = list(map(self.get, distinct))
+        missing = [i for i, f in enumerate(found) if f is None]
+        new = [distinct[i] for i in missing]
         self._learn(new)
-        out = [b"".join(map(self.__getitem__, words)) for words in split]
+        for i, w in zip(missing, new):
+            found[i] = self[w]
         for w in new:
             if len(w) > MEMO_BYTES:
                 self.pop(w, None)
-        return out
+        # the ids of the distinct words one after another, and from where in them each word's are taken
+        known, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        word = numbered.indices.to_numpy()
+        ends, sizes = np.cumsum(size[word]), size[word]
+        first = (np.cumsum(size) - size)[word] - (ends - sizes)
+        ids = known[np.repeat(first, sizes) + np.arange(sizes.sum())].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[words.offsets.to_numpy()]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Start and number of texts in a row that have at most so many bytes together, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(int(np.searchsorted(ends, most + (ends[lo - 1] if lo else 0), "right")), lo + 1)
+        yield lo, hi - lo
+        lo = hi
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -240,8 +266,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end: int = 2, per
             return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(parts)], "n_ids": [len(ids)]})
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, DOCS):
-                part = batch.slice(lo, DOCS)
+            for lo, n in runs(batch["text"], TEXT_BYTES):
+                part = batch.slice(lo, n)
                 for doc_id, data in zip(part["doc_id"].to_pylist(), encoder.texts(part["text"].to_pylist())):
                     doc_ids.append(doc_id)
                     parts.append(data + tail)

@@ -1,10 +1,12 @@
 import base64
 import hashlib
+import itertools
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -89,6 +91,26 @@ def test_word_ids_are_the_whole_texts_ids():
         assert encoder.texts(TEXTS) == [np.array(e.ids, "<u4").tobytes() for e in whole]
 
 
+def test_words_with_signs_need_few_calls(monkeypatch):
+    path, calls, ids = public_tokenizers.path("word_bpe_49k.json"), [], token_files.WordIds._ids
+    monkeypatch.setattr(token_files.WordIds, "_ids", staticmethod(lambda text, tokenizer: calls.append(text) or ids(text, tokenizer)))
+    letters, signs = "abcdefghijklmnopqrst", [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "%%%", "...$", "'-", "|>"]
+    words = [a + b + c + signs[i % len(signs)] for i, (a, b, c) in enumerate(itertools.product(letters, repeat=3))]
+    gaps = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\r\n ", "\u00a0", "\u2003", "\x1c"]
+    texts = [" " + "".join(w + gaps[i % len(gaps)] for i, w in enumerate(words)), *words[:200], " ", "a's b'", "x<|endoftext|>Y.. "]
+    encoder = token_files.WordIds(path)
+    got = encoder.texts(texts)
+    # each of 8,000 words was a call
+    assert len(calls) < 100
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_runs_of_texts_are_bounded_by_bytes():
+    texts = pa.array(["abc", None, "é" * 9, "", "ab", "abc", "abc", None])
+    assert list(token_files.runs(texts, 6)) == [(0, 2), (2, 1), (3, 3), (6, 2)]
+    assert list(token_files.runs(texts.slice(3), 100)) == [(0, 5)] and list(token_files.runs(texts[:0], 6)) == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 3000])
 @pytest.mark.parametrize("percentile", [0.5, 0.9, 1.0])
 def test_blocks_round_trip(n, percentile):
