@@ -37,9 +37,10 @@ from .files import put
 
 MAGIC, BLOCK = b"PFORIDS1", 128
 FILE_IDS = 1 << 21  # ids after which a file ends with the document
-TEXT_BYTES = 1 << 20  # of the documents whose words are in memory at once; a longer one is alone
-MEMO, MEMO_BYTES = 1 << 20, 64  # words a worker remembers the ids of, and their length at most
-SIGNS = punctuation.encode()
+TEXT_BYTES = 1 << 23  # of the documents whose words are in memory at once; a longer one is alone
+MEMO, MEMO_BYTES = 1 << 18, 64  # words a worker remembers the ids of, and their length at most
+LINE_WORDS = 512  # words the library encodes in one call, or in one of its texts
+LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"  # letters that nothing is put together with, and whose small letters are single
 
 _HEAD = np.dtype([("min", "<u4"), ("width", "u1"), ("n", "u1")])
 _EXCEPTION = np.dtype([("at", "u1"), ("value", "<u4")])
@@ -172,71 +173,92 @@ class WordIds(dict):
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        sign = self._ids("\0", self.plain)
-        self.sign = sign[0] if len(sign) == 1 else None
+        # the last id of a word is marked, where the model marks it
+        vocab, mark = self.plain.get_vocab(), getattr(self.plain.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.last[[i for word, i in vocab.items() if mark and word.endswith(mark)]] = True
 
     @staticmethod
     def _ids(text: str, tokenizer) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _letters(self, words: list[bytes]) -> None:
-        """Words of small letters: many at once, with a sign between them that is one token."""
-        for lo in range(0, len(words), 512):
-            some = words[lo : lo + 512]
-            ids = self._ids(b" \0 ".join(some).decode(), self.plain)
-            cuts = np.flatnonzero(ids == self.sign)
-            raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            if len(ends) == len(some):
-                self.update(zip(some, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends))))
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of words of small letters, many at once."""
+        cuts = pa.array(np.append(np.arange(0, len(words), LINE_WORDS), len(words)), pa.int32())
+        lines = pc.binary_join(pa.ListArray.from_arrays(cuts, words), pa.scalar(" ", words.type)).to_pylist()
+        ids = [np.empty(0, "<u4")]
+        for lo in range(0, len(lines), 32):
+            ids += [np.array(e.ids, "<u4") for e in self.plain.encode_batch_fast(lines[lo : lo + 32], add_special_tokens=False)]
+        flat = np.concatenate(ids)
+        sizes = np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+        if len(sizes) == len(words) and sizes.sum() == len(flat):
+            return flat, sizes
+        each = [self._ids(w, self.tokenizer) for w in words.to_pylist()]
+        return np.concatenate([np.empty(0, "<u4"), *each]), np.array([len(e) for e in each], np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        letters, ended = set(), []
-        for w in words:
-            core = w if w.isalpha() else w.rstrip(SIGNS)
-            if (core.isalpha() and core.islower()) or (not core.isascii() and _small_letters(core.decode("utf-8", "replace"))):
-                letters.add(core)
-                if len(core) < len(w):  # the signs after a word are parted from it
-                    ended.append((w, core, w[len(core) :]))
-        if self.sign is not None:
-            self._letters([w for w in letters if w not in self])
-        known, tails = self.get, {}
-        for w, core, tail in ended:
-            if (found := known(core)) is not None:
-                if tail not in tails:
-                    tails[tail] = self._ids(tail.decode(), self.tokenizer).tobytes()
-                self[w] = found + tails[tail]
+        letters = [w for w in words if not w.isascii() and _small_letters(w.decode("utf-8", "replace"))]
+        flat, sizes = self._letters(pa.array(letters, pa.large_binary()).view(pa.large_string()))
+        raw, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
+        self.update(zip(letters, (raw[a:b] for a, b in zip([0, *ends], ends))))
         rest = [w for w in words if w not in self]
-        for lo in range(0, len(rest), 512):
-            some = rest[lo : lo + 512]
+        for lo in range(0, len(rest), LINE_WORDS):
+            some = rest[lo : lo + LINE_WORDS]
             encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
             self.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
 
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        raw = pa.array([_lower(b"" if t is None else t.encode("utf-8", "surrogatepass")) for t in texts], pa.large_binary())
-        words = pc.ascii_split_whitespace(raw.view(pa.large_string()))
-        numbered = words.flatten().dictionary_encode()
-        distinct = numbered.dictionary.view(pa.large_binary()).to_pylist()
+    def _known(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of any words, remembered."""
         if len(self) > MEMO:
             self.clear()
-        found = list(map(self.get, distinct))
+        found = list(map(self.get, words))
         missing = [i for i, f in enumerate(found) if f is None]
-        new = [distinct[i] for i in missing]
+        new = [words[i] for i in missing]
         self._learn(new)
         for i, w in zip(missing, new):
             found[i] = self[w]
         for w in new:
             if len(w) > MEMO_BYTES:
                 self.pop(w, None)
-        # the ids of the distinct words one after another, and from where in them each word's are taken
-        known, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of distinct words. Words of Latin letters are taken apart into letters
+        and the signs after them, as the tokenizer does, and their letters encoded once; the others are
+        remembered."""
+        core = pc.ascii_rtrim(words, punctuation)
+        latin = pc.match_substring_regex(core, f"^{LATIN}$")
+        letters = pc.utf8_lower(core.filter(latin)).dictionary_encode()
+        signs = pc.replace_substring_regex(words.filter(latin), f"^{LATIN}", "", max_replacements=1).dictionary_encode()
+        raw = lambda a: a.view(pa.large_binary()).to_pylist()
+        kinds = [self._letters(letters.dictionary), self._known(raw(signs.dictionary)), self._known(raw(words.filter(pc.invert(latin))))]
+        flat = np.concatenate([ids for ids, _ in kinds])
+        start = np.cumsum([0, *(len(ids) for ids, _ in kinds)])
+        place = [at + np.cumsum(sizes) - sizes for at, (_, sizes) in zip(start, kinds)]
+        # two pieces a word
+        at, size, here = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64), latin.to_numpy(zero_copy_only=False)
+        for piece, rows, kind, number in ((0, here, 0, letters.indices.to_numpy()), (1, here, 1, signs.indices.to_numpy()), (0, ~here, 2, slice(None))):
+            at[rows, piece], size[rows, piece] = place[kind][number], kinds[kind][1][number]
+        return _taken(flat, at.reshape(-1), size.reshape(-1)), size.sum(axis=1)
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        raw = pa.array([_lower(b"" if t is None else t.encode("utf-8", "surrogatepass")) for t in texts], pa.large_binary())
+        words = pc.ascii_split_whitespace(raw.view(pa.large_string()))
+        numbered = words.flatten().dictionary_encode()
+        known, size = self._distinct(numbered.dictionary)
         word = numbered.indices.to_numpy()
-        ends, sizes = np.cumsum(size[word]), size[word]
-        first = (np.cumsum(size) - size)[word] - (ends - sizes)
-        ids = known[np.repeat(first, sizes) + np.arange(sizes.sum())].tobytes()
-        cuts = (4 * np.concatenate([[0], ends])[words.offsets.to_numpy()]).tolist()
+        sizes = size[word]
+        ids = _taken(known, (np.cumsum(size) - size)[word], sizes).tobytes()
+        cuts = (4 * np.concatenate([[0], np.cumsum(sizes)])[words.offsets.to_numpy()]).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+def _taken(ids: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Pieces of ``ids``, from these places and of these sizes, one after another."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(at - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def runs(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Start and number of texts in a row that have at most so many bytes together, or of one text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))

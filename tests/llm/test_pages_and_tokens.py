@@ -105,6 +105,24 @@ def test_words_with_signs_need_few_calls(monkeypatch):
     assert got == [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_latin_words_are_taken_from_arrow_whatever_stands_by_them():
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    encoder, whole = token_files.WordIds(path), Tokenizer.from_file(path)
+    ids = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    word = lambda: "".join(rng.choices("abcdeABCßäöüÄÖÜéÉçñÿÞÀ", k=rng.randint(2, 9))) + rng.choice(["", "", ".", ",%%%", "'", "<|", "'s"])
+    texts = [" ".join(word() for _ in range(50)) for _ in range(200)]
+    assert encoder.texts(texts) == ids(texts)
+    plain = [t.replace("'s", "") for t in texts]
+    encoder.clear()
+    assert encoder.texts(plain) == ids(plain)
+    # each of thousands of words was looked up and kept as an object
+    assert len(encoder) < 10
+    odd = ["".join(rng.choices("abzABZßéÉÿ×÷ªºµŸİıſǅΣς日яЯ'-.<|>1\u0301\u0308\u00a0 ", k=rng.randint(1, 12))) for _ in range(5000)] + ["a<|endoftext|>B", "<|ENDOFTEXT|> É", ""]
+    assert encoder.texts(odd) == ids(odd)
+    encoder.last[:] = False  # as for a model that marks no ends of words
+    assert encoder.texts(texts[:20]) == ids(texts[:20])
+
+
 def test_runs_of_texts_are_bounded_by_bytes():
     texts = pa.array(["abc", None, "é" * 9, "", "ab", "abc", "abc", None])
     assert list(token_files.runs(texts, 6)) == [(0, 2), (2, 1), (3, 3), (6, 2)]
