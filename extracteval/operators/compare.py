@@ -9,14 +9,17 @@ outputs that are one row per query by definition.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import norm_key, norm_value
 from ..functions.spreading import deal
+from ..functions.tables import broadcast_if
+from ..session import materialise
 from .reshape import segments
 
 
@@ -287,19 +290,73 @@ def _numbers(v: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(v, F.lit(f"({NUMBERS})"), 1)))
 
 
-def fuzzy_flags(gt: DataFrame, cand: DataFrame, on: str = "qid") -> DataFrame:
+FEW_VALUES = 32  # candidate rows of a query that each of its reference rows is held against
+MANY_ROWS = 10_000  # reference rows of a query that one task takes
+
+
+class Crowded(NamedTuple):
+    """The queries with more rows, on either side, than are compared beside them."""
+
+    queries: DataFrame
+    rows: int
+
+
+def crowded_queries(gt: DataFrame, cand: DataFrame, on: str = "qid") -> Crowded:
+    """The :class:`Crowded` of two relations; rows without a query match nothing and count as one query
+    if they are many. Rows are counted, not gathered."""
+    side = lambda df, g: df.select(on, F.lit(g).alias("_g"), F.lit(1 - g).alias("_c"))
+    counts = side(gt, 1).unionByName(side(cand, 0)).groupBy(on).agg(F.sum("_g").alias("_g"), F.sum("_c").alias("_c"))
+    queries = materialise(counts.filter((F.col("_g") > MANY_ROWS) | (F.col(on).isNotNull() & (F.col("_c") > FEW_VALUES))).select(on), "crowded")
+    rows, chars = queries.agg(F.count(F.lit(1)), F.sum(F.length(F.col(on).cast("string")))).first()
+    return Crowded(broadcast_if(queries, rows, chars or 0), rows)
+
+
+def _by_size(gt: DataFrame, cand: DataFrame, on: str, crowded: Crowded | None, few: Callable, many: Callable) -> DataFrame:
+    """``few(gt, cand)`` for most queries and ``many(gt, cand)`` for the crowded ones."""
+    queries, rows = crowded or crowded_queries(gt, cand, on)
+    if not rows:
+        return few(gt, cand)
+    queries = queries.select(F.col(on).alias("_crowded"))
+    part = lambda how: [df.join(queries, F.col(on).eqNullSafe(F.col("_crowded")), how) for df in (gt, cand)]
+    return few(*part("left_anti")).unionByName(many(*part("left_semi")))
+
+
+def fuzzy_flags(gt: DataFrame, cand: DataFrame, on: str = "qid", crowded: Crowded | None = None) -> DataFrame:
     """Reference attributes with ``value_matched``: some candidate value of the same query
     is equal, contains it, is contained in it, or has the same non-empty set of numbers.
     Blank values match nothing.
 
-    Distinct values meet in equi-joins only, whatever the size of a query, see
+    Queries of few values are compared beside their rows (:func:`_values_beside`), crowded ones by
+    equi-joins of keys (:func:`_values_by_keys`): the same flags, but there each value is a row for
+    every one of its keys."""
+    return _by_size(gt, cand, on, crowded, lambda g, c: _values_beside(g, c, on), lambda g, c: _values_by_keys(g, c, on))
+
+
+def _number_key(v: Column) -> Column:
+    return F.array_join(_numbers(v), " ")
+
+
+def _values_beside(gt: DataFrame, cand: DataFrame, on: str) -> DataFrame:
+    """:func:`fuzzy_flags` of queries with at most ``FEW_VALUES`` candidate rows: their distinct values
+    are listed per query and come to its reference rows, which are shuffled once."""
+    values = cand.select(on, norm_value(F.col("value")).alias("v")).filter("v <> ''")
+    lists = values.groupBy(on).agg(F.collect_set(F.struct("v", _number_key(F.col("v")).alias("k"))).alias("_theirs"))
+    rows = gt.join(lists.hint("merge"), on, "left").withColumn("_v", norm_value(F.col("value")))
+    v, k = F.col("_v"), F.col("_k")
+    hit = F.exists("_theirs", lambda c: v.contains(c["v"]) | c["v"].contains(v) | ((k != "") & (k == c["k"])))
+    rows = rows.withColumn("_k", F.when(F.col("_theirs").isNotNull(), _number_key(v)))
+    return rows.withColumn("value_matched", F.coalesce((v != "") & hit, F.lit(False))).drop("_theirs", "_v", "_k")
+
+
+def _values_by_keys(gt: DataFrame, cand: DataFrame, on: str) -> DataFrame:
+    """:func:`fuzzy_flags` of queries of any size. Distinct values meet in equi-joins only, see
     :func:`_within`; nothing is gathered per query. All sides grow with the attributes, so the joins
     are merges: a dozen sides that are each small enough to be broadcast are not, together, small
     enough for the driver that would build their tables."""
     mine = gt.withColumn("norm_value", norm_value(F.col("value")))
     left = mine.select(on, F.col("norm_value").alias("v")).filter("v <> ''").distinct()
     right = cand.select(on, norm_value(F.col("value")).alias("v")).filter("v <> ''").distinct()
-    nums = lambda df: df.withColumn("_k", F.array_join(_numbers(F.col("v")), " ")).filter("_k <> ''")
+    nums = lambda df: df.withColumn("_k", _number_key(F.col("v"))).filter("_k <> ''")
     numbered = nums(left).join(nums(right).select(on, "_k").distinct().hint("merge"), [on, "_k"], "left_semi").select(on, "v")
     inside = _within(left, right, on).select(on, F.col("short").alias("v"))
     around = _within(right, left, on).select(on, F.col("long").alias("v"))
@@ -353,19 +410,22 @@ def _within(short: DataFrame, long: DataFrame, on: str) -> DataFrame:
     return found.join(texts.hint("merge"), [on, "id"]).filter(F.col("long").contains(F.col("short"))).select(on, "short", "long")
 
 
-def canonical_flags(gt: DataFrame, cand: DataFrame, synonyms: DataFrame, on: str = "qid") -> DataFrame:
+def canonical_flags(gt: DataFrame, cand: DataFrame, synonyms: DataFrame, on: str = "qid", crowded: Crowded | None = None) -> DataFrame:
     """Reference attributes with ``key_matched``: the same query has a candidate key with
-    the same canonical form."""
+    the same canonical form. Queries of few keys are compared beside their rows, which then lie as
+    :func:`fuzzy_flags` left them; crowded ones are joined by key."""
     from ..functions.normalize import canonical_key
 
-    have = (
-        canonical_key(cand, "attribute_key", synonyms)
-        .select(on, "canonical_key", F.lit(True).alias("_hit"))
-        .distinct()
-    )
-    return (
-        canonical_key(gt, "attribute_key", synonyms)
-        .join(have.hint("merge"), [on, "canonical_key"], "left")
-        .withColumn("key_matched", F.coalesce("_hit", F.lit(False)))
-        .drop("_hit")
-    )
+    def beside(gt: DataFrame, cand: DataFrame) -> DataFrame:
+        lists = cand.groupBy(on).agg(F.collect_set("canonical_key").alias("_theirs"))
+        rows = gt.join(lists.hint("merge"), on, "left")
+        return rows.withColumn("key_matched", F.coalesce(F.array_contains("_theirs", F.col("canonical_key")), F.lit(False))).drop("_theirs")
+
+    def by_key(gt: DataFrame, cand: DataFrame) -> DataFrame:
+        have = cand.select(on, "canonical_key", F.lit(True).alias("_hit")).distinct()
+        rows = gt.join(have.hint("merge"), [on, "canonical_key"], "left")
+        return rows.withColumn("key_matched", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+    mine, theirs = canonical_key(gt, "attribute_key", synonyms), canonical_key(cand, "attribute_key", synonyms).select(on, "canonical_key")
+    flagged = _by_size(mine, theirs, on, crowded, beside, by_key)
+    return flagged.select(on, "canonical_key", *[c for c in gt.columns if c != on], "key_matched")

@@ -485,11 +485,12 @@ def fuzzy_scorecard(gt: DataFrame, cands: dict[str, DataFrame], synonyms: DataFr
     value, and the key share."""
     from functools import reduce
 
-    from .compare import canonical_flags, fuzzy_flags
+    from .compare import canonical_flags, crowded_queries, fuzzy_flags
 
     out = []
     for name, cand in cands.items():
-        scored = canonical_flags(fuzzy_flags(gt, cand, on), cand, synonyms, on)
+        crowded = crowded_queries(gt, cand, on)
+        scored = canonical_flags(fuzzy_flags(gt, cand, on, crowded), cand, synonyms, on, crowded)
         out.append(
             scored.groupBy(on).agg(
                 F.lit(name).alias("source"),

@@ -184,17 +184,25 @@ def tag_keyword_facets(
     text: str = "query",
 ) -> DataFrame:
     """Per facet the canonical form of the longest keyword contained in the text; a facet
-    listed in ``exclusive`` only counts where its counterpart found nothing."""
+    listed in ``exclusive`` only counts where its counterpart found nothing.
+
+    Facets that rule each other out are found in one group of a text, side by side, so the hits are
+    looked for and grouped once. Texts without a key have nothing ruled out."""
     order = F.struct(F.length("name").alias("n"), (-F.col("rank")).alias("r"))
-    best = (
+    linked = list(dict.fromkeys([*exclusive, *exclusive.values()]))
+    together = F.coalesce(F.col("facet").isin(linked) & F.col(on).isNotNull(), F.lit(False)) if linked else F.lit(False)
+    found = F.struct("facet", F.col("canonical").alias("value"))
+    best = lambda of: F.max_by(found, F.when(of, order))
+    rows = (
         dictionary_hits(texts, names, F.lower(clean_query(F.col(text))), on)
-        .groupBy(on, "facet")
-        .agg(F.max_by("canonical", order).alias("value"))
+        .groupBy(on, together.alias("_together"), F.when(~together, F.col("facet")).alias("_facet"))
+        .agg(best(~together).alias("_own"), *[best(F.col("facet") == f).alias(f"_linked{i}") for i, f in enumerate(linked)])
     )
+    left = {f: F.when(F.col("_together"), F.col(f"_linked{i}")) for i, f in enumerate(linked)}
     for second, first in exclusive.items():
-        blocked = best.filter(F.col("facet") == first).select(on, F.lit(second).alias("facet"))
-        best = best.join(blocked, [on, "facet"], "left_anti")
-    return best.withColumn("ord", F.lit(1))
+        left[second] = F.when(left[first].isNull(), left[second])
+    rows = rows.select(on, F.explode(F.array("_own", *left.values())).alias("_f")).where("_f is not null")
+    return rows.select(on, "_f.facet", "_f.value").withColumn("ord", F.lit(1))
 
 
 def tag_multi_dictionary(texts: DataFrame, names: DataFrame, on: str = "qid", text: str = "query") -> DataFrame:

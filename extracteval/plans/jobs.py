@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.hashing import hash_rank
 from ..operators import compare, datasets, labels, metrics, tagging, vocabulary
-from ..session import materialise
+from ..session import materialise, slices_for, store_slices
 
 
 def head_to_head(reference: DataFrame, candidates: Mapping[str, DataFrame], on: str = "qid", top: int = 20) -> dict[str, DataFrame]:
@@ -59,12 +59,18 @@ def tag_and_compare(
 ) -> dict[str, DataFrame]:
     """Tag the texts for a reference (:func:`tag_reference` or :func:`single_value_reference`), then
     match the candidates by canonical key and fuzzy value. Returns the ``reference``, ``scores`` per query and source, ``totals`` per source
-    and, for the first two sources, the head-to-head ``outcomes`` by key matches."""
-    reference = materialise(tagger(texts, on), "reference")
-    table = vocabulary.synonym_table(texts.sparkSession)
+    and, for the first two sources, the head-to-head ``outcomes`` by key matches.
+
+    A query is compared with itself only, so candidates are written and scored a slice of the queries
+    and a source at a time, see :func:`~extracteval.session.store_slices`."""
+    spark = texts.sparkSession
+    reference = store_slices(spark, [lambda part: tagger(texts, on)], on, 1, "reference")
+    slices = slices_for(reference.count())
+    table = vocabulary.synonym_table(spark)
     # candidates are model outputs as a rule, and several steps read them
-    candidates = {n: materialise(c, f"candidate-{n}") for n, c in candidates.items()}
-    scores = materialise(metrics.fuzzy_scorecard(reference, candidates, table, on), "scores")
+    candidates = {n: store_slices(spark, [lambda part, c=c: part(c)], on, slices, f"candidate-{n}") for n, c in candidates.items()}
+    score = lambda n, c: lambda part: metrics.fuzzy_scorecard(part(reference), {n: part(c)}, table, on)
+    scores = store_slices(spark, [score(n, c) for n, c in candidates.items()], on, slices, "scores")
     totals = scores.groupBy("source").agg(
         F.sum("gt_attributes").alias("gt_attributes"), F.sum("key_matches").alias("key_matches"), F.sum("value_matches").alias("value_matches")
     )

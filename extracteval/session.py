@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SLICE_ROWS = 4_000_000  # rows of the largest relation that one slice has, about
+MOST_SLICES = 8  # each slice reads its inputs anew
 
 
 def get_spark(app: str = "extracteval", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,3 +66,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs meanwhile go as soon as it has run, instead of when the driver
+    happens to collect its garbage."""
+    was = spark.conf.get(CLEAN, None)
+    try:
+        spark.conf.set(CLEAN, "true")
+        yield
+    finally:
+        spark.conf.unset(CLEAN) if was is None else spark.conf.set(CLEAN, was)
+
+
+def slices_for(rows: int) -> int:
+    """In how many slices a step over that many rows is taken."""
+    return min(rows // SLICE_ROWS + 1, MOST_SLICES)
+
+
+def store_slices(
+    spark: SparkSession, makes: Sequence[Callable[[Callable[[DataFrame], DataFrame]], DataFrame]], on: str, slices: int, name: str
+) -> DataFrame:
+    """What each of ``makes`` gives for every slice of the keys ``on``, written one after the other
+    into one folder, so that the disk holds the shuffles of one of them at a time. ``make`` gets the
+    function that keeps a slice's rows of a relation; all rows of a key are in one slice, and those
+    without a key are in one as well."""
+    path = scratch_path(spark, name)
+    with dropping_shuffles(spark):
+        for make in makes:
+            for i in range(slices):
+                out = make(lambda df: df.where(F.pmod(F.xxhash64(on), F.lit(slices)) == i) if slices > 1 else df)
+                out.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)

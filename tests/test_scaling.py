@@ -3,9 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from extracteval import session
 from extracteval.functions.spreading import DIRECT_TASKS, MOST_TASK_ROWS, MOST_TASKS, deal, tasks_for
 from extracteval.operators import compare, metrics, tagging, vocabulary
+from extracteval.plans import jobs
 from extracteval.sources import files
 
 
@@ -83,3 +86,74 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
     found = files.list_files(spark, f"file://{tmp_path}", "*.txt").collect()
     assert len({r.inner for r in found}) == len(found) == 30
     assert max(tasks) <= max(4, spark.sparkContext.defaultParallelism)
+
+
+FUZZY_GT = [(1, "Color", "dark red"), (1, "size", "size 10"), (1, "make", ""), (2, "brand", "acme"), (3, "type", "x"), (None, "color", "red"), (4, None, None)]
+FUZZY_CAND = [(1, "color", "red"), (1, "n", "10 x"), (2, "make", "ACME tools"), (2, "make", " "), (None, "color", "red"), (4, None, None), (5, "type", "x")]
+
+
+@pytest.mark.parametrize("few, many", [(32, 10_000), (0, 10_000), (32, 0), (1, 1)])
+def test_crowded_queries_get_the_flags_of_the_others(spark, attrs, monkeypatch, few, many):
+    monkeypatch.setattr(compare, "FEW_VALUES", few)
+    monkeypatch.setattr(compare, "MANY_ROWS", many)
+    gt, cand, table = attrs(FUZZY_GT), attrs(FUZZY_CAND), vocabulary.synonym_table(spark)
+    crowded = {r.qid for r in compare.crowded_queries(gt, cand).queries.collect()}
+    assert crowded == {(32, 10_000): set(), (0, 10_000): {1, 2, 4, 5}, (32, 0): {1, 2, 3, 4, None}, (1, 1): {1, 2}}[few, many]
+    values = {(r.qid, r.pos): r.value_matched for r in compare.fuzzy_flags(gt, cand).collect()}
+    assert values == {(1, 1): True, (1, 2): True, (1, 3): False, (2, 1): True, (3, 1): False, (None, 1): False, (4, 1): False}
+    flags = compare.canonical_flags(gt, cand, table)
+    assert flags.columns[:2] == ["qid", "canonical_key"] and len(flags.columns) == len(gt.columns) + 2
+    keys = {(r.qid, r.pos): r.key_matched for r in flags.collect()}
+    assert keys == {(1, 1): True, (1, 2): False, (1, 3): False, (2, 1): True, (3, 1): False, (None, 1): False, (4, 1): False}
+
+
+def test_reference_is_shuffled_once_to_be_scored(spark, attrs):
+    scored = metrics.fuzzy_scorecard(attrs(FUZZY_GT), {"c": attrs(FUZZY_CAND)}, vocabulary.synonym_table(spark))
+    # the reference, the candidate's values, its keys; before, every value went by all its keys as well
+    assert len(re.findall(r"Exchange hashpartitioning\(qid#\d+L", _plan(scored))) == 3 and "Generate" not in _plan(scored)
+
+
+def test_keywords_that_rule_each_other_out_are_found_in_one_pass(spark):
+    texts = spark.createDataFrame(
+        [(1, "pump motor"), (2, "a pump"), (2, "big pump"), (3, "steel motor"), (None, "pump motor"), (4, "")], "qid bigint, query string"
+    )
+    words = {"kind": {"pump": "Pump", "big pump": "Big pump"}, "motor": {"motor": "Motor"}, "use": {"pump": "Pumping"}, "stuff": {"steel": "Steel"}}
+    # kind gives way to motor, and use to a kind that did not give way itself
+    tags = tagging.tag_keyword_facets(texts, tagging.facet_dictionary(spark, words), {"kind": "motor", "use": "kind"})
+    assert _plan(tags).count("REPARTITION_BY_NUM") == 1
+    none = [("None", "kind", "Pump"), ("None", "motor", "Motor"), ("None", "use", "Pumping")]
+    assert sorted((str(r.qid), r.facet, r.value) for r in tags.collect()) == sorted(
+        [("1", "motor", "Motor"), ("1", "use", "Pumping"), ("2", "kind", "Big pump"), ("3", "motor", "Motor"), ("3", "stuff", "Steel"), *none]
+    )
+
+
+TEXTS = [(1, "siemens 5 hp motor 230 v"), (2, "table fan copper"), (2, "abb 3 kw motor 1440 rpm"), (None, "12 v pump"), (3, None), (4, "stepper motor nema 23")]
+
+
+def _scored(spark, monkeypatch, tagger, slice_rows):
+    calls, real = [], metrics.fuzzy_scorecard
+    monkeypatch.setattr(session, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(metrics, "fuzzy_scorecard", lambda gt, cands, *a: calls.append(list(cands)) or real(gt, cands, *a))
+    texts = spark.createDataFrame(TEXTS, "qid bigint, query string")
+    as_attrs = lambda tags: tags.select("qid", F.col("facet").alias("attribute_key"), "value")
+    candidates = {"q": as_attrs(tagging.tag_all_quantities(texts)), "a": as_attrs(tagging.tag_first_of(texts))}
+    out = jobs.tag_and_compare(texts, candidates, tagger=tagger)
+    monkeypatch.setattr(metrics, "fuzzy_scorecard", real)
+    return calls, sorted(map(str, out["scores"].collect())), sorted(map(str, out["totals"].collect()))
+
+
+def test_a_slice_of_the_queries_is_scored_at_a_time(spark, monkeypatch):
+    whole, sliced = (_scored(spark, monkeypatch, jobs.tag_reference, n) for n in (4_000_000, 8))
+    assert whole[0] == [["q"], ["a"]] and len(sliced[0]) > 2
+    # the same rows, queries that come twice and texts without a key included
+    assert whole[1:] == sliced[1:] and any("qid=None" in r for r in whole[1])
+    assert session.slices_for(10**12) == session.MOST_SLICES and session.slices_for(0) == 1
+
+
+def test_shuffles_go_with_the_slice_that_made_them(spark):
+    setting = spark.conf.get(session.CLEAN, None)
+    seen = []
+    make = lambda part: seen.append(spark.conf.get(session.CLEAN)) or part(spark.range(100)).groupBy("id").count()
+    out = session.store_slices(spark, [make], "id", 3, "sliced")
+    assert seen == ["true"] * 3 and spark.conf.get(session.CLEAN, None) == setting
+    assert sorted(r.id for r in out.collect()) == list(range(100))
