@@ -150,6 +150,12 @@ def test_a_slice_of_the_queries_is_scored_at_a_time(spark, monkeypatch):
     assert session.slices_for(10**12) == session.MOST_SLICES and session.slices_for(0) == 1
 
 
+def test_single_values_are_scored_in_slices_too(spark, monkeypatch):
+    whole, sliced = (_scored(spark, monkeypatch, jobs.single_value_reference, n) for n in (4_000_000, 4))
+    assert whole[0] == [["q"], ["a"]] and len(sliced[0]) > 2
+    assert whole[1:] == sliced[1:] and any("qid=None" in r for r in whole[1])
+
+
 def test_shuffles_go_with_the_slice_that_made_them(spark):
     setting = spark.conf.get(session.CLEAN, None)
     seen = []
