@@ -133,6 +133,7 @@ TEXTS = [(1, "siemens 5 hp motor 230 v"), (2, "table fan copper"), (2, "abb 3 kw
 def _scored(spark, monkeypatch, tagger, slice_rows):
     calls, real = [], metrics.fuzzy_scorecard
     monkeypatch.setattr(session, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(session, "MOST_SLICES", 2)
     monkeypatch.setattr(metrics, "fuzzy_scorecard", lambda gt, cands, *a: calls.append(list(cands)) or real(gt, cands, *a))
     texts = spark.createDataFrame(TEXTS, "qid bigint, query string")
     as_attrs = lambda tags: tags.select("qid", F.col("facet").alias("attribute_key"), "value")
@@ -144,15 +145,18 @@ def _scored(spark, monkeypatch, tagger, slice_rows):
 
 def test_a_slice_of_the_queries_is_scored_at_a_time(spark, monkeypatch):
     whole, sliced = (_scored(spark, monkeypatch, jobs.tag_reference, n) for n in (4_000_000, 8))
-    assert whole[0] == [["q"], ["a"]] and len(sliced[0]) > 2
+    assert whole[0] == [["q"], ["a"]] and sliced[0] == [["q"], ["q"], ["a"], ["a"]]
     # the same rows, queries that come twice and texts without a key included
     assert whole[1:] == sliced[1:] and any("qid=None" in r for r in whole[1])
-    assert session.slices_for(10**12) == session.MOST_SLICES and session.slices_for(0) == 1
+
+
+def test_slices_follow_the_rows():
+    assert [session.slices_for(n) for n in (0, 4_000_000, 10**12)] == [1, 2, session.MOST_SLICES]
 
 
 def test_single_values_are_scored_in_slices_too(spark, monkeypatch):
     whole, sliced = (_scored(spark, monkeypatch, jobs.single_value_reference, n) for n in (4_000_000, 4))
-    assert whole[0] == [["q"], ["a"]] and len(sliced[0]) > 2
+    assert whole[0] == [["q"], ["a"]] and sliced[0] == [["q"], ["q"], ["a"], ["a"]]
     assert whole[1:] == sliced[1:] and any("qid=None" in r for r in whole[1])
 
 
